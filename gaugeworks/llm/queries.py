@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import op3_exact_dedup, op4_token_files, op5_token_counts, op6_packing, op10_bpe
+from gaugeworks.llm import (
+    op1_jaccard_join,
+    op3_exact_dedup,
+    op4_token_files,
+    op5_token_counts,
+    op6_packing,
+    op8_substring_dedup,
+    op9_toxicity,
+    op10_bpe,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join.query,
     "op3_exact_dedup": op3_exact_dedup.query,
     "op4_token_files": op4_token_files.query,
     "op5_token_counts": op5_token_counts.query,
     "op6_packing": op6_packing.query,
+    "op8_substring_dedup": op8_substring_dedup.query,
+    "op9_toxicity": op9_toxicity.query,
     "op10_bpe": op10_bpe.query,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": op3_exact_dedup.ORACLE}
