@@ -263,6 +263,13 @@ def _within_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ask.unionByName(held).groupBy("block", "s", "t").applyInArrow(join, "x long, y long").distinct()
 
 
+def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each component, columns as they were."""
+    found = near_duplicates(docs, words, percent)
+    gone = found.where("n_shingles > 0 and not doc_id <=> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

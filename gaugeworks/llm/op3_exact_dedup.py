@@ -82,6 +82,13 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
     return single.unionByName(grouped)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that exact dedup drops, columns as they were."""
+    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    sha = F.sha2(normalised(text_of()).cast("binary"), 256)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

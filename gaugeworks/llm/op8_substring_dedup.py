@@ -182,5 +182,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     return out.select(number_back.alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digests else "kept_text"), *[f"more.{c}" for c in keep])
 
 
+def keep_first(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text`` and ``n_chars`` (if there is one) made true.
+
+    Texts that lose nothing stay as they are, white space included.
+    """
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    found = remove_repeats(docs.withColumnsRenamed({c: f"in_{c}" for c in others}).withColumn("text", F.col("in_text")), window, keep=tuple(f"in_{c}" for c in others))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("in_text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("in_n_chars"))} if "n_chars" in others else {"text": text}
+    return found.select(*[("doc_id" if c == "doc_id" else new.get(c, F.col(f"in_{c}")).alias(c)) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
