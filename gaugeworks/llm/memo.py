@@ -6,23 +6,23 @@ from collections.abc import Callable, Iterable
 from typing import Any
 
 #: Pieces that a worker keeps, and the longest piece that is kept.
-ENTRIES, CHARS = 400_000, 64
+ENTRIES, CHARS = 500_000, 64
 
 
 class _Known(dict):
-    """The kept values; a piece that isn't kept is looked up among the batch's own."""
+    """The kept values; a piece that isn't kept is noted and stands as None for now."""
 
-    batch: dict
+    absent: dict[str, None]
 
-    def __missing__(self, key: str) -> Any:
-        return self.batch[key]
+    def __missing__(self, key: str) -> None:
+        self.absent[key] = None
 
 
 class PieceMemo:
-    """Values of pieces, each computed once while there is room.
+    """Values of pieces, each computed once while there is room; no value may be None.
 
     A full memo stays as it is (frequent pieces come early) and further pieces
-    are computed for their batch only. It starts anew when most pieces miss, as
+    are computed for their batch only. It starts anew when many pieces miss, as
     when the language of the input changes. The values never depend on it.
     """
 
@@ -31,21 +31,31 @@ class PieceMemo:
         self.known = _Known()
         self.looked = self.missed = 0
 
-    def over(self, pieces: list[list[str]]) -> _Known:
-        """A mapping that has a value for each of the batch's pieces."""
-        need = set().union(*pieces)
-        new = [p for p in need if p not in self.known]
-        self.looked, self.missed = self.looked + len(need), self.missed + len(new)
-        self.known.batch = {}
-        if new:
-            values = dict(zip(new, self.compute(new), strict=True))
-            room = self.entries - len(self.known)
-            if room >= len(new):
-                self.known.update((k, v) for k, v in values.items() if len(k) <= CHARS)
-            self.known.batch = values
-        if self.looked > 4 * self.entries:
-            if self.missed > self.looked / 2 and len(self.known) > self.entries / 2:
+    def values(self, lists: list[list[str]]) -> list[list[Any]]:
+        """The values of each list's pieces, in order."""
+        known = self.known
+        known.absent = {}
+        got = [list(map(known.__getitem__, pieces)) for pieces in lists]
+        if known.absent:
+            self._fill(got, lists)
+        return got
+
+    def _fill(self, got: list[list[Any]], lists: list[list[str]]) -> None:
+        """Compute the absent pieces together and put them where they are missing."""
+        new = list(self.known.absent)
+        values = dict(zip(new, self.compute(new), strict=True))
+        for mine, pieces in zip(got, lists, strict=True):
+            at = -1
+            while True:
+                try:
+                    at = mine.index(None, at + 1)
+                except ValueError:
+                    break
+                mine[at] = values[pieces[at]]
+        self.looked, self.missed = self.looked + sum(map(len, lists)), self.missed + len(new)
+        if self.looked > 20 * self.entries:
+            if self.missed > self.looked / 4:
                 self.known = _Known()
-                self.known.batch = dict(zip(need, self.compute(list(need)), strict=True))
             self.looked = self.missed = 0
-        return self.known
+        if len(self.known) + len(new) <= self.entries:
+            self.known.update((k, v) for k, v in values.items() if len(k) <= CHARS)

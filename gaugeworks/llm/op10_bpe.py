@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm.memo import PieceMemo
 from gaugeworks.llm.runtime import bound_batches, strings, table
-from gaugeworks.llm.wordbpe import default_path
+from gaugeworks.llm.wordbpe import chunks_of, default_path
 
 #: Texts encoded together, and pairs kept in the compatibility table before it starts anew.
 CALL, MEMO_PAIRS = 64, 1_000_000
@@ -195,9 +195,7 @@ class BacktrackingBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.memo.over(split)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        return list(map(b"".join, self.memo.values([chunks_of(t) for t in texts])))
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 text of ids: their strings, joined by a space."""

@@ -63,7 +63,10 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 
 def sample(docs: DataFrame, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """A bounded sample that depends on the rows alone: the smallest hashes of doc_id."""
-    return docs.select(F.xxhash64("doc_id").alias("h"), F.substring(text_of(), 1, chars).alias("text")).orderBy("h", "text").limit(n).select("text")
+    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    # n numbers at most: small enough to broadcast at any size.
+    rows = docs.select("doc_id", F.substring(text_of(), 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.orderBy("doc_id", "text").limit(n).select("text")
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:

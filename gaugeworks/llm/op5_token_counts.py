@@ -28,7 +28,8 @@ from gaugeworks.llm.runtime import bound_batches, strings, table
 
 #: The public byte-level BPE pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LIMIT = 1024
+#: Tokens above which a text counts as over the limit, and texts counted together.
+LIMIT, CALL = 1024, 64
 _RUNS = re.compile(r"[ \n][ \n]|\0")
 #: White space other than the four plain ones: such texts are cut nowhere.
 _ODD = re.compile(r"[^\S \t\n\r]")
@@ -138,8 +139,7 @@ class TokenCounter:
                 parts.append([p for b in between for p in self.pieces(b)])
             else:
                 parts.append(self.pieces(text))
-        known = self.memo.over(parts)
-        return [sum(map(known.__getitem__, p)) + e for p, e in zip(parts, extra, strict=True)]
+        return [sum(v) + e for v, e in zip(self.memo.values(parts), extra, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -154,7 +154,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(counter(path).count(texts), pa.int64())], ["doc_id", "n_tokens"])
+            n = [x for at in range(0, len(texts), CALL) for x in counter(path).count(texts[at : at + CALL])]
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     light = docs.select(F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).alias("doc_id"), "text")
     out = light.mapInArrow(run, "doc_id struct<doc_id:long,n_bytes:long>, n_tokens long")

@@ -65,8 +65,7 @@ class WordHasher:
 
     def hashes(self, texts: list[list[str]]) -> list[np.ndarray]:
         """An (n, 2) array of unsigned 64-bit hashes for each list of words."""
-        known = self.memo.over(texts)
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u8").reshape(-1, 2) for ws in texts]
+        return [np.frombuffer(b"".join(v), "<u8").reshape(-1, 2) for v in self.memo.values(texts)]
 
     def rolling(self, hashes: np.ndarray, width: int, lane: int) -> np.ndarray:
         """For each start, one hash of the ``width`` words from there; equal sequences, equal values."""

@@ -27,6 +27,25 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def chunks_of(text: str) -> list[str]:
+    """Space-separated chunks, lower-cased where that is what the library does to each character."""
+    text = text.replace("\n", " ").replace("\t", " ")
+    if "<|" not in text and plain_letters(text):
+        text = text.lower()
+    return text.split(" ")
+
+
+def plain_letters(text: str) -> bool:
+    """Whether all characters are Latin-1, whose composition and lower case have no exceptions."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids; one per Python worker."""
 
@@ -60,9 +79,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.memo.over(split)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        return list(map(b"".join, self.memo.values([chunks_of(t) for t in texts])))
 
 
 @lru_cache(maxsize=2)
