@@ -1,4 +1,4 @@
-"""All registered queries of the library proper."""
+"""All registered queries of the library proper, with their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from gaugeworks.plans import history, tables, texts
+
+_ALL = history.QUERIES | texts.QUERIES | tables.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: build for name, (build, _) in _ALL.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
+FLAGSHIP = history.flagship
