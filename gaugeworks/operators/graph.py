@@ -120,6 +120,6 @@ def cycles(edges: DataFrame) -> DataFrame:
                     state[following] = 1
                     path.append(following)
                     stack.append(iter(after.get(following, ())))
-        return pd.DataFrame({"repo_id": [pdf["repo_id"].iloc[0]] * len(found), "cycle": found})
+        return pd.DataFrame({"repo_id": pd.Series([pdf["repo_id"].iloc[0]] * len(found), dtype=object), "cycle": pd.Series(found, dtype=object)})
 
     return edges.groupBy("repo_id").applyInPandas(walk, "repo_id string, cycle array<string>")
