@@ -78,15 +78,13 @@ _ENDS = np.array(band_ends(1 << 40), np.int64)
 
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the document's parts, for its own band and for the next if a partner may lie there."""
+    """Hashes of the document's parts, for its own band and for those where a larger partner may lie."""
     n = len(shingles)
     if not n:
         return np.zeros(0, np.uint64)
-    own = int(np.searchsorted(_ENDS, n))
+    own, last = (int(np.searchsorted(_ENDS, m)) for m in (n, max(n, n * 100 // percent)))
     out = []
-    for band in (own, own + 1):
-        if band > own and n * 100 // percent <= _ENDS[own]:
-            break
+    for band in range(own, last + 1):
         differ = 2 * int(_ENDS[band]) * (100 - percent) // (100 + percent)
         parts = differ + 2
         part = (shingles >> np.uint64(20)) % np.uint64(parts)
