@@ -187,11 +187,14 @@ def keep_first(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Texts that lose nothing stay as they are, white space included.
     """
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = remove_repeats(docs.withColumnsRenamed({c: f"in_{c}" for c in others}).withColumn("text", F.col("in_text")), window, keep=tuple(f"in_{c}" for c in others))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("in_text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("in_n_chars"))} if "n_chars" in others else {"text": text}
-    return found.select(*[("doc_id" if c == "doc_id" else new.get(c, F.col(f"in_{c}")).alias(c)) for c in docs.columns])
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    found = remove_repeats(whole, window, keep=("row",))
+    lost = F.col("n_removed") > 0
+    new = {c: F.col("row")[c] for c in docs.columns}
+    new["text"] = F.when(lost, F.col("kept_text")).otherwise(new["text"])
+    if "n_chars" in new:
+        new["n_chars"] = F.when(lost, F.length("kept_text").cast("long")).otherwise(new["n_chars"])
+    return found.select(*[v.alias(c) for c, v in new.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
