@@ -6,12 +6,12 @@ import tempfile
 from pathlib import Path
 
 import pytest
+from comparing import SF
 from pyspark.sql import SparkSession
 
 REPO = str(Path(__file__).resolve().parents[1])
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [REPO, os.environ.get("PYTHONPATH")]))
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -34,24 +34,6 @@ def spark():
     session.stop()
 
 
-def plain(value):
-    """A value as both engines can be compared by: floats rounded, NaN and NA as None."""
-    if hasattr(value, "tolist") and not isinstance(value, (str, bytes)):
-        value = value.tolist()
-    if value is None or type(value).__name__ == "NAType" or value != value:
-        return None
-    if isinstance(value, float):
-        return round(value, 6) + 0.0
-    if isinstance(value, (list, tuple)):
-        return tuple(map(plain, value))
-    return value
-
-
-def rows_of(frame):
-    cols = sorted(frame.columns)
-    return sorted((tuple(map(plain, r)) for r in frame[cols].itertuples(index=False)), key=repr)
-
-
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

@@ -1,7 +1,7 @@
 """Every registered query of the library against its SQL twin on the smallest tables."""
 
 import pytest
-from conftest import SF, rows_of
+from comparing import SF, rows_of
 
 from gaugeworks.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
