@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.repeats import build_filter, repeated
-from gaugeworks.llm.runtime import bound_batches, materialise, release, strings, table, text_of
+from gaugeworks.llm.runtime import bound_batches, materialise, release, strings, sweep, table, text_of
 from gaugeworks.llm.shingles import hasher, mix, sliding_min, words_of
 
 WINDOW, GRAM = 50, 8
@@ -103,10 +103,12 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     runs = materialise(rows.mapInArrow(find_runs, "key long, a long, b long, doc_id long, h long, start int, n int"))
     first = materialise(runs.groupBy("key", "a", "b").agg(F.min("doc_id").alias("first")))
     mixed = first.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1").select("key")
+    mixed = materialise(mixed)
     judged = runs.join(first, ["key", "a", "b"])
     whole = judged.where("doc_id > first").select("doc_id", "h", "start", "n")
     open_runs = judged.where("doc_id = first").join(mixed, "key", "left_semi")
     # A document's own runs: bounded by its length.
+    sweep(spark)
     spans = materialise(open_runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +127,13 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     involved = rows.join(spans, ["doc_id", "h"]).select("doc_id", "h", "text", "runs")
     windows = materialise(involved.mapInArrow(expand, "a long, b long, doc_id long, h long, start int"))
+    sweep(spark)
     earliest = materialise(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first")))
     single = windows.join(earliest, ["a", "b"]).where("doc_id > first").select("doc_id", "h", "start", F.lit(1).alias("n"))
     out = materialise(whole.unionByName(single).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("ranges")))
     for done in (runs, first, spans, windows, earliest):
         release(done)
+    sweep(spark)
     return out
 
 

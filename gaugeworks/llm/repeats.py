@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gaugeworks.llm.runtime import strings
+from gaugeworks.llm.runtime import strings, sweep
 from gaugeworks.llm.shingles import mix
 
 #: Counters of a sketch row at most, counters of a slice, keys counted before a partition sends its sketch.
@@ -99,6 +99,7 @@ def build_filter(texts: DataFrame, keys_of: Callable[[list[str]], Iterator[np.nd
     for row, part, packed in final.collect():  # size / 4 bytes in all, whatever the corpus
         begin = part * width // 8
         out[row][begin : begin + width // 8] = np.frombuffer(packed, np.uint8)
+    sweep(texts.sparkSession)
     return size, out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -80,6 +81,17 @@ def release(df: DataFrame | None) -> None:
         drop(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are done.
+
+    The cleaner acts when the driver collects its garbage, which a quiet driver
+    hardly does; operators of many steps call this so that the disk holds the
+    shuffles of one step rather than of all.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, through Spark's reader (any Hadoop path works)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
