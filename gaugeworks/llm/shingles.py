@@ -23,10 +23,8 @@ def words_of(text: str) -> list[str]:
 
 def lower_ascii(text: str) -> str:
     """A-Z lower-cased, all else as it is."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+    # On bytes, lower() touches A-Z alone.
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
