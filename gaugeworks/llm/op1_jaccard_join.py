@@ -41,13 +41,15 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import components
 from gaugeworks.llm.repeats import build_filter, repeated
-from gaugeworks.llm.runtime import bound_batches, materialise, release, strings, table, text_of
+from gaugeworks.llm.runtime import bound_batches, materialise, release, strings, sweep, table, text_of
 from gaugeworks.llm.shingles import hasher, lower_ascii, mix, words_of
 
 WORDS, PERCENT = 3, 90
 GROUPS = 64
 #: Ratio of a size band's ends; documents of a block that a task holds at once; points of a leaf.
 BAND, TILE, LEAF = 1.5, 512, 16
+#: Rows of tiles that share a Python group.
+GROUP_ROWS = 4000
 CALL = 64
 _NULL_ID = -(1 << 63)
 
@@ -57,8 +59,7 @@ def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
     if not len(hashes):
         return np.zeros(0, np.uint64)
     width = min(words, len(hashes))
-    rolled = hasher().rolling(hashes, width, 0) ^ (hasher().rolling(hashes, width, 1) << np.uint64(1))
-    return np.unique(mix(rolled + np.uint64(width)))
+    return np.unique(mix(hasher().rolling(hashes, width, 0) + np.uint64(width)))
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -87,8 +88,9 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     for band in range(own, last + 1):
         differ = 2 * int(_ENDS[band]) * (100 - percent) // (100 + percent)
         parts = differ + 2
-        part = (shingles >> np.uint64(20)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
+        part = ((shingles >> np.uint64(20)) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)
+        # Sixteen bits sort by counting.
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
         sorted_part = part[order]
         begin = np.r_[0, np.flatnonzero(np.diff(sorted_part)) + 1]
         content = np.add.reduceat(mix(shingles[order] ^ np.uint64(0xA0761D6478BD642F)), begin)
@@ -114,8 +116,11 @@ class RTree:
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
-        spread = np.argsort(-points.var(0), kind="stable")[:2]
-        order = np.lexsort((points[:, spread[1]], points[:, spread[0]], sizes))
+        if len(points) > LEAF:
+            spread = np.argsort(-points.var(0), kind="stable")[:2]
+            order = np.lexsort((points[:, spread[1]], points[:, spread[0]], sizes))
+        else:
+            order = np.arange(len(points))
         self.order, self.points, self.sizes, self.percent = order, points[order], sizes[order].astype(np.int64), percent
         begin = np.arange(0, len(order), LEAF)
         self.begin = np.r_[begin, len(order)]
@@ -138,17 +143,18 @@ def _number() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of documents that link: the count-vector bound first, then the sets themselves."""
-    light = sets.select("id", "n", "vec")
+def _within_bound(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) whose count vectors (``light``: id, n, vec) allow a link."""
     x, y = light.toDF("x", "nx", "vx"), light.toDF("y", "ny", "vy")
     bound = F.aggregate(F.zip_with("vx", "vy", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
-    within = pairs.join(x, "x").join(y, "y").where((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
-    within = materialise(within)
-    full = sets.select("id", "n", "shingles")
-    a, b = full.toDF("x", "nx", "sx"), full.toDF("y", "ny", "sy")
+    return pairs.join(x, "x").join(y, "y").where((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) whose sets (``sets``: id, n, shingles) link."""
+    a, b = sets.toDF("x", "nx", "sx"), sets.toDF("y", "ny", "sy")
     both = F.size(F.array_intersect("sx", "sy")).cast("long")
-    return within.join(a, "x").join(b, "y").where((100 + percent) * both >= percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
+    return pairs.join(a, "x").join(b, "y").where((100 + percent) * both >= percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -170,17 +176,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         size, filters = sent.value
         for batch in batches:
             texts = strings(batch.column(1))
-            n, a, b, blocks = [], [], [], []
+            n, a, b, vec, blocks = [], [], [], [], []
             for at in range(0, len(texts), CALL):
                 for s in shingle_sets(texts[at : at + CALL], words):
                     n.append(len(s))
                     a.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                     b.append(int(mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                    vec.append(count_vector(s))
                     keys = signatures(s, percent)
                     blocks.append(keys[repeated(keys, size, filters)].view(np.int64) if len(keys) else [])
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "blocks"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vec, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "vec", "blocks"])
 
-    base = materialise(rows.mapInArrow(describe, "doc_id long, n long, a long, b long, blocks array<long>"))
+    base = materialise(rows.mapInArrow(describe, "doc_id long, n long, a long, b long, vec array<int>, blocks array<long>"))
+    light = base.where("n > 0").select(F.col("doc_id").alias("id"), "n", "vec")
     equal = materialise(base.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id")))
     nodes = base.join(equal.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     blocks = materialise(nodes.select(F.explode("blocks").alias("block"), F.col("doc_id").alias("id")).distinct())
@@ -192,14 +200,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             texts = strings(batch.column(1))
             for at in range(0, len(texts), CALL):
                 got = shingle_sets(texts[at : at + CALL], words)
-                yield pa.record_batch([batch.column(0).slice(at, len(got)), pa.array([len(s) for s in got], pa.int64()), pa.array([count_vector(s) for s in got], pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "n", "vec", "shingles"])
+                yield pa.record_batch([batch.column(0).slice(at, len(got)), pa.array([len(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "n", "shingles"])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of the documents that still have a partner to be verified with."""
+        texts = rows.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
+        out = materialise(texts.mapInArrow(gather, "id long, n long, shingles array<long>"))
+        sweep(spark)
+        return out
 
-    wanted = members.select("id").distinct()
-    texts = rows.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-    sets = materialise(texts.mapInArrow(gather, "id long, n long, vec array<int>, shingles array<long>"))
+    def ends(found: DataFrame) -> DataFrame:
+        return found.select(F.col("x").alias("id")).union(found.select(F.col("y").alias("id"))).distinct()
 
     pairs = materialise(members.where("id != pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct())
-    links = materialise(_verified(pairs, sets, percent))
+    near = materialise(_within_bound(pairs, light, percent))
+    sets = sets_of(ends(near))
+    links = materialise(_verified(near, sets, percent))
+    sweep(spark)
     settled = materialise(components(links.toDF("u", "v")))
     label = F.coalesce("label", "id").alias("label")
     named = members.join(settled.withColumnRenamed("node", "id"), "id", "left").select("block", "id", "pivot", "held", label)
@@ -207,18 +224,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     named = materialise(named.join(of_pivot, "pivot", "left").select("block", "id", "held", "label", F.coalesce("pivot_label", "pivot").alias("pivot_label")))
     open_count = named.where("label != pivot_label").groupBy("block").agg(F.count("*").alias("open"))
     open_blocks = materialise(open_count)
-    more = links
     if open_blocks.head(1):
-        found = materialise(_within_blocks(named.join(open_blocks, "block"), sets, percent))
-        more = materialise(links.unionByName(_verified(found, sets, percent)))
-        settled = materialise(components(more.toDF("u", "v")))
+        found = materialise(_within_blocks(named.join(open_blocks, "block"), light, percent))
+        more = sets_of(ends(found).join(sets.select("id"), "id", "left_anti"))
+        every = materialise(links.unionByName(_verified(found, sets.unionByName(more), percent)))
+        release(more)
+        sweep(spark)
+        settled = materialise(components(every.toDF("u", "v")))
     final = settled.toDF("id", "label")
     of_set = equal.join(final, "id", "left").select("n", "a", "b", F.coalesce("label", "id").alias("component"))
     # Rows that repeat a doc_id are one node, so a set's component is that of its smallest doc_id's node.
     of_set = materialise(of_set)
     out = base.select("doc_id", "n", "a", "b").join(of_set, ["n", "a", "b"], "left")
-    for done in (blocks, pivots, pairs, members, named):
+    for done in (blocks, pivots, pairs, members, named, sets):
         release(done)
+    sweep(spark)
 
     def back(c: str) -> Column:
         return F.when(F.col(c) != _NULL_ID, F.col(c))
@@ -227,14 +247,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.withColumn("component", component).select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
 
 
-def _within_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _within_blocks(rows: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (x, y) between a block's unsettled documents and all of the block, through R-trees.
 
     A block is cut into tiles by a hash of the document: unsettled documents go
     to every tile of the whole block, and members to every tile of the
     unsettled ones, so a task holds two tiles at most.
     """
-    light = sets.select("id", "n", "vec")
     rows = rows.join(light, "id")
     tile = lambda count: F.ceil(F.col(count) / TILE).cast("int")
     spot = lambda count: F.pmod(F.xxhash64("id"), tile(count)).cast("int")
@@ -244,21 +263,29 @@ def _within_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = rows.select(*cols, every("open").alias("s"), spot("held").alias("t"), F.lit(False).alias("asks"))
 
     def join(group: pa.Table) -> pa.Table:
-        asks = np.array(group.column("asks").to_pylist())
-        ids, labels, sizes = (group.column(c).to_numpy() for c in ("id", "label", "n"))
-        points = np.array(group.column("vec").to_pylist(), np.int32)
-        inside = np.flatnonzero(~asks)
+        asks, block, s, t, ids, labels, sizes = (group.column(c).to_numpy() for c in ("asks", "block", "s", "t", "id", "label", "n"))
+        points = group.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+        order = np.lexsort((asks, t, s, block))
+        change = (np.diff(block[order]) != 0) | (np.diff(s[order]) != 0) | (np.diff(t[order]) != 0)
         x, y = [], []
-        if len(inside) and asks.any():
+        for tile_rows in np.split(order, np.flatnonzero(change) + 1):
+            inside, asking = tile_rows[~asks[tile_rows]], tile_rows[asks[tile_rows]]
+            if not len(inside) or not len(asking):
+                continue
             tree = RTree(points[inside], sizes[inside], percent)
-            for q in np.flatnonzero(asks):
+            for q in asking:
                 hit = inside[tree.query(points[q], int(sizes[q]))]
                 hit = hit[labels[hit] != labels[q]]
                 x.append(np.maximum(ids[hit], ids[q]))
                 y.append(np.minimum(ids[hit], ids[q]))
-        return pa.table({"x": pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)), "y": pa.array(np.concatenate(y) if y else np.zeros(0, np.int64))})
-
-    return ask.unionByName(held).groupBy("block", "s", "t").applyInArrow(join, "x long, y long").distinct()
+        pairs = np.unique(np.stack([np.concatenate(x), np.concatenate(y)], 1), axis=0) if x else np.zeros((0, 2), np.int64)
+        return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
+
+    # Tiles are small as a rule: many share a group, so that a group is worth its start.
+    both = materialise(ask.unionByName(held))
+    groups = 1 + both.count() // GROUP_ROWS
+    found = both.withColumn("g", F.pmod(F.xxhash64("block", "s", "t"), F.lit(groups))).groupBy("g").applyInArrow(join, "x long, y long")
+    return found.distinct()
 
 
 def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
