@@ -56,10 +56,11 @@ def duplication_rate(windows: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def clone_pairs(windows: DataFrame, top: int = 5) -> DataFrame:
-    """The longest clone pairs of each repository: each window with the next one of its hash that does not overlap it.
+    """The longest pairs of neighbouring windows of each repository: each window with the next one of its hash, unless they overlap.
 
     Only neighbours in (file, start) order are paired, so a window that occurs n
-    times gives n - 1 pairs rather than their square.
+    times gives n - 1 pairs rather than their square; a window whose neighbour
+    overlaps it stays unpaired. ``line_clones`` pairs all copies, at any length.
     """
     order = Window.partitionBy("repo_id", "hash").orderBy("file", "start")
     fields = [F.lead(c).over(order).alias(f"{c}_b") for c in ("file", "start", "end")]
@@ -68,3 +69,59 @@ def clone_pairs(windows: DataFrame, top: int = 5) -> DataFrame:
     best = Window.partitionBy("repo_id").orderBy(F.desc("line_count"), "file_a", "start_a", "file_b", "start_b")
     sized = apart.withColumn("line_count", F.col("end_a") - F.col("start_a") + 1)
     return sized.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).drop("hash")
+
+
+def _kept(frame: DataFrame) -> DataFrame:
+    """The frame, computed once: in the folder of ``spark.checkpoint.dir``, where a session has one."""
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.localCheckpoint()
+
+
+def line_clones(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -> DataFrame:
+    """The longest maximal clones of each repository's ``texts`` (repo_id, file, text) by lines, at any length.
+
+    A clone is a run of equal lines at one distance in two files, or apart in one
+    file, that no line before or after prolongs; in one file it ends where its copy
+    begins. Windows of ``least`` lines are doubled as long as any is duplicated, and
+    pairs are formed only among windows of the greatest length that gives ``top``
+    clones: shorter ones cannot be among the longest. Of files with the same text,
+    those after the first ``top`` + 2 always lose the tie of their equals and are left out.
+    """
+    copies = Window.partitionBy("repo_id", "key").orderBy("file")
+    kept = texts.select("repo_id", "file", F.md5("text").alias("key")).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= top + 2)
+    lines = texts.select("repo_id", "file", F.posexplode(F.split("text", "\n")).alias("pos", "value")).select("repo_id", "file", (F.col("pos") + 1).alias("start"), F.md5("value").alias("line"))
+    lines = lines.join(kept, ["repo_id", "file"], "left_semi")
+    order = Window.partitionBy("repo_id", "file").orderBy("start")
+    name = F.md5(F.concat(*[F.lead("line", k).over(order) if k else F.col("line") for k in range(least)]))
+    windows = lines.select("repo_id", "file", name.alias("hash"), "start", (F.col("start") + least - 1).alias("end")).where("hash is not null")
+    levels = [(least, _kept(duplicated_windows(windows)))]
+    while not levels[-1][1].isEmpty():
+        size, half = levels[-1]
+        second = half.select("repo_id", "file", (F.col("start") - size).alias("start"), F.col("hash").alias("next"), F.col("end").alias("last"))
+        twice = half.join(second, ["repo_id", "file", "start"]).select("repo_id", "file", F.md5(F.concat("hash", "next")).alias("hash"), "start", F.col("last").alias("end"))
+        levels.append((2 * size, _kept(duplicated_windows(twice))))
+    out, settled = None, None
+    for size, level in reversed(levels):
+        some = level if settled is None else level.join(settled, "repo_id", "left_anti")
+        if size > least and some.isEmpty():
+            continue
+        best = _kept(_diagonals(some, size, top))
+        full = best.where(F.col("rank") == top).select("repo_id")
+        part = best if size == least else best.join(full, "repo_id", "left_semi")
+        out = part if out is None else out.unionByName(part)
+        settled = full if settled is None else settled.union(full)
+    return out
+
+
+def _diagonals(windows: DataFrame, size: int, top: int) -> DataFrame:
+    """The ``top`` longest clones of ``size`` lines or more: pairs of equal windows, joined where they follow one another."""
+    a, b = (windows.select("repo_id", "hash", F.col("file").alias(f"file_{x}"), F.col("start").alias(f"start_{x}")) for x in "ab")
+    apart = (F.col("file_a") < F.col("file_b")) | ((F.col("file_a") == F.col("file_b")) & (F.col("start_b") - F.col("start_a") >= size - 1))
+    pairs = a.join(b, ["repo_id", "hash"]).where(apart).withColumn("shift", F.col("start_b") - F.col("start_a"))
+    diagonal = ["repo_id", "file_a", "file_b", "shift"]
+    island = F.col("start_a") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("start_a"))
+    runs = pairs.withColumn("island", island).groupBy(*diagonal, "island").agg(F.min("start_a").alias("start_a"), (F.count("*") + size - 1).alias("n"))
+    count = F.when(F.col("file_a") == F.col("file_b"), F.least("n", F.col("shift") + 1)).otherwise(F.col("n")).cast("int")
+    sized = runs.withColumn("line_count", count).withColumn("start_b", F.col("start_a") + F.col("shift"))
+    best = Window.partitionBy("repo_id").orderBy(F.desc("line_count"), "file_a", "start_a", "file_b", "start_b")
+    ends = [(F.col(f"start_{x}") + F.col("line_count") - 1).alias(f"end_{x}") for x in "ab"]
+    return sized.select("repo_id", "file_a", "start_a", ends[0], "file_b", "start_b", ends[1], "line_count", F.row_number().over(best).alias("rank")).where(F.col("rank") <= top)

@@ -39,6 +39,10 @@ def longest_clones(spark: SparkSession, sf: str) -> DataFrame:
     return clones.clone_pairs(clones.statement_windows(_statements(spark, sf), lines=3, most=5))
 
 
+def maximal_clones(spark: SparkSession, sf: str) -> DataFrame:
+    return clones.line_clones(table(spark, sf, "documents").select(F.col("lang").alias("repo_id"), F.col("doc_id").alias("file"), "text"))
+
+
 def page_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Counts with subtotals of page kinds by host family: the first rule that applies wins."""
     url = F.col("url")
@@ -143,6 +147,14 @@ w AS (SELECT repo_id, file, s, s + 2 AS e, h0 || '|' || h1 || '|' || h2 AS h FRO
 p AS (SELECT repo_id, file AS file_a, s AS start_a, e AS end_a, lead(file) OVER q AS file_b, lead(s) OVER q AS start_b, lead(e) OVER q AS end_b FROM w WINDOW q AS (PARTITION BY repo_id, h ORDER BY file, s)),
 r AS (SELECT *, end_a - start_a + 1 AS line_count FROM p WHERE file_b IS NOT NULL AND (file_a <> file_b OR start_b >= end_a))
 SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY line_count DESC, file_a, start_a, file_b, start_b) AS rank FROM r QUALIFY rank <= 5"""),
+    "top4_maximal_clones": (maximal_clones, f"""
+WITH {_WINDOWS_SQL},
+k AS (SELECT * FROM w WHERE h IS NOT NULL),
+p AS (SELECT a.repo_id, a.file AS file_a, b.file AS file_b, a.s, b.s - a.s AS shift FROM k a JOIN k b ON a.repo_id = b.repo_id AND a.h = b.h AND (a.file < b.file OR (a.file = b.file AND b.s >= a.e))),
+i AS (SELECT *, s - row_number() OVER (PARTITION BY repo_id, file_a, file_b, shift ORDER BY s) AS island FROM p),
+r AS (SELECT repo_id, file_a, file_b, shift, min(s) AS start_a, CASE WHEN file_a = file_b THEN least(count(*) + 2, shift + 1) ELSE count(*) + 2 END AS n FROM i GROUP BY repo_id, file_a, file_b, shift, island),
+c AS (SELECT repo_id, file_a, start_a, start_a + n - 1 AS end_a, file_b, start_a + shift AS start_b, start_a + shift + n - 1 AS end_b, n AS line_count FROM r)
+SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY line_count DESC, file_a, start_a, file_b, start_b) AS rank FROM c QUALIFY rank <= 5"""),
     "flt1_page_classes": (page_classes, """
 WITH r AS (SELECT split_part(regexp_extract(url, '^[a-z]+://([^/]*)', 1), '.', -1) AS zone,
 CASE WHEN contains(url, 'utm_') THEN 'tracked' WHEN contains(url, '?') THEN 'query' WHEN ends_with(url, '.html') THEN 'file' WHEN ends_with(url, '/') THEN 'folder' ELSE 'plain' END AS kind FROM pages)

@@ -88,6 +88,19 @@ def test_overlapping_windows_are_no_clones(spark):
     assert windows.count() == 2 and clones.duplicated_windows(windows).count() == 0
 
 
+def test_line_clones_are_whole(spark):
+    long, run = [f"l{i}" for i in range(40)], ["same"] * 9
+    files = [("r", 1, ["a", *long, "b"]), ("r", 2, ["l3", "l4", "l5"]), ("r", 3, ["c", "d", *long, "e"]), ("q", 4, ["x", *run, "y"])]
+    files += [("s", i, ["u", "v", "w", "z"]) for i in range(20)] + [("t", 30, ["one"]), ("t", 31, None)]
+    texts = spark.createDataFrame([(r, f, "\n".join(t) if t else None) for r, f, t in files], "repo_id string, file long, text string")
+    got = {}
+    for c in clones.line_clones(texts).orderBy("repo_id", "rank").collect():
+        got.setdefault(c["repo_id"], []).append((c["file_a"], c["start_a"], c["end_a"], c["file_b"], c["start_b"], c["end_b"], c["line_count"]))
+    assert got["r"] == [(1, 2, 41, 3, 3, 42, 40), (1, 5, 7, 2, 1, 3, 3), (2, 1, 3, 3, 6, 8, 3)]
+    assert got["q"] == [(4, 2, 6, 4, 6, 10, 5), (4, 2, 5, 4, 5, 8, 4), (4, 2, 5, 4, 7, 10, 4), (4, 2, 4, 4, 4, 6, 3), (4, 2, 4, 4, 8, 10, 3)]
+    assert got["s"] == [(0, 1, 4, i, 1, 4, 4) for i in range(1, 6)] and "t" not in got
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "c", "d"), ("q", "x", "y")], "repo_id string, src string, dst string")
     assert [r["cycle"] for r in graph.cycles(edges).collect()] == [["a", "b", "c", "a"]]
