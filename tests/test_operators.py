@@ -101,6 +101,14 @@ def test_line_clones_are_whole(spark):
     assert got["s"] == [(0, 1, 4, i, 1, 4, 4) for i in range(1, 6)] and "t" not in got
 
 
+def test_copies_beyond_an_overlapping_neighbour_are_paired(spark):
+    texts = spark.createDataFrame([("r", 1, "\n".join(["same"] * 6)), ("q", 1, "a\nb\nc"), ("q", 2, "a\nb\nc"), ("q", 3, "a\nb\nc")], "repo_id string, file long, text string")
+    got = {(c["repo_id"], c["file_a"], c["start_a"], c["file_b"], c["start_b"], c["line_count"]) for c in clones.line_clones(texts).collect()}
+    assert got == {("r", 1, 1, 1, 3, 3), ("r", 1, 1, 1, 4, 3), ("q", 1, 1, 2, 1, 3), ("q", 1, 1, 3, 1, 3), ("q", 2, 1, 3, 1, 3)}
+    statements = spark.createDataFrame([("r", 1, 0, i, "same", i + 1, i + 1) for i in range(6)], "repo_id string, file long, block int, pos int, hash string, start int, end int")
+    assert clones.clone_pairs(clones.statement_windows(statements, lines=3, most=3)).count() == 0
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "c", "d"), ("q", "x", "y")], "repo_id string, src string, dst string")
     assert [r["cycle"] for r in graph.cycles(edges).collect()] == [["a", "b", "c", "a"]]
