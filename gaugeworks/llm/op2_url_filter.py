@@ -6,8 +6,9 @@ that fit, the longest wins (host and path together).
 
 A url without a rule of its own takes the decision of its equivalence class.
 Classes are the connected components over redirect edges (``meta`` refresh) and
-canonical links of the pages, and urls that differ only in scheme, in the case
-of their host, or in their fragment are one address. A class with an explicitly
+canonical links of the pages, all of a page's, and urls that differ only in
+scheme, in the case of their host, in dot segments of their path, or in their
+fragment are one address. A class with an explicitly
 allowed address allows its unjudged members, whatever else it holds; else a
 class with a blocked address blocks them; else they are allowed. An address's
 own rule always stands.
@@ -74,10 +75,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def folded(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments; one above the root stays at the root."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    step = lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.array_append(acc, p))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), none, step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def address_of(url: Column) -> Column:
-    """What equivalent urls share: host, path and query, without scheme and fragment; null without ``://``."""
+    """What equivalent urls share: host, folded path and query, without scheme and fragment; null without ``://``."""
     query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path_of(url), query))
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), folded(path_of(url)), query))
 
 
 def winner(host: Column, path: Column, given: list[Rule]) -> tuple[Column, Column]:
@@ -97,20 +108,37 @@ def absolute(link: Column, url: Column) -> Column:
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), link))
         .when(link.startswith("/"), F.concat(base, link))
+        .when(link.startswith("#"), url)
+        .when(link.startswith("?"), F.concat(base, path_of(url), link))
         .when(F.length(link) > 0, F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), link))
     )
 
 
+def decoded(link: Column) -> Column:
+    """An attribute's text with its character references read, each once; unknown ones stay."""
+
+    def read(piece: Column) -> Column:
+        by_ten, by_sixteen = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1), F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
+        number = F.when(by_ten != "", by_ten).when(by_sixteen != "", F.conv(by_sixteen, 16, 10)).cast("int")
+        out = F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            out = out.when(F.lower(piece) == f"&{name};", F.lit(char))
+        return out.otherwise(piece)
+
+    pieces = F.regexp_extract_all(link, F.lit(r"(?s)(&#?[0-9A-Za-z]+;|[^&]+|&)"), 1)
+    return F.when(link.contains("&"), F.array_join(F.transform(pieces, read), "")).otherwise(link)
+
+
 CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*'?([^\"'\s>]+)"
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(u, v): addresses that a canonical link or a refresh makes equivalent."""
-    found = F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))
+    found = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))
     html = F.lower(F.col("html"))
     likely = html.contains("canonical") | html.contains("http-equiv")
-    links = pages.where(likely).select("url", F.explode(F.filter(found, lambda x: x != "")).alias("link"))
+    links = pages.where(likely).select("url", F.explode(found).alias("link")).withColumn("link", decoded(F.col("link")))
     edges = links.select(address_of(F.col("url")).alias("u"), address_of(absolute(F.col("link"), F.col("url"))).alias("v"))
     return edges.where("u is not null and v is not null and u != v").distinct()
 
@@ -124,7 +152,7 @@ def filter_urls(pages: DataFrame, given: list[Rule]) -> DataFrame:
     judged = judged.withColumn("rule", name).withColumn("action", action)
     edges = materialise(alias_edges(pages.select("url", "html")))
     if not edges.head(1):
-        # Addresses alone: those that are equal have equal hosts and paths, and so equal rules.
+        # Addresses alone: each row stands by its own host and path.
         return judged.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))
     label = materialise(components(edges))
     # An address starts with its host; put a scheme before it to read its parts again.

@@ -69,6 +69,27 @@ def test_url_sql_follows_aliases(spark):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, (tuple(r) for r in want)))
 
 
+def test_url_links_are_resolved(spark):
+    link, refresh = '<link rel="canonical" href="{}">'.format, '<meta http-equiv="refresh" content="0;url={}">'.format
+    pages = [
+        (1, "http://x.com/a/b/p", link("../../de/1")),
+        (2, "http://x.com/a/q", link("./../../de/./2")),
+        (3, "http://y.net/f.html", link("?q=1")),
+        (4, "http://y.net/f.html?q=1", link("http://x.com/de/3")),
+        (5, "http://y.net/g", link("http://y.net/h?a=1&amp;b=&#x32;&#50;&amp;lt;&no;")),
+        (6, "http://y.net/h?a=1&b=22&lt;&no;", link("http://x.com/de/4")),
+        (7, "http://y.net/k", link("http://y.net/other") + link("http://x.com/de/5")),
+        (8, "http://y.net/l", refresh("/other2") + refresh("http://x.com/de/6")),
+        (9, "http://y.net/d/", link("http://x.com/de/7")),
+        (10, "http://y.net/d/m", link("#top")),
+        (11, "http://y.net/c/../n", link("http://x.com/de/8")),
+        (12, "http://y.net/n", ""),
+        (13, "http://y.net/o", link("http://x.com/de/..")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in op2_url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), op2_url_filter.RULES).collect()}
+    assert got == {k: "allow" if k in (10, 13) else "block" for k in range(1, 14)}
+
+
 def test_rules_are_checked():
     with pytest.raises(ValueError):
         op2_url_filter.rules("deny x/")
