@@ -11,7 +11,7 @@ SCHEMA = "repo_id string, metric string, value double, available boolean"
 
 
 def scores(spark, breakpoints, values):
-    rows = spark.createDataFrame([(v, list(breakpoints)) for v in values], "v double, b array<struct<value:double,score:double>>")
+    rows = spark.createDataFrame([(float(v), list(breakpoints)) for v in values], "v double, b array<struct<value:double,score:double>>")
     return [r[0] for r in rows.select(interpolate(F.col("v"), F.col("b"))).collect()]
 
 
