@@ -3,36 +3,46 @@
 A document is the set of its distinct word shingles (64-bit hashes). Two
 documents link when 100 * |A n B| >= percent * |A u B|.
 
-Points. Shingles are hashed into ``GROUPS`` groups; a document's group counts are
-its point. The sum of coordinate minima of two points bounds the overlap of the
-two sets from above, and the same sum over the corners of a box bounds that of
-a point with every point in the box, so an R-tree over points finds all partners
-that the bound allows. Pairs within the bound are verified on the sets.
+Points. Shingles are hashed into groups, about ``FILL`` to a group, so that long
+documents have longer vectors; a document's group counts are its point, and the
+points of a tree are folded to the fewest groups among them. The sum of
+coordinate minima of two points bounds the overlap of the two sets from above,
+and the same sum over the corner of a box bounds that of a point with every
+point in the box. So an R-tree gives all partners that the bound allows, best
+first, and these are verified on the sets.
 
 Distribution. Linked sets differ in few shingles: at most D, by their sizes.
-Sets are dealt by size into bands, and in a band into D + 2 parts by shingle
-hash; two linked sets agree in at least two parts, one of them not empty. So
-documents that share a part's contents (a block) are compared and no link is
-lost. Only parts seen in two documents or more leave their task (a count-min
-sketch tells, never below the true count).
-
-Within a block, everyone is first compared with the block's smallest document,
-which settles groups of copies by one comparison each. Where a block still
-holds several components, its unsettled documents meet all of the block in
-tiles of bounded size, each joined through an R-tree; pairs already in one
-component are passed over. The links' connected components follow. Documents
-with equal sets are one node from the start.
+Sets are dealt by size into bands, and in a band into D + 2 + E parts by shingle
+hash; two linked sets agree in at least 2 + E parts. E is chosen so that hardly
+a document has 2 + E empty parts; those that have deal their empty parts too,
+all others only parts that hold something. So linked documents share a part's
+contents (a block). Only parts seen in two documents or more leave their task
+(a count-min sketch tells, never below the true count). A block belongs to its
+smallest document, and all documents that share a block of one owner are that
+owner's group: a document is in a group once, however many parts it shares.
+
+A group is cut into tiles of bounded size, each with the owner in it. A first
+pass queries the R-tree of each tile and keeps the documents that have a
+candidate; only their sets travel, once a tile. The second pass asks the tree
+again, verifies candidates best first and passes over those that verified links
+already join, so a group of k copies takes about k comparisons, not k squared.
+Members of many-tiled groups that this leaves apart from their owner meet the
+group's other tiles in the same way. The links' connected components follow.
+Documents with equal sets are one node from the start.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and link with nothing; fewer words than a shingle make one shingle of
-the whole; rows that repeat a doc_id are one document of the graph, each with
-its own count; a null doc_id counts as smaller than any and comes back as null;
-other columns are ignored; an empty table gives an empty table.
+the whole; very long texts have long vectors and tiles of their own; each row is
+a document of its own, also where a doc_id repeats; a null doc_id counts as
+smaller than any and comes back as null; ties do not matter, since links have no
+order; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +51,16 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import components
 from gaugeworks.llm.repeats import build_filter, repeated
-from gaugeworks.llm.runtime import bound_batches, materialise, release, strings, sweep, table, text_of
+from gaugeworks.llm.runtime import bound_batches, materialise, release, strings, sweep, table, text_of, without_rows
 from gaugeworks.llm.shingles import hasher, lower_ascii, mix, words_of
 
 WORDS, PERCENT = 3, 90
-GROUPS = 64
-#: Ratio of a size band's ends; documents of a block that a task holds at once; points of a leaf.
-BAND, TILE, LEAF = 1.5, 512, 16
-#: Rows of tiles that share a Python group.
-GROUP_ROWS = 4000
+#: Shingles of a group at most, on average, and bounds of the number of groups (as powers of two).
+FILL, LEAST_BITS, MOST_BITS = 4, 4, 20
+#: Ratio of a size band's ends; documents and shingles of a tile; points of a leaf.
+BAND, TILE, TILE_SHINGLES, LEAF = 1.5, 512, 1 << 19, 16
+#: Rows and shingles of the tiles that share a Python group.
+GROUP_ROWS, GROUP_SHINGLES = 4000, 1 << 21
 CALL = 64
 _NULL_ID = -(1 << 63)
 
@@ -78,6 +89,18 @@ def band_ends(largest: int) -> list[int]:
 _ENDS = np.array(band_ends(1 << 40), np.int64)
 
 
+@cache
+def parts_of(band: int, percent: int) -> tuple[int, int]:
+    """A band's number of parts, and how many of them two linked sets agree in at least."""
+    end, least = int(_ENDS[band]), int(_ENDS[band - 1]) + 1 if band else 1
+    differ = 2 * end * (100 - percent) // (100 + percent)
+    extra = 0
+    for _ in range(4):  # empty parts of the band's smallest sets: mean and four deviations
+        mean = (differ + 2 + extra) * math.exp(-least / (differ + 2 + extra))
+        extra = min(int(mean + 4 * math.sqrt(mean)), differ)
+    return differ + 2 + extra, 2 + extra
+
+
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the document's parts, for its own band and for those where a larger partner may lie."""
     n = len(shingles)
@@ -86,8 +109,7 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     own, last = (int(np.searchsorted(_ENDS, m)) for m in (n, max(n, n * 100 // percent)))
     out = []
     for band in range(own, last + 1):
-        differ = 2 * int(_ENDS[band]) * (100 - percent) // (100 + percent)
-        parts = differ + 2
+        parts, agree = parts_of(band, percent)
         part = ((shingles >> np.uint64(20)) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)
         # Sixteen bits sort by counting.
         order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
@@ -95,7 +117,7 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         begin = np.r_[0, np.flatnonzero(np.diff(sorted_part)) + 1]
         content = np.add.reduceat(mix(shingles[order] ^ np.uint64(0xA0761D6478BD642F)), begin)
         present = sorted_part[begin]
-        if parts - len(present) > 1:
+        if parts - len(present) >= agree:
             absent = np.setdiff1d(np.arange(parts, dtype=np.uint64), present)
             present, content = np.r_[present, absent], np.r_[content, np.zeros(len(absent), np.uint64)]
         out.append(mix(content + mix(present + (np.uint64(band) << np.uint64(40)))))
@@ -103,8 +125,19 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall in each group."""
-    return np.bincount((shingles >> np.uint64(50)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+    """How many shingles fall in each group, a byte each; empty (no bound) should a count not fit."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (max(1, len(shingles)) // FILL).bit_length()))
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8) if counts.max() < 256 else np.zeros(0, np.uint8)
+
+
+def folded(vectors: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Count vectors as points of one length: that of the shortest. No vector: a point that bounds nothing."""
+    width = min((len(v) for v in vectors if len(v)), default=1)
+    out = np.empty((len(vectors), width), np.int32)
+    for k, v in enumerate(vectors):
+        out[k] = v.reshape(width, -1).sum(1, dtype=np.int32) if len(v) else sizes[k]
+    return out
 
 
 class RTree:
@@ -118,7 +151,7 @@ class RTree:
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
         if len(points) > LEAF:
             spread = np.argsort(-points.var(0), kind="stable")[:2]
-            order = np.lexsort((points[:, spread[1]], points[:, spread[0]], sizes))
+            order = np.lexsort((points[:, spread[-1]], points[:, spread[0]], sizes))
         else:
             order = np.arange(len(points))
         self.order, self.points, self.sizes, self.percent = order, points[order], sizes[order].astype(np.int64), percent
@@ -128,40 +161,129 @@ class RTree:
         self.least = np.minimum.reduceat(self.sizes, begin)
 
     def query(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Indices of all points whose bound with this one allows a link."""
+        """Indices of all points whose bound with this one allows a link, the largest share first."""
         p = self.percent
         fits = (100 + p) * np.minimum(self.top, point).sum(1, dtype=np.int64) >= p * (self.least + size)
         leaves = np.flatnonzero(fits)
         if not len(leaves):
             return leaves
-        at = np.concatenate([np.arange(self.begin[k], self.begin[k + 1]) for k in leaves])
-        good = (100 + p) * np.minimum(self.points[at], point).sum(1, dtype=np.int64) >= p * (self.sizes[at] + size)
-        return self.order[at[good]]
+        at = np.concatenate([np.arange(self.begin[k], self.begin[k + 1]) for k in leaves]) if len(leaves) < len(fits) else np.arange(len(self.order))
+        bound = np.minimum(self.points[at], point).sum(1, dtype=np.int64)
+        good = np.flatnonzero((100 + p) * bound >= p * (self.sizes[at] + size))
+        share = bound[good] / (self.sizes[at[good]] + size)
+        return self.order[at[good[np.argsort(-share, kind="stable")]]]
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return (100 + percent) * int((b[at] == a).sum()) >= percent * (len(a) + len(b))
+
+
+def tile_links(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (as indices) that join all that a tile's links join and its labels do not.
+
+    Where no row asks, all are compared with all; otherwise those that ask with the others.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    points = folded([count_vector(s) for s in sets], sizes)
+    held = np.flatnonzero(~asks) if asks.any() else np.arange(len(sets))
+    tree = RTree(points[held], sizes[held], percent)
+    label, out = labels.copy(), []
+    for q in np.flatnonzero(asks) if asks.any() else held:
+        hits = held[tree.query(points[q], int(sizes[q]))]
+        hits = hits[label[hits] != label[q]]
+        while len(hits):
+            if linked(sets[q], sets[hits[0]], percent):
+                out.append((int(q), int(hits[0])))
+                label[label == label[hits[0]]] = label[q]
+                hits = hits[label[hits] != label[q]]
+            else:
+                hits = hits[1:]
+    return out
 
 
 def _number() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+
+
+def _each_tile(tiles: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(tiles, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(tiles[order])) + 1)
 
 
-def _within_bound(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) whose count vectors (``light``: id, n, vec) allow a link."""
-    x, y = light.toDF("x", "nx", "vx"), light.toDF("y", "ny", "vy")
-    bound = F.aggregate(F.zip_with("vx", "vy", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
-    return pairs.join(x, "x").join(y, "y").where((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
+def _lists(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    """The arrays of an Arrow list or binary column."""
+    out = []
+    for chunk in column.chunks:
+        if pa.types.is_list(chunk.type):
+            flat, ends = chunk.flatten().to_numpy().view(dtype), chunk.offsets.to_numpy()
+            ends = ends - ends[0]
+            out += [flat[b:e] for b, e in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            out += [np.frombuffer(b, dtype) for b in chunk.to_pylist()]
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) whose sets (``sets``: id, n, shingles) link."""
-    a, b = sets.toDF("x", "nx", "sx"), sets.toDF("y", "ny", "sy")
-    both = F.size(F.array_intersect("sx", "sy")).cast("long")
-    return pairs.join(a, "x").join(b, "y").where((100 + percent) * both >= percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
+def _dealt(rows: int, shingles: int) -> Column:
+    """The Python group that a tile goes to: many small tiles share one."""
+    return F.pmod(F.xxhash64("tile"), F.lit(1 + max(rows // GROUP_ROWS, shingles // GROUP_SHINGLES))).alias("g")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
+def _links_of(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the rows of each tile of ``placed`` (tile, id, n, vec, label, asks)."""
+    rows, shingles = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def candidates(group: pa.Table) -> pa.Table:
+        tile, ids, sizes, labels, asks = (group.column(c).to_numpy() for c in ("tile", "id", "n", "label", "asks"))
+        vectors = _lists(group.column("vec"), np.uint8)
+        keep = []
+        for at in _each_tile(tile):
+            points = folded([vectors[k] for k in at], sizes[at])
+            asking = np.flatnonzero(asks[at])
+            held = np.flatnonzero(~asks[at]) if len(asking) else np.arange(len(at))
+            if not len(held) or len(at) < 2:
+                continue
+            tree, met = RTree(points[held], sizes[at][held], percent), np.zeros(len(at), bool)
+            for q in asking if len(asking) else held:
+                hits = held[tree.query(points[q], int(sizes[at[q]]))]
+                hits = hits[labels[at[hits]] != labels[at[q]]]
+                if len(hits):
+                    met[hits] = met[q] = True
+            keep.append(at[met])
+        keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+        return group.select(["tile", "id", "n", "label", "asks"]).take(pa.array(keep))
+
+    wanted = materialise(placed.withColumn("g", _dealt(rows, shingles)).groupBy("g").applyInArrow(candidates, "tile long, id long, n long, label long, asks boolean"))
+    rows, shingles = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def verify(group: pa.Table) -> pa.Table:
+        tile, ids, labels, asks = (group.column(c).to_numpy() for c in ("tile", "id", "label", "asks"))
+        found = _lists(group.column("shingles"), np.uint64)
+        pairs = []
+        for at in _each_tile(tile):
+            pairs += [(ids[at[i]], ids[at[j]]) for i, j in tile_links([found[k] for k in at], labels[at], asks[at], percent)]
+        u, v = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    with_sets = wanted.drop("n").join(sets(wanted.select("id").distinct()), "id")
+    out = materialise(with_sets.withColumn("g", _dealt(rows, shingles)).groupBy("g").applyInArrow(verify, "u long, v long"))
+    release(placed)
+    release(wanted)
+    sweep(placed.sparkSession)
+    return out
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id (null as the smallest number), hash of the text, n, a, b (which identify the set), and the
+    component's smallest doc_id and, for that, text hash (``first``) of each row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(_number(), text_of().alias("text"))
+    rows = docs.select(_number().alias("doc_id"), text_of().alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
 
     def keys_of(texts: list[str]) -> Iterator[np.ndarray]:
@@ -169,130 +291,109 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             yield signatures(s, percent)
 
     # A part holds about (100 + p) / 2 (100 - p) shingles; six characters a word, and room for second bands.
-    expected = int(chars / 6 * 2 * (100 - percent) / (100 + percent) * 1.6)
+    expected = int(chars / 6 * 2 * (100 - percent) / (100 + percent) * 1.8)
     sent = spark.sparkContext.broadcast(build_filter(rows.select("text"), keys_of, expected))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, filters = sent.value
         for batch in batches:
-            texts = strings(batch.column(1))
-            n, a, b, vec, blocks = [], [], [], [], []
-            for at in range(0, len(texts), CALL):
-                for s in shingle_sets(texts[at : at + CALL], words):
+            for at in range(0, batch.num_rows, CALL):
+                part = batch.slice(at, CALL)
+                n, a, b, vec, blocks = [], [], [], [], []
+                for s in shingle_sets(strings(part.column(1)), words):
+                    keys = signatures(s, percent)
+                    keys = keys[repeated(keys, size, filters)] if len(keys) else keys
                     n.append(len(s))
                     a.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                     b.append(int(mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                    vec.append(count_vector(s))
-                    keys = signatures(s, percent)
-                    blocks.append(keys[repeated(keys, size, filters)].view(np.int64) if len(keys) else [])
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vec, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "vec", "blocks"])
-
-    base = materialise(rows.mapInArrow(describe, "doc_id long, n long, a long, b long, vec array<int>, blocks array<long>"))
-    light = base.where("n > 0").select(F.col("doc_id").alias("id"), "n", "vec")
-    equal = materialise(base.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id")))
-    nodes = base.join(equal.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    blocks = materialise(nodes.select(F.explode("blocks").alias("block"), F.col("doc_id").alias("id")).distinct())
-    pivots = materialise(blocks.groupBy("block").agg(F.min("id").alias("pivot"), F.count("*").alias("held")).where("held > 1"))
-    members = materialise(blocks.join(pivots, "block").select("block", "id", "pivot", "held"))
+                    vec.append(count_vector(s).tobytes() if len(keys) else b"")
+                    blocks.append(keys.view(np.int64))
+                yield pa.record_batch(
+                    [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vec, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))],
+                    ["doc_id", "h", "n", "a", "b", "vec", "blocks"],
+                )
+
+    described = rows.mapInArrow(describe, "doc_id long, h long, n long, a long, b long, vec binary, blocks array<long>")
+    base = materialise(described.withColumn("row", F.monotonically_increasing_id()))
+    # A node is a distinct set, numbered by one of its rows; the numbers are frozen in the table.
+    equal = materialise(base.where("n > 0").groupBy("n", "a", "b").agg(F.min("row").alias("id"), F.count("*").alias("copies")))
+    nodes = base.where("size(blocks) > 0").withColumnRenamed("row", "id").join(equal.select("id"), "id", "left_semi")
+    light = nodes.select("id", "n", "vec")
+    blocks = nodes.select(F.explode("blocks").alias("block"), "id")
+    owners = blocks.groupBy("block").agg(F.min("id").alias("pivot"), F.count("*").alias("held")).where("held > 1").drop("held")
+    members = materialise(blocks.join(owners, "block").select("pivot", "id").distinct())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column(1))
-            for at in range(0, len(texts), CALL):
-                got = shingle_sets(texts[at : at + CALL], words)
-                yield pa.record_batch([batch.column(0).slice(at, len(got)), pa.array([len(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "n", "shingles"])
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """The sets of the documents that still have a partner to be verified with."""
-        texts = rows.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-        out = materialise(texts.mapInArrow(gather, "id long, n long, shingles array<long>"))
-        sweep(spark)
-        return out
-
-    def ends(found: DataFrame) -> DataFrame:
-        return found.select(F.col("x").alias("id")).union(found.select(F.col("y").alias("id"))).distinct()
-
-    pairs = materialise(members.where("id != pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct())
-    near = materialise(_within_bound(pairs, light, percent))
-    sets = sets_of(ends(near))
-    links = materialise(_verified(near, sets, percent))
-    sweep(spark)
-    settled = materialise(components(links.toDF("u", "v")))
-    label = F.coalesce("label", "id").alias("label")
-    named = members.join(settled.withColumnRenamed("node", "id"), "id", "left").select("block", "id", "pivot", "held", label)
-    of_pivot = settled.toDF("pivot", "pivot_label")
-    named = materialise(named.join(of_pivot, "pivot", "left").select("block", "id", "held", "label", F.coalesce("pivot_label", "pivot").alias("pivot_label")))
-    open_count = named.where("label != pivot_label").groupBy("block").agg(F.count("*").alias("open"))
-    open_blocks = materialise(open_count)
-    if open_blocks.head(1):
-        found = materialise(_within_blocks(named.join(open_blocks, "block"), light, percent))
-        more = sets_of(ends(found).join(sets.select("id"), "id", "left_anti"))
-        every = materialise(links.unionByName(_verified(found, sets.unionByName(more), percent)))
-        release(more)
-        sweep(spark)
-        settled = materialise(components(every.toDF("u", "v")))
-    final = settled.toDF("id", "label")
-    of_set = equal.join(final, "id", "left").select("n", "a", "b", F.coalesce("label", "id").alias("component"))
-    # Rows that repeat a doc_id are one node, so a set's component is that of its smallest doc_id's node.
-    of_set = materialise(of_set)
-    out = base.select("doc_id", "n", "a", "b").join(of_set, ["n", "a", "b"], "left")
-    for done in (blocks, pivots, pairs, members, named, sets):
+            for at in range(0, batch.num_rows, CALL):
+                part = batch.slice(at, CALL)
+                got = shingle_sets(strings(part.column(1)), words)
+                yield pa.record_batch([part.column(0), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "shingles"])
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """The sets of some nodes, made again from a text of each."""
+        source = nodes.join(wanted, "id", "left_semi").select("id", "doc_id", "h")
+        texts = rows.join(source, ["doc_id", "h"]).select("id", "text")
+        return texts.mapInArrow(gather, "id long, shingles array<long>").dropDuplicates(["id"])
+
+    sized = members.join(light, "id")
+    large = sized.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")).where("tiles > 1")
+    large = materialise(large)
+    spot = F.pmod(F.xxhash64("id"), "tiles").cast("int")
+    tiled = sized.join(large, "pivot", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    in_tiles = F.explode(F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(spot)))
+    placed = tiled.select("pivot", "id", "n", "vec", in_tiles.alias("t")).select(F.xxhash64("pivot", "t").alias("tile"), "id", "n", "vec", F.col("id").alias("label"), F.lit(False).alias("asks"))
+    links = _links_of(materialise(placed), sets, percent)
+    settled = materialise(components(links))
+    if large.head(1):
+        apart = _apart(members.join(large, "pivot"), settled, light)
+        more = _links_of(materialise(apart), sets, percent)
+        links = materialise(links.unionByName(more))
+        settled = materialise(components(links))
+    # Most sets have neither copies nor links; the rows of the others meet by class.
+    classed = equal.join(settled.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or label is not null").select("n", "a", "b", F.coalesce("label", "id").alias("label"))
+    firsts = base.select("doc_id", "h", "n", "a", "b").join(classed, ["n", "a", "b"]).groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    of_set = materialise(classed.join(firsts, "label").select("n", "a", "b", "first"))
+    for done in (members, equal, large, links, settled):
         release(done)
     sweep(spark)
+    return base.select("doc_id", "h", "n", "a", "b").join(of_set, ["n", "a", "b"], "left").withColumn("first", F.coalesce("first", F.struct("doc_id", "h")))
 
-    def back(c: str) -> Column:
-        return F.when(F.col(c) != _NULL_ID, F.col(c))
-
-    component = F.coalesce("component", "doc_id")
-    return out.withColumn("component", component).select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
 
+def _apart(members: DataFrame, settled: DataFrame, light: DataFrame) -> DataFrame:
+    """Tiles in which the members of many-tiled groups (pivot, id, tiles) that are not linked to the
+    owner meet all of the group. A member that asks goes to every tile of the group; a tile of those
+    that ask and a tile of the group make one."""
+    label = F.coalesce("label", "id").alias("label")
+    named = members.join(settled.withColumnRenamed("node", "id"), "id", "left").select("pivot", "id", "tiles", label)
+    named = named.join(settled.toDF("pivot", "pivot_label"), "pivot", "left").withColumn("open", F.col("label") != F.coalesce("pivot_label", "pivot"))
+    asking = materialise(named.where("open").select("pivot", "id", "tiles", "label"))
+    counts = asking.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("open_tiles"))
+    spot = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    ask = asking.join(counts, "pivot").select("pivot", "id", "label", spot("open_tiles").alias("s"), every("tiles").alias("t"), F.lit(True).alias("asks"))
+    held = named.join(counts, "pivot").select("pivot", "id", "label", every("open_tiles").alias("s"), spot("tiles").alias("t"), F.lit(False).alias("asks"))
+    return ask.unionByName(held).join(light, "id").select(F.xxhash64("pivot", "s", "t").alias("tile"), "id", "n", "vec", "label", "asks")
 
-def _within_blocks(rows: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (x, y) between a block's unsettled documents and all of the block, through R-trees.
 
-    A block is cut into tiles by a hash of the document: unsettled documents go
-    to every tile of the whole block, and members to every tile of the
-    unsettled ones, so a task holds two tiles at most.
-    """
-    rows = rows.join(light, "id")
-    tile = lambda count: F.ceil(F.col(count) / TILE).cast("int")
-    spot = lambda count: F.pmod(F.xxhash64("id"), tile(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), tile(count) - 1))
-    cols = ["block", "id", "label", "n", "vec"]
-    ask = rows.where("label != pivot_label").select(*cols, spot("open").alias("s"), every("held").alias("t"), F.lit(True).alias("asks"))
-    held = rows.select(*cols, every("open").alias("s"), spot("held").alias("t"), F.lit(False).alias("asks"))
-
-    def join(group: pa.Table) -> pa.Table:
-        asks, block, s, t, ids, labels, sizes = (group.column(c).to_numpy() for c in ("asks", "block", "s", "t", "id", "label", "n"))
-        points = group.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-        order = np.lexsort((asks, t, s, block))
-        change = (np.diff(block[order]) != 0) | (np.diff(s[order]) != 0) | (np.diff(t[order]) != 0)
-        x, y = [], []
-        for tile_rows in np.split(order, np.flatnonzero(change) + 1):
-            inside, asking = tile_rows[~asks[tile_rows]], tile_rows[asks[tile_rows]]
-            if not len(inside) or not len(asking):
-                continue
-            tree = RTree(points[inside], sizes[inside], percent)
-            for q in asking:
-                hit = inside[tree.query(points[q], int(sizes[q]))]
-                hit = hit[labels[hit] != labels[q]]
-                x.append(np.maximum(ids[hit], ids[q]))
-                y.append(np.minimum(ids[hit], ids[q]))
-        pairs = np.unique(np.stack([np.concatenate(x), np.concatenate(y)], 1), axis=0) if x else np.zeros((0, 2), np.int64)
-        return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
-
-    # Tiles are small as a rule: many share a group, so that a group is worth its start.
-    both = materialise(ask.unionByName(held))
-    groups = 1 + both.count() // GROUP_ROWS
-    found = both.withColumn("g", F.pmod(F.xxhash64("block", "s", "t"), F.lit(groups))).groupBy("g").applyInArrow(join, "x long, y long")
-    return found.distinct()
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
+    back = lambda c: F.when(c != _NULL_ID, c)
+    found = classes(docs, words, percent)
+    return found.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.col("first.doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each component, columns as they were."""
-    found = near_duplicates(docs, words, percent)
-    gone = found.where("n_shingles > 0 and not doc_id <=> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """``docs`` with one row of each component, that of the smallest doc_id; columns as they were.
+
+    Rows are told apart by doc_id and text, so a row that shares only its doc_id
+    with a near copy stays. Of rows equal in both, all but one go. Rows without
+    words stay, whatever else there is.
+    """
+    found = classes(docs, words, percent).where("n > 0")
+    gone = found.where("not (doc_id = first.doc_id and h = first.h)").select("doc_id", "h").distinct()
+    tied = found.where("doc_id = first.doc_id and h = first.h").groupBy("doc_id", "h").count().where("count > 1").drop("count")
+    return without_rows(docs, [_number(), F.xxhash64(text_of())], gone, tied)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.runtime import materialise, release, table, text_of
+from gaugeworks.llm.runtime import materialise, release, table, text_of, without_rows
 
 BLOCK_CHARS = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,10 +83,14 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that exact dedup drops, columns as they were."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    sha = F.sha2(normalised(text_of()).cast("binary"), 256)
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
+    """``docs`` with one row of each group of equal texts, that of the largest doc_id; columns as they were.
+
+    Where rows of a group share that doc_id, any one of them stays.
+    """
+    found = materialise(exact_duplicates(docs).select("doc_id", "text_sha256", "kept"))
+    gone = found.where("not kept").select("doc_id", "text_sha256").distinct()
+    tied = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count")
+    return without_rows(docs, [F.col("doc_id").cast("long"), F.sha2(normalised(text_of()).cast("binary"), 256)], gone, tied)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +83,25 @@ def release(df: DataFrame | None) -> None:
         drop(df.sparkSession, path)
 
 
+def without_rows(docs: DataFrame, keys: list[Column], gone: DataFrame, tied: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are in ``gone``, and with one row for each key in ``tied``.
+
+    Columns of the two tables stand for the keys in their order; ``docs`` may have any names.
+    """
+    names = [f"_{i}_{uuid.uuid4().hex[:8]}" for i in range(len(keys))]
+    tied = materialise(tied.toDF(*names))
+
+    def met(keyed: DataFrame) -> Column:
+        return reduce(and_, (k.eqNullSafe(keyed[n]) for k, n in zip(keys, names, strict=True)))
+
+    dropped = gone.toDF(*names)
+    if not tied.head(1):
+        return docs.join(dropped, met(dropped), "left_anti")
+    either = dropped.unionByName(tied)
+    one = docs.join(tied, met(tied), "left_semi").withColumns(dict(zip(names, keys, strict=True))).dropDuplicates(names)
+    return docs.join(either, met(either), "left_anti").union(one.select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are done.
 

@@ -116,6 +116,47 @@ def test_jaccard_join_of_awkward_rows(awkward, empty):
     assert op1_jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_tile_links_join_what_links_join():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (6, 90)).astype(np.uint64) << np.uint64(1)
+    sets = [np.unique(np.r_[base[k % 6][: 90 - int(rng.integers(0, 12))], rng.integers(0, 1 << 63, int(rng.integers(0, 9))).astype(np.uint64)]) for k in range(70)]
+    links = op1_jaccard_join.tile_links(sets, np.arange(70), np.zeros(70, bool), 80)
+    assert all(op1_jaccard_join.linked(sets[i], sets[j], 80) for i, j in links)
+    label = list(range(70))
+    for i in range(70):
+        for j in range(i):
+            if op1_jaccard_join.linked(sets[i], sets[j], 80):
+                label = [label[j] if x == label[i] else x for x in label]
+    got = list(range(70))
+    for i, j in links:
+        got = [got[j] if x == got[i] else x for x in got]
+    assert len(links) == 70 - len(set(label)) and all((label[i] == label[j]) == (got[i] == got[j]) for i in range(70) for j in range(i))
+
+
+def test_folded_vectors_bound_the_overlap():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)) for n in (3, 60, 700, 5000)]
+    sets += [np.unique(np.r_[s[: len(s) // 2], sets[-1][:300]]) for s in sets]
+    vectors, sizes = [op1_jaccard_join.count_vector(s) for s in sets], np.array([len(s) for s in sets])
+    vectors[1] = np.zeros(0, np.uint8)
+    points = op1_jaccard_join.folded(vectors, sizes)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.minimum(points[i], points[j]).sum() >= len(np.intersect1d(a, b))
+
+
+def test_near_duplicates_keep_rows_that_share_only_a_number(spark, awkward, empty):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text, "x"), (10, text, "x"), (10, "a text that is like no other one here", "y"), (5, text, "z"), (3, None, None), (None, text.upper(), "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
+    got = op1_jaccard_join.keep_one(docs, 5, 80)
+    assert got.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=repr) == sorted([(10, rows[2][1]), (3, None), (None, text.upper())], key=repr)
+    kept = op1_jaccard_join.keep_one(awkward, 5, 80)
+    assert kept.columns == awkward.columns and sorted(repr(r[0]) for r in kept.collect()) == sorted(map(repr, [1, 2, 3, 4, 6, 8, 9, 10, 10, 11, None, None]))
+    assert op1_jaccard_join.keep_one(empty, 5, 80).count() == 0
+
+
 def exact_expected(rows):
     norm = [(d, (t or "").translate(LOWER)) for d, t in rows]
     count = Counter(t for _, t in norm)
@@ -143,7 +184,7 @@ def test_exact_dedup_runs_no_python(awkward, empty):
     assert op3_exact_dedup.exact_duplicates(empty).count() == 0
     kept = op3_exact_dedup.keep_one(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None) == [3, 4, 5, 7, 8, 9, 10, 10, 10, 11]
+    assert sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None) == [3, 4, 5, 7, 8, 9, 10, 10, 11]
 
 
 def substring_expected(rows, window):
