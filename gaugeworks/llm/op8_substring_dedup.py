@@ -19,7 +19,7 @@ where one key has several distinct runs, their windows are grouped one by one.
 The earliest document that holds a window always takes part, so none is lost.
 
 The sketch has at most ``repeats.MAX_COUNTERS`` counters, so what is broadcast is at
-most 128 MB; a corpus beyond its capacity gets a weaker filter and the same
+most 64 MB; a corpus beyond its capacity gets a weaker filter and the same
 result, the exact pass growing in proportion to the corpus. A hot passage meets
 map-side minima and joins that adaptive execution can split.
 

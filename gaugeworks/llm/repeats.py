@@ -2,7 +2,9 @@
 
 Estimates are never below the true counts, so no repeated key is lost; a few
 others pass. The merged sketch is one bit a counter, at most
-``2 * MAX_COUNTERS / 8`` bytes in all whatever the corpus, and is broadcast.
+``2 * MAX_COUNTERS / 8`` bytes (64 MB) in all whatever the corpus, and is broadcast.
+A corpus beyond that capacity gets a filter that lets more keys pass, up to all
+of them, and the same result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from gaugeworks.llm.runtime import strings, sweep
 from gaugeworks.llm.shingles import mix
 
 #: Counters of a sketch row at most, counters of a slice, keys counted before a partition sends its sketch.
-MAX_COUNTERS, SLICE_BITS, FLUSH_KEYS = 1 << 29, 20, 2_000_000
+MAX_COUNTERS, SLICE_BITS, FLUSH_KEYS = 1 << 28, 16, 2_000_000
+#: Counters for each key that is expected.
+ROOM = 2
 #: Partitions whose sketches one task merges before slices are merged as a whole.
 FAN_IN = 64
 CALL = 64
@@ -38,7 +42,7 @@ def _slices(counts: np.ndarray, row: int, salt: int) -> Iterator[dict]:
     at, n = np.unique(counts, return_counts=True)
     part = at >> np.uint64(SLICE_BITS)
     edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(at)]
-    low = (at & np.uint64((1 << SLICE_BITS) - 1)).astype("<u4")
+    low = (at & np.uint64((1 << SLICE_BITS) - 1)).astype("<u2")
     for b, e in zip(edges[:-1], edges[1:], strict=True):
         if e > b:
             yield {"row": row, "slice": int(part[b]), "salt": salt, "once": low[b:e][n[b:e] == 1].tobytes(), "more": low[b:e][n[b:e] > 1].tobytes()}
@@ -48,7 +52,7 @@ def build_filter(texts: DataFrame, keys_of: Callable[[list[str]], Iterator[np.nd
     """The merged sketch of a one-column table of texts: its size, and for each row a packed
     bit array of the counters above one. ``keys_of`` gives each text's distinct keys."""
     size = 1 << 16
-    while size < MAX_COUNTERS and size < 6 * expected:
+    while size < MAX_COUNTERS and size < ROOM * expected:
         size <<= 1
     width = 1 << min(SLICE_BITS, size.bit_length() - 1)
 
@@ -76,21 +80,26 @@ def build_filter(texts: DataFrame, keys_of: Callable[[list[str]], Iterator[np.nd
         if held:
             yield send()
 
+    def first(group: pa.Table) -> dict[str, pa.Array | pa.ChunkedArray]:
+        return {c: group.column(c).slice(0, 1) for c in ("row", "slice", "salt")}
+
     def merge(group: pa.Table) -> pa.Table:
+        """Lists of counters as two bit arrays: counted once, and more often."""
         got = np.zeros(width, np.uint8)
         for once, more in zip(group.column("once").to_pylist(), group.column("more").to_pylist(), strict=True):
-            i, j = np.frombuffer(once, "<u4"), np.frombuffer(more, "<u4")
+            i, j = np.frombuffer(once, "<u2"), np.frombuffer(more, "<u2")
             got[i] = np.minimum(got[i] + 1, 2)
             got[j] = 2
-        one = pa.array([np.flatnonzero(got == 1).astype("<u4").tobytes()], pa.binary())
-        two = pa.array([np.flatnonzero(got == 2).astype("<u4").tobytes()], pa.binary())
-        return pa.table({"row": group.column("row").slice(0, 1), "slice": group.column("slice").slice(0, 1), "salt": group.column("salt").slice(0, 1), "once": one, "more": two})
+        once, more = (np.packbits(got == k, bitorder="little").tobytes() for k in (1, 2))
+        return pa.table(first(group) | {"once": pa.array([once], pa.binary()), "more": pa.array([more], pa.binary())})
 
     def bits(group: pa.Table) -> pa.Table:
-        more = np.frombuffer(merge(group).column("more")[0].as_py(), "<u4")
-        flags = np.zeros(width, bool)
-        flags[more] = True
-        return pa.table({"row": group.column("row").slice(0, 1), "slice": group.column("slice").slice(0, 1), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+        once, more = np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)
+        for o, m in zip(group.column("once").to_pylist(), group.column("more").to_pylist(), strict=True):
+            o, m = np.frombuffer(o, np.uint8), np.frombuffer(m, np.uint8)
+            more |= m | (once & o)
+            once |= o
+        return pa.table({c: v for c, v in first(group).items() if c != "salt"} | {"bits": pa.array([more.tobytes()], pa.binary())})
 
     sent = texts.mapInArrow(count, _SKETCH)
     merged = sent.groupBy("row", "slice", "salt").applyInArrow(merge, _SKETCH)

@@ -94,7 +94,7 @@ def without_rows(docs: DataFrame, keys: list[Column], gone: DataFrame, tied: Dat
     def met(keyed: DataFrame) -> Column:
         return reduce(and_, (k.eqNullSafe(keyed[n]) for k, n in zip(keys, names, strict=True)))
 
-    dropped = gone.toDF(*names)
+    dropped = materialise(gone.toDF(*names))  # a table's size is known, so Spark broadcasts it only where it is small
     if not tied.head(1):
         return docs.join(dropped, met(dropped), "left_anti")
     either = dropped.unionByName(tied)
