@@ -333,7 +333,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     def sets(wanted: DataFrame) -> DataFrame:
         """The sets of some nodes, made again from a text of each."""
         source = materialise(nodes.join(wanted, "id", "left_semi").select("id", "doc_id", "h"))
-        texts = rows.join(source, ["doc_id", "h"]).select("id", "text")
+        texts = rows.join(source.hint("merge"), ["doc_id", "h"]).select("id", "text")
         return texts.mapInArrow(gather, "id long, shingles array<long>").dropDuplicates(["id"])
 
     sized = members.join(light, "id")

@@ -107,9 +107,9 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     judged = runs.join(first, ["key", "a", "b"])
     whole = judged.where("doc_id > first").select("doc_id", "h", "start", "n")
     open_runs = judged.where("doc_id = first").join(mixed, "key", "left_semi")
-    # A document's own runs: bounded by its length.
+    # A document's own runs: bounded by its length, however often its row is repeated.
     sweep(spark)
-    spans = materialise(open_runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
+    spans = materialise(open_runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("runs")))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,12 +125,12 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                     a, b, doc, h, pos = (np.concatenate(c) for c in cols)
                     yield pa.record_batch([_signed(a), _signed(b), pa.array(doc), pa.array(h), pa.array(pos)], ["a", "b", "doc_id", "h", "start"])
 
-    involved = rows.join(spans, ["doc_id", "h"]).select("doc_id", "h", "text", "runs")
+    involved = rows.join(spans.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "runs")
     windows = materialise(involved.mapInArrow(expand, "a long, b long, doc_id long, h long, start int"))
     sweep(spark)
     earliest = materialise(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first")))
     single = windows.join(earliest, ["a", "b"]).where("doc_id > first").select("doc_id", "h", "start", F.lit(1).alias("n"))
-    out = materialise(whole.unionByName(single).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("ranges")))
+    out = materialise(whole.unionByName(single).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("ranges")))
     for done in (runs, first, spans, windows, earliest):
         release(done)
     sweep(spark)
@@ -157,7 +157,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     ranges = removed_ranges(docs, window, gram)
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
     rows = docs.select(number.alias("doc_id"), text_of().alias("text"), F.struct(F.lit(0).alias("none"), *keep).alias("more"))
-    joined = rows.withColumn("h", F.xxhash64("text")).join(ranges, ["doc_id", "h"], "left")
+    joined = rows.withColumn("h", F.xxhash64("text")).join(ranges.hint("merge"), ["doc_id", "h"], "left")
     more_type = joined.schema["more"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,6 +87,7 @@ def without_rows(docs: DataFrame, keys: list[Column], gone: DataFrame, tied: Dat
     """``docs`` without the rows whose ``keys`` are in ``gone``, and with one row for each key in ``tied``.
 
     Columns of the two tables stand for the keys in their order; ``docs`` may have any names.
+    The tables grow with ``docs``, so the join is one by sorting at every size, never a broadcast.
     """
     names = [f"_{i}_{uuid.uuid4().hex[:8]}" for i in range(len(keys))]
     tied = materialise(tied.toDF(*names))
@@ -94,12 +95,12 @@ def without_rows(docs: DataFrame, keys: list[Column], gone: DataFrame, tied: Dat
     def met(keyed: DataFrame) -> Column:
         return reduce(and_, (k.eqNullSafe(keyed[n]) for k, n in zip(keys, names, strict=True)))
 
-    dropped = materialise(gone.toDF(*names))  # a table's size is known, so Spark broadcasts it only where it is small
+    dropped = materialise(gone.toDF(*names))
     if not tied.head(1):
-        return docs.join(dropped, met(dropped), "left_anti")
+        return docs.join(dropped.hint("merge"), met(dropped), "left_anti")
     either = dropped.unionByName(tied)
     one = docs.join(tied, met(tied), "left_semi").withColumns(dict(zip(names, keys, strict=True))).dropDuplicates(names)
-    return docs.join(either, met(either), "left_anti").union(one.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return docs.join(either.hint("merge"), met(either), "left_anti").union(one.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def sweep(spark: SparkSession) -> None:
