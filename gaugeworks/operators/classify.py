@@ -80,6 +80,18 @@ def scan_counters(classified: DataFrame) -> DataFrame:
     return classified.rollup("repo_id", "language", "class").agg(F.count("*").alias("files"))
 
 
+def discovery_counters(classified: DataFrame) -> DataFrame:
+    """What a scan of a repository found: all files of known languages, and those of each class and reason."""
+    c, r = F.col("class"), F.col("exclude_reason")
+    counts = {"source": c == "source", "test": c == "test", "generated": c == "generated", "vendor": r.eqNullSafe(F.lit("vendor")), "ignored": r.eqNullSafe(F.lit("gitignore"))}
+    return classified.groupBy("repo_id").agg(F.count("*").alias("total"), *[F.count_if(v).alias(k) for k, v in counts.items()])
+
+
+def source_files(files: DataFrame) -> DataFrame:
+    """Files (rel_path, language) that the analyzers' test predicate does not name as tests."""
+    return files.where(~is_test_path(F.col("rel_path"), F.col("language")))
+
+
 def ignore_pattern(line: str) -> tuple[bool, str] | None:
     """One line of an ignore file as (negated, regular expression over relative paths); null for blanks and comments."""
     line = line.rstrip("\n")

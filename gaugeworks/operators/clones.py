@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import percentage
+from gaugeworks.operators.steps import kept
 
 #: Statements and lines of the smallest window.
 LEAST_STATEMENTS, LEAST_LINES = 3, 6
@@ -71,11 +72,6 @@ def clone_pairs(windows: DataFrame, top: int = 5) -> DataFrame:
     return sized.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).drop("hash")
 
 
-def _kept(frame: DataFrame) -> DataFrame:
-    """The frame, computed once: in the folder of ``spark.checkpoint.dir``, where a session has one."""
-    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.localCheckpoint()
-
-
 def line_clones(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -> DataFrame:
     """The longest maximal clones of each repository's ``texts`` (repo_id, file, text) by lines, at any length.
 
@@ -87,24 +83,24 @@ def line_clones(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -
     those after the first ``top`` + 2 always lose the tie of their equals and are left out.
     """
     copies = Window.partitionBy("repo_id", "key").orderBy("file")
-    kept = texts.select("repo_id", "file", F.md5("text").alias("key")).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= top + 2)
+    few = texts.select("repo_id", "file", F.md5("text").alias("key")).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= top + 2)
     lines = texts.select("repo_id", "file", F.posexplode(F.split("text", "\n")).alias("pos", "value")).select("repo_id", "file", (F.col("pos") + 1).alias("start"), F.md5("value").alias("line"))
-    lines = lines.join(kept, ["repo_id", "file"], "left_semi")
+    lines = lines.join(few, ["repo_id", "file"], "left_semi")
     order = Window.partitionBy("repo_id", "file").orderBy("start")
     name = F.md5(F.concat(*[F.lead("line", k).over(order) if k else F.col("line") for k in range(least)]))
     windows = lines.select("repo_id", "file", name.alias("hash"), "start", (F.col("start") + least - 1).alias("end")).where("hash is not null")
-    levels = [(least, _kept(duplicated_windows(windows)))]
+    levels = [(least, kept(duplicated_windows(windows)))]
     while not levels[-1][1].isEmpty():
         size, half = levels[-1]
         second = half.select("repo_id", "file", (F.col("start") - size).alias("start"), F.col("hash").alias("next"), F.col("end").alias("last"))
         twice = half.join(second, ["repo_id", "file", "start"]).select("repo_id", "file", F.md5(F.concat("hash", "next")).alias("hash"), "start", F.col("last").alias("end"))
-        levels.append((2 * size, _kept(duplicated_windows(twice))))
+        levels.append((2 * size, kept(duplicated_windows(twice))))
     out, settled = None, None
     for size, level in reversed(levels):
         some = level if settled is None else level.join(settled, "repo_id", "left_anti")
         if size > least and some.isEmpty():
             continue
-        best = _kept(_diagonals(some, size, top))
+        best = kept(_diagonals(some, size, top))
         full = best.where(F.col("rank") == top).select("repo_id")
         part = best if size == least else best.join(full, "repo_id", "left_semi")
         out = part if out is None else out.unionByName(part)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import percentage
@@ -80,12 +80,16 @@ def api_coverage(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.groupBy(*keys).agg(percentage(F.sum("documented"), F.sum("public")).alias("api_doc_coverage"))
 
 
-# File names that count as each kind of document, first match first.
+# File names that count as each kind of document, first match first; folders of examples; drawings.
 WELL_KNOWN = {
     "readme": ("README.md", "README", "readme.md", "README.txt", "README.rst"),
     "changelog": ("CHANGELOG.md", "CHANGELOG", "HISTORY.md", "changelog.md"),
-    "contributing": ("CONTRIBUTING.md", "CONTRIBUTING", "contributing.md"),
+    "contributing": ("CONTRIBUTING.md", "CONTRIBUTING", "contributing.md", ".github/CONTRIBUTING.md"),
 }
+EXAMPLE_FOLDERS = ("examples", "example", "_examples")
+DRAWINGS, DRAWING_WORDS = ("png", "svg", "mermaid", "drawio", "puml"), ("architecture", "diagram", "flow", "sequence", "class", "er", "uml")
+#: Files and characters of collected examples.
+EXAMPLE_FILES, EXAMPLE_CHARS = 3, 10000
 
 
 def well_known(listing: DataFrame, names: dict[str, tuple[str, ...]] = WELL_KNOWN) -> DataFrame:
@@ -95,8 +99,44 @@ def well_known(listing: DataFrame, names: dict[str, tuple[str, ...]] = WELL_KNOW
     return found.groupBy("repo_id", "kind").agg(F.min_by("rel_path", "priority").alias("rel_path"))
 
 
+def has_examples(listing: DataFrame) -> DataFrame:
+    """Whether a repository (repo_id, rel_path, content) has a folder of examples, or a code block in its README.md."""
+    p = F.col("rel_path")
+    folder = p.contains("/") & F.substring_index(p, "/", 1).isin(*EXAMPLE_FOLDERS)
+    blocks = (p == "README.md") & (F.regexp_count(F.coalesce("content", F.lit("")), F.lit("(?m)^```")) >= 2)
+    return listing.groupBy("repo_id").agg(F.bool_or(folder | blocks).alias("examples_present"))
+
+
+def example_texts(listing: DataFrame) -> DataFrame:
+    """A repository's example code, collected: the first three code files of ``examples``, else of ``example``; else the first code blocks of its README.md.
+
+    The text is cut where the measure is defined to cut it.
+    """
+    name, folder = F.substring_index("rel_path", "/", -1), F.substring_index("rel_path", "/", 1)
+    direct = F.size(F.split("rel_path", "/")) == 2
+    code = listing.where(direct & folder.isin(*EXAMPLE_FOLDERS[:2]) & F.lower("rel_path").rlike(r"\.(go|py|ts|js)$"))
+    files = code.select("repo_id", F.when(folder == "examples", 0).otherwise(1).alias("source"), name.alias("name"), F.col("content").alias("body"))
+    readme = listing.where("rel_path = 'README.md'").select("repo_id", F.lit(2).alias("source"), F.posexplode(code_blocks(F.coalesce("content", F.lit("")))).alias("at", "body"))
+    blocks = readme.select("repo_id", "source", F.format_string("README Example %d", F.col("at") + 1).alias("name"), "body")
+    every = files.unionByName(blocks)
+    best = every.groupBy("repo_id").agg(F.min("source").alias("source"))
+    order = Window.partitionBy("repo_id").orderBy("name")
+    few = every.join(best, ["repo_id", "source"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= EXAMPLE_FILES)
+    part = F.struct("rank", F.format_string("=== %s ===\n%s\n\n", "name", "body").alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), "")
+    return few.groupBy("repo_id").agg(F.substring(joined, 1, EXAMPLE_CHARS).alias("examples"))
+
+
 def has_diagram(path: Column, text: Column) -> Column:
-    """A drawing by extension and name, or a diagram fence in a Markdown file."""
-    low = F.lower(path)
-    drawn = low.rlike(r"\.(png|svg|jpe?g|gif|puml|mermaid|drawio)$") & low.rlike("(arch|diagram|flow|design)")
-    return drawn | (low.endswith(".md") & text.contains("```mermaid"))
+    """A drawing by extension and a word in its name, or a diagram fence in a Markdown file."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    drawn = name.rlike(rf"\.({'|'.join(DRAWINGS)})$") & name.rlike("|".join(DRAWING_WORDS))
+    return drawn | (name.endswith(".md") & F.coalesce(text, F.lit("")).contains("```mermaid"))
+
+
+def diagrams(listing: DataFrame) -> DataFrame:
+    """Whether a repository has a diagram: under ``docs`` where there is such a folder, else anywhere."""
+    inside = F.col("rel_path").startswith("docs/")
+    hit = has_diagram(F.col("rel_path"), F.col("content"))
+    both = listing.groupBy("repo_id").agg(F.bool_or(inside).alias("docs"), F.bool_or(inside & hit).alias("in_docs"), F.bool_or(hit).alias("anywhere"))
+    return both.select("repo_id", F.when(F.col("docs"), F.col("in_docs")).otherwise(F.col("anywhere")).alias("diagrams_present"))

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.steps import kept
+from gaugeworks.operators.summary import language_rank
+
 
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Edges from imports (repo_id, src, target) to known modules (repo_id, module); self-edges go."""
@@ -91,6 +94,72 @@ def script_path(folder: Column, target: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(folded, "/"), r"\.(tsx?|jsx?)$", ""), r"/index$", "")
 
 
+def imported_names(*sources: DataFrame) -> DataFrame:
+    """All names (repo_id, name) that some source has, each once."""
+    out = sources[0].select("repo_id", "name")
+    for s in sources[1:]:
+        out = out.union(s.select("repo_id", "name"))
+    return out.distinct()
+
+
+def merged_fan_out(by_language: DataFrame) -> DataFrame:
+    """Over languages (repo_id, language, fanout_avg, fanout_max, fanout_max_node): all of the one with the larger maximum, the first of equals."""
+    best = F.min_by(F.struct("fanout_avg", "fanout_max", "fanout_max_node"), F.struct((-F.col("fanout_max")).alias("m"), language_rank(F.col("language")).alias("r")))
+    return by_language.groupBy("repo_id").agg(best.alias("b")).select("repo_id", "b.*")
+
+
+def merged_depth(by_language: DataFrame) -> DataFrame:
+    """Over languages: the greatest depth and the greatest mean."""
+    return by_language.groupBy("repo_id").agg(F.max("max_depth").alias("max_depth"), F.max("avg_depth").alias("avg_depth"))
+
+
+def intra_module(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """Imports (repo_id, target, ...) whose path begins with the repository's module path (repo_id, module)."""
+    return imports.join(modules, "repo_id").where(F.col("target").startswith(F.col("module")))
+
+
+def module_paths(files: DataFrame, module_files: DataFrame) -> DataFrame:
+    """The module path of each file (repo_id, rel_path): that of the nearest folder upwards with a module file
+    (repo_id, rel_path, content); else the first three parts of its path."""
+    name = F.trim(F.regexp_extract("content", r"(?m)^[ \t]*module (.*)$", 1))
+    folder = F.regexp_replace("rel_path", r"/?[^/]*$", "")
+    known = module_files.select("repo_id", folder.alias("folder"), name.alias("module")).where("module != ''")
+    parts = F.split(folder, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    up = files.select("repo_id", "rel_path", F.explode(F.array_distinct(above)).alias("folder"))
+    nearest = up.join(known, ["repo_id", "folder"]).groupBy("repo_id", "rel_path").agg(F.max_by("module", F.length("folder")).alias("module"))
+    return files.select("repo_id", "rel_path").join(nearest, ["repo_id", "rel_path"], "left").withColumn("module", F.coalesce("module", F.array_join(F.slice(F.split("rel_path", "/"), 1, 3), "/")))
+
+
+def cyclic_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """Nodes that lie on cycles, with the smallest node of their strongly connected component: repo_id, node, component.
+
+    Nodes without an edge in or out are trimmed first, by anti-joins, so what is
+    left is little more than the cycles; who reaches whom is then found by doubling
+    path lengths, in distributed joins keyed by repository and node.
+    """
+    now = kept(edges.where("src != dst").select("repo_id", "src", "dst").distinct())
+    for _ in range(rounds):
+        ends = now.select("repo_id", F.col("dst").alias("src")).distinct()
+        starts = now.select("repo_id", F.col("src").alias("dst")).distinct()
+        rest = kept(now.join(ends, ["repo_id", "src"], "left_semi").join(starts, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"))
+        before, after = now.count(), rest.count()
+        now = rest
+        if before == after:
+            break
+    reach = now
+    for _ in range(rounds):
+        onward = reach.select("repo_id", F.col("src").alias("dst"), F.col("dst").alias("last"))
+        more = reach.join(onward, ["repo_id", "dst"]).select("repo_id", "src", F.col("last").alias("dst"))
+        longer = kept(reach.union(more).distinct())
+        if longer.count() == reach.count():
+            break
+        reach = longer
+    back = reach.select("repo_id", F.col("src").alias("dst"), F.col("dst").alias("src"))
+    mutual = reach.join(back, ["repo_id", "src", "dst"], "left_semi")
+    return mutual.groupBy("repo_id", "src").agg(F.min("dst").alias("component")).select("repo_id", F.col("src").alias("node"), "component")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """One row for each edge that closes a cycle in a depth-first walk: repo_id, cycle (nodes in order).
 

@@ -91,3 +91,11 @@ def isolation(tests: DataFrame, external: DataFrame) -> DataFrame:
 def first_by_priority(rows: DataFrame, keys: list[str], priority: str, value: str) -> DataFrame:
     """The value of the row with the least priority, as for alternative files of one kind."""
     return rows.groupBy(*keys).agg(F.min_by(value, priority).alias(value))
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Rows of several languages in one table, columns by name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import scalars
 from gaugeworks.operators import agent_eval, classify, clones, summary
 from gaugeworks.plans.adapters import table
+from gaugeworks.plans.agents import rubric_sql
 
 
 def text_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,12 +69,10 @@ def scan_counts(spark: SparkSession, sf: str) -> DataFrame:
     return classify.scan_counters(classify.classify(files, ignored=F.col("rel_path").startswith("x/test_a.t")))
 
 
-RUBRIC = agent_eval.Rubric(3, {"articles": ["the ", "le ", "der ", "el "], "joins": [" and ", " et ", " und ", " y "], "marks": ["!", "?", ";"], "long": ["tion", "ung", "ment"]}, ["***", "###", "$$$"])
-
-
 def response_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns judged by the rubric for comprehension."""
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", agent_eval.response_score(F.coalesce("text", F.lit("")), RUBRIC).alias("score"))
+    return c.select("conv_id", "turn", agent_eval.response_score(F.coalesce("text", F.lit("")), agent_eval.COMPREHENSION).alias("score"))
 
 
 def consistency(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +83,7 @@ def consistency(spark: SparkSession, sf: str) -> DataFrame:
 
 def metric_scores(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    rows = c.select("role", agent_eval.response_score(F.coalesce("text", F.lit("")), RUBRIC).alias("score"), F.when(F.col("turn") % 3 == 2, "timeout").alias("error"), (F.col("conv_id") % 10).alias("shard"))
+    rows = c.select("role", agent_eval.response_score(F.coalesce("text", F.lit("")), agent_eval.NAVIGATION).alias("score"), F.when(F.col("turn") % 3 == 2, "timeout").alias("error"), (F.col("conv_id") % 10).alias("shard"))
     return agent_eval.metric_scores(rows, ["role", "shard"])
 
 
@@ -169,15 +168,7 @@ WITH f AS (SELECT source AS repo_id, CASE lang WHEN 'en' THEN 'go' WHEN 'de' THE
 c AS (SELECT repo_id, language, CASE WHEN vendored OR (stem = 'test_a' AND language = 'typescript') THEN 'excluded'
   WHEN language IN ('go', 'python') AND stem = '_hidden' THEN 'excluded' WHEN language = 'python' AND stem = 'test_a' THEN 'test' ELSE 'source' END AS class FROM f)
 SELECT repo_id, language, class, count(*) AS files FROM c GROUP BY ROLLUP (repo_id, language, class)"""),
-    "c7_response_scores": (response_scores, """
-WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS x FROM conversations WHERE role = 'assistant'),
-s AS (SELECT conv_id, turn, 3
-  + CASE WHEN contains(x, 'the ') OR contains(x, 'le ') OR contains(x, 'der ') OR contains(x, 'el ') THEN 1 ELSE 0 END
-  + CASE WHEN contains(x, ' and ') OR contains(x, ' et ') OR contains(x, ' und ') OR contains(x, ' y ') THEN 1 ELSE 0 END
-  + CASE WHEN contains(x, '!') OR contains(x, '?') OR contains(x, ';') THEN 1 ELSE 0 END
-  + CASE WHEN contains(x, 'tion') OR contains(x, 'ung') OR contains(x, 'ment') THEN 1 ELSE 0 END
-  - CASE WHEN contains(x, '***') THEN 1 ELSE 0 END - CASE WHEN contains(x, '###') THEN 1 ELSE 0 END - CASE WHEN contains(x, '$$$') THEN 1 ELSE 0 END AS v FROM t)
-SELECT conv_id, turn, CAST(least(10, greatest(1, v)) AS INT) AS score FROM s"""),
+    "c7_response_scores": (response_scores, f"SELECT conv_id, turn, {rubric_sql('code_behavior_comprehension', 'lower(coalesce(text, chr(32)))')} AS score FROM conversations WHERE role = 'assistant'"),
     "agg26_consistency": (consistency, """
 WITH v AS (SELECT conv_id, count(*) AS runs, var_pop(length(text) % 11) AS x FROM conversations GROUP BY 1)
 SELECT conv_id, runs, round(x, 6) AS variance, CASE WHEN x < 5 THEN 10 WHEN x < 15 THEN 7 WHEN x < 30 THEN 4 ELSE 1 END AS consistency FROM v"""),
@@ -195,13 +186,7 @@ SELECT *, round(coalesce(test_lines / nullif(source_lines, 0), 0.0), 6) AS test_
 WITH r AS (SELECT source AS repo_id, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 99 END AS k, 100.0 * count(*) FILTER (doc_id % 3 = 0) / count(*) AS v FROM documents GROUP BY 1, 2),
 l AS (SELECT repo_id, list(v ORDER BY k) AS vs FROM r GROUP BY 1)
 SELECT repo_id, round(list_reduce(vs, lambda a, b: CASE WHEN a = 0 THEN b ELSE (a + b) / 2 END), 6) AS isolation FROM l"""),
-    "agg25_metric_scores": (metric_scores, """
-WITH t AS (SELECT role, conv_id % 10 AS shard, turn % 3 = 2 AS bad, lower(coalesce(text, '')) AS x FROM conversations),
-s AS (SELECT role, shard, bad, least(10, greatest(1, 3
-  + CASE WHEN contains(x, 'the ') OR contains(x, 'le ') OR contains(x, 'der ') OR contains(x, 'el ') THEN 1 ELSE 0 END
-  + CASE WHEN contains(x, ' and ') OR contains(x, ' et ') OR contains(x, ' und ') OR contains(x, ' y ') THEN 1 ELSE 0 END
-  + CASE WHEN contains(x, '!') OR contains(x, '?') OR contains(x, ';') THEN 1 ELSE 0 END
-  + CASE WHEN contains(x, 'tion') OR contains(x, 'ung') OR contains(x, 'ment') THEN 1 ELSE 0 END
-  - CASE WHEN contains(x, '***') THEN 1 ELSE 0 END - CASE WHEN contains(x, '###') THEN 1 ELSE 0 END - CASE WHEN contains(x, '$$$') THEN 1 ELSE 0 END)) AS v FROM t)
+    "agg25_metric_scores": (metric_scores, f"""
+WITH s AS (SELECT role, conv_id % 10 AS shard, turn % 3 = 2 AS bad, {rubric_sql('cross_file_navigation', "lower(coalesce(text, ''))")} AS v FROM conversations)
 SELECT role, shard, CAST(coalesce(sum(v) FILTER (NOT bad) // nullif(count(*) FILTER (NOT bad), 0), 0) AS INT) AS metric_score, count(*) FILTER (NOT bad) AS successes, count(*) AS samples FROM s GROUP BY 1, 2"""),
 }

@@ -38,9 +38,10 @@ def metric_text(metric: Column, value: Column) -> Column:
 
 
 def trend(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Current category scores next to an earlier report's, 0 where it has none."""
-    old = baseline.select("category", F.col("score").alias("before"))
-    return current.join(F.broadcast(old), "category", "left").select("repo_id", "category", "score", F.coalesce("before", F.lit(0.0)).alias("before"), (F.col("score") - F.coalesce("before", F.lit(0.0))).alias("change"))
+    """Current category scores next to an earlier report's (of the same repository where it names one), 0 where it has none."""
+    keys = [k for k in ("repo_id", "category") if k in baseline.columns]
+    old = baseline.select(*keys, F.col("score").alias("before"))
+    return current.join(old, keys, "left").select("repo_id", "category", "score", F.coalesce("before", F.lit(0.0)).alias("before"), (F.col("score") - F.coalesce("before", F.lit(0.0))).alias("change"))
 
 
 def breakpoint_band(value: Column, breakpoints: Column) -> Column:
