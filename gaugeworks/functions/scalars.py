@@ -66,6 +66,11 @@ def percentage(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part * 100.0, whole.cast("double")), F.lit(0.0))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half up by binary arithmetic, the same in every engine."""
+    return F.floor(value * float(10**digits) + 0.5) / float(10**digits)
+
+
 def shorten(text: Column, size: int) -> Column:
     """At most ``size`` characters, the last three dots if something was cut."""
     return F.when(F.length(text) <= size, text).when(F.lit(size <= 3), F.substring(text, 1, size)).otherwise(F.concat(F.substring(text, 1, size - 3), F.lit("...")))

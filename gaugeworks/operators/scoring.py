@@ -23,11 +23,13 @@ def score_metrics(raw: DataFrame, config: DataFrame) -> DataFrame:
     Only categories of which the repository has some metric are scored. A
     metric marked as unavailable keeps a score of 0 and no weight later on.
     """
-    present = raw.join(F.broadcast(config.select("metric", "category")), "metric").select("repo_id", "category").distinct()
-    wanted = present.join(F.broadcast(config), "category")
     extra = ["evidence"] if "evidence" in raw.columns else []
-    got = raw.select("repo_id", "metric", "value", "available", *extra)
-    joined = wanted.join(got, ["repo_id", "metric"], "left")
+    named = raw.join(F.broadcast(config.select("metric", "category")), "metric")
+    pair = F.struct("metric", F.struct("value", "available", *extra).alias("got"))
+    # A category has a few metrics, each once a repository; so one pass over the values is enough.
+    present = named.groupBy("repo_id", "category").agg(F.map_from_entries(F.collect_list(pair)).alias("m"))
+    joined = present.join(F.broadcast(config), "category").withColumn("got", F.try_element_at("m", F.col("metric")))
+    joined = joined.select("repo_id", "category", "category_weight", "metric", "weight", "breakpoints", "got.*")
     value = F.coalesce("value", F.lit(0.0))
     available = F.coalesce("available", F.lit(True))
     score = F.when(available, interpolate(value, F.col("breakpoints"))).otherwise(F.lit(0.0))
@@ -75,16 +77,18 @@ def recommend(sub: DataFrame, top: int = RANKED) -> DataFrame:
     share of the composite weight, times the metric's share of the category's,
     times t - s; so the what-if needs no second pass over the metrics.
     """
-    categories = category_scores(sub)
-    totals = categories.where("score is not null").groupBy("repo_id").agg(F.sum("weight").alias("all_weight"))
-    shares = sub.where("available").groupBy("repo_id", "category").agg(F.sum("weight").alias("own_weight"))
-    open_metrics = sub.where(F.col("available") & (F.col("score") < GOOD_SCORE))
+    of_category, of_repo = Window.partitionBy("repo_id", "category"), Window.partitionBy("repo_id")
+    own = F.sum(F.when(F.col("available"), F.col("weight"))).over(of_category)
+    first = F.row_number().over(of_category.orderBy("metric")) == 1
+    shares = sub.withColumn("own_weight", own).withColumn("first", first)
+    shares = shares.withColumn("all_weight", F.sum(F.when(F.col("first") & (F.col("own_weight") > 0), F.col("category_weight"))).over(of_repo))
+    open_metrics = shares.where(F.col("available") & (F.col("score") < GOOD_SCORE))
     target = target_point(F.col("breakpoints"), F.col("score"))
-    found = open_metrics.withColumn("target", target).where("target is not null").join(shares, ["repo_id", "category"]).join(totals, "repo_id")
+    found = open_metrics.withColumn("target", target).where("target is not null")
     gap = F.col("target.score") - F.col("score")
     impact = F.coalesce(F.try_divide(F.col("category_weight"), F.col("all_weight")) * F.try_divide(F.col("weight"), F.col("own_weight")) * gap, F.lit(0.0))
     ranked = found.select("repo_id", "category", "metric", F.col("raw_value").alias("current_value"), F.col("score").alias("current_score"), F.col("target.value").alias("target_value"), F.col("target.score").alias("target_score"), impact.alias("score_improvement"), effort(gap, F.col("metric")).alias("effort"))
-    order = Window.partitionBy("repo_id").orderBy(F.desc("score_improvement"), "category", "metric")
+    order = Window.partitionBy("repo_id").orderBy(F.desc(F.round("score_improvement", 9)), "category", "metric")
     return ranked.where("score_improvement > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 

@@ -55,8 +55,17 @@ def coupling(pairs: DataFrame, strong: float = STRONG) -> DataFrame:
 
 def author_fragmentation(changes: DataFrame, as_of: dt.datetime, days: int = WINDOW_DAYS) -> DataFrame:
     """The mean number of distinct authors of a file within the window."""
-    files = changes.where(since(F.col("ts"), as_of, days)).groupBy("repo_id", "path").agg(F.count_distinct("author").alias("authors"))
-    return files.groupBy("repo_id").agg(F.avg("authors").alias("author_fragmentation"), F.count("*").alias("files"))
+    return _fragmentation(_file_sums(changes, as_of, days))
+
+
+def _file_sums(changes: DataFrame, as_of: dt.datetime, days: int = WINDOW_DAYS) -> DataFrame:
+    """Changed lines of each file, and its authors within the window."""
+    by_author = changes.groupBy("repo_id", "path", "author").agg(F.sum(F.col("added") + F.col("deleted")).alias("lines"), F.bool_or(since(F.col("ts"), as_of, days)).alias("lately"))
+    return by_author.groupBy("repo_id", "path").agg(F.sum("lines").alias("total_changes"), F.count_if("lately").alias("recent_authors"))
+
+
+def _fragmentation(files: DataFrame) -> DataFrame:
+    return files.where("recent_authors > 0").groupBy("repo_id").agg(F.avg("recent_authors").alias("author_fragmentation"), F.count("*").alias("files"))
 
 
 def change_gaps(changes: DataFrame) -> DataFrame:
@@ -88,12 +97,19 @@ def file_changes(changes: DataFrame) -> DataFrame:
 
 
 def hotspot_concentration(files: DataFrame) -> DataFrame:
-    """The share of changes in the most changed tenth of the files, one file at least; null without changes."""
-    order = Window.partitionBy("repo_id").orderBy(F.desc("total_changes"), "path")
-    total = files.groupBy("repo_id").agg(F.count("*").alias("files"))
-    ranked = files.withColumn("rank", F.row_number().over(order)).join(total, "repo_id")
-    hot = F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("files") / 10)), F.col("total_changes")).otherwise(0)
-    return ranked.groupBy("repo_id").agg(F.try_divide(F.sum(hot) * 100.0, F.sum("total_changes").cast("double")).alias("hotspot_concentration"))
+    """The share of changes in the most changed tenth of the files, one file at least; null without changes.
+
+    Files are counted by their number of changes first, so the window runs over
+    distinct numbers, not over a repository's files; ties do not matter to the sum.
+    """
+    counted = files.groupBy("repo_id", "total_changes").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("repo_id").orderBy(F.desc("total_changes")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("repo_id")
+    hot = F.greatest(F.lit(1), F.floor(F.sum("n").over(every) / 10))
+    ranked = counted.withColumn("upto", F.sum("n").over(order)).withColumn("hot", hot)
+    taken = F.greatest(F.lit(0), F.least("n", F.col("hot") - F.col("upto") + F.col("n")))
+    sums = ranked.groupBy("repo_id").agg(F.sum(taken * F.col("total_changes")).alias("in_hot"), F.sum(F.col("n") * F.col("total_changes")).alias("in_all"))
+    return sums.select("repo_id", F.try_divide(F.col("in_hot") * 100.0, F.col("in_all").cast("double")).alias("hotspot_concentration"))
 
 
 def top_hotspots(files: DataFrame, top: int = 10) -> DataFrame:
@@ -102,14 +118,18 @@ def top_hotspots(files: DataFrame, top: int = 10) -> DataFrame:
     return files.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def history_metrics(commits: DataFrame, changes: DataFrame, as_of: dt.datetime, strong: float = STRONG, days: int = WINDOW_DAYS) -> DataFrame:
-    """The five history metrics of each repository, long: repo_id, metric, value, available."""
+def history_metrics(commits: DataFrame, changes: DataFrame, as_of: dt.datetime, strong: float = STRONG, days: int = WINDOW_DAYS, coupled: DataFrame | None = None) -> DataFrame:
+    """The five history metrics of each repository, long: repo_id, metric, value, available.
+
+    Coupling may be measured on other changes (``coupled``), as of coarser paths.
+    """
+    files = _file_sums(changes, as_of, days)
     parts = [
         churn_rate(commits, changes, as_of, days).select("repo_id", F.lit("churn_rate").alias("metric"), F.col("churn_rate").alias("value")),
-        coupling(coupled_pairs(changes), strong).select("repo_id", F.lit("temporal_coupling_pct").alias("metric"), F.col("temporal_coupling_pct").alias("value")),
-        author_fragmentation(changes, as_of, days).select("repo_id", F.lit("author_fragmentation").alias("metric"), F.col("author_fragmentation").alias("value")),
+        _fragmentation(files).select("repo_id", F.lit("author_fragmentation").alias("metric"), F.col("author_fragmentation").alias("value")),
         commit_stability(changes).select("repo_id", F.lit("commit_stability").alias("metric"), F.col("commit_stability").alias("value")),
-        hotspot_concentration(file_changes(changes)).select("repo_id", F.lit("hotspot_concentration").alias("metric"), F.col("hotspot_concentration").alias("value")),
+        hotspot_concentration(files).select("repo_id", F.lit("hotspot_concentration").alias("metric"), F.col("hotspot_concentration").alias("value")),
+        coupling(coupled_pairs(coupled if coupled is not None else changes), strong).select("repo_id", F.lit("temporal_coupling_pct").alias("metric"), F.col("temporal_coupling_pct").alias("value")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -63,10 +63,8 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
 def _sub(spark: SparkSession, sf: str) -> DataFrame:
     """Scored history metrics; coupling is measured between brands, the rest between parts."""
     config = ScoringConfig().frame(spark)
-    by_part = temporal.history_metrics(commits(spark, sf), changes(spark, sf), AS_OF).where("metric != 'temporal_coupling_pct'")
-    by_brand = temporal.coupling(temporal.coupled_pairs(changes(spark, sf, by_brand=True)), STRONG)
-    linked = by_brand.select("repo_id", F.lit("temporal_coupling_pct").alias("metric"), F.col("temporal_coupling_pct").alias("value"), F.lit(True).alias("available"))
-    return scoring.score_metrics(by_part.unionByName(linked), config)
+    got = temporal.history_metrics(commits(spark, sf), changes(spark, sf), AS_OF, STRONG, coupled=changes(spark, sf, by_brand=True))
+    return scoring.score_metrics(got, config)
 
 
 def sub_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +169,7 @@ bp(metric, i, target_value, target_score) AS (VALUES {_POINTS}),
 o AS (SELECT *, sum(weight) OVER (PARTITION BY repo_id) AS w FROM sub),
 x AS (SELECT o.*, target_value, target_score, row_number() OVER (PARTITION BY repo_id, o.metric ORDER BY target_score, i) AS k FROM o JOIN bp ON bp.metric = o.metric AND target_score > score WHERE score < 9),
 y AS (SELECT *, weight / w * (target_score - score) AS gain FROM x WHERE k = 1),
-z AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY gain DESC, metric) AS rank FROM y WHERE gain > 0)
+z AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY round(gain, 9) DESC, metric) AS rank FROM y WHERE gain > 0)
 SELECT repo_id, rank, metric, round(score, 6) AS current_score, CAST(target_value AS DOUBLE) AS target_value, CAST(target_score AS DOUBLE) AS target_score, round(gain, 6) AS score_improvement,
   CASE WHEN target_score - score >= 2.5 THEN 'High' WHEN target_score - score >= 1 THEN 'Medium' ELSE 'Low' END AS effort
 FROM z WHERE rank <= 5

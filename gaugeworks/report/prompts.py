@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.scalars import rounded
 from gaugeworks.operators.scoring import GOOD_SCORE
 
 # The best score, and commands that build and test a project of a language.
@@ -71,7 +72,7 @@ def prompts(sub: DataFrame) -> DataFrame:
     """
     wanted = sub.where(F.col("available") & (F.col("score") < GOOD_SCORE)).withColumn("target", next_target(F.col("breakpoints"), F.col("score")))
     name = F.replace(F.col("metric"), F.lit("_"), F.lit(" "))
-    context = F.concat(F.lit("## Context\nThe "), name, F.lit(" of "), F.col("repo_id"), F.lit(" is "), number_text(F.round("raw_value", 2)), F.format_string(" (score %.1f of 10).", "score"))
+    context = F.concat(F.lit("## Context\nThe "), name, F.lit(" of "), F.col("repo_id"), F.lit(" is "), number_text(rounded(F.col("raw_value"), 2)), F.format_string(" (score %.1f of 10).", rounded(F.col("score"), 1)))
     build = F.concat(F.lit("## Build and test\n"), by_language(F.col("language"), BUILD, "# commands of your project"))
     task = F.concat(F.lit("## Task\nBring it to "), number_text(F.col("target.value")), F.format_string(" (score %.1f).", F.col("target.score")))
     check = F.concat(F.lit("## Verification\n"), by_language(F.col("language"), TEST, "# your tests"))
@@ -94,7 +95,7 @@ def reply_score(reply: Column) -> Column:
     """(score, reason, error) of an evaluator's JSON reply; scores outside 1 to 10 and replies that do not parse are errors."""
     got = F.from_json(reply, "structured_output struct<score:int,reason:string>")["structured_output"]
     score = F.coalesce(got["score"], F.lit(0))
-    parsed = F.is_valid_json(reply) if hasattr(F, "is_valid_json") else F.try_parse_json(reply).isNotNull()
+    parsed = F.try_parse_json(reply).isNotNull()
     error = F.when(~parsed, "unreadable reply").when(~score.between(1, 10), "score out of range")
     return F.struct(F.when(error.isNull(), score).alias("score"), F.when(error.isNull(), F.coalesce(got["reason"], F.lit(""))).alias("reason"), error.alias("error"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import badge_text
@@ -44,6 +44,16 @@ def trend(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return current.join(old, keys, "left").select("repo_id", "category", "score", F.coalesce("before", F.lit(0.0)).alias("before"), (F.col("score") - F.coalesce("before", F.lit(0.0))).alias("change"))
 
 
+def metric_lights(sub: DataFrame, green: float = 8.0, yellow: float = 6.0) -> DataFrame:
+    """Scored metrics with a traffic light by their own score, grey where they are unavailable."""
+    return sub.withColumn("light", F.when(F.col("available"), light(F.col("score"), green, yellow, falling=False)).otherwise("grey"))
+
+
+def in_category_order(categories: DataFrame) -> DataFrame:
+    """Category results with their place in a repository's report."""
+    return categories.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy("category")))
+
+
 def breakpoint_band(value: Column, breakpoints: Column) -> Column:
     """The place (from 1) of the first breakpoint at or above the value, else of the last."""
     at = F.array_position(F.transform(breakpoints, lambda b: b["value"] >= value), True)
