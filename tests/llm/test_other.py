@@ -1,6 +1,7 @@
 """URL filter, media columns, toxicity, the pipeline, and the registered SQL."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -273,6 +274,32 @@ def test_classifier_learns_words_and_prefixes():
     assert planted > clean
 
 
+def plain_score(model, text):
+    """The model's score by a loop over words, filters and places."""
+    words = text.split()
+    rows = [np.frombuffer(op9_toxicity.buckets_of(w), "<u2") for w in words]
+    vectors = [model.vectors[r].sum(0) for r in rows] + [np.zeros(op9_toxicity.DIM)] * 4
+    pooled = []
+    for width, filters in zip(op9_toxicity.WIDTHS, model.filters, strict=True):
+        for k in range(op9_toxicity.FILTERS):
+            pooled.append(max(sum(float(vectors[at + o] @ filters[o][:, k]) for o in range(width)) for at in range(len(words) + 2)))
+    z = sum(max(0.0, p + float(b)) * float(o) for p, b, o in zip(pooled, model.bias, model.out, strict=True)) + model.const
+    tongue = op9_toxicity.language({w.lower() for w in words})
+    return 1 / (1 + math.exp(-max(-30, min(30, z - model.thresholds.get(tongue, model.thresholds["other"])))))
+
+
+def test_scores_equal_a_plain_convolution(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["nice", "day", "the", "of", "calm", "sea", "idiot", "awful"][: 6 if k % 2 else 8]) for _ in range(rng.randint(0, 40))) for k in range(120)]
+    model = op9_toxicity.train(texts, [int("idiot" in t) for t in texts], 1.0)
+    got = op9_toxicity.Scorer(model).scores(texts)
+    assert np.allclose(got, [plain_score(model, t) for t in texts], atol=1e-4)
+    monkeypatch.setattr(op9_toxicity, "STEP_WORDS", 7)
+    assert np.allclose(got, op9_toxicity.Scorer(model).scores(texts), atol=1e-4)
+    sliced = op9_toxicity.train(texts, [int("idiot" in t) for t in texts], 1.0)
+    assert np.allclose(sliced.vectors, model.vectors, atol=1e-3)
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, empty):
     docs = awkward.select("doc_id", "text", "score")
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (5, None)], "doc_id long, toxic int")
