@@ -13,18 +13,20 @@ Format of a shard (``part-PPPPPP-KKKKKK.tzd``), integers little-endian:
 
 One document is read by its offset alone: seek, read a frame, decompress it
 with ``dictionary.zdict`` of the same folder. The dictionary is trained on the
-id arrays of a bounded sample (``SAMPLE_DOCS`` documents, at most
-``SAMPLE_CHARS`` characters of each); it only affects sizes, never contents.
+id arrays of a bounded sample (``SAMPLE_DOCS`` documents, of longer ones the
+``SAMPLE_CHARS`` characters from a hashed place); it only affects sizes, never
+contents.
 
-Documents are dealt to parts by ranges of doc_id and sorted in them, so parts in
-order hold ascending numbers. A task writes each shard to a name of its own and
+Documents are dealt to at most ``MAX_PARTS`` parts by ranges of doc_id and a hash
+of the text, and sorted in them, so parts in order hold ascending numbers and a
+number that many rows share is split; a part is streamed, whatever its size. A task writes each shard to a name of its own and
 renames it when complete, and contents depend on the rows alone: a task that
 runs again leaves the same files. The ids before a document are those before
 its part (a sum over parts), its shard in the part, and its place in the shard.
 
 Defined results: null and empty texts hold the end id alone; a null doc_id
 comes first; rows that repeat a doc_id are each written, in the order of their
-texts; other columns are ignored; an empty table writes no shard.
+texts' hashes; very long texts are one frame; other columns are ignored; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ MAGIC, END_ID, NULL_ID = b"GTOKZD01", 2, -(1 << 63)
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 4000, 64 << 10
 #: A shard is closed once it holds this many ids; a part is meant to hold this much text.
 SHARD_IDS, PART_CHARS = 4 << 20, 16 << 20
+#: Parts at most, and so rows that the driver gets and the running sum over parts has.
+MAX_PARTS = 1 << 14
 LEVEL = 3
 CALL = 64
 
@@ -65,7 +69,8 @@ def sample(docs: DataFrame, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) ->
     """A bounded sample that depends on the rows alone: the smallest hashes of doc_id."""
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     # n numbers at most: small enough to broadcast at any size.
-    rows = docs.select("doc_id", F.substring(text_of(), 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id")
+    start = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length(text_of()) - chars + 1))
+    rows = docs.select("doc_id", text_of().substr(start.cast("int"), F.lit(chars)).alias("text")).join(F.broadcast(chosen), "doc_id")
     return rows.orderBy("doc_id", "text").limit(n).select("text")
 
 
@@ -176,9 +181,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, part_chars: int =
         if total:
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([total], pa.int64())], ["part", "n_ids"])
 
-    dealt = rows.repartitionByRange(1 + chars // part_chars, "doc_id")
-    sums = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, n_ids long")
-    found = [tuple(r) for r in sums.collect()]  # one small row a part, as many as there are tasks
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = rows.repartitionByRange(min(MAX_PARTS, 1 + chars // part_chars), *order[:2])
+    sums = dealt.sortWithinPartitions(*order).mapInArrow(run, "part int, n_ids long")
+    found = [tuple(r) for r in sums.collect()]  # one small row a part, MAX_PARTS at most
     return Written(folder, dictionary, spark.createDataFrame(found, "part int, n_ids long"))
 
 
@@ -208,7 +214,7 @@ def read_tokens(spark: SparkSession, written: Written, digests: bool = False) ->
     else:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tzd").load(written.folder)
         empty = files.select("path", "content").mapInArrow(run, schema)
-    # As many rows as there are parts: a running sum over them is small at any size.
+    # MAX_PARTS rows at most: a running sum over them is small at any size.
     before = parts.select("part", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("base"))
     name = "ids_crc32" if digests else "ids"
     return empty.join(before, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", F.col("value").alias(name))
