@@ -1,7 +1,9 @@
 """Packing token ids into windows by minimum bin slack.
 
-Documents are dealt to packing groups by a hash of their number; groups have a
-bounded expected amount of text, and their number follows the corpus. In a
+Documents are dealt to packing groups by a hash of their number and text; groups
+have a bounded expected amount of text, and their number follows the corpus,
+while that of partitions is bounded: a partition goes through its groups one by
+one. In a
 group, documents longer than a window are cut into full windows; what is left
 of each is a length in a multiset. For each window a subset-sum search over a
 bitset (one bit for each sum up to the capacity, one step for each copy of a
@@ -12,7 +14,8 @@ go to sequences of power-of-two lengths, which need no padding; so no sequence
 is padded at all.
 
 Defined results: null and empty texts hold the end id alone; rows that repeat a
-doc_id are packed each; other columns are ignored; an empty table gives an
+doc_id are packed each; ties of length go by number and ids; very long texts
+are cut at windows; other columns are ignored; an empty table gives an
 empty table. Sequence numbers hold the group above bit 32.
 """
 
@@ -23,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from gaugeworks.llm.wordbpe import default_path, encoder
 WINDOW, END_ID = 4096, 2
 #: Text that a packing group is meant to hold.
 GROUP_CHARS = 8 << 20
+#: Partitions at most.
+MAX_PARTS = 1 << 14
 CALL = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -128,26 +132,36 @@ def pack_tokens(docs: DataFrame, tokenizer: str, window: int = WINDOW, group_cha
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = 1 + chars // group_chars
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = struct.pack("<I", END_ID)
-        held: list[tuple[int, bytes]] = []
-        for batch in batches:
-            numbers, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-            for at in range(0, len(texts), CALL):
-                got = encoder(tokenizer).encode(texts[at : at + CALL])
-                held += [(n, a + end) for n, a in zip(numbers[at : at + CALL], got, strict=True)]
-        if not held:
-            return
+    def packed(group: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda x: (x[0] is not None, x[0], x[1]))  # the same order whenever the task runs
-        base = TaskContext.get().partitionId() << 32
         pieces = pack([len(a) // 4 for _, a in held], window)
         for at in range(0, len(pieces), 10_000):
             some = pieces[at : at + 10_000]
             crc = [zlib.crc32(held[d][1][4 * s : 4 * (s + n)]) for d, s, n, _, _ in some]
-            cols = [[held[p[0]][0] for p in some], [p[1] for p in some], [p[2] for p in some], crc, [len(held[p[0]][1]) // 4 for p in some], [base + p[3] for p in some], [p[4] for p in some]]
+            cols = [[held[p[0]][0] for p in some], [p[1] for p in some], [p[2] for p in some], crc, [len(held[p[0]][1]) // 4 for p in some], [(group << 32) + p[3] for p in some], [p[4] for p in some]]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return rows.repartition(groups, F.xxhash64("doc_id")).mapInArrow(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = struct.pack("<I", END_ID)
+        held: list[tuple[int, bytes]] = []
+        now = None
+        for batch in batches:
+            numbers, texts, of_group = batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist()
+            for at in range(0, len(texts), CALL):
+                got = encoder(tokenizer).encode(texts[at : at + CALL])
+                for number, ids, group in zip(numbers[at : at + CALL], got, of_group[at : at + CALL], strict=True):
+                    if group != now and held:
+                        yield from packed(now, held)
+                        held = []
+                    now = group
+                    held.append((number, ids + end))
+        if held:
+            yield from packed(now, held)
+
+    parts = min(groups, MAX_PARTS)
+    grouped = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    dealt = grouped.repartitionById(parts, (F.col("group") % parts).cast("int"))
+    return dealt.sortWithinPartitions("group").mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

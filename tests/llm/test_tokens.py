@@ -153,6 +153,13 @@ def test_packing_covers_every_id_once(word, sample):
     check_pieces(pieces, texts, word, 4096)
 
 
+def test_partitions_go_through_many_groups(word, sample, monkeypatch):
+    alone = op6_packing.pack_tokens(sample, default_path(), group_chars=50_000).collect()
+    monkeypatch.setattr(op6_packing, "MAX_PARTS", 2)
+    assert sorted(map(tuple, op6_packing.pack_tokens(sample, default_path(), group_chars=50_000).collect())) == sorted(map(tuple, alone))
+    assert len({r["sequence_id"] >> 32 for r in alone}) > 2
+
+
 def test_packing_of_awkward_rows(word, awkward, empty):
     once = awkward.where("doc_id is not null and doc_id != 10")
     texts = {r[0]: r[1] for r in once.select("doc_id", "text").collect()}
