@@ -265,11 +265,13 @@ def _links_of(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = _lists(group.column("shingles"), np.uint64)
         pairs = []
         for at in _each_tile(tile):
+            # A row of documents that stands there more than once gives its set as often.
+            at = at[np.unique(np.stack([ids[at], asks[at]]), axis=1, return_index=True)[1]]
             pairs += [(ids[at[i]], ids[at[j]]) for i, j in tile_links([found[k] for k in at], labels[at], asks[at], percent)]
         u, v = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    with_sets = wanted.drop("n").join(sets(wanted.select("id").distinct()), "id")
+    with_sets = sets(wanted.drop("n"))
     out = materialise(with_sets.withColumn("g", _dealt(rows, shingles)).groupBy("g").applyInArrow(verify, "u long, v long"))
     release(placed)
     release(wanted)
@@ -327,14 +329,18 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, CALL):
                 part = batch.slice(at, CALL)
-                got = shingle_sets(strings(part.column(1)), words)
-                yield pa.record_batch([part.column(0), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "shingles"])
+                # Rows of one document, one for each of its tiles, follow each other.
+                ids = part.column(1).to_numpy()
+                first = np.r_[0, np.flatnonzero(np.diff(ids)) + 1]
+                got = shingle_sets(strings(part.column(4).take(pa.array(first))), words)
+                which = np.cumsum(np.r_[0, np.diff(ids) != 0])
+                yield pa.record_batch([*part.columns[:4], pa.array([got[k].view(np.int64) for k in which], pa.list_(pa.int64()))], [*part.schema.names[:4], "shingles"])
 
     def sets(wanted: DataFrame) -> DataFrame:
-        """The sets of some nodes, made again from a text of each."""
-        source = materialise(nodes.join(wanted, "id", "left_semi").select("id", "doc_id", "h"))
-        texts = rows.join(source.hint("merge"), ["doc_id", "h"]).select("id", "text")
-        return texts.mapInArrow(gather, "id long, shingles array<long>").dropDuplicates(["id"])
+        """Rows (tile, id, label, asks) with the node's set, made again from its text, which moves once."""
+        source = materialise(nodes.select("id", "doc_id", "h").join(wanted, "id"))
+        texts = rows.join(source.hint("merge"), ["doc_id", "h"]).select("tile", "id", "label", "asks", "text")
+        return texts.mapInArrow(gather, "tile long, id long, label long, asks boolean, shingles array<long>")
 
     sized = members.join(light, "id")
     large = sized.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")).where("tiles > 1")
