@@ -41,8 +41,8 @@ order; other columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -233,7 +233,7 @@ def _dealt(rows: int, shingles: int) -> Column:
     return F.pmod(F.xxhash64("tile"), F.lit(1 + max(rows // GROUP_ROWS, shingles // GROUP_SHINGLES))).alias("g")
 
 
-def _links_of(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_of(placed: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (u, v) among the rows of each tile of ``placed`` (tile, id, n, vec, label, asks)."""
     rows, shingles = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
@@ -336,10 +336,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
                 which = np.cumsum(np.r_[0, np.diff(ids) != 0])
                 yield pa.record_batch([*part.columns[:4], pa.array([got[k].view(np.int64) for k in which], pa.list_(pa.int64()))], [*part.schema.names[:4], "shingles"])
 
-    def sets(wanted: DataFrame) -> DataFrame:
-        """Rows (tile, id, label, asks) with the node's set, made again from its text, which moves once."""
+    def sets(wanted: DataFrame, few: bool = False) -> DataFrame:
+        """Rows (tile, id, label, asks) with the node's set, made again from its text, which moves once.
+
+        Where they should be ``few``, Spark may broadcast them, if their table is small enough for that.
+        """
         source = materialise(nodes.select("id", "doc_id", "h").join(wanted, "id"))
-        texts = rows.join(source.hint("merge"), ["doc_id", "h"]).select("tile", "id", "label", "asks", "text")
+        texts = rows.join(source if few else source.hint("merge"), ["doc_id", "h"]).select("tile", "id", "label", "asks", "text")
         return texts.mapInArrow(gather, "tile long, id long, label long, asks boolean, shingles array<long>")
 
     sized = members.join(light, "id")
@@ -353,7 +356,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     settled = materialise(components(links))
     if large.head(1):
         apart = _apart(members.join(large, "pivot"), settled, light)
-        more = _links_of(materialise(apart), sets, percent)
+        more = _links_of(materialise(apart), partial(sets, few=True), percent)
         links = materialise(links.unionByName(more))
         settled = materialise(components(links))
     # Most sets have neither copies nor links; the rows of the others meet by class.
