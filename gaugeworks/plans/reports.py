@@ -15,14 +15,14 @@ from gaugeworks.report import prompts, render
 WIDE = """
 SELECT 's' || CAST(l_suppkey AS STRING) AS repo_id, CASE l_suppkey % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'Python' WHEN 2 THEN 'typescript' ELSE 'rust' END AS language,
 CAST(avg(l_quantity) AS DOUBLE) AS complexity_avg, CAST(avg(l_quantity * 2) AS DOUBLE) AS func_length_avg, CAST(max(l_quantity) * 9 AS DOUBLE) AS file_size_avg,
-CAST(count(DISTINCT l_partkey) / 20.0 AS DOUBLE) AS afferent_coupling_avg, CAST(count(*) / 40.0 AS DOUBLE) AS efferent_coupling_avg, CAST(avg(l_discount) * 100 AS DOUBLE) AS duplication_rate,
+CAST(count(DISTINCT l_partkey) / 20.0 AS DOUBLE) AS afferent_coupling_avg, CAST(count(*) / 40.0 AS DOUBLE) AS efferent_coupling_avg, CAST(avg(l_discount) * 97 AS DOUBLE) AS duplication_rate,
 CAST(100.0 * count_if(l_returnflag = 'N') / count(*) AS DOUBLE) AS type_annotation_coverage, CAST(100.0 * count_if(l_linestatus = 'O') / count(*) AS DOUBLE) AS naming_consistency,
-CAST(avg(l_tax) * 1000 AS DOUBLE) AS magic_number_ratio, max(l_quantity) > 49 AS type_strictness, CAST(100.0 * count_if(l_linenumber > 2) / count(*) AS DOUBLE) AS null_safety,
+CAST(avg(l_tax) * 997 AS DOUBLE) AS magic_number_ratio, max(l_quantity) > 49 AS type_strictness, CAST(100.0 * count_if(l_linenumber > 2) / count(*) AS DOUBLE) AS null_safety,
 max(l_linenumber) AS max_dir_depth, CAST(avg(l_linenumber) AS DOUBLE) AS module_fanout_avg, count_if(l_quantity = 50) AS circular_deps, CAST(avg(l_linenumber) / 2 AS DOUBLE) AS import_complexity_avg, count_if(l_quantity > 46) AS dead_exports,
 count(*) AS readme_word_count, CAST(avg(l_quantity) / 2 AS DOUBLE) AS comment_density, CAST(100.0 * count_if(l_discount > 0.04) / count(*) AS DOUBLE) AS api_doc_coverage,
 l_suppkey % 2 = 0 AS changelog_present, l_suppkey % 3 = 0 AS examples_present, l_suppkey % 5 = 0 AS contributing_present, l_suppkey % 7 = 0 AS diagrams_present,
-l_suppkey % 6 <> 0 AS c5_available, CAST(avg(l_quantity) * 11 AS DOUBLE) AS churn_rate, CAST(avg(l_tax) * 300 AS DOUBLE) AS temporal_coupling_pct, CAST(avg(l_linenumber) AS DOUBLE) AS author_fragmentation, CAST(avg(l_discount) * 100 AS DOUBLE) AS commit_stability, CAST(max(l_tax) * 1000 AS DOUBLE) AS hotspot_concentration,
-CAST(avg(l_tax) * 10 AS DOUBLE) AS test_to_code_ratio, CASE WHEN l_suppkey % 4 = 3 THEN -1.0 ELSE CAST(avg(l_quantity) * 2 AS DOUBLE) END AS coverage_percent, CAST(100.0 * count_if(l_tax > 0.02) / count(*) AS DOUBLE) AS test_isolation, CAST(avg(l_linenumber) AS DOUBLE) AS assertion_density_avg,
+l_suppkey % 6 <> 0 AS c5_available, CAST(avg(l_quantity) * 11 AS DOUBLE) AS churn_rate, CAST(avg(l_tax) * 317 AS DOUBLE) AS temporal_coupling_pct, CAST(avg(l_linenumber) AS DOUBLE) AS author_fragmentation, CAST(avg(l_discount) * 97 AS DOUBLE) AS commit_stability, CAST(max(l_tax) * 1000 AS DOUBLE) AS hotspot_concentration,
+CAST(avg(l_tax) * 11 AS DOUBLE) AS test_to_code_ratio, CASE WHEN l_suppkey % 4 = 3 THEN -1.0 ELSE CAST(avg(l_quantity) * 2 AS DOUBLE) END AS coverage_percent, CAST(100.0 * count_if(l_tax > 0.02) / count(*) AS DOUBLE) AS test_isolation, CAST(avg(l_linenumber) AS DOUBLE) AS assertion_density_avg,
 count_if(l_linenumber = 1) AS test_files, count_if(l_linenumber > 1) AS source_files,
 l_suppkey % 8 <> 0 AS c7_available, 1 + l_suppkey % 10 AS task_execution_consistency, 1 + l_suppkey % 9 AS code_behavior_comprehension, 10 - l_suppkey % 7 AS cross_file_navigation, 1 + l_suppkey % 3 AS identifier_interpretability, 4 + l_suppkey % 5 AS documentation_accuracy_detection
 FROM {lineitem} GROUP BY l_suppkey"""
