@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``. ``run`` writes each stage as Parquet
 in the cluster's shared folder and reads it back as the next one's documents,
 so a lost executor costs part of one stage at most.
+
+Defined results, in all stages: other columns come along as they are, whatever
+their names; a null doc_id is smaller than any and counts as a number of its
+own; null texts count as empty, and rows without words pass the three stages
+that compare words; of rows equal in doc_id and text one stays after exact
+dedup, so that no later stage meets a tie; very long texts are judged whole; an
+empty table passes through, and packs to no piece.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each connected group of near duplicates, the document with the smallest doc_id."""
+    """Of each connected group of near duplicates, the row with the smallest doc_id; rows that share only a doc_id stay."""
     return op1_jaccard_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
