@@ -157,6 +157,14 @@ def test_near_duplicates_keep_rows_that_share_only_a_number(spark, awkward, empt
     assert op1_jaccard_join.keep_one(empty, 5, 80).count() == 0
 
 
+def test_near_duplicates_kept_equal_brute_force(spark, sample):
+    """The pipeline's stage: of each group of the smallest tables' documents, the smallest number stays."""
+    rows = [(r["doc_id"], r["text"]) for r in sample.select("doc_id", "text").collect()]
+    want = op1_jaccard_join.brute_force(rows, 5, 80)
+    got = [r["doc_id"] for r in op1_jaccard_join.keep_one(sample, 5, 80).select("doc_id").collect()]
+    assert sorted(got) == sorted(d for d, (n, c) in want.items() if n == 0 or c == d) and len(got) < len(rows)
+
+
 def exact_expected(rows):
     norm = [(d, (t or "").translate(LOWER)) for d, t in rows]
     count = Counter(t for _, t in norm)
