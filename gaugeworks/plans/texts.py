@@ -31,6 +31,8 @@ def _windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def duplication(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines inside duplicated windows. Every line of a longer clone lies in a duplicated window of the least
+    length, so windows of that length alone find all of them."""
     totals = table(spark, sf, "documents").groupBy(F.col("lang").alias("repo_id")).agg(F.sum(scalars.line_count_open(F.col("text"))).alias("lines"))
     got = clones.duplication_rate(_windows(spark, sf), totals)
     return got.select("repo_id", "lines", "duplicated_lines", F.round("duplication_rate", 6).alias("duplication_rate"))
