@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gaugeworks.llm.runtime import bound_batches, materialise, strings, table
 from gaugeworks.llm.webp import read_images, split_images, write_images
 
-WIDTH, ROWS = 64, 256
+WIDTH, ROWS = 64, 64
+#: Texts that are encoded together.
+GROUP = 128
 #: Payload bytes that a task decodes in step.
 GATHER = 12 << 20
 
@@ -43,8 +45,8 @@ def encode_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(1))
-            for at in range(0, len(texts), 64):
-                some = texts[at : at + 64]
+            for at in range(0, len(texts), GROUP):
+                some = texts[at : at + GROUP]
                 pieces, owner = [], []
                 for k, text in enumerate(some):
                     data = np.frombuffer(payload_of(text), np.uint8)

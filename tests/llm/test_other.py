@@ -214,6 +214,68 @@ CASES += [([(0, m)], 0, None) for m in range(14)]
 def test_webp_features(transforms, cache, colours):
     image, stream = feature_image(transforms, cache, seed=len(transforms) + cache, colours=colours)
     assert np.array_equal(webp.read_stream(stream), image)
+    assert np.array_equal(webp.read_images([webp.container(stream)])[0], webp._channels(image)[..., 2::-1].ravel())
+
+
+def test_webp_streams_of_all_kinds_in_step():
+    made = [feature_image(t, c, seed=k, width=7 + k, height=5 + 3 * k, colours=n, meta=k % 3 == 0) for k, (t, c, n) in enumerate(CASES)]
+    read = webp.read_images([webp.container(stream) for _, stream in made])
+    assert all(np.array_equal(r, webp._channels(image)[..., 2::-1].ravel()) for r, (image, _) in zip(read, made, strict=True))
+    with pytest.raises(ValueError):
+        webp.read_images([webp.container(stream[: len(stream) // 2]) for _, stream in made])
+
+
+def test_webp_stream_put_together_from_the_specification():
+    """Four equal pixels: one literal and a copy of three from the left; every bit is written out here."""
+    fields = [(0x2F, 8), (3, 14), (0, 14), (0, 1), (0, 3)]  # signature, width - 1, height - 1, no alpha, version
+    fields += [(0, 1), (0, 1), (0, 1)]  # no transform, no colour cache, no meta codes
+    # Green: a normal code. Four lengths of the length code, for 17, 18, 0 and 1: 18 and 1 have one bit (1: 0, 18: 1).
+    fields += [(0, 1), (0, 4), (0, 3), (1, 3), (0, 3), (1, 3), (0, 1)]
+    # 65 zeros, one bit for 65; 138 + 54 zeros, one bit for 258; 21 zeros.
+    fields += [(1, 1), (65 - 11, 7), (0, 1), (1, 1), (138 - 11, 7), (1, 1), (54 - 11, 7), (0, 1), (1, 1), (21 - 11, 7)]
+    fields += [(1, 1), (0, 1), (1, 1), (67, 8), (1, 1), (0, 1), (1, 1), (68, 8), (1, 1), (0, 1), (1, 1), (255, 8)]  # red, blue, alpha: one symbol each
+    fields += [(1, 1), (0, 1), (0, 1), (1, 1)]  # distance: symbol 1, code 2, one pixel to the left
+    fields += [(0, 1), (1, 1)]  # literal 65; length symbol 258, three pixels
+    value = size = 0
+    for v, bits in fields:
+        value |= v << size
+        size += bits
+    stream = value.to_bytes(-(-size // 8), "little")
+    assert webp.read_images([webp.container(stream)])[0].tolist() == [67, 65, 68] * 4
+    assert (webp.read_stream(stream) == 0xFF434144).all()
+
+
+def features(image):
+    """The transforms of an image, and whether its codes hold back-references and cache hits."""
+    bits, _, height, steps, now = webp._head(webp._payload(image)[0])
+    cache, _, _, groups = webp._groups(bits, now, height, True)
+    green = groups[0][0].table >> 4
+    return {s[0] for s in steps}, bool(((green >= 256) & (green < 280)).any()), cache > 0 and bool((green >= 280).any())
+
+
+def test_media_images_use_the_features_of_the_format():
+    rng = np.random.default_rng(4)
+    word = lambda: bytes(rng.integers(97, 123, 6).tolist())
+    words = [word() for _ in range(60)]
+    base, g = rng.integers(33, 60, 192), rng.integers(40, 120, 64 * 40)
+    noise = rng.integers(33, 120, 64 * 40)
+    cases = {
+        "palette": b"".join([b"abcabdabe"[3 * k : 3 * k + 3] for k in rng.integers(0, 3, 64 * 20)]),
+        "above": np.concatenate([base + y for y in range(60)]).astype(np.uint8).tobytes(),
+        "left": np.clip(np.cumsum(rng.integers(-1, 2, (64 * 60, 3)), 0) % 90 + 33, 33, 122).astype(np.uint8).tobytes(),
+        "green": np.repeat(g, 3).astype(np.uint8).tobytes(),
+        "cross": np.stack([30 + g // 2, g, noise], 1).astype(np.uint8).tobytes(),
+        "text": b"".join(words[k] for k in rng.integers(0, 60, 1600)),
+        "again": rng.integers(97, 123, 192 * 8).astype(np.uint8).tobytes() * 4,
+    }
+    samples = [np.frombuffer(op7_media.payload_of(c.decode()), np.uint8) for c in cases.values()]
+    images = webp.write_images(samples, op7_media.WIDTH)
+    assert all(np.array_equal(a, b) for a, b in zip(webp.read_images(images), samples, strict=True))
+    assert images == [webp.write_images([s], op7_media.WIDTH)[0] for s in samples]
+    got = {k: features(i) for k, i in zip(cases, images, strict=True)}
+    assert webp.PALETTE in got["palette"][0] and webp.SUBTRACT_GREEN in got["green"][0] and webp.CROSS_COLOUR in got["cross"][0]
+    assert webp.PREDICTOR in got["above"][0] and webp.PREDICTOR in got["left"][0]
+    assert got["again"][1] and got["text"][2]
 
 
 def test_webp_meta_codes_and_damage():
