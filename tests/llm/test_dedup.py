@@ -175,14 +175,22 @@ def exact_expected(rows):
     return sorted(((d, best[t], count[t], d == best[t], hashlib.sha256(t.encode()).hexdigest()) for d, t in norm), key=repr)
 
 
-@pytest.mark.parametrize("block", [3, 64, 4096])
-def test_exact_dedup(spark, awkward, block):
+@pytest.mark.parametrize(("block", "part"), [(3, 512), (64, 2), (4096, 1), (4096, 512)])
+def test_exact_dedup(spark, awkward, block, part):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()] + [(d + 100, t) for d, t in documents(40)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     if block == 3:
         rows = [r for r in rows if len(r[1] or "") < 2000]
         frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = op3_exact_dedup.exact_duplicates(frame, block).collect()
+    got = op3_exact_dedup.exact_duplicates(frame, block, part).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == exact_expected(rows)
+
+
+def test_exact_dedup_of_texts_that_share_blocks(spark):
+    """Texts of one length and equal blocks in other places stay apart; frequent blocks lie in many parts."""
+    rows = [(k, "".join("abcd"[k * 7 + j * j & 3] * 4 for j in range(k % 5 + 1))) for k in range(120)] + [(500 + k, "é" * 9) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = op3_exact_dedup.exact_duplicates(frame, 4, 3).collect()
     assert sorted((tuple(r) for r in got), key=repr) == exact_expected(rows)
 
 
