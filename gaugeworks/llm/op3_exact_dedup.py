@@ -101,9 +101,13 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_rows:
     """doc_id, keep_id, group_size, kept and text_sha256 for each row of ``docs``."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_of()).alias("norm"))
     member = materialise(identities(base, block_bytes, part_rows))
-    groups = member.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # Most rows are alone; the groups grow with the rows, so the join is one by sorting whose hot keys can be split.
-    joined = member.join(groups.where("group_size > 1").hint("merge"), ["n_blocks", "name"], "left")
+    key = ["n_blocks", "name"]
+    groups = materialise(member.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
+    limit = max(part_rows, member.count() >> MOST_FREQUENT)
+    # Rows of large groups stay where they are: at most 2 ** MOST_FREQUENT groups are broadcast.
+    large = F.broadcast(groups.where(F.col("group_size") > limit))
+    small = groups.where(F.col("group_size") <= limit).hint("merge")
+    joined = member.join(large, key).unionByName(member.join(large, key, "left_anti").join(small, key, "left"))
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep = F.when(size > 1, F.col("keep_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
