@@ -17,6 +17,9 @@ from gaugeworks.llm import (
     op8_substring_dedup,
     op9_toxicity,
     op10_bpe,
+    op11_sharding,
+    op12_spelling,
+    op13_alignment,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,5 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup.query,
     "op9_toxicity": op9_toxicity.query,
     "op10_bpe": op10_bpe.query,
+    "op11_sharding": op11_sharding.query,
+    "op12_spelling": op12_spelling.query,
+    "op13_alignment": op13_alignment.query,
 }
 ORACLES: dict[str, str] = {"op2_url_filter": op2_url_filter.ORACLE, "op3_exact_dedup": op3_exact_dedup.ORACLE}
