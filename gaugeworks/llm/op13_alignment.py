@@ -35,7 +35,6 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.memo import PieceMemo
 from gaugeworks.llm.op5_token_counts import byte_letters
-from gaugeworks.llm.runtime import bound_batches, materialise, strings, table
+from gaugeworks.llm.runtime import bound_batches, held, materialise, strings, table
 
 #: Characters of text in a block, about, texts aligned in one call, and pieces that a worker keeps.
 BLOCK_CHARS, CALL, ENTRIES = 12 << 20, 64, 200_000
@@ -212,9 +211,9 @@ class Aligner:
         return [got] if got else []
 
 
-@lru_cache(maxsize=1)
 def aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
+    """The worker's aligner for these files."""
+    return held(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary"
@@ -224,14 +223,14 @@ _FOUND = f"block long, pairs array<long>, held array<long>, {_DOC}"
 def _block_rows(number: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
     """A block's table of pairs, as one row, and its documents with places in that table."""
     table_, places = np.unique(np.concatenate([d[4] for d in docs]), return_inverse=True)
-    held = np.bincount(places, minlength=len(table_)).astype(np.int64)
+    counts = np.bincount(places, minlength=len(table_)).astype(np.int64)
     names = ["block", "pairs", "held", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "places", "times"]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 5, pa.string(), pa.binary(), pa.binary()]
 
     def batch(columns: list[list]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    yield batch([[number], [table_], [held], *[[None]] * 8])
+    yield batch([[number], [table_], [counts], *[[None]] * 8])
     ends = np.cumsum([len(d[4]) for d in docs])
     for at in range(0, len(docs), 256):
         some = docs[at : at + 256]
@@ -247,19 +246,19 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(path_a, path_b).align
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
+        block: list[tuple] = []
         chars = 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
             for at in range(0, len(texts), CALL):
                 some = texts[at : at + CALL]
-                held += [(i, *got) for i, got in zip(ids[at : at + CALL], align(some), strict=True)]
+                block += [(i, *got) for i, got in zip(ids[at : at + CALL], align(some), strict=True)]
                 chars += sum(map(len, some))
                 if chars >= block_chars:
-                    yield from _block_rows(number, held)
-                    number, held, chars = number + 1, [], 0
-        if held:
-            yield from _block_rows(number, held)
+                    yield from _block_rows(number, block)
+                    number, block, chars = number + 1, [], 0
+        if block:
+            yield from _block_rows(number, block)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
 
@@ -267,13 +266,13 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int =
 def alignments(docs: DataFrame, path_a: str, path_b: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row of ``docs``."""
     found = materialise(aligned_blocks(docs, path_a, path_b, block_chars))
-    held = found.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "of"))
-    held = held.select("block", "place", F.col("of.pairs").alias("pair"), F.col("of.held").alias("held"))
-    counts = held.groupBy("pair").agg(F.sum("held").alias("docs"))
+    pairs = found.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "of"))
+    pairs = pairs.select("block", "place", F.col("of.pairs").alias("pair"), F.col("of.held").alias("held"))
+    counts = pairs.groupBy("pair").agg(F.sum("held").alias("docs"))
     # An id of the first tokenizer has no more pairs than the second has ids.
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     counts = materialise(counts.withColumn("best", F.col("docs") == most))
-    known = held.select("block", "place", "pair").join(counts.hint("merge"), "pair").select(F.col("block").alias("of_block"), "place", "docs", "best")
+    known = pairs.select("block", "place", "pair").join(counts.hint("merge"), "pair").select(F.col("block").alias("of_block"), "place", "docs", "best")
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         """The documents of a block with the sums of what its table says."""

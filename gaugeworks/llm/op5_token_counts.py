@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.memo import PieceMemo
-from gaugeworks.llm.runtime import bound_batches, strings, table
+from gaugeworks.llm.runtime import bound_batches, held, strings, table
 
 #: The public byte-level BPE pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -142,9 +141,9 @@ class TokenCounter:
         return [sum(v) + e for v, e in zip(self.memo.values(parts), extra, strict=True)]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    """The worker's counter for this file."""
+    return held(("counter", path), lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -41,12 +41,13 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.repeats import build_filter, repeated
 from gaugeworks.llm.runtime import bound_batches, materialise, release, strings, sweep, table, text_of
-from gaugeworks.llm.shingles import hasher, mix, sliding_min, words_of
+from gaugeworks.llm.shingles import hasher, mix, sliding_min, spans, words_of
 
 WINDOW, GRAM = 50, 8
 CALL = 64
 _NULL_ID = -(1 << 63)
 
+
 def window_keys(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     """The sketch key of each window."""
     if len(hashes) < window:
@@ -94,7 +95,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                     start, length = start[keep], length[keep]
                     if not len(start):
                         continue
-                    for c, x in zip(cols, (keys[start], *_spans(words, start, length + window - 1), np.full(len(start), ids[k]), np.full(len(start), hs[k]), start.astype(np.int32), length.astype(np.int32)), strict=True):
+                    for c, x in zip(cols, (keys[start], *spans(words, start, length + window - 1), np.full(len(start), ids[k]), np.full(len(start), hs[k]), start.astype(np.int32), length.astype(np.int32)), strict=True):
                         c.append(x)
             if cols[0]:
                 key, a, b, doc, h, first, length = (np.concatenate(c) for c in cols)
@@ -109,7 +110,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     open_runs = judged.where("doc_id = first").join(mixed, "key", "left_semi")
     # A document's own runs: bounded by its length, however often its row is repeated.
     sweep(spark)
-    spans = materialise(open_runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("runs")))
+    opened = materialise(open_runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("runs")))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,30 +126,18 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                     a, b, doc, h, pos = (np.concatenate(c) for c in cols)
                     yield pa.record_batch([_signed(a), _signed(b), pa.array(doc), pa.array(h), pa.array(pos)], ["a", "b", "doc_id", "h", "start"])
 
-    involved = rows.join(spans.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "runs")
+    involved = rows.join(opened.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "runs")
     windows = materialise(involved.mapInArrow(expand, "a long, b long, doc_id long, h long, start int"))
     sweep(spark)
     earliest = materialise(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first")))
     single = windows.join(earliest, ["a", "b"]).where("doc_id > first").select("doc_id", "h", "start", F.lit(1).alias("n"))
     out = materialise(whole.unionByName(single).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("ranges")))
-    for done in (runs, first, spans, windows, earliest):
+    for done in (runs, first, opened, windows, earliest):
         release(done)
     sweep(spark)
     return out
 
 
-def _spans(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each span of words, its length included."""
-    h = hasher()
-    h.powers.ensure(len(words) + 1)
-    out = []
-    for lane in (0, 1):
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words[:, lane] * h.powers.up[lane][: len(words)], out=sums[1:])
-        out.append(mix((sums[start + length] - sums[start]) * h.powers.down[lane][start] + length.astype(np.uint64)))
-    return out[0], out[1]
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by spaces (or their SHA-256).
 

@@ -22,7 +22,8 @@ score is the logistic function of the logit less the threshold, so that 0.5
 is always the cut. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts get the score of a text without words;
-repeated rows get equal scores; a null doc_id is not held out and never trains;
+repeated rows get equal scores, and of rows that repeat a doc_id the text with
+the smallest hash trains; a null doc_id is not held out and never trains;
 labels that are null train nothing; without labels of both classes every score
 is the share of toxic labels, at most 0.49; other columns are ignored; an empty
 table gives an empty table.
@@ -31,6 +32,7 @@ table gives an empty table.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.memo import PieceMemo
-from gaugeworks.llm.runtime import bound_batches, strings, table, text_of
+from gaugeworks.llm.runtime import bound_batches, held, strings, table, text_of
 
 #: Labelled rows of each class that train the model.
 SAMPLE = 2500
@@ -50,7 +52,7 @@ PREFIXES = (4, 6)
 #: Training texts that must have a word or prefix for it to count.
 KNOWN_DOCS = 10
 #: Words of one scoring step; longer texts are scored in overlapping slices.
-STEP_WORDS = 40_000
+STEP_WORDS = 20_000
 #: Common function words by language.
 FUNCTION_WORDS = {
     "de": {"der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "des", "auf", "für", "ein", "eine", "dem", "nicht"},
@@ -219,12 +221,17 @@ def train(texts: list[str], toxic: list[int], clean_weight: float, seed: int = 7
         s[at] += g * g
         p[at] -= rate * g / np.sqrt(s[at])
 
-    words = Words()
-    split = [t.split() for t in texts]
+    # Words are numbered once; a text is an array of numbers, and the row after the last word is the padding.
+    index: dict[str, int] = {}
+    numbered = [np.fromiter((index.setdefault(w, len(index)) for w in t.split()), np.int32) for t in texts]
+    pad = len(index)
+    rows = np.frombuffer(b"".join(map(buckets_of, index)), "<u2").reshape(pad, 1 + len(PREFIXES))
+    tongue = [language({w.lower() for w in t.split()}) for t in texts]
+    del index
     # Words and prefixes that few texts have say nothing of other texts: they stay at zero.
     seen = np.zeros(BUCKETS, np.int32)
-    for some in split:
-        seen[np.unique(words.batch([some])[0])] += 1
+    for some in numbered:
+        seen[np.unique(rows[np.unique(some)])] += 1
     known = seen >= min(KNOWN_DOCS, 1 + len(texts) // 100)
     vectors[~known] = 0
     checks = np.arange(len(texts)) % 5 == 0 if len(texts) >= 200 else np.zeros(len(texts), bool)
@@ -233,13 +240,12 @@ def train(texts: list[str], toxic: list[int], clean_weight: float, seed: int = 7
         rng.shuffle(fit)
         for at in range(0, len(fit), 32):
             some = fit[at : at + 32]
-            docs = [split[i] for i in some]
-            rows, index = words.batch(docs)
-            x = np.concatenate([vectors[rows].sum(1), np.zeros((1, DIM), np.float32)]) if len(rows) else np.zeros((1, DIM), np.float32)
-            pad = len(rows)
-            ids = np.fromiter((i for s in docs for i in (*map(index.__getitem__, s), pad, pad, pad, pad)), np.int64)
-            ids = np.r_[ids, pad, pad]
-            size = np.array([len(s) + 4 for s in docs])
+            docs = [numbered[i] for i in some]
+            padded = [part for d in docs for part in (d, np.full(4, pad))]
+            used, ids = np.unique(np.r_[(*padded, pad, pad)].astype(np.int64), return_inverse=True)
+            own = rows[used[:-1]]  # the last is the padding
+            x = np.concatenate([vectors[own].sum(1), np.zeros((1, DIM), np.float32)])
+            size = np.array([len(d) + 4 for d in docs])
             begin = np.cumsum(size) - size
             best, pooled = _strongest(x, ids, begin, size, filters)
             hidden = np.maximum(pooled + bias, 0)
@@ -260,15 +266,15 @@ def train(texts: list[str], toxic: list[int], clean_weight: float, seed: int = 7
             step(const, err.sum(keepdims=True))
             hit = np.flatnonzero(np.abs(grow[:-1]).sum(1) > 0)
             if len(hit):
-                target, inverse = np.unique(rows[hit], return_inverse=True)
+                target, inverse = np.unique(own[hit], return_inverse=True)
                 g = np.zeros((len(target), DIM), np.float32)
-                np.add.at(g, inverse.reshape(rows[hit].shape), grow[hit][:, None, :])
+                np.add.at(g, inverse.reshape(own[hit].shape), grow[hit][:, None, :])
                 step(vectors, g[known[target]], target[known[target]])
     model = Model(vectors, filters, bias, out, float(const[0]), {"other": 0.0})
     judged = np.flatnonzero(checks) if checks.any() else np.arange(len(texts))
     scorer = Scorer(model)
     logits = np.array([math.log(s / (1 - s)) for s in scorer.scores([texts[i] for i in judged])])
-    tongue = [language({w.lower() for w in split[i]}) for i in judged]
+    tongue = [tongue[i] for i in judged]
     weight = np.where(y[judged] > 0, 1.0, clean_weight)
     model.thresholds["other"] = _cut(logits, y[judged], weight)
     for name in FUNCTION_WORDS:
@@ -303,6 +309,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
         chosen = some if chosen is None else chosen.unionByName(some)
     # At most 2 * sample rows of two integers: small enough to broadcast at any size.
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Of rows that repeat a number, one text trains, so the training task's input is bounded too.
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
     clean_weight = max(1.0, count.get(0, 0) / sample) / max(1.0, count.get(1, 0) / sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,25 +328,20 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
     return pickle.loads(fitted[0][0]) if fitted else train([], [], 1.0)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` in a struct ``row``, with a ``score`` for each row."""
     spark = docs.sparkSession
     bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # a fixed number of weights
+    number = uuid.uuid4().hex
     rows = docs.select(F.struct(*docs.columns).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(sent.value)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(sent.value)
+        scorer = held(("scorer", number), lambda: Scorer(sent.value))
         for batch in batches:
             row = batch.column(0)
             texts = strings(row.field(row.type.get_field_index("text")))
-            yield pa.record_batch([row, pa.array(_scorers[key].scores(texts), pa.float64())], ["row", "score"])
+            yield pa.record_batch([row, pa.array(scorer.scores(texts), pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 

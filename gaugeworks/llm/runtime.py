@@ -6,25 +6,38 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 from functools import reduce
 from operator import and_
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python workers. Spark's default of 10,000 rows
-#: of long texts would hold hundreds of MB at once.
-BATCH_ROWS = 512
+#: of long texts would hold hundreds of MB at once. Batches also end at so many bytes.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 _created: dict[str, set[str]] = {}
+_held: dict[Hashable, Any] = {}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small unless the user has chosen a size of their own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small, in rows and in bytes, unless the user has chosen sizes of their own."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time, so that a worker which Spark
+    uses again for the next operator lets go of the last one's tables and memos."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

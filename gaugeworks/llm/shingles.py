@@ -5,11 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 from gaugeworks.llm.memo import PieceMemo
+from gaugeworks.llm.runtime import held
 
 #: Fixed odd multipliers of the two rolling lanes, and a 64-bit mixer's constants.
 LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SPACE = "\t\n\x0b\x0c\r"
+#: Words that a worker keeps the hashes of, and words of a span that a sum over powers covers.
+ENTRIES, PART = 200_000, 32
 
 
 def words_of(text: str) -> list[str]:
@@ -58,7 +61,7 @@ class WordHasher:
     def __init__(self) -> None:
         import xxhash
 
-        self.memo = PieceMemo(lambda ws: [xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in ws])
+        self.memo = PieceMemo(lambda ws: [xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in ws], ENTRIES)
         self.powers = Powers()
 
     def hashes(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -66,7 +69,11 @@ class WordHasher:
         return [np.frombuffer(b"".join(v), "<u8").reshape(-1, 2) for v in self.memo.values(texts)]
 
     def rolling(self, hashes: np.ndarray, width: int, lane: int) -> np.ndarray:
-        """For each start, one hash of the ``width`` words from there; equal sequences, equal values."""
+        """For each start, one hash of the ``width`` words from there; equal sequences, equal values.
+
+        A sum over powers modulo 2**64: for short windows only. Over long sequences that swap two words in
+        a Thue-Morse pattern, such sums agree whatever the words; ``spans`` are for these.
+        """
         n = len(hashes) - width + 1
         if n < 1:
             return np.zeros(0, np.uint64)
@@ -76,14 +83,33 @@ class WordHasher:
         return (sums[width:] - sums[:-width]) * self.powers.down[lane][:n]
 
 
-_hasher: list[WordHasher] = []
+def spans(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each span of words, of any length, which is part of them.
+
+    A span is cut into parts of ``PART`` words from its start on. A part's words are summed over powers, and
+    the sums are mixed with their places before they are added, so that no pattern of words over many parts
+    makes differences cancel.
+    """
+    h = hasher()
+    h.powers.ensure(len(words) + 1)
+    parts = (length + PART - 1) // PART
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(start, parts) + place * PART
+    end = np.minimum(begin + PART, np.repeat(start + length, parts))
+    where = np.cumsum(parts) - parts
+    out = []
+    for lane in (0, 1):
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words[:, lane] * h.powers.up[lane][: len(words)], out=sums[1:])
+        part = (sums[end] - sums[begin]) * h.powers.down[lane][begin]
+        mixed = mix(part + mix(place.astype(np.uint64) + np.uint64(1)))
+        out.append(mix(np.add.reduceat(mixed, where) + length.astype(np.uint64)) if len(where) else np.zeros(0, np.uint64))
+    return out[0], out[1]
 
 
 def hasher() -> WordHasher:
     """The worker's word hasher."""
-    if not _hasher:
-        _hasher.append(WordHasher())
-    return _hasher[0]
+    return held("hasher", WordHasher)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

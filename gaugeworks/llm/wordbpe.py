@@ -8,11 +8,11 @@ chunk is encoded by the library once and then looked up.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 
 from gaugeworks.llm.memo import PieceMemo
+from gaugeworks.llm.runtime import held
 
 #: A character that texts hardly hold: as a word of its own it marks where one
 #: chunk's ids end when many chunks are encoded in one call.
@@ -82,7 +82,6 @@ class ChunkEncoder:
         return list(map(b"".join, self.memo.values([chunks_of(t) for t in texts])))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for this file."""
-    return ChunkEncoder(path)
+    return held(("encoder", path), lambda: ChunkEncoder(path))

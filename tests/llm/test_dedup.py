@@ -248,3 +248,38 @@ def test_filter_loses_no_repeated_key(spark):
     hit = repeated(keys, size, filters)
     assert all(h for k, h in zip(keys.tolist(), hit.tolist(), strict=True) if count[k] > 1)
     assert hit.sum() < len(keys)
+
+
+def swapped(n, places):
+    """Whether each place of a Thue-Morse sequence holds the second word."""
+    return [bin(k).count("1") % 2 == 1 for k in range(n)][:places]
+
+
+@pytest.mark.parametrize(("n", "apart"), [(1024, 1), (2048, 1), (4096, 1), (512, 40)])
+def test_spans_tell_thue_morse_patterns_apart(n, apart):
+    from gaugeworks.llm.shingles import hasher, spans
+
+    def text(flip):
+        return [("red" if s != flip else "blue") if k == 0 else f"f{k}" for s in swapped(n, n) for k in range(apart)]
+
+    one, two = hasher().hashes([text(False), text(True)])
+    whole = np.array([0]), np.array([n * apart])
+    a, b = spans(one, *whole), spans(two, *whole)
+    assert a[0] != b[0] and a[1] != b[1]
+    again = hasher().hashes([["x", "y", *text(False), "z"]])[0]
+    assert spans(again, np.array([2]), np.array([n * apart])) == a
+
+
+def test_substring_dedup_keeps_words_no_other_document_holds(spark):
+    """A passage every 40 words makes each text one run; one word in 40 is swapped in a Thue-Morse pattern."""
+    passage = " ".join(f"p{k}" for k in range(8))
+    rest = " ".join(f"f{k}" for k in range(31))
+    rows = [(d, " ".join(f"{passage} {'red' if s != bool(d) else 'blue'} {rest}" for s in swapped(512, 512))) for d in (0, 1)]
+    got = {r.doc_id: r.n_removed for r in op8_substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    windows = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in (t.split(" ") for _, t in rows)]
+    covered = set()
+    words = rows[1][1].split(" ")
+    for i in range(len(words) - 49):
+        if tuple(words[i : i + 50]) in windows[0]:
+            covered |= set(range(i, i + 50))
+    assert got == {0: 0, 1: len(covered)}
