@@ -6,7 +6,8 @@ that fit, the longest wins (host and path together).
 
 A url without a rule of its own takes the decision of its equivalence class.
 Classes are the connected components over redirect edges (``meta`` refresh) and
-canonical links of the pages, all of a page's, and urls that differ only in
+canonical links of the pages, all of a page's, resolved against its ``base``.
+Pages that mention either are read tag by tag, by the names of attributes. Urls that differ only in
 scheme, in the case of their host, in dot segments of their path, or in their
 fragment are one address. A class with an explicitly
 allowed address allows its unjudged members, whatever else it holds; else a
@@ -15,7 +16,7 @@ own rule always stands.
 
 Defined results: a null url, and one without ``://``, has empty host and path,
 fits no rule, and is allowed; null html has no edges; repeated pages are judged
-each; links without a target add nothing; other columns are ignored; an empty
+each; links without a target add nothing; very long pages are read whole; other columns are ignored; an empty
 table gives an empty table. Only addresses and edges are shuffled, never html;
 a class's decision is a grouped maximum, so one host or class may hold any
 share of the pages.
@@ -23,13 +24,17 @@ share of the pages.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import components
-from gaugeworks.llm.runtime import materialise, table
+from gaugeworks.llm.runtime import bound_batches, materialise, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,32 +119,64 @@ def absolute(link: Column, url: Column) -> Column:
     )
 
 
-def decoded(link: Column) -> Column:
-    """An attribute's text with its character references read, each once; unknown ones stay."""
+_REFRESH = re.compile(r"""\s*[0-9.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^"'\s].*))""", re.IGNORECASE | re.DOTALL)
 
-    def read(piece: Column) -> Column:
-        by_ten, by_sixteen = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1), F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-        number = F.when(by_ten != "", by_ten).when(by_sixteen != "", F.conv(by_sixteen, 16, 10)).cast("int")
-        out = F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
-            out = out.when(F.lower(piece) == f"&{name};", F.lit(char))
-        return out.otherwise(piece)
 
-    pieces = F.regexp_extract_all(link, F.lit(r"(?s)(&#?[0-9A-Za-z]+;|[^&]+|&)"), 1)
-    return F.when(link.contains("&"), F.array_join(F.transform(pieces, read), "")).otherwise(link)
+class _Links(HTMLParser):
+    """The first base, canonical links and refreshes of a page, by its tags' attributes.
 
+    Comments, scripts and styles are no tags; of attributes with one name the first counts; character
+    references are read once.
+    """
 
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*'?([^\"'\s>]+)"
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.base: str | None = None
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in ("link", "meta", "base"):
+            return
+        have: dict[str, str] = {}
+        for name, value in attrs:
+            have.setdefault(name, value or "")
+        if tag == "base" and self.base is None and "href" in have:
+            self.base = have["href"]
+        elif tag == "link" and "canonical" in have.get("rel", "").lower().split():
+            self.found.append(have.get("href", ""))
+        elif tag == "meta" and have.get("http-equiv", "").strip().lower() == "refresh" and (m := _REFRESH.match(have.get("content", ""))):
+            self.found.append(next(g for g in m.groups() if g is not None))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """In HTML a marked section of whatever name is a comment up to the next angle bracket."""
+        return self.parse_bogus_comment(i, report)
+
+
+def links_of(html: str) -> tuple[str | None, list[str]]:
+    """The base, if any, and the addresses that a page names as its own, white space around them gone."""
+    parser = _Links()
+    parser.feed(html)
+    parser.close()
+    clean = [re.sub(r"[\t\r\n]", "", x).strip() for x in (parser.base or "", *parser.found)]
+    return clean[0] or None, [x for x in clean[1:] if x]
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(u, v): addresses that a canonical link or a refresh makes equivalent."""
-    found = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))
+    bound_batches(pages.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages_of = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            got = [(url, base, link) for url, html in pages_of for base, links in [links_of(html)] for link in links]
+            columns = zip(*got, strict=True) if got else ((), (), ())
+            yield pa.record_batch([pa.array(c, pa.string()) for c in columns], ["url", "base", "link"])
+
     html = F.lower(F.col("html"))
-    likely = html.contains("canonical") | html.contains("http-equiv")
-    links = pages.where(likely).select("url", F.explode(found).alias("link")).withColumn("link", decoded(F.col("link")))
-    edges = links.select(address_of(F.col("url")).alias("u"), address_of(absolute(F.col("link"), F.col("url"))).alias("v"))
+    likely = html.contains("canonical") | html.contains("refresh")
+    links = pages.where(likely & F.col("url").contains("://")).select("url", "html").mapInArrow(read, "url string, base string, link string")
+    links = links.withColumn("base", F.coalesce(absolute(F.col("base"), F.col("url")), F.col("url")))
+    edges = links.select(address_of(F.col("url")).alias("u"), address_of(absolute(F.col("link"), F.col("base"))).alias("v"))
     return edges.where("u is not null and v is not null and u != v").distinct()
 
 
@@ -185,12 +222,27 @@ p AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1), '') AS query
   FROM pages),
 a AS (SELECT *, CASE WHEN contains(url, '://') THEN host || path || query END AS address FROM p),
+shown AS (
+  SELECT url, address, regexp_replace(html, '(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)', ' ', 'g') AS html
+  FROM a WHERE address IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')),
+tag AS (SELECT url, address, unnest(regexp_extract_all(html, '(?is)<(?:link|meta|base)[\\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS t FROM shown),
+attribute AS (
+  SELECT url, address, lower(regexp_extract(t, '<([A-Za-z]+)', 1)) AS tag,
+    list_transform(regexp_extract_all(t, '(?s)[\\s/"'']([^\\s"''>/=]+)\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), lambda x: lower(x)) AS names,
+    list_transform(regexp_extract_all(t, '(?s)[\\s/"'']([^\\s"''>/=]+)\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 2),
+      lambda x: replace(CASE WHEN x[1] IN ('"', '''') THEN x[2:-2] ELSE x END, '&amp;', '&')) AS vals
+  FROM tag),
+had AS (
+  SELECT url, address, tag, trim(vals[list_position(names, 'href')], E' \\t\\r\\n') AS href, string_split_regex(lower(vals[list_position(names, 'rel')]), '\\s+') AS rel,
+    lower(trim(vals[list_position(names, 'http-equiv')])) AS equiv, vals[list_position(names, 'content')] AS content
+  FROM attribute),
+based AS (SELECT url, any_value(href) AS base FROM had WHERE tag = 'base' GROUP BY 1),
 link AS (
-  SELECT url, address, unnest([
-    regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)["'']?[^>]*\\brel\\s*=\\s*["'']?canonical\\b', 1),
-    regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\bcontent\\s*=\\s*["'']?\\s*[0-9.]*\\s*[;,]\\s*url\\s*=\\s*''?([^"''\\s>]+)', 1)]) AS l
-  FROM a WHERE html ILIKE '%canonical%' OR html ILIKE '%http-equiv%'),
+  SELECT coalesce(CASE WHEN contains(base, '://') THEN base WHEN starts_with(base, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || base END, url) AS url, address, l
+  FROM (
+    SELECT url, address, href AS l FROM had WHERE tag = 'link' AND list_contains(rel, 'canonical')
+    UNION ALL SELECT url, address, trim(regexp_extract(content, '(?is)^\\s*[0-9.]+(?:\\s*[;,]\\s*|\\s+)(?:url\\s*=\\s*)?["'']?([^"'']*)', 1)) FROM had WHERE tag = 'meta' AND equiv = 'refresh') x
+  LEFT JOIN based USING (url)),
 target AS (
   SELECT address AS u, CASE
     WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l

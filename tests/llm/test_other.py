@@ -91,6 +91,45 @@ def test_url_links_are_resolved(spark):
     assert got == {k: "allow" if k in (10, 13) else "block" for k in range(1, 14)}
 
 
+#: Pages whose links only a reader of attributes gets right, and whether what they name is blocked.
+ATTRIBUTES = [
+    ('<link data-rel="canonical" rel="alternate" href="http://x.com/de/1">', False),
+    ('<!-- <link rel="canonical" href="http://x.com/de/1"> -->', False),
+    ('<link rel="canonical" data-href="http://y.net/n" href="http://x.com/de/1">', True),
+    ('<link rel="alternate canonical" href="http://x.com/de/1">', True),
+    ('<base href="http://x.com/de/"><link rel="canonical" href="1">', True),
+    ("<meta http-equiv=\"refresh\" content='0; url = \"http://x.com/de/1\"'>", True),
+    ('<link rel="canonical-x" href="http://x.com/de/1">', False),
+    ('<link title="rel=canonical" href="http://x.com/de/1">', False),
+    ('<script>var s = \'<link rel="canonical" href="http://x.com/de/1">\';</script>', False),
+    ('<link title="a > b" rel="canonical" href="http://x.com/de/1">', True),
+    ('<link rel=canonical href="  http://x.com/de/1 ">', True),
+    ('<meta content="0;http://x.com/de/1" http-equiv="Refresh">', True),
+    ('<meta http-equiv="refresh" content="5">', False),
+    ('<style>/* <link rel="canonical" href="http://x.com/de/1"> */</style>', False),
+    ('<LINK REL = "CANONICAL"\n HREF = \'http://x.com/de/1\' />', True),
+    ('<linker rel="canonical" href="http://x.com/de/1">', False),
+]
+
+
+def test_links_are_read_by_attributes(spark):
+    import duckdb
+    import pandas as pd
+
+    pages = [(k, f"http://y.net/{k}", html) for k, (html, _) in enumerate(ATTRIBUTES)]
+    want = {k: "block" if blocked else "allow" for k, (_, blocked) in enumerate(ATTRIBUTES)}
+    frame = spark.createDataFrame([(*p, "a", "b", "c", "d", "e") for p in pages], "page_id long, url string, html string, host string, path string, verdict string, address string, action string")
+    assert {r.page_id: r.verdict for r in op2_url_filter.filter_urls(frame, op2_url_filter.RULES).collect()} == want
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    assert dict(con.sql(f"SELECT page_id, verdict FROM ({op2_url_filter.ORACLE})").fetchall()) == want
+
+
+def test_odd_pages_are_read(spark):
+    for html in ("", "<", "<link", "<link rel=canonical href=", "<!-- canonical", "<meta http-equiv=refresh content=>", "<base><base href='/x'>" * 3, "<![x[ canonical", '<link rel="canonical" ' + '"' * 5000 + ">"):
+        assert isinstance(op2_url_filter.links_of(html)[1], list)
+
+
 def test_rules_are_checked():
     with pytest.raises(ValueError):
         op2_url_filter.rules("deny x/")
