@@ -16,22 +16,87 @@ from gaugeworks.operators.steps import kept
 LEAST_STATEMENTS, LEAST_LINES = 3, 6
 
 
-def statement_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines: int = LEAST_LINES, most: int | None = None) -> DataFrame:
-    """All windows of ``least`` to ``most`` statements that span enough lines: repo_id, file, hash, start, end.
+def _reach(statements: DataFrame, lines: int) -> DataFrame:
+    """``statements`` with ``at`` (their number in the block), ``upto`` (the first statement with which a window
+    from here spans enough lines) and ``since`` (the last from which a window to here does); null if there is none.
 
-    A block's statements are gathered (a block is one function's body), and its
-    windows are unfolded in place, so pairs of positions are never joined.
+    Ends of lines are asked for and found in one sorted pass each: a running minimum over the block's statements
+    by their end, downwards, and a running maximum by their start, upwards.
     """
-    one = F.struct("pos", "hash", "start", "end")
-    blocks = statements.groupBy("repo_id", "file", "block").agg(F.array_sort(F.collect_list(one)).alias("s"))
-    n = F.size("s")
-    top = n if most is None else F.least(n, F.lit(most))
-    starts = blocks.where(n >= least).select("repo_id", "file", "s", F.explode(F.sequence(F.lit(1), n - least + 1)).alias("i"))
-    sized = starts.select("repo_id", "file", "s", "i", F.explode(F.sequence(F.lit(least), F.least(top, n - F.col("i") + 1))).alias("k"))
-    part = F.slice("s", F.col("i"), F.col("k"))
-    key = F.md5(F.array_join(F.transform(part, lambda x: x["hash"].cast("string")), "|"))
-    first, last = F.element_at("s", F.col("i").cast("int"))["start"], F.element_at("s", (F.col("i") + F.col("k") - 1).cast("int"))["end"]
-    return sized.select("repo_id", "file", key.alias("hash"), first.alias("start"), last.alias("end")).where(F.col("end") - F.col("start") + 1 >= lines)
+    block = ["repo_id", "file", "block"]
+    rows = statements.withColumn("at", F.row_number().over(Window.partitionBy(*block).orderBy("pos")))
+    ends = rows.select(*block, "at", F.explode(F.array(
+        F.struct((F.col("start") + lines - 1).alias("key"), F.lit(0).alias("gives"), F.lit(1).alias("kind")),
+        F.struct(F.col("end").alias("key"), F.lit(1).alias("gives"), F.lit(1).alias("kind")),
+        F.struct((F.col("end") - lines + 1).alias("key"), F.lit(0).alias("gives"), F.lit(2).alias("kind")),
+        F.struct(F.col("start").alias("key"), F.lit(1).alias("gives"), F.lit(2).alias("kind")),
+    )).alias("e")).select(*block, "at", "e.*")
+    # Upwards for the starts, downwards for the ends; of equal keys those that give come first.
+    order = Window.partitionBy(*block, "kind").orderBy(F.when(F.col("kind") == 1, -F.col("key")).otherwise(F.col("key")), F.desc("gives")).rowsBetween(Window.unboundedPreceding, 0)
+    given = F.when(F.col("gives") == 1, F.col("at"))
+    found = ends.withColumn("to", F.when(F.col("kind") == 1, F.min(given).over(order)).otherwise(F.max(given).over(order))).where("gives = 0")
+    both = found.groupBy(*block, "at").agg(F.max(F.when(F.col("kind") == 1, F.col("to"))).alias("upto"), F.max(F.when(F.col("kind") == 2, F.col("to"))).alias("since"))
+    return rows.join(both, [*block, "at"])
+
+
+def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines: int = LEAST_LINES) -> DataFrame:
+    """The windows that decide which lines are duplicated, of any length: repo_id, file, hash, start, end, size.
+
+    Let two equal runs of statements span enough lines each. The shortest windows of enough lines in both, from
+    each of their statements on and up to each of them, are equal as well and cover all of them. As they are
+    shortest, their size is that of a shortest window in one of the two. So a window from a statement is taken
+    at the sizes that are shortest for a statement whose first ``least`` statements are the same, and likewise up
+    to a statement; where these occur once there is nothing to take.
+
+    Statements are named by doubling: the hash of 2 k statements is that of two hashes of k, one step of ``lead``
+    each, and a window of any size is named by its first and its last power of two. So no window is ever
+    gathered, and a row moves along with its names only.
+    """
+    block = ["repo_id", "file", "block"]
+    rows = kept(_reach(statements, lines))
+    order = Window.partitionBy(*block).orderBy("at")
+    rows = rows.withColumn("last", F.max("at").over(Window.partitionBy(*block)))
+    longer, back = F.greatest(F.col("upto") - F.col("at") + 1, F.lit(least)), F.greatest(F.col("at") - F.col("since") + 1, F.lit(least))
+    rows = rows.withColumn("longer", F.when(F.col("upto").isNotNull() & (F.col("at") + longer - 1 <= F.col("last")), longer))
+    rows = rows.withColumn("back", F.when(F.col("since").isNotNull() & (F.col("at") >= back), back))
+    most = rows.agg(F.max(F.greatest("longer", "back"))).first()[0] or least
+    names = [F.md5(F.col("hash").cast("string"))]
+    rows = rows.withColumn("f0", names[0])
+    steps = max(int(most).bit_length() - 1, (least - 1).bit_length() - 1, 0)
+    for t in range(steps):
+        rows = rows.withColumn(f"f{t + 1}", F.md5(F.concat(f"f{t}", F.lead(f"f{t}", 1 << t).over(order))))
+    half = least.bit_length() - 1
+    rows = rows.withColumn("first", F.md5(F.concat(f"f{half}", F.lead(f"f{half}", least - (1 << half)).over(order))))
+    rows = rows.withColumn("final", F.lag("first", least - 1).over(order))
+    forward = F.array(*(f"f{t}" for t in range(steps + 1))).alias("forward")
+    backward = F.array(*(F.lag(f"f{t}", (1 << t) - 1).over(order) for t in range(steps + 1))).alias("backward")
+    rows = kept(rows.select(*block, "at", "start", "end", "last", "longer", "back", "first", "final", forward, backward))
+
+    def sized(name: str, own: str) -> DataFrame:
+        """Rows with each ``size``, at least their own, that is shortest for one of several rows of one name."""
+        met = rows.where(F.col(own).isNotNull() & F.col(name).isNotNull())
+        sizes = met.groupBy("repo_id", name, F.col(own).alias("size")).agg(F.count("*").alias("n"))
+        several = met.groupBy("repo_id", name).agg(F.count("*").alias("n")).where("n > 1").select("repo_id", name)
+        sizes = sizes.join(several, ["repo_id", name], "left_semi").drop("n")
+        return met.join(sizes, ["repo_id", name]).where(F.col("size") >= F.col(own))
+
+    ahead = sized("first", "longer").where("at + size - 1 <= last").select(*block, "at", "size")
+    behind = sized("final", "back").where("at >= size").select(*block, (F.col("at") - F.col("size") + 1).alias("at"), "size")
+    windows = ahead.union(behind).distinct()
+    power = F.floor(F.log2("size")).cast("int")
+    heads = rows.select(*block, "at", "start", "forward")
+    tails = rows.select(*block, F.col("at").alias("to"), "end", "backward")
+    whole = windows.join(heads, [*block, "at"]).withColumn("to", F.col("at") + F.col("size") - 1).join(tails, [*block, "to"])
+    name = F.md5(F.concat_ws("|", F.col("size").cast("string"), F.get("forward", power), F.get("backward", power)))
+    return whole.select("repo_id", "file", name.alias("hash"), "start", "end", F.col("size").cast("int").alias("size"))
+
+
+def line_windows(texts: DataFrame, size: int) -> DataFrame:
+    """All windows of ``size`` lines of texts (repo_id, file, text): repo_id, file, hash, start, end."""
+    lines = texts.select("repo_id", "file", F.posexplode(F.split("text", "\n")).alias("pos", "value")).select("repo_id", "file", (F.col("pos") + 1).alias("start"), F.md5("value").alias("line"))
+    order = Window.partitionBy("repo_id", "file").orderBy("start")
+    name = F.md5(F.concat(*[F.lead("line", k).over(order) if k else F.col("line") for k in range(size)]))
+    return lines.select("repo_id", "file", name.alias("hash"), "start", (F.col("start") + size - 1).alias("end")).where("hash is not null")
 
 
 def duplicated_windows(windows: DataFrame) -> DataFrame:
@@ -56,20 +121,60 @@ def duplication_rate(windows: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.withColumn("duplication_rate", percentage(F.col("duplicated_lines"), F.col("lines")))
 
 
-def clone_pairs(windows: DataFrame, top: int = 5) -> DataFrame:
-    """The longest pairs of neighbouring windows of each repository: each window with the next one of its hash, unless they overlap.
+def clone_classes(windows: DataFrame) -> DataFrame:
+    """One row for each class of equal windows that occur apart: repo_id, hash, copies, files and the first copy."""
+    found = duplicated_windows(windows)
+    first = F.min(F.struct("file", "start", "end"))
+    grouped = found.groupBy("repo_id", "hash").agg(F.count("*").alias("copies"), F.min("file").alias("least"), F.max("file").alias("most"), first.alias("first"))
+    files = found.select("repo_id", "hash", "file").distinct().groupBy("repo_id", "hash").agg(F.count("*").alias("files"))
+    return grouped.join(files, ["repo_id", "hash"]).select("repo_id", "hash", "copies", "files", F.col("first.file").alias("first_file"), F.col("first.start").alias("first_start"), F.col("first.end").alias("first_end"))
+
+
+def partners(windows: DataFrame) -> DataFrame:
+    """Each duplicated window with one partner of its class that does not overlap it: repo_id, hash, file, start,
+    end, partner_file, partner_start, partner_end.
 
-    Only neighbours in (file, start) order are paired, so a window that occurs n
-    times gives n - 1 pairs rather than their square; a window whose neighbour
-    overlaps it stays unpaired. ``line_clones`` pairs all copies, at any length.
+    The partner is the first copy of the class (by file and start), if it lies apart; else (the window lies in
+    that copy's file) the nearest copy after the window in its own file; else the first copy in another file.
+    First copies are grouped minima, and the nearest copy is a running minimum over the copies of one file that
+    begin at or after the window's end. So n copies give n rows, however many of them there are.
     """
-    order = Window.partitionBy("repo_id", "hash").orderBy("file", "start")
-    fields = [F.lead(c).over(order).alias(f"{c}_b") for c in ("file", "start", "end")]
-    paired = windows.select("repo_id", "hash", F.col("file").alias("file_a"), F.col("start").alias("start_a"), F.col("end").alias("end_a"), *fields)
-    apart = paired.where((F.col("file_b").isNotNull()) & ((F.col("file_a") != F.col("file_b")) | (F.col("start_b") >= F.col("end_a"))))
+    found = kept(duplicated_windows(windows))
+    one = F.struct("file", "start", "end")
+    firsts = kept(found.groupBy("repo_id", "hash").agg(F.min(one).alias("first")))
+    joined = found.join(firsts, ["repo_id", "hash"])
+    apart = (F.col("file") != F.col("first.file")) | (F.col("first.end") <= F.col("start")) | (F.col("first.start") >= F.col("end"))
+    done = joined.where(apart).select("repo_id", "hash", "file", "start", "end", F.col("first").alias("p"))
+    near = joined.where(~apart).drop("first")
+    # The copies of the first one's file: each gives its start, and those that overlap the first ask from their end on.
+    own = joined.where("file = first.file").select("repo_id", "hash", "file", F.col("start").alias("key"), F.lit(1).alias("gives"), "start", "end")
+    asks = near.select("repo_id", "hash", "file", F.col("end").alias("key"), F.lit(0).alias("gives"), "start", "end")
+    order = Window.partitionBy("repo_id", "hash", "file").orderBy(F.desc("key"), F.desc("gives")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.min(F.when(F.col("gives") == 1, F.struct("file", "start", "end"))).over(order)
+    asked = own.unionByName(asks).withColumn("after", after).where("gives = 0")
+    other = joined.where("file != first.file").groupBy("repo_id", "hash").agg(F.min(one).alias("other"))
+    rest = asked.join(other, ["repo_id", "hash"], "left").select("repo_id", "hash", "file", "start", "end", F.coalesce("after", "other").alias("p"))
+    every = done.unionByName(rest)
+    return every.select("repo_id", "hash", "file", "start", "end", F.col("p.file").alias("partner_file"), F.col("p.start").alias("partner_start"), F.col("p.end").alias("partner_end"))
+
+
+def longest_windows(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -> DataFrame:
+    """The ``top`` longest pairs of equal windows of lines apart from each other, of any length, with windows inside
+    longer ones counted as pairs of their own.
+
+    A pair of windows lies in a maximal clone, and a clone of n lines holds k + 1 pairs of n - k lines; so the
+    ``top`` longest clones, each cut to its ``top`` greatest lengths and first places, hold them all.
+    """
+    runs = _line_clones(texts, top, least)
+    shorter = F.sequence(F.lit(0), F.least(F.lit(top - 1), F.col("line_count") - least))
+    cut = runs.select("*", F.explode(shorter).alias("less")).withColumn("size", F.col("line_count") - F.col("less"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(top - 1), (F.col("n") - F.col("size")).cast("int")))).alias("on"))
+    moved = [(F.col(f"start_{x}") + F.col("on")).alias(f"start_{x}") for x in "ab"]
+    out = cut.select("repo_id", "file_a", moved[0], "file_b", moved[1], F.col("size").cast("int").alias("line_count"))
+    ends = {f"end_{x}": F.col(f"start_{x}") + F.col("line_count") - 1 for x in "ab"}
     best = Window.partitionBy("repo_id").orderBy(F.desc("line_count"), "file_a", "start_a", "file_b", "start_b")
-    sized = apart.withColumn("line_count", F.col("end_a") - F.col("start_a") + 1)
-    return sized.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).drop("hash")
+    out = out.withColumns(ends).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return out.select("repo_id", "file_a", "start_a", "end_a", "file_b", "start_b", "end_b", "line_count", "rank")
 
 
 def line_clones(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -> DataFrame:
@@ -82,13 +187,14 @@ def line_clones(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -
     clones: shorter ones cannot be among the longest. Of files with the same text,
     those after the first ``top`` + 2 always lose the tie of their equals and are left out.
     """
+    return _line_clones(texts, top, least).drop("n")
+
+
+def _line_clones(texts: DataFrame, top: int, least: int) -> DataFrame:
+    """``line_clones`` with ``n``, the lines for which each clone's two places agree, overlapping ones included."""
     copies = Window.partitionBy("repo_id", "key").orderBy("file")
     few = texts.select("repo_id", "file", F.md5("text").alias("key")).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= top + 2)
-    lines = texts.select("repo_id", "file", F.posexplode(F.split("text", "\n")).alias("pos", "value")).select("repo_id", "file", (F.col("pos") + 1).alias("start"), F.md5("value").alias("line"))
-    lines = lines.join(few, ["repo_id", "file"], "left_semi")
-    order = Window.partitionBy("repo_id", "file").orderBy("start")
-    name = F.md5(F.concat(*[F.lead("line", k).over(order) if k else F.col("line") for k in range(least)]))
-    windows = lines.select("repo_id", "file", name.alias("hash"), "start", (F.col("start") + least - 1).alias("end")).where("hash is not null")
+    windows = line_windows(texts.join(few, ["repo_id", "file"], "left_semi"), least)
     levels = [(least, kept(duplicated_windows(windows)))]
     while not levels[-1][1].isEmpty():
         size, half = levels[-1]
@@ -120,4 +226,4 @@ def _diagonals(windows: DataFrame, size: int, top: int) -> DataFrame:
     sized = runs.withColumn("line_count", count).withColumn("start_b", F.col("start_a") + F.col("shift"))
     best = Window.partitionBy("repo_id").orderBy(F.desc("line_count"), "file_a", "start_a", "file_b", "start_b")
     ends = [(F.col(f"start_{x}") + F.col("line_count") - 1).alias(f"end_{x}") for x in "ab"]
-    return sized.select("repo_id", "file_a", "start_a", ends[0], "file_b", "start_b", ends[1], "line_count", F.row_number().over(best).alias("rank")).where(F.col("rank") <= top)
+    return sized.select("repo_id", "file_a", "start_a", ends[0], "file_b", "start_b", ends[1], "line_count", F.row_number().over(best).alias("rank"), F.col("n").cast("int").alias("n")).where(F.col("rank") <= top)

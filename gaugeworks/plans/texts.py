@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars
@@ -20,30 +20,51 @@ def shortened(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", scalars.shorten(F.col("text"), 40).alias("head"), scalars.fence_count(F.col("text")).alias("fences"))
 
 
-def _statements(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of documents as statements; a document is a file of one block, a language a repository."""
-    lines = table(spark, sf, "documents").select(F.col("lang").alias("repo_id"), F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "value"))
-    return lines.select("repo_id", "file", F.lit(0).alias("block"), "pos", F.md5("value").alias("hash"), (F.col("pos") + 1).alias("start"), (F.col("pos") + 1).alias("end"))
-
-
-def _windows(spark: SparkSession, sf: str) -> DataFrame:
-    return clones.statement_windows(_statements(spark, sf), lines=3, most=3)
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of their language's repository."""
+    return table(spark, sf, "documents").select(F.col("lang").alias("repo_id"), F.col("doc_id").alias("file"), "text")
 
 
 def duplication(spark: SparkSession, sf: str) -> DataFrame:
     """Lines inside duplicated windows. Every line of a longer clone lies in a duplicated window of the least
     length, so windows of that length alone find all of them."""
-    totals = table(spark, sf, "documents").groupBy(F.col("lang").alias("repo_id")).agg(F.sum(scalars.line_count_open(F.col("text"))).alias("lines"))
-    got = clones.duplication_rate(_windows(spark, sf), totals)
+    totals = _texts(spark, sf).groupBy("repo_id").agg(F.sum(scalars.line_count_open(F.col("text"))).alias("lines"))
+    got = clones.duplication_rate(clones.line_windows(_texts(spark, sf), 3), totals)
+    return got.select("repo_id", "lines", "duplicated_lines", F.round("duplication_rate", 6).alias("duplication_rate"))
+
+
+def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences as statements, on lines of 80 characters: some share a line, others take several."""
+    parts = _texts(spark, sf).select("repo_id", "file", F.posexplode(F.split("text", r"\. ")).alias("pos", "value"))
+    upto = F.sum(F.length("value") + 2).over(Window.partitionBy("repo_id", "file").orderBy("pos"))
+    placed = parts.withColumn("from", upto - F.length("value") - 2)
+    start, end = F.expr("`from` div 80 + 1").cast("int"), F.expr("(`from` + greatest(length(value), 1) - 1) div 80 + 1").cast("int")
+    return placed.select("repo_id", "file", F.lit(0).alias("block"), "pos", F.md5("value").alias("hash"), start.alias("start"), end.alias("end"))
+
+
+def statement_duplication(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines inside duplicated runs of three statements and six lines at least, of any length."""
+    statements = _sentences(spark, sf)
+    totals = statements.groupBy("repo_id", "file").agg(F.max("end").alias("n")).groupBy("repo_id").agg(F.sum("n").alias("lines"))
+    got = clones.duplication_rate(clones.deciding_windows(statements), totals)
     return got.select("repo_id", "lines", "duplicated_lines", F.round("duplication_rate", 6).alias("duplication_rate"))
 
 
+def clone_partners(spark: SparkSession, sf: str) -> DataFrame:
+    got = clones.partners(clones.line_windows(_texts(spark, sf), 3))
+    return got.select("repo_id", "file", "start", "partner_file", "partner_start", "partner_end")
+
+
+def clone_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return clones.clone_classes(clones.line_windows(_texts(spark, sf), 3)).drop("hash")
+
+
 def longest_clones(spark: SparkSession, sf: str) -> DataFrame:
-    return clones.clone_pairs(clones.statement_windows(_statements(spark, sf), lines=3, most=5))
+    return clones.longest_windows(_texts(spark, sf))
 
 
 def maximal_clones(spark: SparkSession, sf: str) -> DataFrame:
-    return clones.line_clones(table(spark, sf, "documents").select(F.col("lang").alias("repo_id"), F.col("doc_id").alias("file"), "text"))
+    return clones.line_clones(_texts(spark, sf))
 
 
 def page_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,15 +160,50 @@ d AS (SELECT DISTINCT a.repo_id, a.file, a.s, a.e FROM k a JOIN (SELECT repo_id,
 x AS (SELECT DISTINCT repo_id, file, unnest(range(s, e + 1)) AS line FROM d),
 t AS (SELECT lang AS repo_id, sum(length(text) - length(replace(text, chr(10), '')) + 1) AS lines FROM documents GROUP BY 1)
 SELECT repo_id, CAST(lines AS BIGINT) AS lines, coalesce(n, 0) AS duplicated_lines, round(100.0 * coalesce(n, 0) / lines, 6) AS duplication_rate FROM t LEFT JOIN (SELECT repo_id, count(*) AS n FROM x GROUP BY 1) USING (repo_id)"""),
-    "top4_clone_pairs": (longest_clones, """
-WITH l AS (SELECT lang AS repo_id, doc_id AS file, unnest(string_split(text, chr(10))) AS value, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents),
-n AS (SELECT repo_id, file, pos AS s, md5(value) AS h0, md5(lead(value, 1) OVER o) AS h1, md5(lead(value, 2) OVER o) AS h2, md5(lead(value, 3) OVER o) AS h3, md5(lead(value, 4) OVER o) AS h4 FROM l WINDOW o AS (PARTITION BY file ORDER BY pos)),
-w AS (SELECT repo_id, file, s, s + 2 AS e, h0 || '|' || h1 || '|' || h2 AS h FROM n WHERE h2 IS NOT NULL
-  UNION ALL SELECT repo_id, file, s, s + 3, h0 || '|' || h1 || '|' || h2 || '|' || h3 FROM n WHERE h3 IS NOT NULL
-  UNION ALL SELECT repo_id, file, s, s + 4, h0 || '|' || h1 || '|' || h2 || '|' || h3 || '|' || h4 FROM n WHERE h4 IS NOT NULL),
-p AS (SELECT repo_id, file AS file_a, s AS start_a, e AS end_a, lead(file) OVER q AS file_b, lead(s) OVER q AS start_b, lead(e) OVER q AS end_b FROM w WINDOW q AS (PARTITION BY repo_id, h ORDER BY file, s)),
-r AS (SELECT *, end_a - start_a + 1 AS line_count FROM p WHERE file_b IS NOT NULL AND (file_a <> file_b OR start_b >= end_a))
-SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY line_count DESC, file_a, start_a, file_b, start_b) AS rank FROM r QUALIFY rank <= 5"""),
+    "win3_statement_windows": (statement_duplication, """
+WITH q AS (SELECT lang AS repo_id, doc_id AS file, unnest(string_split(text, '. ')) AS value, unnest(range(0, len(string_split(text, '. ')))) AS pos FROM documents),
+o AS (SELECT *, sum(length(value) + 2) OVER (PARTITION BY file ORDER BY pos) - length(value) - 2 AS f FROM q),
+s AS (SELECT repo_id, file, pos, value, CAST(f // 80 + 1 AS INT) AS st, CAST((f + greatest(length(value), 1) - 1) // 80 + 1 AS INT) AS en FROM o),
+p AS (SELECT a.repo_id, a.file AS fa, b.file AS fb, a.pos AS i, b.pos - a.pos AS shift FROM s a JOIN s b ON a.repo_id = b.repo_id AND a.value = b.value AND (a.file < b.file OR (a.file = b.file AND a.pos < b.pos))),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY repo_id, fa, fb, shift ORDER BY i) AS island FROM p),
+r AS (SELECT repo_id, fa, fb, shift, min(i) AS i, count(*) AS n FROM g GROUP BY repo_id, fa, fb, shift, island HAVING count(*) >= 3),
+x AS (SELECT *, fa = fb AND i + n > i + shift AS meet FROM r),
+w AS (
+  SELECT repo_id, fa, fb, shift, i, n FROM x WHERE NOT meet
+  UNION ALL SELECT repo_id, fa, fb, shift, i + k, m FROM (SELECT *, unnest(range(0, n - 2)) AS k FROM x WHERE meet) y, LATERAL (SELECT unnest(range(3, n - k + 1)) AS m)),
+v AS (
+  SELECT w.repo_id, fa, fb, a0.st AS sa, a1.en AS ea, b0.st AS sb, b1.en AS eb FROM w
+  JOIN s a0 ON a0.file = fa AND a0.pos = i JOIN s a1 ON a1.file = fa AND a1.pos = i + n - 1
+  JOIN s b0 ON b0.file = fb AND b0.pos = i + shift JOIN s b1 ON b1.file = fb AND b1.pos = i + shift + n - 1),
+z AS (SELECT * FROM v WHERE ea - sa >= 5 AND eb - sb >= 5 AND NOT (fa = fb AND sa < eb AND sb < ea)),
+l AS (SELECT DISTINCT * FROM (SELECT repo_id, fa AS file, unnest(range(sa, ea + 1)) AS line FROM z UNION ALL SELECT repo_id, fb, unnest(range(sb, eb + 1)) FROM z)),
+t AS (SELECT repo_id, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT repo_id, file, max(en) AS n FROM s GROUP BY 1, 2) GROUP BY 1)
+SELECT repo_id, lines, coalesce(n, 0) AS duplicated_lines, round(100.0 * coalesce(n, 0) / lines, 6) AS duplication_rate FROM t LEFT JOIN (SELECT repo_id, count(*) AS n FROM l GROUP BY 1) USING (repo_id)"""),
+    "jn3_partners": (clone_partners, f"""
+WITH {_WINDOWS_SQL},
+k AS (SELECT * FROM w WHERE h IS NOT NULL),
+d AS (SELECT a.* FROM k a WHERE EXISTS (SELECT 1 FROM k b WHERE b.repo_id = a.repo_id AND b.h = a.h AND (b.file <> a.file OR b.e <= a.s OR b.s >= a.e))),
+c AS (SELECT a.repo_id, a.file, a.s, b.file AS bf, b.s AS bs, b.e AS be, row_number() OVER (PARTITION BY a.repo_id, a.h, a.file, a.s ORDER BY b.file, b.s) AS of_class
+  FROM d a JOIN d b USING (repo_id, h)),
+f AS (SELECT c.*, min(bf) OVER o AS f0, first_value(bs) OVER (o ORDER BY bf, bs) AS s0 FROM c WINDOW o AS (PARTITION BY repo_id, file, s)),
+n AS (SELECT *, CASE WHEN bf = f0 AND bs = s0 THEN 0 WHEN bf = file AND bs >= s + 2 THEN 1 ELSE 2 END AS kind FROM f WHERE bf <> file OR be <= s OR bs >= s + 2)
+SELECT repo_id, file, s AS start, bf AS partner_file, bs AS partner_start, be AS partner_end FROM n
+QUALIFY row_number() OVER (PARTITION BY repo_id, file, s ORDER BY kind, bf, bs) = 1"""),
+    "jn3_classes": (clone_classes, f"""
+WITH {_WINDOWS_SQL},
+k AS (SELECT * FROM w WHERE h IS NOT NULL),
+d AS (SELECT a.* FROM k a WHERE EXISTS (SELECT 1 FROM k b WHERE b.repo_id = a.repo_id AND b.h = a.h AND (b.file <> a.file OR b.e <= a.s OR b.s >= a.e)))
+SELECT repo_id, count(*) AS copies, count(DISTINCT file) AS files, min(file) AS first_file, arg_min(s, (file, s)) AS first_start, arg_min(e, (file, s)) AS first_end FROM d GROUP BY repo_id, h"""),
+    "top4_clone_pairs": (longest_clones, f"""
+WITH {_WINDOWS_SQL},
+k AS (SELECT * FROM w WHERE h IS NOT NULL),
+p AS (SELECT a.repo_id, a.file AS file_a, b.file AS file_b, a.s, b.s - a.s AS shift FROM k a JOIN k b ON a.repo_id = b.repo_id AND a.h = b.h AND (a.file < b.file OR (a.file = b.file AND b.s >= a.e))),
+i AS (SELECT *, s - row_number() OVER (PARTITION BY repo_id, file_a, file_b, shift ORDER BY s) AS island FROM p),
+r AS (SELECT repo_id, file_a, file_b, shift, min(s) AS s, count(*) + 2 AS n FROM i GROUP BY repo_id, file_a, file_b, shift, island),
+x AS (SELECT *, unnest(range(3, n + 1)) AS line_count FROM r),
+y AS (SELECT *, s + unnest(range(0, n - line_count + 1)) AS start_a FROM x WHERE file_a <> file_b OR line_count <= shift + 1)
+SELECT repo_id, file_a, start_a, start_a + line_count - 1 AS end_a, file_b, start_a + shift AS start_b, start_a + shift + line_count - 1 AS end_b, line_count,
+  row_number() OVER (PARTITION BY repo_id ORDER BY line_count DESC, file_a, start_a, file_b, start_a + shift) AS rank FROM y QUALIFY rank <= 5"""),
     "top4_maximal_clones": (maximal_clones, f"""
 WITH {_WINDOWS_SQL},
 k AS (SELECT * FROM w WHERE h IS NOT NULL),

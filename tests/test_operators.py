@@ -68,24 +68,116 @@ def test_ignore_lines(spark, lines, path, want):
     assert one(spark, path, lambda c: classify.ignored_by(c, lines)) is want
 
 
+STATEMENTS = "repo_id string, file string, block string, pos int, hash string, start int, end int"
+
+
+def plain_duplicated(rows, least=3, lines=6):
+    """(file, line) of all windows of any length that occur apart, by comparing every pair."""
+    blocks = {}
+    for _, f, b, p, h, s, e in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
+        blocks.setdefault((f, b), []).append((h, s, e))
+    windows = {}
+    for (f, _), ss in blocks.items():
+        for i in range(len(ss)):
+            for j in range(i + least, len(ss) + 1):
+                if ss[j - 1][2] - ss[i][1] + 1 >= lines:
+                    windows.setdefault(tuple(h for h, _, _ in ss[i:j]), []).append((f, ss[i][1], ss[j - 1][2]))
+    out = set()
+    for group in windows.values():
+        for a in group:
+            if any(a != b and not (a[0] == b[0] and a[1] < b[2] and b[1] < a[2]) for b in group):
+                out |= {(a[0], k) for k in range(a[1], a[2] + 1)}
+    return out
+
+
+def duplicated(spark, rows, **more):
+    windows = clones.deciding_windows(spark.createDataFrame(rows, STATEMENTS), **more)
+    spans = clones.duplicated_windows(windows).collect()
+    return {(r["file"], k) for r in spans for k in range(r["start"], r["end"] + 1)}
+
+
 def test_clones(spark):
     body = ["a", "b", "c", "d"]
     rows = [("r", f, f"{f}{k}", i, h, start + 2 * i, start + 2 * i + 1) for f, k, start in (("x", 0, 1), ("x", 1, 20), ("y", 0, 5)) for i, h in enumerate(body)]
     rows += [("r", "z", "z0", i, h, 2 * i + 1, 2 * i + 2) for i, h in enumerate("efgh")]
-    statements = spark.createDataFrame(rows, "repo_id string, file string, block string, pos int, hash string, start int, end int")
-    windows = clones.statement_windows(statements)
-    assert windows.count() == 4 * 3
+    windows = clones.deciding_windows(spark.createDataFrame(rows, STATEMENTS))
     totals = spark.createDataFrame([("r", 96)], "repo_id string, lines int")
     got = clones.duplication_rate(windows, totals).first()
     assert got["duplicated_lines"] == 24 and got["duplication_rate"] == 25.0
-    best = clones.clone_pairs(windows).orderBy("rank").first()
-    assert best["line_count"] == 8 and (best["file_a"], best["file_b"]) == ("x", "x")
+    got = {(p["file"], p["start"], p["end"], p["partner_file"], p["partner_start"]) for p in clones.partners(windows).collect()}
+    assert {("x", 1, 6, "x", 20), ("x", 20, 25, "x", 1), ("y", 5, 10, "x", 1)} <= got and len(got) == 6
+    classes = {(c["copies"], c["files"], c["first_file"], c["first_start"]) for c in clones.clone_classes(windows).collect()}
+    assert classes == {(3, 2, "x", 1), (3, 2, "x", 3)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_duplicated_lines_at_any_length(spark, seed):
+    """Statements of no or several lines, many on one line, gaps between them, copies laid out otherwise, nested blocks."""
+    import random
+
+    rng = random.Random(seed)
+    passage = [rng.choice("abcdefgh") for _ in range(rng.choice((6, 14, 40)))]
+    rows = []
+    for f in range(8):
+        for b in range(rng.randint(1, 3)):
+            names = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))]
+            at = rng.randint(0, len(names))
+            cut = rng.randint(0, 4)
+            names[at:at] = passage[cut : len(passage) - rng.randint(0, 4)] * rng.choice((0, 1, 1, 2))
+            line = rng.randint(1, 9)
+            for p, h in enumerate(names):
+                end = line + rng.choice((0, 0, 0, 1, 2) if f % 2 else (0, 0, 0, 0, 0, 1))
+                rows.append(("r", f"f{f}", f"b{b}", p, h, line, end))
+                line = end + rng.choice((0, 0, 1, 1, 3))
+    assert duplicated(spark, rows) == plain_duplicated(rows)
+
+
+def test_a_window_of_very_many_statements(spark):
+    """Two hundred statements on six lines: in no shorter window do both copies span enough lines."""
+    rows = [("r", f, "b", p, f"s{p}", p // 40 + 1 if f == "x" else p + 1, p // 40 + 1 if f == "x" else p + 1) for f in "xy" for p in range(205)]
+    assert duplicated(spark, rows) == plain_duplicated(rows) == {("x", k) for k in range(1, 7)} | {("y", k) for k in range(1, 206)}
 
 
 def test_overlapping_windows_are_no_clones(spark):
     rows = [("r", "x", "b", i, "s", i + 1, i + 1) for i in range(4)]
-    windows = clones.statement_windows(spark.createDataFrame(rows, "repo_id string, file string, block string, pos int, hash string, start int, end int"), lines=3, most=3)
-    assert windows.count() == 2 and clones.duplicated_windows(windows).count() == 0
+    assert duplicated(spark, rows, lines=3) == set()
+    assert duplicated(spark, rows[:0]) == set()
+
+
+def test_partners_of_many_copies(spark):
+    """Half of all windows are one passage: rows are as many as copies, and none overlaps its partner."""
+    texts = spark.createDataFrame([("r", f, "\n".join(["same"] * (9 if f % 3 else 4) + [f"own{f}"])) for f in range(60)] + [("q", 1, "\n".join(["one"] * 5))], "repo_id string, file long, text string")
+    got = clones.partners(clones.line_windows(texts, 3)).collect()
+    found = clones.duplicated_windows(clones.line_windows(texts, 3)).count()
+    assert len(got) == found == 40 * 7 + 20 * 2 + 2
+    for p in got:
+        assert p["file"] != p["partner_file"] or p["start"] >= p["partner_end"] or p["partner_start"] >= p["end"]
+    first = {(p["start"], p["partner_file"], p["partner_start"]) for p in got if p["repo_id"] == "r" and p["file"] == 0}
+    assert first == {(1, 1, 1), (2, 1, 1)}
+    assert {(p["start"], p["partner_start"]) for p in got if p["repo_id"] == "q"} == {(1, 3), (3, 1)}
+
+
+def test_longest_windows_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = [("r", f, [rng.choice("ab") for _ in range(rng.randint(1, 14))]) for f in range(6)] + [("q", 9, ["s"] * 9), ("p", 10, list("abcdefg")), ("p", 11, list("xabcdefy"))]
+    want = {}
+    for repo in "rqp":
+        pairs = []
+        own = [(f, t) for r, f, t in texts if r == repo]
+        for k in range(3, 15):
+            places = {}
+            for f, t in own:
+                for i in range(len(t) - k + 1):
+                    places.setdefault(tuple(t[i : i + k]), []).append((f, i + 1))
+            pairs += [(-k, *a, *b) for p in places.values() for a in p for b in p if a < b and (a[0] != b[0] or b[1] >= a[1] + k - 1)]
+        want[repo] = sorted(pairs)[:5]
+    frame = spark.createDataFrame([(r, f, "\n".join(t)) for r, f, t in texts], "repo_id string, file long, text string")
+    got = {}
+    for c in clones.longest_windows(frame).orderBy("repo_id", "rank").collect():
+        got.setdefault(c["repo_id"], []).append((-c["line_count"], c["file_a"], c["start_a"], c["file_b"], c["start_b"]))
+    assert got == want
 
 
 def test_line_clones_are_whole(spark):
@@ -105,8 +197,6 @@ def test_copies_beyond_an_overlapping_neighbour_are_paired(spark):
     texts = spark.createDataFrame([("r", 1, "\n".join(["same"] * 6)), ("q", 1, "a\nb\nc"), ("q", 2, "a\nb\nc"), ("q", 3, "a\nb\nc")], "repo_id string, file long, text string")
     got = {(c["repo_id"], c["file_a"], c["start_a"], c["file_b"], c["start_b"], c["line_count"]) for c in clones.line_clones(texts).collect()}
     assert got == {("r", 1, 1, 1, 3, 3), ("r", 1, 1, 1, 4, 3), ("q", 1, 1, 2, 1, 3), ("q", 1, 1, 3, 1, 3), ("q", 2, 1, 3, 1, 3)}
-    statements = spark.createDataFrame([("r", 1, 0, i, "same", i + 1, i + 1) for i in range(6)], "repo_id string, file long, block int, pos int, hash string, start int, end int")
-    assert clones.clone_pairs(clones.statement_windows(statements, lines=3, most=3)).count() == 0
 
 
 def test_graph(spark):
