@@ -5,7 +5,6 @@ Edges have repo_id, src and dst.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,64 +130,93 @@ def module_paths(files: DataFrame, module_files: DataFrame) -> DataFrame:
     return files.select("repo_id", "rel_path").join(nearest, ["repo_id", "rel_path"], "left").withColumn("module", F.coalesce("module", F.array_join(F.slice(F.split("rel_path", "/"), 1, 3), "/")))
 
 
-def cyclic_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def cyclic_components(edges: DataFrame) -> DataFrame:
     """Nodes that lie on cycles, with the smallest node of their strongly connected component: repo_id, node, component.
 
-    Nodes without an edge in or out are trimmed first, by anti-joins, so what is
-    left is little more than the cycles; who reaches whom is then found by doubling
-    path lengths, in distributed joins keyed by repository and node.
+    Nodes without an edge in or out are trimmed. Then every node learns the smallest node that leads to it, by
+    labels that travel along the edges; a node that keeps its own label is a root, and those of its label from
+    which it can be reached, against the edges, are its component. These are taken out, and the rest goes on.
+    A step is one join by (repository, node) and a grouped minimum, and a table holds no more than a row for each
+    node and each edge; no pair of nodes is ever listed.
     """
     now = kept(edges.where("src != dst").select("repo_id", "src", "dst").distinct())
-    for _ in range(rounds):
-        ends = now.select("repo_id", F.col("dst").alias("src")).distinct()
-        starts = now.select("repo_id", F.col("src").alias("dst")).distinct()
-        rest = kept(now.join(ends, ["repo_id", "src"], "left_semi").join(starts, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"))
-        before, after = now.count(), rest.count()
-        now = rest
-        if before == after:
-            break
-    reach = now
-    for _ in range(rounds):
-        onward = reach.select("repo_id", F.col("src").alias("dst"), F.col("dst").alias("last"))
-        more = reach.join(onward, ["repo_id", "dst"]).select("repo_id", "src", F.col("last").alias("dst"))
-        longer = kept(reach.union(more).distinct())
-        if longer.count() == reach.count():
-            break
-        reach = longer
-    back = reach.select("repo_id", F.col("src").alias("dst"), F.col("dst").alias("src"))
-    mutual = reach.join(back, ["repo_id", "src", "dst"], "left_semi")
-    return mutual.groupBy("repo_id", "src").agg(F.min("dst").alias("component")).select("repo_id", F.col("src").alias("node"), "component")
-
-
-def cycles(edges: DataFrame) -> DataFrame:
-    """One row for each edge that closes a cycle in a depth-first walk: repo_id, cycle (nodes in order).
-
-    A repository's module graph is small and is walked in one task; nodes and
-    neighbours go in sorted order, so the result is the same every time.
+    out = None
+    while not (now := _trimmed(now)).isEmpty():
+        found = _rooted(now, _reached_from(now))
+        out = found if out is None else kept(out.unionByName(found))
+        gone = found.select("repo_id", F.col("node").alias("gone"))
+        now = kept(now.join(gone.withColumnRenamed("gone", "src"), ["repo_id", "src"], "left_anti").join(gone.withColumnRenamed("gone", "dst"), ["repo_id", "dst"], "left_anti").select("repo_id", "src", "dst"))
+    if out is None:
+        return edges.select("repo_id", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    several = out.groupBy("repo_id", "component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return out.join(several, ["repo_id", "component"], "left_semi").select("repo_id", "node", "component")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges whose ends both have an edge in and an edge out, again and again."""
+    before = edges.count()
+    while True:
+        ends = edges.select("repo_id", F.col("dst").alias("src")).distinct()
+        starts = edges.select("repo_id", F.col("src").alias("dst")).distinct()
+        rest = kept(edges.join(ends, ["repo_id", "src"], "left_semi").join(starts, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"), edges)
+        after = rest.count()
+        if after == before:
+            return rest
+        edges, before = rest, after
+
+
+def _reached_from(edges: DataFrame) -> DataFrame:
+    """(repo_id, node, label): the smallest node from which each node can be reached, itself included."""
+    labels = kept(nodes(edges).withColumn("label", F.col("node")))
+    while True:
+        sent = edges.join(labels.withColumnRenamed("node", "src"), ["repo_id", "src"]).groupBy("repo_id", F.col("dst").alias("node")).agg(F.min("label").alias("got"))
+        moved = labels.join(sent, ["repo_id", "node"], "left").select("repo_id", "node", F.least("label", "got").alias("label"), F.coalesce(F.col("got") < F.col("label"), F.lit(False)).alias("new"))
+        after = kept(moved, labels)
+        labels = after.drop("new")
+        if after.where("new").isEmpty():
+            return labels
+
+
+def _rooted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(repo_id, node, component): the nodes that reach the root of their label without leaving the label."""
+    src, dst = (labels.select("repo_id", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("src", "dst"))
+    inside = edges.join(src, ["repo_id", "src"]).join(dst, ["repo_id", "dst"]).where("src_label = dst_label")
+    inside = kept(inside.select("repo_id", F.col("src").alias("node"), "dst", F.col("src_label").alias("component")))
+    found = fresh = kept(labels.where("node = label").select("repo_id", "node", F.col("label").alias("component")))
+    while True:
+        back = inside.join(fresh.select("repo_id", F.col("node").alias("dst"), "component"), ["repo_id", "dst", "component"]).select("repo_id", "node", "component").distinct()
+        fresh = kept(back.join(found, ["repo_id", "node", "component"], "left_anti"))
+        if fresh.isEmpty():
+            return found
+        found = kept(found.unionByName(fresh))
+
+
+def cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """The shortest cycles, one through each edge that lies on a cycle, each once: repo_id, cycle (nodes in order).
+
+    A cycle begins and ends with its smallest node. Of an edge's shortest cycles it is the one whose nodes from
+    the edge's end on come first in order. The end of each such edge is searched from, breadth first inside its
+    component: a step is one join and a grouped minimum of paths, which are as long as the step. A search goes
+    on only while the start of one of its edges is still to be met, so short cycles end it early.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        for s, d in sorted(set(zip(pdf["src"], pdf["dst"], strict=True))):
-            after.setdefault(s, []).append(d)
-        state: dict[str, int] = {}
-        found: list[list[str]] = []
-        for root in sorted(set(pdf["src"]) | set(pdf["dst"])):
-            if root in state:
-                continue
-            path, stack = [root], [iter(after.get(root, ()))]
-            state[root] = 1
-            while stack:
-                following = next(stack[-1], None)
-                if following is None:
-                    state[path.pop()] = 2
-                    stack.pop()
-                elif state.get(following) == 1:
-                    found.append([*path[path.index(following) :], following])
-                elif following not in state:
-                    state[following] = 1
-                    path.append(following)
-                    stack.append(iter(after.get(following, ())))
-        return pd.DataFrame({"repo_id": pd.Series([pdf["repo_id"].iloc[0]] * len(found), dtype=object), "cycle": pd.Series(found, dtype=object)})
-
-    return edges.groupBy("repo_id").applyInPandas(walk, "repo_id string, cycle array<string>")
+    member = kept(components if components is not None else cyclic_components(edges))
+    src, dst = (member.select("repo_id", F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in ("src", "dst"))
+    inside = edges.where("src != dst").select("repo_id", "src", "dst").distinct().join(src, ["repo_id", "src"]).join(dst, ["repo_id", "dst"])
+    inside = kept(inside.where("src_component = dst_component").select("repo_id", "src", "dst"))
+    wanted = kept(inside.select("repo_id", F.col("dst").alias("source"), F.col("src").alias("node")))
+    front = wanted.select("repo_id", "source").distinct().select("repo_id", "source", F.col("source").alias("node"), F.array("source").alias("path"))
+    seen, closed = kept(front.select("repo_id", "source", "node")), None
+    while not wanted.isEmpty():
+        step = front.join(wanted.select("repo_id", "source").distinct(), ["repo_id", "source"], "left_semi")
+        step = step.join(inside.withColumnRenamed("src", "node"), ["repo_id", "node"]).select("repo_id", "source", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+        fresh = step.join(seen, ["repo_id", "source", "node"], "left_anti")
+        front = kept(fresh.groupBy("repo_id", "source", "node").agg(F.min("path").alias("path")))
+        met = front.join(wanted, ["repo_id", "source", "node"], "left_semi").select("repo_id", "path")
+        closed = kept(met if closed is None else closed.unionByName(met))
+        wanted = kept(wanted.join(front, ["repo_id", "source", "node"], "left_anti"))
+        seen = kept(seen.unionByName(front.select("repo_id", "source", "node")))
+    if closed is None:
+        return inside.select("repo_id", F.array("src").alias("cycle"))
+    at = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at))
+    return closed.select("repo_id", turned.alias("cycle")).distinct()

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def kept(frame: DataFrame) -> DataFrame:
+def kept(frame: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """The frame, computed once: in the folder of ``spark.checkpoint.dir`` where a session has one, which cuts
-    its lineage too, else in the cache, from which lost parts are computed again."""
-    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.persist()
+    its lineage too, else in the cache, from which lost parts are computed again.
+
+    ``before`` is a step made in the same way that nothing but this one reads; once this one is there it is let go.
+    """
+    if frame.sparkSession.sparkContext.getCheckpointDir():
+        return frame.checkpoint()
+    out = frame.persist()
+    if before is not None and before.is_cached:
+        out.count()
+        before.unpersist()
+    return out

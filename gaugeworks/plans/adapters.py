@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The end of the order history: windows look back from here, never from the wall clock.
@@ -70,3 +70,17 @@ EDGES_SQL = """
   JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey
   WHERE a.n_name <> b.n_name AND a.n_regionkey = b.n_regionkey
 """
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for each customer: the class of an order (priority and status) to that of the customer's next order."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("repo_id"), "o_orderdate", "o_orderkey", F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("src"))
+    order = Window.partitionBy("repo_id").orderBy("o_orderdate", "o_orderkey")
+    return o.withColumn("dst", F.lead("src").over(order)).where("src != dst").select("repo_id", "src", "dst").distinct()
+
+
+ORDER_EDGES_SQL = """
+  SELECT DISTINCT repo_id, src, dst FROM (
+    SELECT CAST(o_custkey AS VARCHAR) AS repo_id, o_orderpriority || '/' || o_orderstatus AS src,
+      lead(o_orderpriority || '/' || o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders) WHERE src <> dst
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.config import METRICS
 from gaugeworks.functions.scalars import interpolate
 from gaugeworks.operators import graph, scoring, summary
-from gaugeworks.plans.adapters import EDGES_SQL, import_edges, table
+from gaugeworks.plans.adapters import EDGES_SQL, ORDER_EDGES_SQL, import_edges, order_edges, table
 from gaugeworks.report import render
 from gaugeworks.sources import coverage
 
@@ -38,6 +38,32 @@ def cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cycles(import_edges(spark, sf))
 
 
+def order_components(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.cyclic_components(order_edges(spark, sf))
+
+
+def order_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.cycles(order_edges(spark, sf))
+
+
+def _cycles_sql(edges: str) -> str:
+    """The first shortest path from each edge's end to its start, of all simple paths."""
+    return f"""
+WITH RECURSIVE e AS ({edges}),
+p(repo_id, u, node, path) AS (
+  SELECT repo_id, src, dst, [dst] FROM e
+  UNION ALL SELECT p.repo_id, u, e.dst, list_append(path, e.dst) FROM p JOIN e ON p.repo_id = e.repo_id AND p.node = e.src WHERE p.node <> u AND NOT list_contains(path, e.dst)),
+c AS (SELECT repo_id, path, list_position(path, list_min(path)) AS i FROM p WHERE node = u QUALIFY row_number() OVER (PARTITION BY repo_id, u, path[1] ORDER BY len(path), path) = 1)
+SELECT DISTINCT repo_id, list_concat(path[i:], path[:i]) AS cycle FROM c"""
+
+
+def _components_sql(edges: str) -> str:
+    return f"""
+WITH RECURSIVE e AS ({edges}),
+r AS (SELECT repo_id, src, dst FROM e UNION SELECT r.repo_id, r.src, e.dst FROM r JOIN e ON r.repo_id = e.repo_id AND r.dst = e.src)
+SELECT a.repo_id, a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.repo_id = b.repo_id AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2"""
+
+
 def url_depth(spark: SparkSession, sf: str) -> DataFrame:
     path = F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1)
     host = F.regexp_extract("url", r"^[a-z]+://([^/]*)", 1)
@@ -126,7 +152,9 @@ QUERIES = {
     "top13_tiers": (tiers, "WITH s AS (SELECT c_custkey, round(greatest(0.0, c_acctbal / 1000.0), 2) AS v FROM customer) SELECT c_custkey, CASE WHEN v >= 8 THEN 'Agent-Ready' WHEN v >= 6 THEN 'Agent-Assisted' WHEN v >= 4 THEN 'Agent-Limited' ELSE 'Agent-Hostile' END AS tier, CASE WHEN v < 6 THEN 'red' WHEN v < 8 THEN 'yellow' ELSE 'green' END AS light FROM s"),
     "agg6_degrees": (degree, f"WITH e AS ({EDGES_SQL}), n AS (SELECT repo_id, src AS node FROM e UNION SELECT repo_id, dst FROM e) SELECT repo_id, node, (SELECT count(*) FROM e WHERE e.repo_id = n.repo_id AND src = node) AS efferent, (SELECT count(*) FROM e WHERE e.repo_id = n.repo_id AND dst = node) AS afferent FROM n"),
     "agg7_fan_out": (fan_out, f"WITH e AS ({EDGES_SQL}), d AS (SELECT repo_id, src, count(*) AS n FROM e GROUP BY 1, 2) SELECT repo_id, round(avg(n), 6) AS fanout_avg, max(n) AS fanout_max, arg_max(src, (n, -rk)) AS fanout_max_node FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY src) AS rk FROM d) GROUP BY 1"),
-    "gr2_cycles": (cycles, None),
+    "gr2_cycles": (cycles, _cycles_sql(EDGES_SQL)),
+    "gr2_order_components": (order_components, _components_sql(ORDER_EDGES_SQL)),
+    "gr2_order_cycles": (order_cycles, _cycles_sql(ORDER_EDGES_SQL)),
     "gr6_url_depth": (url_depth, "SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS repo_id, CAST(max(len(string_split(regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1), '/')) - 1) AS INT) AS max_depth, round(avg(len(string_split(regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1), '/')) - 1), 6) AS avg_depth FROM pages GROUP BY 1"),
     "jn5_dead_exports": (dead_exports, "WITH u AS (SELECT p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1) SELECT p_brand AS repo_id, p_type AS unit, p_partkey AS name FROM part WHERE p_brand IN (SELECT p_brand FROM u) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 25 * count(*))"),
     "jn6_dead_names": (dead_names, "WITH f AS (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1) SELECT c_mktsegment AS repo_id, c_custkey AS name, c_nationkey AS file FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM f) AND c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 10)"),

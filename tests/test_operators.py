@@ -215,6 +215,70 @@ def test_graph(spark):
     assert [tuple(r) for r in graph.resolve_imports(imports, modules).collect()] == [("r", "a", "b")]
 
 
+def plain_components(edges):
+    """(repo, node) -> smallest node of its cycle component, by walking from every node."""
+    after = {}
+    for r, s, d in edges:
+        after.setdefault((r, s), set()).add((r, d))
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in after.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    far = {x: reach(x) for x in after}
+    out = {}
+    for x, seen in far.items():
+        mutual = {y for y in seen if x in far.get(y, ()) and y != x}
+        if mutual:
+            out[x] = min(y[1] for y in mutual | {x})
+    return out
+
+
+def plain_cycles(edges):
+    """The first of the shortest cycles through each edge, breadth first from its end."""
+    out = set()
+    for r, u, v in edges:
+        paths = {v: (v,)}
+        while u not in paths:
+            step = {}
+            for n, p in paths.items():
+                for q, s, d in edges:
+                    if q == r and s == n and d not in paths:
+                        step[d] = min(step.get(d, (*p, d)), (*p, d))
+            if not step:
+                break
+            paths |= step
+        if u in paths:
+            p = paths[u]
+            k = p.index(min(p))
+            out.add((r, (*p[k:], *p[: k + 1])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_and_cycles_equal_plain_walks(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = {(r, f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}") for r in "ab" for _ in range((10, 20, 30)[seed])}
+    edges |= {("ring", f"m{k:02}", f"m{(k + 1) % 9:02}") for k in range(9)} | {("two", "a", "b"), ("two", "b", "a"), ("two", "b", "c"), ("two", "c", "d"), ("two", "d", "c"), ("two", "x", "x")}
+    frame = spark.createDataFrame(sorted(edges), "repo_id string, src string, dst string")
+    proper = {e for e in edges if e[1] != e[2]}
+    assert {(r["repo_id"], r["node"]): r["component"] for r in graph.cyclic_components(frame).collect()} == plain_components(proper)
+    assert {(r["repo_id"], tuple(r["cycle"])) for r in graph.cycles(frame).collect()} == plain_cycles(proper)
+
+
+def test_graphs_without_cycles(spark):
+    frame = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "c")], "repo_id string, src string, dst string")
+    for none in (frame, frame.limit(0)):
+        assert graph.cyclic_components(none).count() == 0 and graph.cycles(none).count() == 0
+
+
 def test_module_paths(spark):
     assert one(spark, "a/b/__init__.py", graph.module_of) == "a.b"
     assert one(spark, "a.b.c", lambda c: graph.relative_module(c, F.lit(1), F.lit("d"))) == "a.b.d"
