@@ -128,3 +128,50 @@ def ignored_by(path: Column, lines: list[str]) -> Column:
     for got in filter(None, map(ignore_pattern, lines)):
         out = F.when(path.rlike(got[1]), F.lit(not got[0])).otherwise(out)
     return out
+
+
+def ignore_rules(lines: DataFrame) -> DataFrame:
+    """Ignore files as data: rules (repo_id, place, negated, folder, anchored, glob, body, pattern) from their lines
+    (repo_id, line_no, line). Blank lines and comments give none; a later place overrides an earlier one."""
+    bare = F.regexp_replace("line", r"[\r\n]+$", "")
+    rows = lines.select("repo_id", F.col("line_no").alias("place"), bare.alias("bare"))
+    rows = rows.withColumn("bare", F.when(F.col("bare").endswith("\\ "), F.expr("concat(substring(bare, 1, length(bare) - 2), ' ')")).otherwise(F.rtrim("bare")))
+    rows = rows.where("bare != '' and not startswith(bare, '#')").withColumn("negated", F.col("bare").startswith("!"))
+    marked = F.col("negated") | F.col("bare").startswith("\\#") | F.col("bare").startswith("\\!")
+    rows = rows.withColumn("bare", F.when(marked, F.expr("substring(bare, 2)")).otherwise(F.col("bare"))).withColumn("folder", F.col("bare").endswith("/"))
+    rows = rows.withColumn("body", F.when(F.col("folder"), F.regexp_replace("bare", "^/+|/+$", "")).otherwise(F.regexp_replace("bare", "^/+", "")))
+    rows = rows.withColumn("anchored", F.col("bare").startswith("/") | F.col("body").contains("/")).withColumn("glob", F.col("body").rlike(r"[*?\[\\]"))
+
+    def piece(token: Column) -> Column:
+        """A piece of a pattern as a regular expression over paths."""
+        inside = F.regexp_replace(F.regexp_replace(token, r"^\[!", "[^"), r"\\", r"\\\\")
+        out = F.when(token == "**/", "(?:.*/)?").when(token == "**", ".*").when(token == "*", "[^/]*").when(token == "?", "[^/]")
+        return out.when(token.rlike(r"^\[.+\]$"), inside).otherwise(F.concat(F.lit("\\Q"), token, F.lit("\\E")))
+
+    tokens = F.regexp_extract_all("body", F.lit(r"(\*\*/|\*\*|\*|\?|\[[^\]][^\]]*\]|[^*?\[]+|\[)"), 1)
+    pattern = F.concat(F.lit("^"), F.array_join(F.transform(tokens, piece), ""), F.lit("$"))
+    return rows.select("repo_id", "place", "negated", "folder", "anchored", "glob", "body", pattern.alias("pattern"))
+
+
+def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo_id, rel_path, ignored) of each distinct path: by the last rule of its repository that fits the path or one
+    of its folders.
+
+    Each path is listed with its folders; rules without wildcards meet them by an equi-join on the folder (or its
+    name), the few others by repository and expression, and the last place is a grouped maximum. Rules are a table
+    like any other: no expression grows with them.
+    """
+    paths = files.select("repo_id", "rel_path").distinct()
+    parts = F.split("rel_path", "/")
+    each = paths.select("repo_id", "rel_path", parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k"))
+    upto = F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/")
+    forms = F.explode(F.array(F.struct(F.lit(True).alias("anchored"), upto.alias("subject")), F.struct(F.lit(False).alias("anchored"), F.get("parts", F.col("k") - 1).alias("subject"))))
+    subjects = each.select("repo_id", "rel_path", (F.col("k") == F.size("parts")).alias("whole"), forms.alias("s")).select("repo_id", "rel_path", "whole", "s.*")
+    plain = rules.where("not glob").select("repo_id", "anchored", F.col("body").alias("subject"), "folder", "negated", "place")
+    fits = subjects.join(plain, ["repo_id", "anchored", "subject"])
+    globs = rules.where("glob").select("repo_id", "anchored", "pattern", "folder", "negated", "place")
+    wild = subjects.join(globs, ["repo_id", "anchored"]).where(F.rlike("subject", F.col("pattern")))
+    keep = ["repo_id", "rel_path", "whole", "folder", "negated", "place"]
+    met = fits.select(*keep).unionByName(wild.select(*keep)).where("not (whole and folder)")
+    last = met.groupBy("repo_id", "rel_path").agg((~F.max_by("negated", "place")).alias("ignored"))
+    return paths.join(last, ["repo_id", "rel_path"], "left").select("repo_id", "rel_path", F.coalesce("ignored", F.lit(False)).alias("ignored"))

@@ -52,10 +52,11 @@ def python_name_fits(name: Column, kind: Column) -> Column:
     return F.when(kind == "class", is_camel(name)).otherwise(is_snake(name))
 
 
-def naming_consistency(names: DataFrame, counts: Column, fits: Column) -> DataFrame:
-    """Judged and fitting names of each repository, and their percentage (0 where none is judged)."""
+def naming_consistency(names: DataFrame, counts: Column, fits: Column, unjudged: float = 0.0) -> DataFrame:
+    """Judged and fitting names of each repository, and their percentage; ``unjudged`` where none is judged, which
+    is 100 by the rules for Go and 0 by those for Python."""
     out = names.groupBy("repo_id").agg(F.count_if(counts).alias("judged"), F.count_if(counts & fits).alias("fitting"))
-    return out.withColumn("naming_consistency", F.coalesce(F.try_divide(F.col("fitting") * 100.0, F.col("judged").cast("double")), F.lit(0.0)))
+    return out.withColumn("naming_consistency", F.coalesce(F.try_divide(F.col("fitting") * 100.0, F.col("judged").cast("double")), F.lit(unjudged)))
 
 
 def is_magic(language: Column, value: Column, in_const: Column, target: Column, subscript: Column) -> Column:

@@ -33,12 +33,17 @@ def churn_rate(commits: DataFrame, changes: DataFrame, as_of: dt.datetime, days:
 def coupled_pairs(changes: DataFrame, least_commits: int = LEAST_COMMITS, bulk: int = BULK_FILES) -> DataFrame:
     """Pairs of files changed together, with the share of the rarer file's commits.
 
-    Bulk commits are left out first, so a commit adds a bounded number of
-    pairs. Pairs are counted by partial sums before they are shuffled.
+    Commits are counted first: one of more than ``bulk`` files is never gathered. Files of fewer than
+    ``least_commits`` of the others go next, since no pair of theirs is kept; only then are the few files that a
+    commit still has put together. Pairs are counted by partial sums before they are shuffled, so a file of very
+    many commits is one row for each of its pairs and tasks.
     """
     files = changes.select("repo_id", "hash", "path").distinct()
-    small = files.groupBy("repo_id", "hash").agg(F.array_sort(F.collect_list("path")).alias("paths")).where(F.size("paths") <= bulk)
-    each = small.select("repo_id", F.explode("paths").alias("path")).groupBy("repo_id", "path").agg(F.count("*").alias("commits")).where(F.col("commits") >= least_commits)
+    sizes = files.groupBy("repo_id", "hash").agg(F.count("*").alias("n")).where(F.col("n") <= bulk).select("repo_id", "hash")
+    few = files.join(sizes, ["repo_id", "hash"])
+    each = few.groupBy("repo_id", "path").agg(F.count("*").alias("commits")).where(F.col("commits") >= least_commits)
+    often = few.join(each.select("repo_id", "path"), ["repo_id", "path"])
+    small = often.groupBy("repo_id", "hash").agg(F.array_sort(F.collect_list("path")).alias("paths")).where(F.size("paths") > 1)
     left = small.select("repo_id", "paths", F.posexplode("paths").alias("at", "a"))
     pair = left.select("repo_id", "a", F.explode(F.slice("paths", F.col("at") + 2, F.lit(bulk))).alias("b"))
     together = pair.groupBy("repo_id", "a", "b").agg(F.count("*").alias("shared"))
@@ -55,7 +60,8 @@ def coupling(pairs: DataFrame, strong: float = STRONG) -> DataFrame:
 
 def author_fragmentation(changes: DataFrame, as_of: dt.datetime, days: int = WINDOW_DAYS) -> DataFrame:
     """The mean number of distinct authors of a file within the window."""
-    return _fragmentation(_file_sums(changes, as_of, days))
+    by_author = changes.where(since(F.col("ts"), as_of, days)).select("repo_id", "path", "author").distinct()
+    return _fragmentation(by_author.groupBy("repo_id", "path").agg(F.count("author").alias("recent_authors")))
 
 
 def _file_sums(changes: DataFrame, as_of: dt.datetime, days: int = WINDOW_DAYS) -> DataFrame:

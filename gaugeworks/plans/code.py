@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import classify, documentation, evidence, graph, semantics, summary, testing
+from gaugeworks.plans.adapters import table
 from gaugeworks.plans.facts import FILES, IMPORTS, LISTING, NAMES, NUMBERS, TESTS, facts, plain
 from gaugeworks.sources import coverage
 
 
 def go_naming(spark: SparkSession, sf: str) -> DataFrame:
     names = facts(spark, sf, NAMES)
-    got = semantics.naming_consistency(names, semantics.go_name_counts(F.col("name")), semantics.go_name_fits(F.col("name"), F.col("exported")))
+    got = semantics.naming_consistency(names, semantics.go_name_counts(F.col("name")), semantics.go_name_fits(F.col("name"), F.col("exported")), unjudged=100.0)
     return got.withColumn("naming_consistency", F.round("naming_consistency", 6))
 
 
@@ -116,6 +117,17 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy("rel_path", "language", "class", "exclude_reason").agg(F.count("*").alias("files"))
 
 
+def repository_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files of their hosts; a host's ignore file has lines of its own, made from its pages' folders."""
+    host, path = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1), F.regexp_extract("url", r"^[a-z]+://[^/?#]*/*([^?#]*?)/*(?:[?#].*)?$", 1)
+    pages = table(spark, sf, "pages").select(host.alias("repo_id"), path.alias("rel_path"))
+    ends = pages.groupBy("repo_id").agg(F.min(F.substring_index("rel_path", "/", 1)).alias("a"), F.max(F.substring_index("rel_path", "/", 1)).alias("b"))
+    www = F.when(F.col("repo_id").startswith("www."), "!*5").otherwise("# *")
+    text = F.array(F.lit("[0-4]*"), www, F.concat(F.lit("/"), F.col("a"), F.lit("/  ")), F.concat(F.lit("!"), F.col("b"), F.lit("/1?")), F.lit("**/77/"), F.when(F.length("repo_id") % 2 == 0, "9").otherwise("!9"))
+    lines = ends.select("repo_id", F.posexplode(text).alias("line_no", "line"))
+    return classify.ignored_paths(pages, classify.ignore_rules(lines))
+
+
 def generated(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf, LISTING).groupBy(classify.is_generated(F.col("content")).alias("generated")).agg(F.count("*").alias("files"))
 
@@ -264,8 +276,8 @@ _FITS_GO = "CASE WHEN exported THEN regexp_matches(name, '^[A-Z]') ELSE regexp_m
 _TOP = "NOT contains(rel_path, '/')"
 
 
-def _naming_sql(judged: str, fits: str) -> str:
-    return f"SELECT repo_id, count(*) FILTER ({judged}) AS judged, count(*) FILTER (({judged}) AND ({fits})) AS fitting, round(coalesce(100.0 * count(*) FILTER (({judged}) AND ({fits})) / nullif(count(*) FILTER ({judged}), 0), 0.0), 6) AS naming_consistency FROM ({_N}) GROUP BY 1"
+def _naming_sql(judged: str, fits: str, unjudged: float = 0.0) -> str:
+    return f"SELECT repo_id, count(*) FILTER ({judged}) AS judged, count(*) FILTER (({judged}) AND ({fits})) AS fitting, round(coalesce(100.0 * count(*) FILTER (({judged}) AND ({fits})) / nullif(count(*) FILTER ({judged}), 0), {unjudged}), 6) AS naming_consistency FROM ({_N}) GROUP BY 1"
 
 
 def _magic_sql(language: str) -> str:
@@ -281,7 +293,7 @@ w AS (SELECT *, last_value(CASE WHEN mark IN ('open', 'close') THEN mark END IGN
 k AS (SELECT repo_id, file_path, count(*) AS total, count(*) FILTER (mark IN ('line', 'open') OR before = 'open') AS comments FROM w GROUP BY 1, 2)
 """
 QUERIES = {
-    "flt11_go_naming": (go_naming, _naming_sql(f"length(name) > 1 AND name NOT IN ({_ACRONYMS})", _FITS_GO)),
+    "flt11_go_naming": (go_naming, _naming_sql(f"length(name) > 1 AND name NOT IN ({_ACRONYMS})", _FITS_GO, 100.0)),
     "flt12_python_naming": (python_naming, _naming_sql("length(name) > 1 AND (kind = 'class' OR (kind = 'function' AND NOT (starts_with(name, '__') AND ends_with(name, '__'))))", "CASE kind WHEN 'class' THEN regexp_matches(name, '^[A-Z]') ELSE regexp_full_match(name, '[a-z][a-z0-9]*(_[a-z0-9]+)*') END")),
     "f7_name_tests": (name_tests, f"SELECT part_id, name, regexp_full_match(name, '[a-z][a-z0-9]*(_[a-z0-9]+)*') AS snake, regexp_full_match(name, '[A-Z][A-Z0-9_]*') AS upper, regexp_matches(name, '^[A-Z]') AS camel FROM ({_N})"),
     "flt13_go_magic": (lambda spark, sf: magic_numbers(spark, sf, "go"), _magic_sql("go")),
@@ -324,6 +336,19 @@ SELECT repo_id, CASE WHEN bool_or(d) THEN bool_or(d AND h) ELSE bool_or(h) END A
 WITH s AS (SELECT rel_path, content, {_LANG} AS language, split_part(rel_path, '/', -1) AS n FROM ({_S})),
 c AS (SELECT *, CASE WHEN rel_path LIKE '%vendor/%' THEN 'vendor' WHEN starts_with(rel_path, 'pkg/') THEN 'gitignore' WHEN language = 'go' AND starts_with(content, '// Code generated') THEN 'generated' END AS exclude_reason FROM s WHERE language IS NOT NULL)
 SELECT rel_path, language, CASE WHEN exclude_reason IN ('vendor', 'gitignore') THEN 'excluded' WHEN exclude_reason = 'generated' THEN 'generated' WHEN language = 'go' AND ends_with(n, '_test.go') THEN 'test' WHEN language = 'typescript' AND n = 'app.spec.tsx' THEN 'test' ELSE 'source' END AS class, exclude_reason, count(*) AS files FROM c GROUP BY ALL"""),
+    "src5_repository_rules": (repository_rules, """
+WITH p AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS repo_id, trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS rel_path FROM pages),
+e AS (SELECT repo_id, min(split_part(rel_path, '/', 1)) AS a, max(split_part(rel_path, '/', 1)) AS b FROM p GROUP BY 1),
+m AS (
+  SELECT p.*, [
+    CASE WHEN regexp_matches(rel_path, '(^|/)[0-4][^/]*(/|$)') THEN 1 END,
+    CASE WHEN starts_with(repo_id, 'www.') AND regexp_matches(rel_path, '(^|/)[^/]*5(/|$)') THEN -2 END,
+    CASE WHEN starts_with(rel_path, a || '/') THEN 3 END,
+    CASE WHEN regexp_matches(rel_path, '^' || b || '/1[^/](/|$)') THEN -4 END,
+    CASE WHEN regexp_matches(rel_path, '(^|/)77/') THEN 5 END,
+    CASE WHEN regexp_matches(rel_path, '(^|/)9(/|$)') THEN CASE WHEN length(repo_id) % 2 = 0 THEN 6 ELSE -6 END END] AS marks
+  FROM p JOIN e USING (repo_id))
+SELECT repo_id, rel_path, coalesce(list_filter(marks, lambda x: x IS NOT NULL)[-1] > 0, false) AS ignored FROM m"""),
     "flt3_generated": (generated, f"SELECT regexp_matches(content, '(?m)^// Code generated .* DO NOT EDIT\\.$') AS generated, count(*) AS files FROM ({_S}) GROUP BY 1"),
     "flt7_test_paths": (test_paths, f"SELECT rel_path, {_LANG} AS language, rel_path IN ('src/m_test.go', 'web/app.spec.tsx', 'web/__tests__/t.ts', 'pkg/test_io.py') AS is_test, rel_path = 'src/vendor/k.go' AS pruned, count(*) AS files FROM ({_S}) WHERE {_LANG} IS NOT NULL GROUP BY ALL"),
     "flt8_source_only": (source_only, f"SELECT repo_id, {_LANG} AS language, count(*) AS files FROM ({_S}) WHERE {_LANG} IS NOT NULL AND rel_path NOT IN ('src/m_test.go', 'web/app.spec.tsx', 'web/__tests__/t.ts', 'pkg/test_io.py') GROUP BY 1, 2"),

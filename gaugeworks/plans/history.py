@@ -24,6 +24,16 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.coupled_pairs(changes(spark, sf, by_brand=True)).select("repo_id", "a", "b", "shared", F.round("strength", 6).alias("strength"))
 
 
+def bulk_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of part types that customers order together; a customer is a commit, and those of more than 50 types are bulk."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("hash"))
+    customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("hash"), F.col("c_mktsegment").alias("repo_id"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_brand", F.substring("p_name", 1, 1)).alias("path"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(customer, "hash").join(part, "l_partkey")
+    got = temporal.coupled_pairs(rows)
+    return got.select("repo_id", "a", "b", "shared", F.round("strength", 6).alias("strength"))
+
+
 def coupling(spark: SparkSession, sf: str) -> DataFrame:
     got = temporal.coupling(temporal.coupled_pairs(changes(spark, sf, by_brand=True)), STRONG)
     return got.select("repo_id", "pairs", "strong_pairs", F.round("temporal_coupling_pct", 6).alias("temporal_coupling_pct"))
@@ -175,7 +185,13 @@ SELECT repo_id, rank, metric, round(score, 6) AS current_score, CAST(target_valu
 FROM z WHERE rank <= 5
 """
 
+_BULK = """
+f AS (SELECT DISTINCT c_mktsegment AS repo_id, o_custkey AS hash, p_brand || '/' || p_name[1] AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
+"""
+BULK_SQL = f"WITH {_BULK} {_PAIRS[_PAIRS.index('s AS ('):]} SELECT repo_id, a, b, shared, round(strength, 6) AS strength FROM p"
+
 QUERIES = {
+    "flt17_bulk_commits": (bulk_pairs, BULK_SQL),
     "agg15_churn_rate": (churn, CHURN_SQL),
     "jn10_coupled_pairs": (pairs, PAIRS_SQL),
     "agg16_temporal_coupling": (coupling, COUPLING_SQL),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import badge_text
+from gaugeworks.sources.history import carried
 
 VERSION = "3"
 #: Badge colours of tiers.
@@ -44,6 +45,24 @@ def trend(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return current.join(old, keys, "left").select("repo_id", "category", "score", F.coalesce("before", F.lit(0.0)).alias("before"), (F.col("score") - F.coalesce("before", F.lit(0.0))).alias("change"))
 
 
+def series_trend(reports: DataFrame, bucket_seconds: int = 30 * 86400) -> DataFrame:
+    """Each report's category scores next to those of the latest earlier report of its repository: repo_id, at
+    (seconds), category, score, before_at, before and change.
+
+    A category that the earlier report lacks counts as 0 there; a repository's first report has nulls. Reports may
+    come in any order; two with the same time see the one before both. Earlier times are found by a scan in
+    time buckets, carried from bucket to bucket, so a repository of any number of reports is scanned in parts.
+    """
+    heads = reports.select("repo_id", "at").distinct()
+    # A time is asked for just before it is given, so equal times don't see each other.
+    events = heads.select("repo_id", (2 * F.col("at")).alias("line_no"), F.lit(None).cast("long").alias("given")).unionByName(heads.select("repo_id", (2 * F.col("at") + 1).alias("line_no"), F.col("at").cast("long").alias("given")))
+    found = carried(events, F.col("given"), "before_at", 2 * bucket_seconds).where("given is null").select("repo_id", F.floor(F.col("line_no") / 2).alias("at"), "before_at")
+    old = reports.select("repo_id", F.col("at").alias("before_at"), "category", F.col("score").alias("old"))
+    joined = reports.join(found, ["repo_id", "at"]).join(old, ["repo_id", "before_at", "category"], "left")
+    before = F.when(F.col("before_at").isNotNull(), F.coalesce("old", F.lit(0.0)))
+    return joined.select("repo_id", "at", "category", "score", "before_at", before.alias("before"), (F.col("score") - before).alias("change"))
+
+
 def metric_lights(sub: DataFrame, green: float = 8.0, yellow: float = 6.0) -> DataFrame:
     """Scored metrics with a traffic light by their own score, grey where they are unavailable."""
     return sub.withColumn("light", F.when(F.col("available"), light(F.col("score"), green, yellow, falling=False)).otherwise("grey"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars
-from gaugeworks.operators import agent_eval, classify, clones, documentation, graph, summary, temporal
+from gaugeworks.operators import agent_eval, classify, clones, documentation, graph, semantics, summary, temporal
 from gaugeworks.parse.python_facts import complexity, facts_of, python_facts
 from gaugeworks.report import render
 from gaugeworks.sources import coverage, files
@@ -302,6 +302,85 @@ def test_history(spark):
     assert temporal.author_fragmentation(typed, dt.datetime(1970, 1, 3)).first()["author_fragmentation"] == 2
 
 
+@pytest.mark.parametrize("part", [1, 3, 7, 10_000])
+def test_history_parts_carry_their_headers(spark, part):
+    """One log far longer than its parts: headers, blank lines and stray lines at every place of a part."""
+    import random
+
+    rng = random.Random(part)
+    text, want, now = [], [], None
+    for k in range(300):
+        kind = rng.choice("hbfffffx")
+        if kind == "h":
+            now = f"{k:040x}"
+            text.append(f"{now}|a{k}|{k}")
+        elif kind == "b":
+            now = None
+            text.append("" if k % 2 else " ")
+        elif kind == "x":
+            text.append("words without counts")
+        else:
+            text.append(f"{k}\t1\tp{k}")
+            if now:
+                want.append((now, f"p{k}", k))
+    lines = spark.createDataFrame([("r", i, v) for i, v in enumerate(text)] + [("q", 5, "3\t1\tlone")], "repo_id string, line_no long, value string").repartition(5)
+    got = parse_history(lines, part).where("path is not null").collect()
+    assert sorted((r["hash"], r["path"], r["added"]) for r in got) == sorted(want)
+
+
+def test_coupling_prunes_before_it_pairs(spark):
+    """Equal to counting every pair; bulk commits count neither for pairs nor for the files' own commits."""
+    import itertools
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    commits = {f"c{k}": {f"p{int(rng.paretovariate(0.7)) % 40:02}" for _ in range(rng.choice((1, 3, 6, 40)))} for k in range(120)}
+    rows = [("r", h, "u", dt.datetime(2024, 1, 1), p, 1, 0) for h, ps in commits.items() for p in ps]
+    changes = spark.createDataFrame(rows, "repo_id string, hash string, author string, ts timestamp_ntz, path string, added int, deleted int")
+    small = [ps for ps in commits.values() if len(ps) <= 10]
+    own = Counter(p for ps in small for p in ps)
+    want = {(a, b): n for (a, b), n in Counter(x for ps in small for x in itertools.combinations(sorted(ps), 2)).items() if own[a] >= 5 and own[b] >= 5}
+    assert len(small) < len(commits) and want
+    assert {(r["a"], r["b"]): r["shared"] for r in temporal.coupled_pairs(changes, bulk=10).collect()} == want
+
+
+def test_ignore_rules_as_data_equal_those_in_expressions(spark):
+    """Each repository has lines of its own; the last that fits decides."""
+    files = ["a/b.log", "b/a.log", "a.log", "x/build/y", "build", "build/z", "a/b/c/z", "a/z", "x/keep.go", "keep.go", "doc/a.txt", "doc/a/b.txt", "a.c", "ab.c", "x/a.c", "c[1].c", "sp ace", "#note", "!bang", "deep/doc/a.txt", "w.x+y"]
+    ignores = [
+        ["*.log"], ["/a.log"], ["build/"], ["build"], ["a/**/z"], ["*.go", "!keep.go", "x/"], ["doc/*.txt"], ["[ab].c", "!/a.c"], ["?.c"], ["", "# no", "\\#note", "\\!bang"],
+        ["*", "!a", "!doc/"], ["/doc/", "!doc/a/"], ["sp ace  "], ["[!a]*.c"], ["w.x+y", "**/c"], ["/x/**"], [],
+    ]
+    rules = classify.ignore_rules(spark.createDataFrame([(f"r{k}", i, line) for k, lines in enumerate(ignores) for i, line in enumerate(lines)], "repo_id string, line_no int, line string"))
+    rows = spark.createDataFrame([(f"r{k}", f) for k in range(len(ignores)) for f in files] * 2, "repo_id string, rel_path string")
+    got = {(r["repo_id"], r["rel_path"]): r["ignored"] for r in classify.ignored_paths(rows, rules).collect()}
+    paths = spark.createDataFrame([(f,) for f in files], "p string").persist()
+    want = {}
+    for k, lines in enumerate(ignores):
+        for r in paths.select("p", classify.ignored_by(F.col("p"), lines).alias("i")).collect():
+            want[f"r{k}", r["p"]] = r["i"]
+    assert got == want
+
+
+def test_trend_over_many_reports(spark):
+    rows = [("r", 100, "C1", 5.0), ("r", 100, "C2", 6.0), ("r", 300, "C1", 7.0), ("r", 300, "C3", 4.0), ("r", 200_000_000, "C1", 6.5), ("r", 200_000_000, "C2", 1.0), ("q", 50, "C1", 3.0)]
+    frame = spark.createDataFrame(rows, "repo_id string, at long, category string, score double")
+    want = {
+        ("r", 100, "C1"): (None, None), ("r", 100, "C2"): (None, None), ("q", 50, "C1"): (None, None),
+        ("r", 300, "C1"): (100, 5.0), ("r", 300, "C3"): (100, 0.0), ("r", 200_000_000, "C1"): (300, 7.0), ("r", 200_000_000, "C2"): (300, 0.0),
+    }
+    for bucket in (1, 150, 30 * 86400):
+        got = {(r["repo_id"], r["at"], r["category"]): (r["before_at"], r["before"]) for r in render.series_trend(frame, bucket).collect()}
+        assert got == want
+
+
+def test_unjudged_names(spark):
+    none = spark.createDataFrame([("r", "x")], "repo_id string, name string")
+    for unjudged in (100.0, 0.0):
+        assert semantics.naming_consistency(none, F.length("name") > 1, F.lit(True), unjudged).first()["naming_consistency"] == unjudged
+
+
 def test_coupling_leaves_out_bulk_commits(spark):
     rows = [("r", f"c{i}", "u", dt.datetime(2024, 1, 1), p, 1, 0) for i in range(6) for p in ("a", "b")]
     rows += [("r", "bulk", "u", dt.datetime(2024, 1, 1), f"f{k}", 1, 0) for k in range(60)]
