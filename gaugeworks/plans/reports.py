@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.config import METRICS, TIERS, ScoringConfig
-from gaugeworks.operators import evidence, graph, raw_values, scoring, temporal
+from gaugeworks.operators import evidence, graph, raw_values, scoring, settings, temporal
 from gaugeworks.plans.adapters import BRANDS_SQL, CHANGES_SQL, EDGES_SQL, changes, import_edges
 from gaugeworks.plans.facts import facts, plain
 from gaugeworks.report import prompts, render
@@ -53,6 +53,26 @@ def overlaid(spark: SparkSession, sf: str) -> DataFrame:
     return _composite(spark, sf, ScoringConfig().with_weights({"C1": 0.05, "C6": 0.5, "X": 9})).withColumn("composite", F.round("composite", 6))
 
 
+_DOCUMENTS = """
+SELECT 's' || CAST(s_suppkey AS STRING) AS repo_id, 'file' AS layer,
+'{"categories":{"C1":{"weight":0.4,"metrics":[{"name":"complexity_avg","weight":0.5,"breakpoints":[{"value":5,"score":10},{"value":' || CAST(20 + s_nationkey AS STRING) || ',"score":4},{"value":60,"score":1}]},{"name":"file_size_avg","weight":0.05}]},"C6":{"metrics":[{"name":"coverage_percent","breakpoints":[{"value":0,"score":1},{"value":100,"score":10}]}]}}}' AS content
+FROM {supplier} WHERE s_acctbal > 4000
+UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), 'project', CASE WHEN s_nationkey = 3 THEN '{"version":1,"scoring":{"weights":{"C1":-1}}}' WHEN s_nationkey = 5 THEN 'no document' ELSE '{"version":1,"scoring":{"weights":{"C1":0.05,"C6":0.5,"X":9}}}' END
+FROM {supplier} WHERE s_nationkey % 2 = 0 OR s_nationkey IN (3, 5)"""
+
+
+def by_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Composites where each repository is scored by its own documents over the defaults."""
+    documents = facts(spark, sf, _DOCUMENTS)
+    sub = settings.score_with_settings(_raw(spark, sf), ScoringConfig().frame(spark), settings.settings_rows(documents))
+    got = scoring.composite_scores(scoring.category_scores(sub))
+    return got.withColumn("composite", F.round("composite", 6))
+
+
+def bad_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return settings.settings_errors(facts(spark, sf, _DOCUMENTS))
+
+
 def categories(spark: SparkSession, sf: str) -> DataFrame:
     """Category scores in the order of categories."""
     return render.in_category_order(scoring.category_scores(_sub(spark, sf))).withColumn("score", F.round("score", 6)).select("repo_id", "category", "weight", "score", "place")
@@ -181,6 +201,20 @@ m AS (SELECT a.repo_id, a.src AS node, min(a.dst) AS component FROM r a JOIN r b
 QUERIES = {
     "sco4_raw_values": (raw, f"WITH {_S} SELECT repo_id, metric, round(value, 9) AS value, available FROM raw"),
     "sco4_composite": (composite, f"WITH {_S} SELECT repo_id, round(composite, 6) AS composite, tier FROM tiered"),
+    "src19_settings": (by_settings, f"""
+WITH {_S},
+o AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS repo_id, s_acctbal > 4000 AS f, s_nationkey AS n FROM supplier),
+own AS (SELECT repo_id, category, available,
+  CASE WHEN n % 2 = 0 AND category = 'C1' THEN 0.05 WHEN n % 2 = 0 AND category = 'C6' THEN 0.5 WHEN f AND category = 'C1' THEN 0.4 ELSE category_weight END AS cw,
+  CASE WHEN f AND metric = 'complexity_avg' THEN 0.5 WHEN f AND metric = 'file_size_avg' THEN 0.05 ELSE weight END AS w,
+  CASE WHEN NOT available THEN 0.0
+    WHEN f AND metric = 'complexity_avg' THEN CASE WHEN raw_value <= 5 THEN 10.0 WHEN raw_value <= 20 + n THEN 10 - 6 * (raw_value - 5) / (15 + n) WHEN raw_value <= 60 THEN 4 - 3 * (raw_value - 20 - n) / (40 - n) ELSE 1.0 END
+    WHEN f AND metric = 'coverage_percent' THEN CASE WHEN raw_value <= 0 THEN 1.0 WHEN raw_value <= 100 THEN 1 + 9 * raw_value / 100 ELSE 10.0 END ELSE score END AS s
+  FROM sub JOIN o USING (repo_id)),
+k AS (SELECT repo_id, category, CAST(any_value(cw) AS DOUBLE) AS cw, sum(CAST(w AS DOUBLE) * s) FILTER (available) / sum(CAST(w AS DOUBLE)) FILTER (available) AS s FROM own GROUP BY 1, 2),
+c2 AS (SELECT repo_id, coalesce(sum(cw * s) FILTER (s IS NOT NULL) / sum(cw) FILTER (s IS NOT NULL), 0.0) AS composite FROM k GROUP BY 1)
+SELECT repo_id, round(composite, 6) AS composite, CASE {" ".join(f"WHEN composite >= {s} THEN '{n}'" for n, s in TIERS)} END AS tier FROM c2"""),
+    "src18_bad_settings": (bad_settings, "SELECT 's' || CAST(s_suppkey AS VARCHAR) AS repo_id, 'project' AS layer, CASE s_nationkey WHEN 3 THEN 'negative number' ELSE 'no JSON' END AS error FROM supplier WHERE s_nationkey IN (3, 5)"),
     "sco11_overlaid": (overlaid, f"WITH {_scored_sql(ScoringConfig().with_weights({'C1': 0.05, 'C6': 0.5}))} SELECT repo_id, round(composite, 6) AS composite, tier FROM tiered"),
     "top12_categories": (categories, f"WITH {_S} SELECT repo_id, category, weight, round(score, 6) AS score, row_number() OVER (PARTITION BY repo_id ORDER BY category) AS place FROM cat"),
     "snk15_gate": (gated, f"WITH {_S} SELECT repo_id, round(composite, 6) AS composite, tier FROM tiered WHERE composite < 6"),

@@ -41,8 +41,8 @@ def cycles(spark: SparkSession, sf: str) -> DataFrame:
 def trend_series(spark: SparkSession, sf: str) -> DataFrame:
     """A report for each priority and day with orders; its categories are the statuses that the day has."""
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("repo_id"), F.unix_timestamp(F.date_trunc("day", "o_orderdate")).alias("at"), F.col("o_orderstatus").alias("category"), "o_totalprice")
-    got = render.series_trend(o.groupBy("repo_id", "at", "category").agg((F.avg("o_totalprice") / 100000).alias("score")))
-    return got.select("repo_id", F.col("at").alias("taken_at"), "category", F.round("score", 6).alias("score"), "before_at", F.round("before", 6).alias("before"), F.round("change", 6).alias("change"))
+    got = render.series_trend(o.groupBy("repo_id", "at", "category").agg((F.avg("o_totalprice") / 97000).alias("score")))
+    return got.select("repo_id", F.col("at").alias("taken_at"), "category", F.round("score", 6).alias("score"), F.coalesce("before_at", F.lit(-1)).alias("before_at"), F.round("before", 6).alias("before"), F.round("change", 6).alias("change"))
 
 
 def order_components(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,10 +161,10 @@ QUERIES = {
     "agg7_fan_out": (fan_out, f"WITH e AS ({EDGES_SQL}), d AS (SELECT repo_id, src, count(*) AS n FROM e GROUP BY 1, 2) SELECT repo_id, round(avg(n), 6) AS fanout_avg, max(n) AS fanout_max, arg_max(src, (n, -rk)) AS fanout_max_node FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY src) AS rk FROM d) GROUP BY 1"),
     "gr2_cycles": (cycles, _cycles_sql(EDGES_SQL)),
     "snk7_series": (trend_series, """
-WITH r AS (SELECT o_orderpriority AS repo_id, epoch(date_trunc('day', o_orderdate))::BIGINT AS taken_at, o_orderstatus AS category, avg(o_totalprice) / 100000 AS score FROM orders GROUP BY 1, 2, 3),
+WITH r AS (SELECT o_orderpriority AS repo_id, epoch(date_trunc('day', o_orderdate))::BIGINT AS taken_at, o_orderstatus AS category, avg(o_totalprice) / 97000 AS score FROM orders GROUP BY 1, 2, 3),
 h AS (SELECT repo_id, taken_at, lag(taken_at) OVER (PARTITION BY repo_id ORDER BY taken_at) AS before_at FROM (SELECT DISTINCT repo_id, taken_at FROM r)),
 j AS (SELECT r.*, before_at, CASE WHEN before_at IS NOT NULL THEN coalesce(o.score, 0.0) END AS before FROM r JOIN h USING (repo_id, taken_at) LEFT JOIN r o ON o.repo_id = r.repo_id AND o.taken_at = before_at AND o.category = r.category)
-SELECT repo_id, taken_at, category, round(score, 6) AS score, before_at, round(before, 6) AS before, round(score - before, 6) AS change FROM j"""),
+SELECT repo_id, taken_at, category, round(score, 6) AS score, coalesce(before_at, -1) AS before_at, round(before, 6) AS before, round(score - before, 6) AS change FROM j"""),
     "gr2_order_components": (order_components, _components_sql(ORDER_EDGES_SQL)),
     "gr2_order_cycles": (order_cycles, _cycles_sql(ORDER_EDGES_SQL)),
     "gr6_url_depth": (url_depth, "SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS repo_id, CAST(max(len(string_split(regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1), '/')) - 1) AS INT) AS max_depth, round(avg(len(string_split(regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1), '/')) - 1), 6) AS avg_depth FROM pages GROUP BY 1"),

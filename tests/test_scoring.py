@@ -93,3 +93,33 @@ def test_settings():
     assert config.categories["C1"] == 0.9 and "X" not in config.categories
     over = scoring_overlay("categories:\n  C1:\n    weight: 0.4\n    metrics: [{name: complexity_avg, weight: 0.5}]\n")
     assert over.categories["C1"] == 0.4 and next(m for m in over.metrics if m.name == "complexity_avg").weight == 0.5
+
+
+def test_settings_of_each_repository(spark):
+    """Project over file over default, breakpoints as rows, unusable documents ignored; equal to a configuration for each."""
+    import json
+
+    from gaugeworks.operators import settings
+
+    file = {"categories": {"C1": {"weight": 0.4, "metrics": [{"name": "complexity_avg", "weight": 0.6, "breakpoints": [{"value": 2, "score": 9}, {"value": 8, "score": 3}, {"value": 9, "score": 2}]}]}, "Z": {"weight": 3}}}
+    docs = [
+        ("a", "file", json.dumps(file)), ("a", "project", '{"version": 1, "scoring": {"weights": {"C1": 0.9, "C2": 0.01}}}'),
+        ("b", "file", json.dumps(file)), ("c", "project", '{"scoring": {"weights": {"C2": 0.7}}}'),
+        ("d", "project", '{"version": 2, "scoring": {"weights": {"C2": 0.7}}}'), ("e", "project", '{"scoring": {"weights": {"C1": -1}}}'), ("f", "project", "nothing"), ("g", "other", "{}"), ("h", "project", '{"scoring": {"threshold": -2}}'), ("i", "file", ""),
+    ]
+    values = (1.0, 5.0, 8.0, 8.5, 40.0)
+    documents = spark.createDataFrame(docs, "repo_id string, layer string, content string")
+    errors = {(r["repo_id"], r["error"]) for r in settings.settings_errors(documents).collect()}
+    assert errors == {("d", "unknown version"), ("e", "negative number"), ("f", "no JSON"), ("g", "unknown layer"), ("h", "negative number")}
+    for value in values:
+        raw = spark.createDataFrame([(r, m, v, True) for r in "abcdefghi" for m, v in (("complexity_avg", value), ("duplication_rate", 4.0), ("null_safety", 60.0))], "repo_id string, metric string, value double, available boolean")
+        got = settings.score_with_settings(raw, ScoringConfig().frame(spark), settings.settings_rows(documents))
+        mine = {r["repo_id"]: r["composite"] for r in scoring.composite_scores(scoring.category_scores(got)).collect()}
+        filed = scoring_overlay(json.dumps({"categories": {"C1": file["categories"]["C1"]}}))
+        configs = {"a": filed.with_weights({"C1": 0.9, "C2": 0.01}), "b": filed, "c": ScoringConfig().with_weights({"C2": 0.7})}
+        by_config = {}
+        for repo in ("a", "b", "c", "none"):
+            config = configs.get(repo, ScoringConfig()).frame(spark)
+            one = scoring.score_metrics(raw.where(F.col("repo_id") == ("d" if repo == "none" else repo)), config)
+            by_config[repo] = scoring.composite_scores(scoring.category_scores(one)).first()["composite"]
+        assert mine == pytest.approx({repo: by_config.get(repo, by_config["none"]) for repo in "abcdefghi"})
