@@ -88,8 +88,12 @@ def commit_stability(changes: DataFrame) -> DataFrame:
     gathered in one place: gaps are counted by value first, and the window runs
     over distinct values.
     """
-    repos = changes.select("repo_id").distinct()
-    counted = change_gaps(changes).groupBy("repo_id", "gap_days").agg(F.count("*").alias("n"))
+    return stability_of_gaps(changes.select("repo_id").distinct(), change_gaps(changes))
+
+
+def stability_of_gaps(repos: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``commit_stability`` of repositories (repo_id) from gaps (repo_id, gap_days) that are there already."""
+    counted = gaps.groupBy("repo_id", "gap_days").agg(F.count("*").alias("n"))
     order = Window.partitionBy("repo_id").orderBy("gap_days")
     running = counted.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     total = counted.groupBy("repo_id").agg(F.sum("n").alias("total"))
