@@ -131,12 +131,35 @@ def select_samples(candidates: DataFrame, keys: list[str], n: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def replay(calls: DataFrame, responses: DataFrame) -> DataFrame:
-    """Calls (metric_id, call_order) with the captured response of the same place; a missing one is an error row."""
-    order = Window.partitionBy("metric_id").orderBy("call_order")
+# What the prompts of each metric say, asked for in this order.
+PROMPT_WORDS = {
+    "task_execution_consistency": ("list all function names", "list all exported function"),
+    "code_behavior_comprehension": ("explain what the code does",),
+    "cross_file_navigation": ("trace the dependencies", "trace the complete dependency chain", "trace its dependencies"),
+    "identifier_interpretability": ("interpret what the identifier", "interpret what each identifier"),
+    "documentation_accuracy_detection": ("review the documentation", "identify any inaccuracies", "documentation accuracy"),
+}
+
+
+def metric_of_prompt(prompt: Column) -> Column:
+    """The metric that a prompt asks for, by its words in any case; of several the first; ``unknown`` without any."""
+    low = F.lower(prompt)
+    out = F.lit("unknown")
+    for metric, words in reversed(PROMPT_WORDS.items()):
+        out = F.when(low.rlike("|".join(words)), F.lit(metric)).otherwise(out)
+    return F.when(prompt.isNull(), F.lit("unknown")).otherwise(out)
+
+
+def replay(calls: DataFrame, responses: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
+    """Calls (metric_id, call_order) with the captured response of the same place; a missing one is an error row.
+
+    ``run`` names further columns of both that tell evaluations apart; places count within a run and metric.
+    """
+    keys = [*run, "metric_id"]
+    order = Window.partitionBy(*keys).orderBy("call_order")
     numbered = calls.withColumn("sample_index", (F.row_number().over(order) - 1).cast("int"))
-    got = responses.select("metric_id", "sample_index", "response", "error")
-    joined = numbered.join(got, ["metric_id", "sample_index"], "left")
+    got = responses.select(*keys, "sample_index", "response", "error")
+    joined = numbered.join(got, [*keys, "sample_index"], "left")
     return joined.withColumn("error", F.when(F.col("response").isNull() & F.col("error").isNull(), "no captured response").otherwise(F.col("error")))
 
 

@@ -57,6 +57,15 @@ def capped_credit(rows: DataFrame, keys: list[str], checks: str, uses: str) -> D
     return rows.groupBy(*keys).agg(percentage(F.sum(F.least(checks, uses)), F.sum(uses)).alias("covered_pct"))
 
 
+def go_null_safety(any_refs: Column, type_refs: Column, checked: Column, pointers: Column) -> Column:
+    """The share of type references that are not the any-type (100 without references), in the mean with the share of
+    pointer uses that are checked, at most 100, where there are such uses."""
+    whole = F.lit(100.0)
+    typed = F.greatest(F.lit(0.0), whole - F.coalesce(F.try_divide(any_refs * 100.0, type_refs.cast("double")), F.lit(0.0)))
+    safe = F.least(whole, F.try_divide(checked * 100.0, pointers.cast("double")))
+    return F.when(pointers > 0, (typed + safe) / 2).otherwise(typed)
+
+
 def script_null_safety(strict: Column, chains: Column, lines: Column) -> Column:
     """Half for strict mode, and up to a half for optional chains by thousand lines."""
     per_k = F.coalesce(F.try_divide(chains * 1000.0, lines.cast("double")), F.lit(0.0))

@@ -182,7 +182,29 @@ _S = _scored_sql()
 _TARGET = "CASE WHEN score >= 10 THEN {b}[-1] WHEN bs[1] < bs[-1] THEN coalesce({b}[list_position(list_transform(bs, lambda s: s > score), true)], {b}[-1]) ELSE coalesce({b}[len(list_filter(bs, lambda s: s > score))], {b}[1]) END"
 _TV, _TS = _TARGET.format(b="bv"), "CASE WHEN score >= 10 THEN 10.0 ELSE " + _TARGET.format(b="bs") + " END"
 _BAND = "coalesce(list_position(list_transform(bv, lambda x: x >= raw_value), true), len(bv))"
-_LIGHTS = "CASE WHEN score >= 8 THEN 'green' WHEN score >= 6 THEN 'yellow' ELSE 'red' END"
+_LIGHTS = """CASE
+  WHEN metric IN ('complexity_avg') THEN CASE WHEN raw_value > 20 THEN 'red' WHEN raw_value > 10 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('func_length_avg') THEN CASE WHEN raw_value > 60 THEN 'red' WHEN raw_value > 30 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('file_size_avg') THEN CASE WHEN raw_value > 500 THEN 'red' WHEN raw_value > 300 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('duplication_rate', 'magic_number_ratio') THEN CASE WHEN raw_value > 15 THEN 'red' WHEN raw_value > 5 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('max_dir_depth') THEN CASE WHEN raw_value > 7 THEN 'red' WHEN raw_value > 4 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('module_fanout_avg') THEN CASE WHEN raw_value > 10 THEN 'red' WHEN raw_value > 5 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('circular_deps') THEN CASE WHEN raw_value > 2 THEN 'red' WHEN raw_value > 0 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('dead_exports') THEN CASE WHEN raw_value > 20 THEN 'red' WHEN raw_value > 5 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('churn_rate') THEN CASE WHEN raw_value > 300 THEN 'red' WHEN raw_value > 100 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('temporal_coupling_pct') THEN CASE WHEN raw_value > 30 THEN 'red' WHEN raw_value > 10 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('author_fragmentation') THEN CASE WHEN raw_value > 4 THEN 'red' WHEN raw_value > 2 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('hotspot_concentration') THEN CASE WHEN raw_value > 75 THEN 'red' WHEN raw_value > 50 THEN 'yellow' ELSE 'green' END
+  WHEN metric IN ('assertion_density_avg') THEN CASE WHEN raw_value > 999 THEN 'red' ELSE 'green' END
+  WHEN metric IN ('type_annotation_coverage', 'test_isolation') THEN CASE WHEN raw_value >= 80 THEN 'green' WHEN raw_value >= 50 THEN 'yellow' ELSE 'red' END
+  WHEN metric IN ('naming_consistency') THEN CASE WHEN raw_value >= 90 THEN 'green' WHEN raw_value >= 70 THEN 'yellow' ELSE 'red' END
+  WHEN metric IN ('null_safety', 'api_doc_coverage') THEN CASE WHEN raw_value >= 60 THEN 'green' WHEN raw_value >= 30 THEN 'yellow' ELSE 'red' END
+  WHEN metric IN ('comment_density') THEN CASE WHEN raw_value >= 15 THEN 'green' WHEN raw_value >= 5 THEN 'yellow' ELSE 'red' END
+  WHEN metric IN ('commit_stability') THEN CASE WHEN raw_value >= 7 THEN 'green' WHEN raw_value >= 3 THEN 'yellow' ELSE 'red' END
+  WHEN metric IN ('test_to_code_ratio') THEN CASE WHEN raw_value >= 0.5 THEN 'green' WHEN raw_value >= 0.2 THEN 'yellow' ELSE 'red' END
+  WHEN metric IN ('coverage_percent') THEN CASE WHEN raw_value >= 70 THEN 'green' WHEN raw_value >= 40 THEN 'yellow' ELSE 'red' END
+  WHEN category = 'C7' THEN CASE WHEN raw_value * 10 >= 70 THEN 'green' WHEN raw_value * 10 >= 40 THEN 'yellow' ELSE 'red' END
+  ELSE CASE WHEN score >= 8 THEN 'green' WHEN score >= 6 THEN 'yellow' ELSE 'red' END END"""
 _NUM = "regexp_replace(CAST({} AS VARCHAR), '\\.0$', '')"
 _TITLE = "array_to_string(list_transform(string_split(regexp_replace(metric, '_(avg|pct)$', ''), '_'), lambda x: upper(x[1]) || x[2:]), ' ')"
 _CATEGORY = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.CATEGORY_NAMES.items()) + " END"

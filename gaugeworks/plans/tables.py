@@ -38,6 +38,15 @@ def cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cycles(import_edges(spark, sf))
 
 
+def go_null_safety(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a supplier as type references and pointer uses; suppliers of few large lines have no pointer uses."""
+    line = table(spark, sf, "lineitem")
+    sums = line.groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("any_refs"), F.count_if(F.col("l_linestatus") == "O").alias("refs"), F.sum(F.when(F.col("l_quantity") > 49, F.col("l_linenumber"))).alias("pointers"), F.count_if(F.col("l_discount") > 0.05).alias("checked"))
+    # Of what is no reference, nothing is the any-type.
+    any_refs, pointers = F.least("any_refs", "refs"), F.coalesce("pointers", F.lit(0))
+    return sums.select("l_suppkey", F.round(summary.go_null_safety(any_refs, F.col("refs"), F.col("checked"), pointers), 6).alias("null_safety"))
+
+
 def trend_series(spark: SparkSession, sf: str) -> DataFrame:
     """A report for each priority and day with orders; its categories are the statuses that the day has."""
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("repo_id"), F.unix_timestamp(F.date_trunc("day", "o_orderdate")).alias("at"), F.col("o_orderstatus").alias("category"), "o_totalprice")
@@ -172,6 +181,10 @@ SELECT repo_id, taken_at, category, round(score, 6) AS score, coalesce(before_at
     "jn6_dead_names": (dead_names, "WITH f AS (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1) SELECT c_mktsegment AS repo_id, c_custkey AS name, c_nationkey AS file FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM f) AND c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 10)"),
     "agg1_summaries": (summaries, "WITH r AS (SELECT *, l_orderkey || ':' || l_linenumber AS entity FROM lineitem), m AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS a, max(l_quantity) AS x FROM r GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, round(any_value(a), 6) AS avg, any_value(x) AS max, min(entity) AS max_entity FROM r JOIN m USING (l_returnflag, l_linestatus) WHERE l_quantity = x GROUP BY 1, 2"),
     "agg3_file_sizes": (file_sizes, "WITH g AS (SELECT o_orderpriority AS repo_id, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS k, avg(o_totalprice) AS a FROM orders GROUP BY 1, 2), x AS (SELECT o_orderpriority AS repo_id, max(o_totalprice) AS m FROM orders GROUP BY 1) SELECT g.repo_id, round(arg_min(a, k), 4) AS avg, any_value(m) AS max, (SELECT min(o_orderkey) FROM orders WHERE o_orderpriority = g.repo_id AND o_totalprice = any_value(m)) AS max_entity FROM g JOIN x USING (repo_id) GROUP BY 1"),
+    "agg12_go_null_safety": (go_null_safety, """
+WITH s AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_linestatus = 'O') AS r, coalesce(sum(l_linenumber) FILTER (l_quantity > 49), 0) AS p, count(*) FILTER (l_discount > 0.05) AS c FROM lineitem GROUP BY 1),
+t AS (SELECT *, CASE WHEN r = 0 THEN 100.0 ELSE 100.0 - 100.0 * least(a, r) / r END AS typed FROM s)
+SELECT l_suppkey, round(CASE WHEN p = 0 THEN typed WHEN c >= p THEN (typed + 100) / 2 ELSE (typed + 100.0 * c / p) / 2 END, 6) AS null_safety FROM t"""),
     "agg12_capped_credit": (capped, "SELECT l_returnflag, round(100.0 * sum(least(l_linenumber, CAST(floor(l_quantity / 10) AS INT))) / sum(CAST(floor(l_quantity / 10) AS INT)), 6) AS covered_pct FROM lineitem GROUP BY 1"),
     "jn1_complexity": (joined_complexity, "SELECT l_returnflag AS repo_id, count(*) AS functions, CAST(sum(CASE WHEN l_linenumber = 1 + o_orderkey % 4 THEN CAST(substr(o_orderpriority, 1, 1) AS INT) ELSE 1 END) AS BIGINT) AS complexity FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "src12_coverage": (covered, "SELECT CAST(year(l_shipdate) AS INT) AS year, round(100.0 * sum(CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS INT) ELSE 0 END) / sum(CAST(l_quantity AS INT)), 6) AS coverage_percent FROM lineitem GROUP BY 1"),

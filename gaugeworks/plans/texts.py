@@ -9,6 +9,7 @@ from gaugeworks.functions import scalars
 from gaugeworks.operators import agent_eval, classify, clones, summary
 from gaugeworks.plans.adapters import table
 from gaugeworks.plans.agents import rubric_sql
+from gaugeworks.plans.facts import facts, plain
 
 
 def text_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,6 +121,25 @@ def replayed(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("metric_id", "sample_index", "call_order", F.length("response").alias("response_chars"), "error")
 
 
+_PROMPTS = """
+SELECT conv_id % 50 AS run, conv_id * 1000 + turn AS call_order, coalesce(text, '') || CASE (conv_id * 7 + turn) % 9
+  WHEN 0 THEN ' List all function names.' WHEN 1 THEN ' LIST ALL EXPORTED FUNCTIONS' WHEN 2 THEN ' explain what the code does and trace the dependencies' WHEN 3 THEN ' Trace its dependencies'
+  WHEN 4 THEN ' trace the complete dependency chain' WHEN 5 THEN ' Interpret what each identifier means' WHEN 6 THEN ' identify any inaccuracies' WHEN 7 THEN ' documentation accuracy; list all function names' ELSE ' nothing' END AS prompt
+FROM {conversations} WHERE role = 'user'"""
+_CAPTURED = """
+SELECT conv_id % 50 AS run, CASE turn % 4 WHEN 0 THEN 'task_execution_consistency' WHEN 1 THEN 'code_behavior_comprehension' WHEN 2 THEN 'cross_file_navigation' ELSE 'unknown' END AS metric_id, conv_id * 1000 + turn AS place, text AS response, CASE WHEN (conv_id + turn) % 11 = 0 THEN 'timeout' END AS error
+FROM {conversations} WHERE role = 'assistant'"""
+
+
+def prompt_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns as prompts of fifty runs, replayed by the metric that their text asks for."""
+    calls = facts(spark, sf, _PROMPTS).withColumn("metric_id", agent_eval.metric_of_prompt(F.col("prompt")))
+    order = Window.partitionBy("run", "metric_id").orderBy("place")
+    captured = facts(spark, sf, _CAPTURED).withColumn("sample_index", (F.row_number().over(order) - 1).cast("int"))
+    got = agent_eval.replay(calls, captured, ("run",))
+    return got.select("run", "call_order", "metric_id", "sample_index", F.length("response").alias("response_chars"), "error")
+
+
 def quality_means(spark: SparkSession, sf: str) -> DataFrame:
     joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", F.col("n_chars").alias("loc"), (F.col("quality") * 100.0).alias("quality"), (F.col("toxic") * 100.0).alias("toxic"))
     got = summary.weighted_mean(joined, ["lang"], ["quality", "toxic"], "loc")
@@ -234,6 +254,17 @@ SELECT conv_id, runs, round(x, 6) AS variance, CASE WHEN x < 5 THEN 10 WHEN x <
 WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS metric_id, turn AS call_order, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS sample_index FROM conversations WHERE role = 'user'),
 r AS (SELECT CAST(conv_id AS VARCHAR) AS metric_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS sample_index, text FROM conversations WHERE role = 'assistant')
 SELECT metric_id, sample_index, call_order, CAST(length(text) AS INT) AS response_chars, CASE WHEN text IS NULL THEN 'no captured response' END AS error FROM c LEFT JOIN r USING (metric_id, sample_index)"""),
+    "jn14_prompt_replay": (prompt_replay, f"""
+WITH c AS (SELECT *, CASE
+    WHEN regexp_matches(prompt, '(?i)list all (function names|exported function)') THEN 'task_execution_consistency'
+    WHEN regexp_matches(prompt, '(?i)explain what the code does') THEN 'code_behavior_comprehension'
+    WHEN regexp_matches(prompt, '(?i)trace (the dependencies|the complete dependency chain|its dependencies)') THEN 'cross_file_navigation'
+    WHEN regexp_matches(prompt, '(?i)interpret what (the|each) identifier') THEN 'identifier_interpretability'
+    WHEN regexp_matches(prompt, '(?i)review the documentation|identify any inaccuracies|documentation accuracy') THEN 'documentation_accuracy_detection' ELSE 'unknown' END AS metric_id FROM ({plain(_PROMPTS)})),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY run, metric_id ORDER BY call_order) - 1 AS INT) AS sample_index FROM c),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY run, metric_id ORDER BY place) - 1 AS INT) AS sample_index FROM ({plain(_CAPTURED)}))
+SELECT n.run, call_order, n.metric_id, n.sample_index, CAST(length(response) AS INT) AS response_chars, CASE WHEN response IS NULL AND error IS NULL THEN 'no captured response' ELSE error END AS error
+FROM n LEFT JOIN r ON n.run = r.run AND n.metric_id = r.metric_id AND n.sample_index = r.sample_index"""),
     "agg10_weighted_means": (quality_means, """
 SELECT lang, round(sum(quality * 100.0 * n_chars) / sum(n_chars), 6) AS quality, round(sum(toxic * 100.0 * n_chars) / sum(n_chars), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1"""),
     "agg19_test_ratio": (test_ratio, """

@@ -63,9 +63,38 @@ def series_trend(reports: DataFrame, bucket_seconds: int = 30 * 86400) -> DataFr
     return joined.select("repo_id", "at", "category", "score", "before_at", before.alias("before"), (F.col("score") - before).alias("change"))
 
 
+# Up to the first a metric is green, up to the second yellow; or red below the first, yellow below the second.
+FALLING_LIGHTS = {
+    "complexity_avg": (10, 20), "func_length_avg": (30, 60), "file_size_avg": (300, 500), "duplication_rate": (5, 15),
+    "magic_number_ratio": (5, 15),
+    "max_dir_depth": (4, 7), "module_fanout_avg": (5, 10), "circular_deps": (0, 2), "dead_exports": (5, 20),
+    "churn_rate": (100, 300), "temporal_coupling_pct": (10, 30), "author_fragmentation": (2, 4), "hotspot_concentration": (50, 75),
+    "assertion_density_avg": (999, 999),
+}
+RISING_LIGHTS = {
+    "type_annotation_coverage": (50, 80), "naming_consistency": (70, 90), "null_safety": (30, 60),
+    "comment_density": (5, 15), "api_doc_coverage": (30, 60),
+    "commit_stability": (3, 7),
+    "test_to_code_ratio": (0.2, 0.5), "coverage_percent": (40, 70), "test_isolation": (50, 80),
+    "task_execution_consistency": (4, 7), "code_behavior_comprehension": (4, 7), "cross_file_navigation": (4, 7),
+    "identifier_interpretability": (4, 7), "documentation_accuracy_detection": (4, 7),
+}
+
+
+def _limits(of: dict[str, tuple[float, float]]) -> Column:
+    """The limits of a row's metric, null where there are none."""
+    pairs = [x for name, two in of.items() for x in (F.lit(name), F.array(*(F.lit(float(v)) for v in two)))]
+    return F.try_element_at(F.create_map(*pairs), F.col("metric"))
+
+
 def metric_lights(sub: DataFrame, green: float = 8.0, yellow: float = 6.0) -> DataFrame:
-    """Scored metrics with a traffic light by their own score, grey where they are unavailable."""
-    return sub.withColumn("light", F.when(F.col("available"), light(F.col("score"), green, yellow, falling=False)).otherwise("grey"))
+    """Scored metrics with a traffic light: by the limits of the metric's value, for metrics without limits by the
+    score; grey where they are unavailable."""
+    value, low, high = F.col("raw_value"), _limits(FALLING_LIGHTS), _limits(RISING_LIGHTS)
+    falling = F.when(value <= low[0], "green").when(value <= low[1], "yellow").otherwise("red")
+    rising = F.when(value < high[0], "red").when(value < high[1], "yellow").otherwise("green")
+    own = F.when(low.isNotNull(), falling).when(high.isNotNull(), rising).otherwise(light(F.col("score"), green, yellow, falling=False))
+    return sub.withColumn("light", F.when(F.col("available"), own).otherwise("grey"))
 
 
 def in_category_order(categories: DataFrame) -> DataFrame:

@@ -123,3 +123,32 @@ def test_settings_of_each_repository(spark):
             one = scoring.score_metrics(raw.where(F.col("repo_id") == ("d" if repo == "none" else repo)), config)
             by_config[repo] = scoring.composite_scores(scoring.category_scores(one)).first()["composite"]
         assert mine == pytest.approx({repo: by_config.get(repo, by_config["none"]) for repo in "abcdefghi"})
+
+
+def test_lights_by_each_metrics_limits(spark):
+    from gaugeworks.report import render
+
+    rows = [
+        ("complexity_avg", 10.0, 1.0, "green"), ("complexity_avg", 10.1, 9.0, "yellow"), ("complexity_avg", 20.1, 9.0, "red"), ("circular_deps", 0.0, 1.0, "green"), ("circular_deps", 2.0, 1.0, "yellow"), ("circular_deps", 3.0, 9.0, "red"),
+        ("naming_consistency", 69.9, 9.0, "red"), ("naming_consistency", 70.0, 1.0, "yellow"), ("naming_consistency", 90.0, 1.0, "green"), ("test_to_code_ratio", 0.2, 1.0, "yellow"), ("assertion_density_avg", 0.0, 1.0, "green"),
+        ("cross_file_navigation", 7.0, 1.0, "green"), ("cross_file_navigation", 3.0, 1.0, "red"), ("afferent_coupling_avg", 99.0, 8.0, "green"), ("afferent_coupling_avg", 0.0, 6.5, "yellow"), ("afferent_coupling_avg", 0.0, 5.9, "red"),
+    ]
+    frame = spark.createDataFrame([(*r, True) for r in rows] + [("complexity_avg", 1.0, 9.0, "grey", False)], "metric string, raw_value double, score double, want string, available boolean")
+    assert [r for r in render.metric_lights(frame).collect() if r["light"] != r["want"]] == []
+    assert not set(render.FALLING_LIGHTS) & set(render.RISING_LIGHTS) and {*render.FALLING_LIGHTS, *render.RISING_LIGHTS} <= {m.name for m in METRICS}
+
+
+def test_go_null_safety(spark):
+    from gaugeworks.operators import summary
+
+    rows = [(0, 0, 0, 0, 100.0), (1, 4, 0, 0, 75.0), (1, 4, 5, 10, 62.5), (1, 4, 30, 10, 87.5), (0, 0, 1, 4, 62.5), (9, 4, 0, 0, 0.0)]
+    frame = spark.createDataFrame(rows, "a int, t int, c int, p int, want double")
+    assert [(r[0], r[1]) for r in frame.select(summary.go_null_safety(F.col("a"), F.col("t"), F.col("c"), F.col("p")), "want").collect() if r[0] != r[1]] == []
+
+
+def test_metric_of_a_prompt(spark):
+    from gaugeworks.operators import agent_eval
+
+    rows = [("Please LIST all exported functions", "task_execution_consistency"), ("Trace its dependencies; explain what the code does", "code_behavior_comprehension"), ("trace the complete dependency chain", "cross_file_navigation"), ("interpret what the identifier x means", "identifier_interpretability"), ("Review the documentation", "documentation_accuracy_detection"), ("hello", "unknown"), (None, "unknown")]
+    frame = spark.createDataFrame(rows, "prompt string, want string")
+    assert [tuple(r) for r in frame.select(agent_eval.metric_of_prompt(F.col("prompt")).alias("got"), "want").where("got != want").collect()] == []
