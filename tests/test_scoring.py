@@ -152,3 +152,35 @@ def test_metric_of_a_prompt(spark):
     rows = [("Please LIST all exported functions", "task_execution_consistency"), ("Trace its dependencies; explain what the code does", "code_behavior_comprehension"), ("trace the complete dependency chain", "cross_file_navigation"), ("interpret what the identifier x means", "identifier_interpretability"), ("Review the documentation", "documentation_accuracy_detection"), ("hello", "unknown"), (None, "unknown")]
     frame = spark.createDataFrame(rows, "prompt string, want string")
     assert [tuple(r) for r in frame.select(agent_eval.metric_of_prompt(F.col("prompt")).alias("got"), "want").where("got != want").collect()] == []
+
+
+def test_measured_rows(spark):
+    """Facts of one repository by hand: values of each table's metrics, and all of them scored."""
+    from gaugeworks.operators import measured
+
+    frame = spark.createDataFrame
+    functions = frame([("r", 1, 10), ("r", 5, 30)], "repo_id string, complexity int, lines int")
+    files = frame([("r", "a/b/x.go", False, 100, 10, 4, 3), ("r", "y.go", False, 300, 0, 0, 0), ("r", "y_test.go", True, 100, 15, 0, 0)], "repo_id string, rel_path string, is_test boolean, lines int, comments int, public int, documented int")
+    texts = frame([("r", 1, "a\nb\nc\nd"), ("r", 2, "x\na\nb\nc")], "repo_id string, file long, text string")
+    edges = frame([("r", "a", "b"), ("r", "a", "c")], "repo_id string, src string, dst string")
+    exports = frame([("r", "u", "X"), ("r", "u", "Y"), ("r", "v", "Z")], "repo_id string, unit string, name string")
+    names = frame([("r", "Good", True), ("r", "bad_name", False), ("r", "x", False)], "repo_id string, name string, exported boolean")
+    numbers = frame([("r", "go", "7", False, None, False, 100), ("r", "go", "0", False, None, False, 100)], "repo_id string, language string, value string, in_const boolean, target string, subscript boolean, code_lines int")
+    imports = frame([("r", "f1", "go", "net/http"), ("r", "f2", "go", "fmt")], "repo_id string, file string, language string, module string")
+    tests = frame([("r", "f1", 2), ("r", "f2", 4)], "repo_id string, file string, assertions int")
+    said = frame([("r", "cross_file_navigation", "import a -> b", None), ("r", "cross_file_navigation", "lost", "timeout"), ("r", "identifier_interpretability", "x", "timeout"), ("r", "other", "x", None)], "repo_id string, metric string, response string, error string")
+    parts = [
+        measured.of_functions(functions), measured.of_files(files), measured.of_texts(texts), measured.of_edges(edges), measured.of_exports(exports, exports.where("name = 'X'")),
+        measured.of_names(names), measured.of_numbers(numbers), measured.of_imports(imports, tests), measured.of_responses(said),
+    ]
+    rows = {r["metric"]: r for r in measured.measured(*parts).collect()}
+    got = {m: r["value"] for m, r in rows.items()}
+    navigation = got.pop("cross_file_navigation")
+    assert got == pytest.approx({
+        "complexity_avg": 3.0, "func_length_avg": 20.0, "file_size_avg": 200.0, "max_dir_depth": 2.0, "comment_density": 5.0, "api_doc_coverage": 75.0, "test_to_code_ratio": 0.25, "test_file_ratio": 0.5,
+        "duplication_rate": 75.0, "efferent_coupling_avg": 2 / 3, "afferent_coupling_avg": 2 / 3, "module_fanout_avg": 2.0, "dead_exports": 2.0, "naming_consistency": 50.0, "magic_number_ratio": 5.0,
+        "import_complexity_avg": 1.5, "test_isolation": 50.0, "assertion_density_avg": 3.0, "identifier_interpretability": 0.0,
+    })
+    assert 1 <= navigation <= 10 and not rows["identifier_interpretability"]["available"]
+    scored = scoring.category_scores(scoring.score_metrics(measured.measured(*parts), ScoringConfig().frame(spark)))
+    assert {r["category"] for r in scored.collect()} == {"C1", "C2", "C3", "C4", "C6", "C7"}
