@@ -6,7 +6,7 @@ each statement of a block. A window is a run of consecutive statements.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import percentage
@@ -32,13 +32,18 @@ def _reach(statements: DataFrame, lines: int) -> DataFrame:
         F.struct(F.col("start").alias("key"), F.lit(1).alias("gives"), F.lit(2).alias("kind")),
     )).alias("e")).select(*block, "at", "e.*")
     # Upwards for the starts, downwards for the ends; of equal keys those that give come first.
-    order = Window.partitionBy(*block, "kind").orderBy(F.when(F.col("kind") == 1, -F.col("key")).otherwise(F.col("key")), F.desc("gives")).rowsBetween(Window.unboundedPreceding, 0)
-    given = F.when(F.col("gives") == 1, F.col("at"))
-    found = ends.withColumn("to", F.when(F.col("kind") == 1, F.min(given).over(order)).otherwise(F.max(given).over(order))).where("gives = 0")
+    order = Window.partitionBy(*block).orderBy("kind", F.when(F.col("kind") == 1, -F.col("key")).otherwise(F.col("key")), F.desc("gives")).rowsBetween(Window.unboundedPreceding, 0)
+    down, up = (F.when((F.col("gives") == 1) & (F.col("kind") == k), F.col("at")) for k in (1, 2))
+    found = ends.withColumn("to", F.when(F.col("kind") == 1, F.min(down).over(order)).otherwise(F.max(up).over(order))).where("gives = 0")
     both = found.groupBy(*block, "at").agg(F.max(F.when(F.col("kind") == 1, F.col("to"))).alias("upto"), F.max(F.when(F.col("kind") == 2, F.col("to"))).alias("since"))
     return rows.join(both, [*block, "at"])
 
 
+def _name(value: Column) -> Column:
+    """A name of 16 bytes; null for null."""
+    return F.unhex(F.md5(value))
+
+
 def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines: int = LEAST_LINES) -> DataFrame:
     """The windows that decide which lines are duplicated, of any length: repo_id, file, hash, start, end, size.
 
@@ -53,24 +58,27 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     gathered, and a row moves along with its names only.
     """
     block = ["repo_id", "file", "block"]
-    rows = kept(_reach(statements, lines))
+    named = statements.withColumn("hash", _name(F.col("hash").cast("string")))
+    rows = kept(_reach(named, lines))
     order = Window.partitionBy(*block).orderBy("at")
     rows = rows.withColumn("last", F.max("at").over(Window.partitionBy(*block)))
     longer, back = F.greatest(F.col("upto") - F.col("at") + 1, F.lit(least)), F.greatest(F.col("at") - F.col("since") + 1, F.lit(least))
     rows = rows.withColumn("longer", F.when(F.col("upto").isNotNull() & (F.col("at") + longer - 1 <= F.col("last")), longer))
     rows = rows.withColumn("back", F.when(F.col("since").isNotNull() & (F.col("at") >= back), back))
     most = rows.agg(F.max(F.greatest("longer", "back"))).first()[0] or least
-    names = [F.md5(F.col("hash").cast("string"))]
-    rows = rows.withColumn("f0", names[0])
-    steps = max(int(most).bit_length() - 1, (least - 1).bit_length() - 1, 0)
+    rows = rows.withColumn("f0", F.col("hash"))
+    steps = max(int(most).bit_length() - 1, least.bit_length() - 1)
     for t in range(steps):
-        rows = rows.withColumn(f"f{t + 1}", F.md5(F.concat(f"f{t}", F.lead(f"f{t}", 1 << t).over(order))))
+        rows = rows.withColumn(f"f{t + 1}", _name(F.concat(f"f{t}", F.lead(f"f{t}", 1 << t).over(order))))
     half = least.bit_length() - 1
-    rows = rows.withColumn("first", F.md5(F.concat(f"f{half}", F.lead(f"f{half}", least - (1 << half)).over(order))))
+    rows = rows.withColumn("first", _name(F.concat(f"f{half}", F.lead(f"f{half}", least - (1 << half)).over(order))))
     rows = rows.withColumn("final", F.lag("first", least - 1).over(order))
     forward = F.array(*(f"f{t}" for t in range(steps + 1))).alias("forward")
     backward = F.array(*(F.lag(f"f{t}", (1 << t) - 1).over(order) for t in range(steps + 1))).alias("backward")
-    rows = kept(rows.select(*block, "at", "start", "end", "last", "longer", "back", "first", "final", forward, backward))
+    rows = rows.select(*block, "at", "start", "end", "last", "longer", "back", "first", "final", forward, backward)
+    # An equal window begins and ends with statements that occur again, so all other rows go at once.
+    again = [rows.where(F.col(c).isNotNull()).groupBy("repo_id", c).agg(F.count("*").alias("n")).where("n > 1").select("repo_id", c, F.lit(True).alias(f"{c}_again")) for c in ("first", "final")]
+    rows = kept(rows.join(again[0], ["repo_id", "first"], "left").join(again[1], ["repo_id", "final"], "left").where("first_again or final_again").drop("first_again", "final_again"))
 
     def sized(name: str, own: str) -> DataFrame:
         """Rows with each ``size``, at least their own, that is shortest for one of several rows of one name."""
@@ -87,7 +95,7 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     heads = rows.select(*block, "at", "start", "forward")
     tails = rows.select(*block, F.col("at").alias("to"), "end", "backward")
     whole = windows.join(heads, [*block, "at"]).withColumn("to", F.col("at") + F.col("size") - 1).join(tails, [*block, "to"])
-    name = F.md5(F.concat_ws("|", F.col("size").cast("string"), F.get("forward", power), F.get("backward", power)))
+    name = F.md5(F.concat(F.col("size").cast("string").cast("binary"), F.get("forward", power), F.get("backward", power)))
     return whole.select("repo_id", "file", name.alias("hash"), "start", "end", F.col("size").cast("int").alias("size"))
 
 
