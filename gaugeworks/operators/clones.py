@@ -66,26 +66,29 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     rows = rows.withColumn("longer", F.when(F.col("upto").isNotNull() & (F.col("at") + longer - 1 <= F.col("last")), longer))
     rows = rows.withColumn("back", F.when(F.col("since").isNotNull() & (F.col("at") >= back), back))
     most = rows.agg(F.max(F.greatest("longer", "back"))).first()[0] or least
-    rows = rows.withColumn("f0", F.col("hash"))
     steps = max(int(most).bit_length() - 1, least.bit_length() - 1)
-    for t in range(steps):
-        rows = rows.withColumn(f"f{t + 1}", _name(F.concat(f"f{t}", F.lead(f"f{t}", 1 << t).over(order))))
     half = least.bit_length() - 1
-    rows = rows.withColumn("first", _name(F.concat(f"f{half}", F.lead(f"f{half}", least - (1 << half)).over(order))))
-    rows = rows.withColumn("final", F.lag("first", least - 1).over(order))
+
+    def doubled(frame: DataFrame, count: int) -> DataFrame:
+        for t in range(count):
+            frame = frame.withColumn(f"f{t + 1}", _name(F.concat(f"f{t}", F.lead(f"f{t}", 1 << t).over(order))))
+        return frame
+
+    first = _name(F.concat(f"f{half}", F.lead(f"f{half}", least - (1 << half)).over(order)))
+    rows = rows.withColumnRenamed("hash", "f0")
+    firsts = doubled(rows.select(*block, "at", "f0"), half).select(*block, "at", first.alias("first")).where("first is not null")
+    # An equal window begins and ends with statements that occur again; all other rows go before names are carried.
+    several = firsts.groupBy("repo_id", "first").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = kept(firsts.join(several, ["repo_id", "first"], "left_semi"))
+    rows = doubled(rows.join(again, [*block, "at"], "left"), steps).withColumn("final", F.lag("first", least - 1).over(order))
     forward = F.array(*(f"f{t}" for t in range(steps + 1))).alias("forward")
     backward = F.array(*(F.lag(f"f{t}", (1 << t) - 1).over(order) for t in range(steps + 1))).alias("backward")
-    rows = rows.select(*block, "at", "start", "end", "last", "longer", "back", "first", "final", forward, backward)
-    # An equal window begins and ends with statements that occur again, so all other rows go at once.
-    again = [rows.where(F.col(c).isNotNull()).groupBy("repo_id", c).agg(F.count("*").alias("n")).where("n > 1").select("repo_id", c, F.lit(True).alias(f"{c}_again")) for c in ("first", "final")]
-    rows = kept(rows.join(again[0], ["repo_id", "first"], "left").join(again[1], ["repo_id", "final"], "left").where("first_again or final_again").drop("first_again", "final_again"))
+    rows = kept(rows.select(*block, "at", "start", "end", "last", "longer", "back", "first", "final", forward, backward).where("first is not null or final is not null"))
 
     def sized(name: str, own: str) -> DataFrame:
         """Rows with each ``size``, at least their own, that is shortest for one of several rows of one name."""
         met = rows.where(F.col(own).isNotNull() & F.col(name).isNotNull())
-        sizes = met.groupBy("repo_id", name, F.col(own).alias("size")).agg(F.count("*").alias("n"))
-        several = met.groupBy("repo_id", name).agg(F.count("*").alias("n")).where("n > 1").select("repo_id", name)
-        sizes = sizes.join(several, ["repo_id", name], "left_semi").drop("n")
+        sizes = met.select("repo_id", name, F.col(own).alias("size")).distinct()
         return met.join(sizes, ["repo_id", name]).where(F.col("size") >= F.col(own))
 
     ahead = sized("first", "longer").where("at + size - 1 <= last").select(*block, "at", "size")
