@@ -93,13 +93,14 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
 
     ahead = sized("first", "longer").where("at + size - 1 <= last").select(*block, "at", "size")
     behind = sized("final", "back").where("at >= size").select(*block, (F.col("at") - F.col("size") + 1).alias("at"), "size")
-    windows = ahead.union(behind).distinct()
+    windows = kept(ahead.union(behind).distinct())
     power = F.floor(F.log2("size")).cast("int")
     heads = rows.select(*block, "at", "start", "forward")
     tails = rows.select(*block, F.col("at").alias("to"), "end", "backward")
     whole = windows.join(heads, [*block, "at"]).withColumn("to", F.col("at") + F.col("size") - 1).join(tails, [*block, "to"])
     name = F.md5(F.concat(F.col("size").cast("string").cast("binary"), F.get("forward", power), F.get("backward", power)))
-    return whole.select("repo_id", "file", name.alias("hash"), "start", "end", F.col("size").cast("int").alias("size"))
+    # Kept, as those who group windows read them more than once.
+    return kept(whole.select("repo_id", "file", name.alias("hash"), "start", "end", F.col("size").cast("int").alias("size")))
 
 
 def line_windows(texts: DataFrame, size: int) -> DataFrame:
