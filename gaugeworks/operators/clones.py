@@ -59,7 +59,7 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     """
     block = ["repo_id", "file", "block"]
     named = statements.withColumn("hash", _name(F.col("hash").cast("string")))
-    rows = kept(_reach(named, lines))
+    rows = reached = kept(_reach(named, lines))
     order = Window.partitionBy(*block).orderBy("at")
     rows = rows.withColumn("last", F.max("at").over(Window.partitionBy(*block)))
     longer, back = F.greatest(F.col("upto") - F.col("at") + 1, F.lit(least)), F.greatest(F.col("at") - F.col("since") + 1, F.lit(least))
@@ -83,7 +83,7 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     rows = doubled(rows.join(again, [*block, "at"], "left"), steps).withColumn("final", F.lag("first", least - 1).over(order))
     forward = F.array(*(f"f{t}" for t in range(steps + 1))).alias("forward")
     backward = F.array(*(F.lag(f"f{t}", (1 << t) - 1).over(order) for t in range(steps + 1))).alias("backward")
-    rows = kept(rows.select(*block, "at", "start", "end", "last", "longer", "back", "first", "final", forward, backward).where("first is not null or final is not null"))
+    rows = kept(rows.select(*block, "at", "start", "end", "last", "longer", "back", "first", "final", forward, backward).where("first is not null or final is not null"), reached, again)
 
     def sized(name: str, own: str) -> DataFrame:
         """Rows with each ``size``, at least their own, that is shortest for one of several rows of one name."""
@@ -126,9 +126,11 @@ def duplicated_windows(windows: DataFrame) -> DataFrame:
 
 def duplication_rate(windows: DataFrame, totals: DataFrame) -> DataFrame:
     """Per cent of a repository's lines (``totals``: repo_id, lines) inside duplicated windows."""
-    spans = duplicated_windows(windows).select("repo_id", "file", "start", "end").distinct()
-    lines = spans.select("repo_id", "file", F.explode(F.sequence("start", "end")).alias("line")).distinct()
-    marked = lines.groupBy("repo_id").agg(F.count("*").alias("duplicated_lines"))
+    spans = duplicated_windows(windows).groupBy("repo_id", "file", "start").agg(F.max("end").alias("end"))
+    # A window adds those of its lines that lie beyond the ends of all that start before it.
+    before = F.max("end").over(Window.partitionBy("repo_id", "file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    added = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start") - 1, F.coalesce(before, F.lit(0))))
+    marked = spans.withColumn("added", added).groupBy("repo_id").agg(F.sum("added").alias("duplicated_lines"))
     joined = totals.join(marked, "repo_id", "left").withColumn("duplicated_lines", F.coalesce("duplicated_lines", F.lit(0)))
     return joined.withColumn("duplication_rate", percentage(F.col("duplicated_lines"), F.col("lines")))
 

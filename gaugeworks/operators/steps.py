@@ -7,26 +7,27 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def kept(frame: DataFrame, before: DataFrame | None = None) -> DataFrame:
+def kept(frame: DataFrame, *before: DataFrame) -> DataFrame:
     """The frame, computed once: as a table in the checkpoint folder where a session has one (``spark.checkpoint.dir``),
     which survives lost executors and cuts the lineage, else in the cache, from which lost parts are computed again.
 
-    ``before`` is a step made in the same way that nothing but this one reads; once this one is there it is let go.
+    ``before`` are steps made in the same way that nothing but this one reads; once this one is there they are let go.
     """
     spark = frame.sparkSession
     root = spark.sparkContext.getCheckpointDir()
     if not root:
         out = frame.persist()
-        if before is not None and before.is_cached:
+        cached = [b for b in before if b.is_cached]
+        if cached:
             out.count()
-            before.unpersist()
+        for b in cached:
+            b.unpersist()
         return out
     path = f"{root}/step-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out._step_path = path  # type: ignore[attr-defined]
-    old = getattr(before, "_step_path", None)
-    if old:
+    for old in filter(None, (getattr(b, "_step_path", None) for b in before)):
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     return out
