@@ -14,29 +14,33 @@ from gaugeworks.operators.steps import kept
 
 #: Statements and lines of the smallest window.
 LEAST_STATEMENTS, LEAST_LINES = 3, 6
+#: A key is common if it has more than one in so many of the rows that are looked at; so there are fewer of them.
+OFTEN = 1024
 
 
 def _reach(statements: DataFrame, lines: int) -> DataFrame:
-    """``statements`` with ``at`` (their number in the block), ``upto`` (the first statement with which a window
-    from here spans enough lines) and ``since`` (the last from which a window to here does); null if there is none.
+    """``statements`` with ``at`` (their number in the block), ``last`` (that of the block's last one), ``upto`` (the
+    first statement with which a window from here spans enough lines) and ``since`` (the last from which a window to
+    here does); null if there is none.
 
     Ends of lines are asked for and found in one sorted pass each: a running minimum over the block's statements
-    by their end, downwards, and a running maximum by their start, upwards.
+    by their end, downwards, and a running maximum by their start, upwards. All passes need the rows of a block
+    together and nothing else, so they share one shuffle; the two answers meet by a grouping inside it.
     """
     block = ["repo_id", "file", "block"]
     rows = statements.withColumn("at", F.row_number().over(Window.partitionBy(*block).orderBy("pos")))
-    ends = rows.select(*block, "at", F.explode(F.array(
+    rows = rows.withColumn("last", F.max("at").over(Window.partitionBy(*block)))
+    ends = rows.select("*", F.explode(F.array(
         F.struct((F.col("start") + lines - 1).alias("key"), F.lit(0).alias("gives"), F.lit(1).alias("kind")),
         F.struct(F.col("end").alias("key"), F.lit(1).alias("gives"), F.lit(1).alias("kind")),
         F.struct((F.col("end") - lines + 1).alias("key"), F.lit(0).alias("gives"), F.lit(2).alias("kind")),
         F.struct(F.col("start").alias("key"), F.lit(1).alias("gives"), F.lit(2).alias("kind")),
-    )).alias("e")).select(*block, "at", "e.*")
+    )).alias("e")).select(*rows.columns, "e.*")
     # Upwards for the starts, downwards for the ends; of equal keys those that give come first.
     order = Window.partitionBy(*block).orderBy("kind", F.when(F.col("kind") == 1, -F.col("key")).otherwise(F.col("key")), F.desc("gives")).rowsBetween(Window.unboundedPreceding, 0)
     down, up = (F.when((F.col("gives") == 1) & (F.col("kind") == k), F.col("at")) for k in (1, 2))
     found = ends.withColumn("to", F.when(F.col("kind") == 1, F.min(down).over(order)).otherwise(F.max(up).over(order))).where("gives = 0")
-    both = found.groupBy(*block, "at").agg(F.max(F.when(F.col("kind") == 1, F.col("to"))).alias("upto"), F.max(F.when(F.col("kind") == 2, F.col("to"))).alias("since"))
-    return rows.join(both, [*block, "at"])
+    return found.groupBy(*rows.columns).agg(F.max(F.when(F.col("kind") == 1, F.col("to"))).alias("upto"), F.max(F.when(F.col("kind") == 2, F.col("to"))).alias("since"))
 
 
 def _name(value: Column) -> Column:
@@ -44,6 +48,17 @@ def _name(value: Column) -> Column:
     return F.unhex(F.md5(value))
 
 
+def _of_repeated(frame: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key occurs more than once. A key of more than a ``OFTEN``th of these rows, of which there are
+    fewer than ``OFTEN``, is met by broadcast, so that no task gets all rows of a common key."""
+    counts = kept(frame.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") * OFTEN > total).select(*key, F.lit(True).alias("often"))
+    rows = frame.join(F.broadcast(often), key, "left")
+    seldom = counts.where(F.col("n") * OFTEN <= total).select(*key)
+    return rows.where("often").drop("often").unionByName(rows.where("often is null").drop("often").join(seldom, key, "left_semi"))
+
+
 def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines: int = LEAST_LINES) -> DataFrame:
     """The windows that decide which lines are duplicated, of any length: repo_id, file, hash, start, end, size.
 
@@ -58,15 +73,7 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     gathered, and a row moves along with its names only.
     """
     block = ["repo_id", "file", "block"]
-    named = statements.withColumn("hash", _name(F.col("hash").cast("string")))
-    rows = reached = kept(_reach(named, lines))
     order = Window.partitionBy(*block).orderBy("at")
-    rows = rows.withColumn("last", F.max("at").over(Window.partitionBy(*block)))
-    longer, back = F.greatest(F.col("upto") - F.col("at") + 1, F.lit(least)), F.greatest(F.col("at") - F.col("since") + 1, F.lit(least))
-    rows = rows.withColumn("longer", F.when(F.col("upto").isNotNull() & (F.col("at") + longer - 1 <= F.col("last")), longer))
-    rows = rows.withColumn("back", F.when(F.col("since").isNotNull() & (F.col("at") >= back), back))
-    most = rows.agg(F.max(F.greatest("longer", "back"))).first()[0] or least
-    steps = max(int(most).bit_length() - 1, least.bit_length() - 1)
     half = least.bit_length() - 1
 
     def doubled(frame: DataFrame, count: int) -> DataFrame:
@@ -74,14 +81,22 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
             frame = frame.withColumn(f"f{t + 1}", _name(F.concat(f"f{t}", F.lead(f"f{t}", 1 << t).over(order))))
         return frame
 
+    rows = _reach(statements.withColumn("hash", _name(F.col("hash").cast("string"))), lines)
+    longer, back = F.greatest(F.col("upto") - F.col("at") + 1, F.lit(least)), F.greatest(F.col("at") - F.col("since") + 1, F.lit(least))
+    rows = rows.withColumn("longer", F.when(F.col("upto").isNotNull() & (F.col("at") + longer - 1 <= F.col("last")), longer))
+    rows = rows.withColumn("back", F.when(F.col("since").isNotNull() & (F.col("at") >= back), back))
     first = _name(F.concat(f"f{half}", F.lead(f"f{half}", least - (1 << half)).over(order)))
-    rows = rows.withColumnRenamed("hash", "f0")
-    firsts = doubled(rows.select(*block, "at", "f0"), half).select(*block, "at", first.alias("first")).where("first is not null")
+    rows = doubled(rows.withColumnRenamed("hash", "f0"), half).withColumn("first", first)
+    rows = reached = kept(rows.select(*block, "at", "start", "end", "last", "longer", "back", "f0", "first"))
+    most = rows.agg(F.max(F.greatest("longer", "back"))).first()[0] or least
+    steps = max(int(most).bit_length() - 1, half)
     # An equal window begins and ends with statements that occur again; all other rows go before names are carried.
-    several = firsts.groupBy("repo_id", "first").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    again = kept(firsts.join(several, ["repo_id", "first"], "left_semi"))
-    rows = doubled(rows.join(again, [*block, "at"], "left"), steps).withColumn("final", F.lag("first", least - 1).over(order))
-    forward = F.array(*(f"f{t}" for t in range(steps + 1))).alias("forward")
+    again = kept(_of_repeated(rows.select(*block, "at", "first").where("first is not null"), ["repo_id", "first"]))
+    # Both go to their block in one shuffle; a row's mark is the row of ``again`` beside it.
+    marked = rows.drop("first").withColumn("first", F.lit(None).cast("binary")).unionByName(again, allowMissingColumns=True).repartition(*block)
+    marked = marked.withColumn("first", F.max("first").over(Window.partitionBy(*block, "at"))).where("f0 is not null")
+    rows = doubled(marked, steps).withColumn("final", F.lag("first", least - 1).over(order))
+    forward = F.array(*(F.col(f"f{t}") for t in range(steps + 1))).alias("forward")
     backward = F.array(*(F.lag(f"f{t}", (1 << t) - 1).over(order) for t in range(steps + 1))).alias("backward")
     rows = kept(rows.select(*block, "at", "start", "end", "last", "longer", "back", "first", "final", forward, backward).where("first is not null or final is not null"), reached, again)
 
@@ -114,14 +129,13 @@ def line_windows(texts: DataFrame, size: int) -> DataFrame:
 def duplicated_windows(windows: DataFrame) -> DataFrame:
     """Windows that occur again without overlapping: in another file, or apart in the same one.
 
-    With the least end and the greatest start of a hash in a file, a window has a
-    partner there if it ends before the latest start or starts after the first end; no
-    pair is formed, so a common window costs two grouped passes only.
+    A hash in several files is duplicated wherever it is. One in a single file has there a least end and a
+    greatest start: a window has a partner if it ends before the latest start or starts after the first end. So one
+    grouped pass decides and no pair is formed. Windows without a file or repository have no partner.
     """
-    in_file = windows.groupBy("repo_id", "hash", "file").agg(F.min("end").alias("min_end"), F.max("start").alias("max_start"))
-    spread = in_file.groupBy("repo_id", "hash").agg(F.count("*").alias("files"))
-    joined = windows.join(in_file, ["repo_id", "hash", "file"]).join(spread, ["repo_id", "hash"])
-    return joined.where((F.col("files") > 1) | (F.col("min_end") <= F.col("start")) | (F.col("max_start") >= F.col("end"))).select("repo_id", "hash", "file", "start", "end")
+    spread = windows.groupBy("repo_id", "hash").agg(F.min("file").alias("least"), F.max("file").alias("most"), F.min("end").alias("min_end"), F.max("start").alias("max_start"))
+    joined = windows.where("file is not null").join(spread.where("least != most or min_end <= max_start"), ["repo_id", "hash"])
+    return joined.where((F.col("least") != F.col("most")) | (F.col("min_end") <= F.col("start")) | (F.col("max_start") >= F.col("end"))).select("repo_id", "hash", "file", "start", "end")
 
 
 def duplication_rate(windows: DataFrame, totals: DataFrame) -> DataFrame:

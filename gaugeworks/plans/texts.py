@@ -36,17 +36,26 @@ def duplication(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences as statements, on lines of 80 characters: some share a line, others take several."""
-    parts = _texts(spark, sf).select("repo_id", "file", F.posexplode(F.split("text", r"\. ")).alias("pos", "value"))
-    upto = F.sum(F.length("value") + 2).over(Window.partitionBy("repo_id", "file").orderBy("pos"))
-    placed = parts.withColumn("from", upto - F.length("value") - 2)
-    start, end = F.expr("`from` div 80 + 1").cast("int"), F.expr("(`from` + greatest(length(value), 1) - 1) div 80 + 1").cast("int")
-    return placed.select("repo_id", "file", F.lit(0).alias("block"), "pos", F.md5("value").alias("hash"), start.alias("start"), end.alias("end"))
+    value = _texts(spark, sf).select("repo_id", "file", F.posexplode(F.split("text", r"\. ")).alias("pos", "value"))
+    # Names and lengths go to the window, not the sentences.
+    parts = value.select("repo_id", "file", "pos", F.unhex(F.md5("value")).alias("hash"), F.length("value").alias("n"))
+    upto = F.sum(F.col("n") + 2).over(Window.partitionBy("repo_id", "file").orderBy("pos"))
+    placed = parts.withColumn("from", upto - F.col("n") - 2)
+    start, end = F.expr("`from` div 80 + 1").cast("int"), F.expr("(`from` + greatest(n, 1) - 1) div 80 + 1").cast("int")
+    return placed.select("repo_id", "file", F.lit(0).alias("block"), "pos", "hash", start.alias("start"), end.alias("end"))
+
+
+def _sentence_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of 80 characters of each repository; an empty last sentence begins a line after a full one."""
+    empty = (F.col("text") == "") | F.col("text").endswith(". ")
+    end = F.when(empty, F.expr("length(text) div 80")).otherwise(F.expr("(length(text) - 1) div 80")) + 1
+    return _texts(spark, sf).where("text is not null").groupBy("repo_id").agg(F.sum(end).alias("lines"))
 
 
 def statement_duplication(spark: SparkSession, sf: str) -> DataFrame:
     """Lines inside duplicated runs of three statements and six lines at least, of any length."""
     statements = _sentences(spark, sf)
-    totals = statements.groupBy("repo_id", "file").agg(F.max("end").alias("n")).groupBy("repo_id").agg(F.sum("n").alias("lines"))
+    totals = _sentence_lines(spark, sf)
     got = clones.duplication_rate(clones.deciding_windows(statements), totals)
     return got.select("repo_id", "lines", "duplicated_lines", F.round("duplication_rate", 6).alias("duplication_rate"))
 
