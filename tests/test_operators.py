@@ -505,3 +505,18 @@ def test_report(spark):
     assert render.gate(scored, 10.0).count() == 1 and render.gate(scored, 0.0).count() == 0
     badge = one(spark, 6.04, lambda c: render.badge(F.lit("Agent-Assisted"), c), "double")
     assert badge == "https://img.shields.io/badge/agent--readiness-Agent--Assisted%206.0%2F10-yellow"
+
+
+def test_repeated_keys_common_and_rare(spark):
+    rows = [("r", "hot", i) for i in range(3000)] + [("r", "pair", 1), ("r", "pair", 2), ("r", "one", 1), ("s", "one", 1), ("r", None, 1), ("r", None, 2)]
+    frame = spark.createDataFrame(rows, "repo_id string, key string, at int")
+    got = clones._of_repeated(frame, ["repo_id", "key"])
+    assert got.columns == frame.columns
+    assert {tuple(r) for r in got.groupBy("repo_id", "key").count().collect()} == {("r", "hot", 3000), ("r", "pair", 2)}
+    assert clones._of_repeated(frame.limit(0), ["repo_id", "key"]).count() == 0
+
+
+def test_duplicated_windows_by_one_grouping(spark):
+    rows = [("r", "two", 1, 1, 3), ("r", "two", 2, 5, 7), ("r", "apart", 3, 1, 3), ("r", "apart", 3, 3, 5), ("r", "apart", 3, 2, 4), ("r", "over", 4, 1, 3), ("r", "over", 4, 2, 4), ("r", "lost", None, 1, 3), ("r", "lost", None, 9, 11)]
+    got = clones.duplicated_windows(spark.createDataFrame(rows, "repo_id string, hash string, file int, start int, end int")).collect()
+    assert {(r["hash"], r["file"], r["start"]) for r in got} == {("two", 1, 1), ("two", 2, 5), ("apart", 3, 1), ("apart", 3, 3)}
