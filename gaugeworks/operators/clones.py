@@ -118,12 +118,23 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     return kept(whole.select("repo_id", "file", name.alias("hash"), "start", "end", F.col("size").cast("int").alias("size")))
 
 
-def line_windows(texts: DataFrame, size: int) -> DataFrame:
-    """All windows of ``size`` lines of texts (repo_id, file, text): repo_id, file, hash, start, end."""
+def line_windows(texts: DataFrame, size: int, around: bool = False) -> DataFrame:
+    """All windows of ``size`` lines of texts (repo_id, file, text): repo_id, file, hash, start, end; ``around`` adds
+    ``before`` and ``after``, the names of the lines beside a window, null where its file begins or ends."""
     lines = texts.select("repo_id", "file", F.posexplode(F.split("text", "\n")).alias("pos", "value")).select("repo_id", "file", (F.col("pos") + 1).alias("start"), F.md5("value").alias("line"))
     order = Window.partitionBy("repo_id", "file").orderBy("start")
     name = F.md5(F.concat(*[F.lead("line", k).over(order) if k else F.col("line") for k in range(size)]))
-    return lines.select("repo_id", "file", name.alias("hash"), "start", (F.col("start") + size - 1).alias("end")).where("hash is not null")
+    beside = [F.lag("line").over(order).alias("before"), F.lead("line", size).over(order).alias("after")] if around else []
+    return lines.select("repo_id", "file", name.alias("hash"), "start", (F.col("start") + size - 1).alias("end"), *beside).where("hash is not null")
+
+
+def _duplicated(windows: DataFrame, *also: str) -> DataFrame:
+    """``duplicated_windows`` with all columns and ``leader``, the file, start and columns ``also`` of the first window of its class."""
+    leader = F.min(F.struct("file", "start", *also)).alias("leader")
+    spread = windows.where("file is not null").groupBy("repo_id", "hash").agg(F.min("file").alias("least"), F.max("file").alias("most"), F.min("end").alias("min_end"), F.max("start").alias("max_start"), leader)
+    joined = windows.where("file is not null").join(spread.where("least != most or min_end <= max_start"), ["repo_id", "hash"])
+    found = joined.where((F.col("least") != F.col("most")) | (F.col("min_end") <= F.col("start")) | (F.col("max_start") >= F.col("end")))
+    return found.select(*windows.columns, "leader")
 
 
 def duplicated_windows(windows: DataFrame) -> DataFrame:
@@ -133,9 +144,7 @@ def duplicated_windows(windows: DataFrame) -> DataFrame:
     greatest start: a window has a partner if it ends before the latest start or starts after the first end. So one
     grouped pass decides and no pair is formed. Windows without a file or repository have no partner.
     """
-    spread = windows.groupBy("repo_id", "hash").agg(F.min("file").alias("least"), F.max("file").alias("most"), F.min("end").alias("min_end"), F.max("start").alias("max_start"))
-    joined = windows.where("file is not null").join(spread.where("least != most or min_end <= max_start"), ["repo_id", "hash"])
-    return joined.where((F.col("least") != F.col("most")) | (F.col("min_end") <= F.col("start")) | (F.col("max_start") >= F.col("end"))).select("repo_id", "hash", "file", "start", "end")
+    return _duplicated(windows).select("repo_id", "hash", "file", "start", "end")
 
 
 def duplication_rate(windows: DataFrame, totals: DataFrame) -> DataFrame:
@@ -211,9 +220,10 @@ def line_clones(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -
     A clone is a run of equal lines at one distance in two files, or apart in one
     file, that no line before or after prolongs; in one file it ends where its copy
     begins. Windows of ``least`` lines are doubled as long as any is duplicated, and
-    pairs are formed only among windows of the greatest length that gives ``top``
-    clones: shorter ones cannot be among the longest. Of files with the same text,
-    those after the first ``top`` + 2 always lose the tie of their equals and are left out.
+    pairs are formed only at the greatest length that gives ``top`` clones: shorter
+    ones cannot be among the longest. Pairs are never more than a fixed number a
+    window, however many copies a passage has (see ``_pairs``). Of files with the same
+    text, those after the first ``top`` + 2 always lose the tie of their equals and are left out.
     """
     return _line_clones(texts, top, least).drop("n")
 
@@ -222,36 +232,108 @@ def _line_clones(texts: DataFrame, top: int, least: int) -> DataFrame:
     """``line_clones`` with ``n``, the lines for which each clone's two places agree, overlapping ones included."""
     copies = Window.partitionBy("repo_id", "key").orderBy("file")
     few = texts.select("repo_id", "file", F.md5("text").alias("key")).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= top + 2)
-    windows = line_windows(texts.join(few, ["repo_id", "file"], "left_semi"), least)
-    levels = [(least, kept(duplicated_windows(windows)))]
+    windows = line_windows(texts.join(few, ["repo_id", "file"], "left_semi"), least, around=True)
+    levels = [(least, kept(_duplicated(windows, "before", "after")))]
     while not levels[-1][1].isEmpty():
         size, half = levels[-1]
-        second = half.select("repo_id", "file", (F.col("start") - size).alias("start"), F.col("hash").alias("next"), F.col("end").alias("last"))
-        twice = half.join(second, ["repo_id", "file", "start"]).select("repo_id", "file", F.md5(F.concat("hash", "next")).alias("hash"), "start", F.col("last").alias("end"))
-        levels.append((2 * size, kept(duplicated_windows(twice))))
-    out, settled = None, None
+        twice = _prolonged(half.withColumns({"own": F.lit(size), "size": F.lit(2 * size)})).drop("size")
+        levels.append((2 * size, kept(_duplicated(twice, "before", "after"))))
+    out, settled, crowded = None, None, None
     for size, level in reversed(levels):
         some = level if settled is None else level.join(settled, "repo_id", "left_anti")
         if size > least and some.isEmpty():
             continue
-        best = kept(_diagonals(some, size, top))
+        pairs = kept(_pairs(some.withColumn("size", F.lit(size)), top))
+        crowds = kept(pairs.where("crowd").select("repo_id").distinct())
+        best = kept(_ranked(_runs(pairs.join(crowds, "repo_id", "left_anti")), top))
         full = best.where(F.col("rank") == top).select("repo_id")
         part = best if size == least else best.join(full, "repo_id", "left_semi")
         out = part if out is None else out.unionByName(part)
-        settled = full if settled is None else settled.union(full)
-    return out
+        apart = level.join(crowds, "repo_id", "left_semi").withColumn("own", F.lit(size))
+        crowded = apart if crowded is None else crowded.unionByName(apart)
+        settled = full.union(crowds) if settled is None else settled.union(full).union(crowds)
+    crowded = kept(crowded)
+    return out if crowded.isEmpty() else out.unionByName(_crowded_clones(crowded, top))
+
+
+def _prolonged(windows: DataFrame) -> DataFrame:
+    """The windows of ``size`` lines, from half of it to all of it covered by each of the ``windows`` of ``own`` lines."""
+    keys = ["repo_id", "file", "start"]
+    second = windows.select("repo_id", "file", (F.col("start") + F.col("own") - F.col("size")).alias("start"), F.col("hash").alias("next"), F.col("end").alias("to"), F.col("after").alias("beyond"))
+    joined = windows.join(second, keys)
+    return joined.select("repo_id", "file", F.md5(F.concat("hash", "next")).alias("hash"), "start", F.col("to").alias("end"), "before", F.col("beyond").alias("after"), "size")
+
 
+def _pairs(found: DataFrame, top: int) -> DataFrame:
+    """Pairs of equal windows of ``size`` lines that lie apart, from windows of ``_duplicated``: repo_id, file_a,
+    start_a, file_b, start_b, size, ``begins`` (the lines before differ), ``ends`` (those after do) and ``crowd``.
 
-def _diagonals(windows: DataFrame, size: int, top: int) -> DataFrame:
-    """The ``top`` longest clones of ``size`` lines or more: pairs of equal windows, joined where they follow one another."""
-    a, b = (windows.select("repo_id", "hash", F.col("file").alias(f"file_{x}"), F.col("start").alias(f"start_{x}")) for x in "ab")
-    apart = (F.col("file_a") < F.col("file_b")) | ((F.col("file_a") == F.col("file_b")) & (F.col("start_b") - F.col("start_a") >= size - 1))
-    pairs = a.join(b, ["repo_id", "hash"]).where(apart).withColumn("shift", F.col("start_b") - F.col("start_a"))
+    Of a class whose first window has 2 ``top`` windows after it that lie apart from it, a crowd, only the pairs of
+    these are formed; all other classes give all their pairs. In those, whatever lies apart from any window lies
+    apart from the first as well, so there are fewer than 2 ``top`` second places; the others overlap the first.
+    """
+    here = F.struct("file", "start", "before", "after")
+    beyond = (F.col("file") > F.col("leader.file")) | ((F.col("file") == F.col("leader.file")) & (F.col("start") - F.col("leader.start") >= F.col("size") - 1))
+    one = Window.partitionBy("repo_id", "hash")
+    after = found.where(beyond).withColumn("at", F.row_number().over(one.orderBy("file", "start"))).where(F.col("at") <= 2 * top)
+    after = kept(after.withColumn("crowd", F.count("*").over(one) == 2 * top).select("repo_id", "hash", "size", "leader", here.alias("b"), "crowd"))
+    firsts = after.select("repo_id", F.col("leader").alias("a"), "b", "size", "crowd")
+    near = (F.col("file") == F.col("leader.file")) & (F.col("start") > F.col("leader.start")) & ~beyond
+    seconds = after.where("not crowd").select("repo_id", "hash", "b", "size", "crowd")
+    others = found.where(near).select("repo_id", "hash", here.alias("a")).unionByName(seconds.select("repo_id", "hash", F.col("b").alias("a")))
+    apart = (F.col("a.file") < F.col("b.file")) | ((F.col("a.file") == F.col("b.file")) & (F.col("b.start") - F.col("a.start") >= F.col("size") - 1))
+    every = firsts.unionByName(others.join(seconds, ["repo_id", "hash"]).where(apart).select("repo_id", "a", "b", "size", "crowd"))
+    differ = [~F.coalesce(F.col(f"a.{x}") == F.col(f"b.{x}"), F.lit(False)) for x in ("before", "after")]
+    places = [F.col(f"{x}.{y}").alias(f"{y}_{x}") for x in "ab" for y in ("file", "start")]
+    return every.select("repo_id", *places, "size", differ[0].alias("begins"), differ[1].alias("ends"), "crowd")
+
+
+def _runs(pairs: DataFrame) -> DataFrame:
+    """Clones from all pairs of equal windows of one size, joined where they follow one another."""
     diagonal = ["repo_id", "file_a", "file_b", "shift"]
+    pairs = pairs.withColumn("shift", F.col("start_b") - F.col("start_a"))
     island = F.col("start_a") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("start_a"))
-    runs = pairs.withColumn("island", island).groupBy(*diagonal, "island").agg(F.min("start_a").alias("start_a"), (F.count("*") + size - 1).alias("n"))
+    runs = pairs.withColumn("island", island).groupBy(*diagonal, "island").agg(F.min("start_a").alias("start_a"), (F.count("*") + F.max("size") - 1).cast("int").alias("n"))
     count = F.when(F.col("file_a") == F.col("file_b"), F.least("n", F.col("shift") + 1)).otherwise(F.col("n")).cast("int")
-    sized = runs.withColumn("line_count", count).withColumn("start_b", F.col("start_a") + F.col("shift"))
+    return runs.select("repo_id", "file_a", "start_a", "file_b", (F.col("start_a") + F.col("shift")).alias("start_b"), count.alias("line_count"), "n")
+
+
+def _ranked(clones: DataFrame, top: int) -> DataFrame:
+    """The ``top`` longest clones of each repository."""
     best = Window.partitionBy("repo_id").orderBy(F.desc("line_count"), "file_a", "start_a", "file_b", "start_b")
     ends = [(F.col(f"start_{x}") + F.col("line_count") - 1).alias(f"end_{x}") for x in "ab"]
-    return sized.select("repo_id", "file_a", "start_a", ends[0], "file_b", "start_b", ends[1], "line_count", F.row_number().over(best).alias("rank"), F.col("n").cast("int").alias("n")).where(F.col("rank") <= top)
+    return clones.select("repo_id", "file_a", "start_a", ends[0], "file_b", "start_b", ends[1], "line_count", F.row_number().over(best).alias("rank"), "n").where(F.col("rank") <= top)
+
+
+def _crowded_clones(windows: DataFrame, top: int) -> DataFrame:
+    """The longest clones of repositories with crowds (see ``_pairs``) among their ``windows``, which are ``own`` lines
+    long; less than twice as long are the longest of which there are ``top``.
+
+    Halving finds that length, say m: every pair of a crowd is a clone of its own of that length or more, and where
+    there is no crowd, the pairs that begin differently are as many as the clones. Fewer than ``top`` clones are
+    longer than m, so they have no crowds and are known whole. Of those of m lines, clones whose second place
+    begins on the last line of the first are found by their distance. Among the 2 ``top`` pairs of a crowd at most
+    ``top`` - 1 belong to longer clones and one touches its first window, so ``top`` or more are clones of m
+    lines, and no other pair of that class comes before them.
+    """
+    windows = windows.drop("leader")
+    bounds = kept(windows.select("repo_id", F.col("own").alias("low"), (2 * F.col("own")).alias("high")).distinct())
+
+    def found(size: DataFrame) -> DataFrame:
+        return kept(_duplicated(_prolonged(windows.join(size, "repo_id")), "before", "after"))
+
+    while not (open_ := bounds.where("high - low > 1")).isEmpty():
+        middle = open_.select("repo_id", F.expr("cast((low + high) div 2 as int)").alias("size"))
+        got = _pairs(found(middle), top).groupBy("repo_id").agg((F.max("crowd") | (F.count_if("begins") >= top)).alias("enough"))
+        tried = middle.join(got, "repo_id", "left")
+        enough = F.coalesce("enough", F.lit(False))
+        low, high = F.when(enough, F.col("size")).otherwise(F.col("low")), F.when(~enough & F.col("size").isNotNull(), F.col("size")).otherwise(F.col("high"))
+        bounds = kept(bounds.join(tried, "repo_id", "left").select("repo_id", low.alias("low"), high.alias("high")), bounds)
+    longer = _runs(_pairs(found(bounds.select("repo_id", F.col("high").alias("size"))), top))
+    level = found(bounds.select("repo_id", F.col("low").alias("size")))
+    exact = _pairs(level, top).where("begins and ends and (file_a != file_b or start_b - start_a >= size)")
+    exact = exact.select("repo_id", "file_a", "start_a", "file_b", "start_b", F.col("size").alias("line_count"), F.col("size").alias("n"))
+    place = [F.col("file").alias("file_a"), F.col("start").alias("start_a"), F.col("file").alias("file_b"), F.col("end").alias("start_b")]
+    again = level.select("repo_id", "hash", F.col("file").alias("file_b"), F.col("start").alias("start_b"))
+    touching = _runs(level.select("repo_id", "hash", *place, "size").join(again, ["repo_id", "hash", "file_b", "start_b"]))
+    return _ranked(longer.unionByName(exact).unionByName(touching), top)

@@ -193,6 +193,56 @@ def test_line_clones_are_whole(spark):
     assert got["s"] == [(0, 1, 4, i, 1, 4, 4) for i in range(1, 6)] and "t" not in got
 
 
+def plain_line_clones(texts, top, least=3):
+    """All maximal clones by walking every diagonal of every two files."""
+    want = {}
+    for repo in {r for r, _, _ in texts}:
+        own = [(f, t) for r, f, t in texts if r == repo]
+        found = []
+        for f, t in own:
+            for g, u in own:
+                for shift in range(-len(t) + 1 if f < g else 1, len(u)) if f <= g else ():
+                    n = 0
+                    for i in range(len(t) + 1):
+                        if i < len(t) and 0 <= i + shift < len(u) and t[i] == u[i + shift]:
+                            n += 1
+                            continue
+                        length = n if f != g else min(n, shift + 1)
+                        if length >= least:
+                            found.append((-length, f, i - n + 1, g, i - n + 1 + shift))
+                        n = 0
+        if found:
+            want[repo] = sorted(found)[:top]
+    return want
+
+
+@pytest.mark.parametrize("top", [2, 5])
+def test_clones_of_crowds_equal_a_plain_walk(spark, top):
+    """A passage in most files, of other lengths in a few; runs of one line; a crowd at a length no doubling meets."""
+    import random
+
+    rng = random.Random(top)
+    passage = [f"p{k}" for k in range(11)]
+    texts = [("r", f, [f"x{f}", *passage[: 11 if f % 9 else 8], f"y{f % 13}"]) for f in range(40)]
+    texts += [("q", f, ["s"] * rng.randint(5, 9) + [f"z{f % 3}"]) for f in range(14)]
+    texts += [("p", f, [rng.choice("ab") for _ in range(rng.randint(1, 12))]) for f in range(25)]
+    texts += [("o", f, [f"u{f % 4}", *passage[:5], f"v{f % 5}"]) for f in range(18)] + [("o", 50, ["w"] * 21)]
+    texts += [("n", f, [*passage, "m", "n", f"o{f}"][: 8 + f]) for f in range(9)]
+    frame = spark.createDataFrame([(r, f, "\n".join(t)) for r, f, t in texts], "repo_id string, file long, text string")
+    got = {}
+    for c in clones.line_clones(frame, top).orderBy("repo_id", "rank").collect():
+        got.setdefault(c["repo_id"], []).append((-c["line_count"], c["file_a"], c["start_a"], c["file_b"], c["start_b"]))
+    assert got == plain_line_clones(texts, top)
+
+
+def test_pairs_grow_with_copies(spark):
+    """A passage in 300 differing files gives a fixed number of pairs, not the square of the files."""
+    texts = spark.createDataFrame([("r", f, f"a{f}\none\ntwo\nthree\nb{f}") for f in range(300)] + [("r", None, "one\ntwo\nthree")], "repo_id string, file long, text string")
+    found = clones._duplicated(clones.line_windows(texts, 3, around=True), "before", "after")
+    assert found.count() == 300 and clones._pairs(found.withColumn("size", F.lit(3)), 5).count() == 10
+    assert [(c["file_a"], c["file_b"]) for c in clones.line_clones(texts).orderBy("rank").collect()] == [(0, k) for k in range(1, 6)]
+
+
 def test_copies_beyond_an_overlapping_neighbour_are_paired(spark):
     texts = spark.createDataFrame([("r", 1, "\n".join(["same"] * 6)), ("q", 1, "a\nb\nc"), ("q", 2, "a\nb\nc"), ("q", 3, "a\nb\nc")], "repo_id string, file long, text string")
     got = {(c["repo_id"], c["file_a"], c["start_a"], c["file_b"], c["start_b"], c["line_count"]) for c in clones.line_clones(texts).collect()}
