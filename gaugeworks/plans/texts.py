@@ -257,7 +257,8 @@ c AS (SELECT repo_id, language, CASE WHEN vendored OR (stem = 'test_a' AND langu
 SELECT repo_id, language, class, count(*) AS files FROM c GROUP BY ROLLUP (repo_id, language, class)"""),
     "c7_response_scores": (response_scores, f"SELECT conv_id, turn, {rubric_sql('code_behavior_comprehension', 'lower(coalesce(text, chr(32)))')} AS score FROM conversations WHERE role = 'assistant'"),
     "agg26_consistency": (consistency, """
-WITH v AS (SELECT conv_id, count(*) AS runs, var_pop(length(text) % 11) AS x FROM conversations GROUP BY 1)
+WITH s AS (SELECT conv_id, count(*) AS runs, count(text) AS n, sum(length(text) % 11) AS total, sum((length(text) % 11) * (length(text) % 11)) AS squares FROM conversations GROUP BY 1),
+v AS (SELECT conv_id, runs, (n * squares - total * total) / nullif(n * n, 0) AS x FROM s)
 SELECT conv_id, runs, round(x, 6) AS variance, CASE WHEN x < 5 THEN 10 WHEN x < 15 THEN 7 WHEN x < 30 THEN 4 ELSE 1 END AS consistency FROM v"""),
     "jn14_replay": (replayed, """
 WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS metric_id, turn AS call_order, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS sample_index FROM conversations WHERE role = 'user'),

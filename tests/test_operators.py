@@ -485,6 +485,13 @@ def test_agent_scores(spark):
     assert got == {"m": 7, "n": 0}
 
 
+def test_variance_on_a_limit(spark):
+    values = {"a": [6, 5, 2, 8, 6, 9], "b": [7, 6, 1, 6, 5, 9, 6, 8]}
+    runs = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "m string, score double").coalesce(1)
+    got = {r["m"]: (r["variance"], r["consistency"]) for r in agent_eval.consistency_score(runs, ["m"]).collect()}
+    assert got == {"a": (5.0, 7), "b": (5.0, 7)}  # a running mean gave 4.999... and 10 for the first
+
+
 def test_coverage(spark):
     profile = "mode: set\nm/a.go:1.1,2.2 3 1\nm/a.go:3.1,4.2 3 0\n"
     lcov = "SF:a\nDA:1,1\nDA:2,0\nDA:3,4\nend_of_record\n"
