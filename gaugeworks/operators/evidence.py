@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.steps import kept
+
 TOP = 5
 
 
@@ -33,7 +35,7 @@ def history_evidence(files: DataFrame, pairs: DataFrame, listed: int = 10, top:
     """Evidence of the history metrics: of the ``listed`` most changed files the first by changes (with their
     commits, and with their changes) and by authors, and the most coupled pairs."""
     most = Window.partitionBy("repo_id").orderBy(F.desc("total_changes"), "path")
-    hot = files.withColumn("place", F.row_number().over(most)).where(F.col("place") <= listed)
+    hot = kept(files.withColumn("place", F.row_number().over(most)).where(F.col("place") <= listed))
     path = F.col("path")
     return (
         ranked(hot, "churn_rate", ["place"], path, F.col("commits"), F.format_string("%d commits", "commits"), top)
