@@ -28,11 +28,12 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changes(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFrame:
     """One row for each line of an order; the path is the part, or its brand."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hash"), "l_partkey", F.col("l_quantity").cast("int").alias("added"), F.col("l_linenumber").alias("deleted"))
-    out = commits(spark, sf_dir).join(lines, "hash")
+    # Commits come last, so that all files of a commit are in one place for what groups them.
     if by_brand:
         part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"))
-        out = out.join(part, "l_partkey")
-    else:
+        lines = lines.join(part, "l_partkey")
+    out = commits(spark, sf_dir).join(lines, "hash")
+    if not by_brand:
         out = out.withColumn("path", F.format_string("part-%08d", "l_partkey"))
     return out.select("repo_id", "hash", "author", "ts", "path", "added", "deleted")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars
-from gaugeworks.operators import agent_eval, classify, clones, documentation, graph, semantics, summary, temporal
+from gaugeworks.operators import agent_eval, classify, clones, documentation, evidence, graph, semantics, summary, temporal
 from gaugeworks.parse.python_facts import complexity, facts_of, python_facts
 from gaugeworks.report import render
 from gaugeworks.sources import coverage, files
@@ -395,6 +395,57 @@ def test_coupling_prunes_before_it_pairs(spark):
     assert {(r["a"], r["b"]): r["shared"] for r in temporal.coupled_pairs(changes, bulk=10).collect()} == want
 
 
+def _awkward_changes(spark, seed=5):
+    """Changes with repeated rows, null paths, rare files, files of most commits, and a commit of very many files."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [("r", f"c{k}", f"u{k % 7}", dt.datetime(2024, 1, 1), f"p{int(rng.paretovariate(0.7)) % 60:02}", 1, 2) for k in range(150) for _ in range(rng.choice((1, 3, 6, 12)))]
+    rows += rows[::9] + [("r", f"e{k}", None, dt.datetime(2024, 1, 1), None, 0, 0) for k in range(3)] + [("r", "bulk", "u1", dt.datetime(2024, 1, 1), f"p{k:03}", 1, 0) for k in range(300)]
+    return rows, spark.createDataFrame(rows, "repo_id string, hash string, author string, ts timestamp_ntz, path string, added int, deleted int")
+
+
+@pytest.mark.parametrize("often", (1, 20, 10**6))
+@pytest.mark.parametrize("least", (1, 5))
+def test_coupling_tells_frequent_files_apart(spark, monkeypatch, often, least):
+    import itertools
+    from collections import Counter
+
+    monkeypatch.setattr(temporal, "OFTEN", often)
+    rows, changes = _awkward_changes(spark)
+    commits = {}
+    for _, h, _, _, path, _, _ in rows:
+        commits.setdefault(h, set()).add(path)
+    small = [ps - {None} for ps in commits.values() if len(ps) <= 8]
+    own = Counter(x for ps in small for x in ps)
+    want = {p: n for p, n in Counter(x for ps in small for x in itertools.combinations(sorted(ps), 2)).items() if min(own[p[0]], own[p[1]]) >= least}
+    got = {(r["a"], r["b"]): r["shared"] for r in temporal.coupled_pairs(changes, least, bulk=8).collect()}
+    assert want and got == want
+
+
+def test_files_are_counted_where_changes_are_sent_once(spark):
+    rows, changes = _awkward_changes(spark)
+    want = {}
+    for _, h, u, _, path, added, deleted in rows:
+        n, hs, us = want.setdefault(path, [0, set(), set()])
+        want[path][0] = n + added + deleted
+        hs.add(h)
+        us.add(u)
+    got = temporal.file_changes(changes)
+    assert {r["path"]: (r["total_changes"], r["commits"], r["authors"]) for r in got.collect()} == {k: (n, len(hs), len(us - {None})) for k, (n, hs, us) in want.items()}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan
+
+
+def test_evidence_of_history_reads_files_once(spark):
+    _, changes = _awkward_changes(spark)
+    files = temporal.file_changes(changes)
+    got = evidence.history_evidence(files, temporal.coupled_pairs(changes))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "total_changes" in plan and "sum(lines" not in plan and "sum((added" not in plan
+    assert got.groupBy("metric").count().count() == 4
+
+
 def test_ignore_rules_as_data_equal_those_in_expressions(spark):
     """Each repository has lines of its own; the last that fits decides."""
     files = ["a/b.log", "b/a.log", "a.log", "x/build/y", "build", "build/z", "a/b/c/z", "a/z", "x/keep.go", "keep.go", "doc/a.txt", "doc/a/b.txt", "a.c", "ab.c", "x/a.c", "c[1].c", "sp ace", "#note", "!bang", "deep/doc/a.txt", "w.x+y"]
