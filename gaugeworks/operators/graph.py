@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.steps import kept
 from gaugeworks.operators.summary import language_rank
 
+#: Edges of a graph up to which it is handled as one row; the bits of a long bound it.
+SMALL_EDGES = 62
+
 
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Edges from imports (repo_id, src, target) to known modules (repo_id, module); self-edges go."""
@@ -137,10 +140,56 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     labels that travel along the edges; a node that keeps its own label is a root, and those of its label from
     which it can be reached, against the edges, are its component. These are taken out, and the rest goes on.
     A step is one join by (repository, node) and a grouped minimum, and a table holds no more than a row for each
-    node and each edge; no pair of nodes is ever listed.
+    node and each edge; no pair of nodes is ever listed. Graphs of at most ``SMALL_EDGES`` edges are done as a row each.
     """
-    now = kept(edges.where("src != dst").select("repo_id", "src", "dst").distinct())
-    out = None
+    few, many = _by_size(edges)
+    rows = _small(few).select("repo_id", F.explode(F.filter("members", lambda m: m["size"] > 1)).alias("m")).select("repo_id", "m.node", "m.component")
+    return rows if many is None else rows.unionByName(_large_components(many))
+
+
+def _by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct edges between two nodes, of small graphs and of the others (none: no such graph). Large graphs are fewer
+    than edges by a factor of ``SMALL_EDGES``, so edges are told apart by a table of these."""
+    proper = kept(edges.where("repo_id is not null and src != dst").select("repo_id", "src", "dst").distinct())
+    large = kept(proper.groupBy("repo_id").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_EDGES).select("repo_id"))
+    if large.isEmpty():
+        return proper, None
+    # Selected again, so that the steps over large graphs do not let go of a table which is read once more for cycles.
+    return proper.join(large, "repo_id", "left_anti"), kept(proper.join(large, "repo_id", "left_semi")).select("repo_id", "src", "dst")
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Small graphs, a row each: names (those that edges start from, in order; a node is its place among them from 0),
+    links (for each node the nodes it leads to, as bits), and members (node, at, component, size).
+
+    A node without an edge out lies on no cycle, so at most ``SMALL_EDGES`` nodes are left, a bit each in a long.
+    """
+    graphs = edges.groupBy("repo_id").agg(F.array_sort(F.collect_set("src")).alias("names"), F.collect_list(F.struct("src", "dst")).alias("edges"))
+    place = lambda x: F.array_position("names", x) - 1
+    inner = F.filter("edges", lambda e: F.array_contains("names", e["dst"]))
+    graphs = graphs.select("repo_id", "names", F.transform(inner, lambda e: F.struct(place(e["src"]).cast("int").alias("s"), place(e["dst"]).cast("int").alias("d"))).alias("edges"))
+    every = F.sequence(F.lit(0), F.size("names") - 1)
+    into = lambda k: F.aggregate(F.filter("edges", lambda e: e["s"] == k), F.lit(0).cast("long"), lambda acc, e: acc.bitwiseOR(_bit(e["d"])))
+    graphs = graphs.select("repo_id", "names", F.transform(every, into).alias("links"))
+    through = lambda reach, k: F.transform(reach, lambda r: F.when(_has(r, k), r.bitwiseOR(F.get(reach, k))).otherwise(r))
+    graphs = graphs.withColumn("reach", F.aggregate(every, F.col("links"), through))
+    mates = lambda k: F.filter(every, lambda j: (j == k) | (_has(F.get("reach", k), j) & _has(F.get("reach", j), k)))
+    graphs = graphs.withColumn("mates", F.transform(every, mates))
+    member = lambda m, k: F.struct(F.get("names", k).alias("node"), k.alias("at"), F.get("names", F.get(m, F.lit(0))).alias("component"), F.size(m).alias("size"))
+    return graphs.select("repo_id", "names", "links", F.transform("mates", member).alias("members"))
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+
+
+def _has(bits: Column, k: Column) -> Column:
+    return F.call_function("getbit", bits, k.cast("int")) == 1
+
+
+def _large_components(now: DataFrame) -> DataFrame:
+    """The components of graphs of any size, by steps over all of them: repo_id, node, component."""
+    edges, out = now, None
     while not (now := _trimmed(now)).isEmpty():
         found = _rooted(now, _reached_from(now))
         out = found if out is None else kept(out.unionByName(found))
@@ -198,8 +247,45 @@ def cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     the edge's end on come first in order. The end of each such edge is searched from, breadth first inside its
     component: a step is one join and a grouped minimum of paths, which are as long as the step. A search goes
     on only while the start of one of its edges is still to be met, so short cycles end it early.
+    Graphs of at most ``SMALL_EDGES`` edges are done as a row each, unless their components are given.
     """
-    member = kept(components if components is not None else cyclic_components(edges))
+    if components is not None:
+        return _large_cycles(edges, components)
+    few, many = _by_size(edges)
+    rows = _small_cycles(_small(few))
+    return rows if many is None else rows.unionByName(_large_cycles(many, _large_components(many)))
+
+
+def _small_cycles(graphs: DataFrame) -> DataFrame:
+    """The cycles of small graphs: for each edge the layers of nodes that reach its start, then from its end the
+    smallest node of each nearer layer."""
+    zero = F.lit(0).cast("long")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda s: F.transform(F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda d: _has(F.get("links", s), d)), lambda d: F.struct(s.alias("s"), d.alias("d")))))
+    inside = F.filter(pairs, lambda e: F.get("members", e["s"])["component"] == F.get("members", e["d"])["component"])
+    one = graphs.select("repo_id", "names", "links", F.explode(inside).alias("e")).select("repo_id", "names", "links", "e.s", "e.d")
+    every = F.sequence(F.lit(0), F.size("names") - 1)
+    before = lambda layer: F.aggregate(every, zero, lambda acc, k: F.when(F.get("links", k).bitwiseAND(layer) != 0, acc.bitwiseOR(_bit(k))).otherwise(acc))
+    start = F.struct(F.array(_bit(F.col("s"))).alias("layers"), _bit(F.col("s")).alias("seen"))
+
+    def further(acc: Column, _: Column) -> Column:
+        fresh = before(F.element_at(acc["layers"], -1)).bitwiseAND(F.bitwise_not(acc["seen"]))
+        return F.when(_has(acc["seen"], F.col("d")), acc).otherwise(F.struct(F.array_append(acc["layers"], fresh).alias("layers"), acc["seen"].bitwiseOR(fresh).alias("seen")))
+
+    one = one.withColumn("layers", F.aggregate(every, start, further)["layers"])
+    nearer = F.slice(F.reverse("layers"), 2, F.size("layers"))
+    lowest = lambda bits: F.get(F.filter(every, lambda k: _has(bits, k)), F.lit(0))
+    path = F.aggregate(nearer, F.array("d"), lambda acc, layer: F.array_append(acc, lowest(F.get("links", F.element_at(acc, -1)).bitwiseAND(layer))))
+    one = one.withColumn("path", path)
+    at = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at))
+    # The same cycles of a graph come from the same rows of it, so they are made distinct by places, before names.
+    each = one.select("repo_id", "names", turned.alias("turned")).groupBy("repo_id", "names").agg(F.collect_set("turned").alias("all"))
+    return each.select("repo_id", "names", F.explode("all").alias("c")).select("repo_id", F.transform("c", lambda k: F.get("names", k)).alias("cycle"))
+
+
+def _large_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """The cycles of graphs of any size, by steps over all of them."""
+    member = kept(components)
     src, dst = (member.select("repo_id", F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in ("src", "dst"))
     inside = edges.where("src != dst").select("repo_id", "src", "dst").distinct().join(src, ["repo_id", "src"]).join(dst, ["repo_id", "dst"])
     inside = kept(inside.where("src_component = dst_component").select("repo_id", "src", "dst"))

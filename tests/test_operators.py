@@ -323,6 +323,23 @@ def test_components_and_cycles_equal_plain_walks(spark, seed):
     assert {(r["repo_id"], tuple(r["cycle"])) for r in graph.cycles(frame).collect()} == plain_cycles(proper)
 
 
+@pytest.mark.parametrize("small", (62, 25))
+def test_small_and_large_graphs_give_the_same(spark, monkeypatch, small):
+    """Graphs above and below the bound in one table; those of 62 edges fill the bits, 70 go on by steps."""
+    import random
+
+    monkeypatch.setattr(graph, "SMALL_EDGES", small)
+    rng = random.Random(8)
+    edges = {("ring", f"m{k:02}", f"m{(k + 1) % 62:02}") for k in range(62)} | {("two", "a", "b"), ("two", "b", "a"), ("two", "b", "c"), ("line", "a", "b")}
+    edges |= {("mid", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(30)} | {("many", f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range(70)}
+    frame = spark.createDataFrame([*sorted(edges), (None, "a", "b"), (None, "b", "a")], "repo_id string, src string, dst string")
+    proper = {e for e in edges if e[1] != e[2]}
+    if small < 62:  # by steps the ring takes 62 of them
+        frame, proper = frame.where("repo_id != 'ring'"), {e for e in proper if e[0] != "ring"}
+    assert {(r["repo_id"], r["node"]): r["component"] for r in graph.cyclic_components(frame).collect()} == plain_components(proper)
+    assert {(r["repo_id"], tuple(r["cycle"])) for r in graph.cycles(frame).collect()} == plain_cycles(proper)
+
+
 def test_graphs_without_cycles(spark):
     frame = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "c")], "repo_id string, src string, dst string")
     for none in (frame, frame.limit(0)):
