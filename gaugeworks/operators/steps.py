@@ -6,6 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: Rows that a task is meant to hold where the number of partitions follows the table.
+ROWS_A_TASK = 1 << 18
+
+
+def parts_of(rows: int) -> int:
+    """Partitions for so many rows, so that the memory of a task does not grow with the table."""
+    return 1 + rows // ROWS_A_TASK
+
 
 def kept(frame: DataFrame, *before: DataFrame) -> DataFrame:
     """The frame, computed once: as a table in the checkpoint folder where a session has one (``spark.checkpoint.dir``),

@@ -28,8 +28,13 @@ def since(ts: Column, as_of: dt.datetime, days: int = WINDOW_DAYS) -> Column:
 
 def churn_rate(commits: DataFrame, changes: DataFrame, as_of: dt.datetime, days: int = WINDOW_DAYS) -> DataFrame:
     """Changed lines a commit within the window; commits without files count."""
+    return _churn(commits, changes.where(since(F.col("ts"), as_of, days)).select("repo_id", (F.col("added") + F.col("deleted")).alias("lines")), as_of, days)
+
+
+def _churn(commits: DataFrame, recent: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
+    """``churn_rate`` from the changes of the window (repo_id, lines)."""
     n = commits.where(since(F.col("ts"), as_of, days)).groupBy("repo_id").agg(F.count_distinct("hash").alias("commits"))
-    lines = changes.where(since(F.col("ts"), as_of, days)).groupBy("repo_id").agg(F.sum(F.col("added") + F.col("deleted")).alias("lines"))
+    lines = recent.groupBy("repo_id").agg(F.sum("lines").alias("lines"))
     return n.join(lines, "repo_id", "left").select("repo_id", "commits", F.coalesce(F.try_divide("lines", "commits"), F.lit(0.0)).alias("churn_rate"))
 
 
@@ -82,10 +87,15 @@ def author_fragmentation(changes: DataFrame, as_of: dt.datetime, days: int = WIN
     return _fragmentation(by_author.groupBy("repo_id", "path").agg(F.count("author").alias("recent_authors")))
 
 
-def _file_sums(changes: DataFrame, as_of: dt.datetime, days: int = WINDOW_DAYS) -> DataFrame:
-    """Changed lines of each file, and its authors within the window."""
-    by_author = changes.groupBy("repo_id", "path", "author").agg(F.sum(F.col("added") + F.col("deleted")).alias("lines"), F.bool_or(since(F.col("ts"), as_of, days)).alias("lately"))
-    return by_author.groupBy("repo_id", "path").agg(F.sum("lines").alias("total_changes"), F.count_if("lately").alias("recent_authors"))
+def _by_file(changes: DataFrame, as_of: dt.datetime, days: int, parts: int | None) -> DataFrame:
+    """Changes with ``lines``, ``gap_days`` since the file's change before, ``lately`` and, of those, the author.
+
+    A change goes to its file once, to one of ``parts`` partitions if given; all metrics of files are read from here.
+    """
+    there = changes.select("repo_id", "path", "ts", "hash", (F.col("added") + F.col("deleted")).alias("lines"), "author")
+    there = there.repartition(parts, "repo_id", "path") if parts else there
+    lately = since(F.col("ts"), as_of, days)
+    return kept(_with_before(there).select("repo_id", "path", "lines", _gap_days().alias("gap_days"), lately.alias("lately"), F.when(lately, F.col("author")).alias("author")))
 
 
 def _fragmentation(files: DataFrame) -> DataFrame:
@@ -94,9 +104,16 @@ def _fragmentation(files: DataFrame) -> DataFrame:
 
 def change_gaps(changes: DataFrame) -> DataFrame:
     """Days between a file's consecutive changes."""
-    order = Window.partitionBy("repo_id", "path").orderBy("ts", "hash")
-    seconds = F.expr("timestampdiff(SECOND, before, ts)")
-    return changes.withColumn("before", F.lag("ts").over(order)).where("before is not null").select("repo_id", "path", (seconds / 86400.0).alias("gap_days"))
+    return _with_before(changes).where("before is not null").select("repo_id", "path", _gap_days().alias("gap_days"))
+
+
+def _with_before(changes: DataFrame) -> DataFrame:
+    """Changes with the time ``before`` of the file's change before."""
+    return changes.withColumn("before", F.lag("ts").over(Window.partitionBy("repo_id", "path").orderBy("ts", "hash")))
+
+
+def _gap_days() -> Column:
+    return F.expr("timestampdiff(SECOND, before, ts)") / 86400.0
 
 
 def commit_stability(changes: DataFrame) -> DataFrame:
@@ -153,20 +170,25 @@ def top_hotspots(files: DataFrame, top: int = 10) -> DataFrame:
     return files.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def history_metrics(commits: DataFrame, changes: DataFrame, as_of: dt.datetime, strong: float = STRONG, days: int = WINDOW_DAYS, coupled: DataFrame | None = None) -> DataFrame:
+def history_metrics(commits: DataFrame, changes: DataFrame, as_of: dt.datetime, strong: float = STRONG, days: int = WINDOW_DAYS, coupled: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """The five history metrics of each repository, long: repo_id, metric, value, available.
 
-    Coupling may be measured on other changes (``coupled``), as of coarser paths.
+    Coupling may be measured on other changes (``coupled``), as of coarser paths. ``parts`` is the number of
+    partitions that changes are dealt to, by file and by commit; without it the session's.
     """
-    files = _file_sums(changes, as_of, days)
-    parts = [
-        churn_rate(commits, changes, as_of, days).select("repo_id", F.lit("churn_rate").alias("metric"), F.col("churn_rate").alias("value")),
-        _fragmentation(files).select("repo_id", F.lit("author_fragmentation").alias("metric"), F.col("author_fragmentation").alias("value")),
-        commit_stability(changes).select("repo_id", F.lit("commit_stability").alias("metric"), F.col("commit_stability").alias("value")),
-        hotspot_concentration(files).select("repo_id", F.lit("hotspot_concentration").alias("metric"), F.col("hotspot_concentration").alias("value")),
-        coupling(coupled_pairs(coupled if coupled is not None else changes), strong).select("repo_id", F.lit("temporal_coupling_pct").alias("metric"), F.col("temporal_coupling_pct").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
+    each = _by_file(changes, as_of, days, parts)
+    recent = each.where("lately")
+    authors = recent.select("repo_id", "path", "author").distinct().groupBy("repo_id", "path").agg(F.count("*").alias("recent_authors"))
+    files = each.groupBy("repo_id", "path").agg(F.sum("lines").alias("total_changes"))
+    stable = stability_of_gaps(each.select("repo_id").distinct(), each.where("gap_days is not null").select("repo_id", "gap_days"))
+    together = coupled if coupled is not None else changes
+    pairs = coupled_pairs(together.repartition(parts, "hash") if parts else together)
+    found = [
+        (_churn(commits, recent, as_of, days), "churn_rate"), (_fragmentation(authors), "author_fragmentation"), (stable, "commit_stability"),
+        (hotspot_concentration(files), "hotspot_concentration"), (coupling(pairs, strong), "temporal_coupling_pct"),
+    ]
+    values = [frame.select("repo_id", F.lit(name).alias("metric"), F.col(name).alias("value")) for frame, name in found]
+    out = values[0]
+    for p in values[1:]:
         out = out.unionByName(p)
     return out.withColumn("available", F.col("value").isNotNull())

@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.steps import kept, parts_of
+
 #: The end of the order history: windows look back from here, never from the wall clock.
 AS_OF = dt.datetime(2001, 8, 1)
 
@@ -38,6 +40,27 @@ def changes(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFra
     return out.select("repo_id", "hash", "author", "ts", "path", "added", "deleted")
 
 
+def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """All lines with their orders and the brands of their parts, joined once for what reads them several times, and
+    the number of partitions that so many rows are dealt to. ``by_part`` and ``by_brand`` make ``changes`` of them."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hash"), "l_partkey", F.col("l_quantity").cast("int").alias("added"), F.col("l_linenumber").alias("deleted"))
+    parts = parts_of(lines.count())
+    # A list, as a part that is not listed, or is twice, must not change the lines.
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.collect_list(F.struct(F.col("p_brand").alias("path"))).alias("brands"))
+    known = lines.repartition(parts, "l_partkey").join(brands, "l_partkey", "left").repartition(parts, "hash")
+    return kept(commits(spark, sf_dir).join(known, "hash")), parts
+
+
+def by_part(lines: DataFrame) -> DataFrame:
+    """``changes`` of a ``history``."""
+    return lines.select("repo_id", "hash", "author", "ts", F.format_string("part-%08d", "l_partkey").alias("path"), "added", "deleted")
+
+
+def by_brand(lines: DataFrame) -> DataFrame:
+    """``changes`` of a ``history`` by brands; lines of parts that are not listed have none."""
+    return lines.select("repo_id", "hash", "author", "ts", F.explode("brands").alias("b"), "added", "deleted").select("repo_id", "hash", "author", "ts", "b.path", "added", "deleted")
+
+
 CHANGES_SQL = """
   SELECT o_orderpriority AS repo_id, o_orderkey AS hash, o_custkey AS author, o_orderdate AS ts,
          printf('part-%08d', l_partkey) AS path, CAST(l_quantity AS INT) AS added, l_linenumber AS deleted

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.config import ScoringConfig
 from gaugeworks.operators import scoring, temporal
-from gaugeworks.plans.adapters import AS_OF, BRANDS_SQL, CHANGES_SQL, changes, commits, table
+from gaugeworks.plans.adapters import AS_OF, BRANDS_SQL, CHANGES_SQL, by_brand, by_part, changes, commits, history, table
 from gaugeworks.report import render
 from gaugeworks.sources.history import parse_history
 
@@ -73,7 +73,8 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
 def _sub(spark: SparkSession, sf: str) -> DataFrame:
     """Scored history metrics; coupling is measured between brands, the rest between parts."""
     config = ScoringConfig().frame(spark)
-    got = temporal.history_metrics(commits(spark, sf), changes(spark, sf), AS_OF, STRONG, coupled=changes(spark, sf, by_brand=True))
+    lines, parts = history(spark, sf)
+    got = temporal.history_metrics(commits(spark, sf), by_part(lines), AS_OF, STRONG, coupled=by_brand(lines), parts=parts)
     return scoring.score_metrics(got, config)
 
 

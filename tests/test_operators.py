@@ -454,6 +454,33 @@ def test_files_are_counted_where_changes_are_sent_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan
 
 
+def test_history_joins_lines_once_and_deals_them_by_their_number(spark, monkeypatch, tmp_path):
+    """Lines of a part that is not listed keep their change and have no brand; a part that is twice gives two."""
+    from gaugeworks.operators import steps
+    from gaugeworks.plans import adapters
+
+    monkeypatch.setattr(steps, "ROWS_A_TASK", 50)
+    day = dt.datetime(2001, 7, 1)
+    orders = [(o, o % 4, f"r{o % 2}", day + dt.timedelta(days=o % 40)) for o in range(40)]
+    lines = [(o, (o * n) % 7, float(n * 3), n) for o in range(40) for n in range(1, 5)]
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp_ntz"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_quantity double, l_linenumber int"),
+        "part": ([(p, None if p == 2 else f"b{p % 3}") for p in (0, 1, 2, 3, 3, 5)], "p_partkey long, p_brand string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got, parts = adapters.history(spark, str(tmp_path))
+    assert parts == 1 + len(lines) // 50
+    for mine, plain in ((adapters.by_part(got), {}), (adapters.by_brand(got), {"by_brand": True})):
+        want = adapters.changes(spark, str(tmp_path), **plain)
+        assert sorted(map(repr, mine.collect())) == sorted(map(repr, want.collect()))
+    commits, whole = adapters.commits(spark, str(tmp_path)), adapters.changes(spark, str(tmp_path))
+    want = temporal.history_metrics(commits, whole, adapters.AS_OF, 16.0).collect()
+    assert {r["metric"]: r["repo_id"] for r in want if r["value"]}.keys() >= {"churn_rate", "author_fragmentation", "commit_stability", "hotspot_concentration"}
+    assert sorted(temporal.history_metrics(commits, whole, adapters.AS_OF, 16.0, parts=parts).collect()) == sorted(want)
+
+
 def test_evidence_of_history_reads_files_once(spark):
     _, changes = _awkward_changes(spark)
     files = temporal.file_changes(changes)
