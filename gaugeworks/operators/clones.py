@@ -59,7 +59,7 @@ def _of_repeated(frame: DataFrame, key: list[str]) -> DataFrame:
     return rows.where("often").drop("often").unionByName(rows.where("often is null").drop("often").join(seldom, key, "left_semi"))
 
 
-def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines: int = LEAST_LINES) -> DataFrame:
+def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines: int = LEAST_LINES, parts: int | None = None) -> DataFrame:
     """The windows that decide which lines are duplicated, of any length: repo_id, file, hash, start, end, size.
 
     Let two equal runs of statements span enough lines each. The shortest windows of enough lines in both, from
@@ -70,7 +70,8 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
 
     Statements are named by doubling: the hash of 2 k statements is that of two hashes of k, one step of ``lead``
     each, and a window of any size is named by its first and its last power of two. So no window is ever
-    gathered, and a row moves along with its names only.
+    gathered, and a row moves along with its names only. ``parts`` is the number of partitions that the names are
+    carried in; without it the session's. The steps before take the partitions of ``statements`` if these lie by block.
     """
     block = ["repo_id", "file", "block"]
     order = Window.partitionBy(*block).orderBy("at")
@@ -93,7 +94,8 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     # An equal window begins and ends with statements that occur again; all other rows go before names are carried.
     again = kept(_of_repeated(rows.select(*block, "at", "first").where("first is not null"), ["repo_id", "first"]))
     # Both go to their block in one shuffle; a row's mark is the row of ``again`` beside it.
-    marked = rows.drop("first").withColumn("first", F.lit(None).cast("binary")).unionByName(again, allowMissingColumns=True).repartition(*block)
+    marked = rows.drop("first").withColumn("first", F.lit(None).cast("binary")).unionByName(again, allowMissingColumns=True)
+    marked = marked.repartition(parts, *block) if parts else marked.repartition(*block)
     marked = marked.withColumn("first", F.max("first").over(Window.partitionBy(*block, "at"))).where("f0 is not null")
     rows = doubled(marked, steps).withColumn("final", F.lag("first", least - 1).over(order))
     forward = F.array(*(F.col(f"f{t}") for t in range(steps + 1))).alias("forward")

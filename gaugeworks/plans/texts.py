@@ -34,11 +34,15 @@ def duplication(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("repo_id", "lines", "duplicated_lines", F.round("duplication_rate", 6).alias("duplication_rate"))
 
 
-def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+#: Characters of texts whose sentences a task is meant to hold.
+CHARS_A_TASK = 8 << 20
+
+
+def _sentences(spark: SparkSession, sf: str, parts: int) -> DataFrame:
     """Sentences as statements, on lines of 80 characters: some share a line, others take several."""
     value = _texts(spark, sf).select("repo_id", "file", F.posexplode(F.split("text", r"\. ")).alias("pos", "value"))
     # Names and lengths go to the window, not the sentences.
-    parts = value.select("repo_id", "file", "pos", F.unhex(F.md5("value")).alias("hash"), F.length("value").alias("n"))
+    parts = value.select("repo_id", "file", "pos", F.unhex(F.md5("value")).alias("hash"), F.length("value").alias("n")).repartition(parts, "repo_id", "file")
     upto = F.sum(F.col("n") + 2).over(Window.partitionBy("repo_id", "file").orderBy("pos"))
     placed = parts.withColumn("from", upto - F.col("n") - 2)
     start, end = F.expr("`from` div 80 + 1").cast("int"), F.expr("(`from` + greatest(n, 1) - 1) div 80 + 1").cast("int")
@@ -54,9 +58,11 @@ def _sentence_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def statement_duplication(spark: SparkSession, sf: str) -> DataFrame:
     """Lines inside duplicated runs of three statements and six lines at least, of any length."""
-    statements = _sentences(spark, sf)
+    parts = 1 + (_texts(spark, sf).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHARS_A_TASK
+    statements = _sentences(spark, sf, parts)
     totals = _sentence_lines(spark, sf)
-    got = clones.duplication_rate(clones.deciding_windows(statements), totals)
+    # Sentences lie where their file is, which is a block, so they don't move again.
+    got = clones.duplication_rate(clones.deciding_windows(statements, parts=parts), totals)
     return got.select("repo_id", "lines", "duplicated_lines", F.round("duplication_rate", 6).alias("duplication_rate"))
 
 

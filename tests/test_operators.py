@@ -138,6 +138,20 @@ def test_a_window_of_very_many_statements(spark):
     assert duplicated(spark, rows) == plain_duplicated(rows) == {("x", k) for k in range(1, 7)} | {("y", k) for k in range(1, 206)}
 
 
+def test_sentences_are_dealt_by_the_length_of_texts(spark, monkeypatch):
+    """Partitions follow the texts, hold whole files, and change no row."""
+    from comparing import SF
+
+    from gaugeworks.plans import texts
+
+    want = sorted(map(tuple, texts.statement_duplication(spark, SF).collect()))
+    dealt = texts._sentences(spark, SF, 7)
+    assert dealt.rdd.getNumPartitions() == 7
+    assert dealt.withColumn("part", F.spark_partition_id()).groupBy("repo_id", "file").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
+    monkeypatch.setattr(texts, "CHARS_A_TASK", 20_000)
+    assert sorted(map(tuple, texts.statement_duplication(spark, SF).collect())) == want
+
+
 def test_overlapping_windows_are_no_clones(spark):
     rows = [("r", "x", "b", i, "s", i + 1, i + 1) for i in range(4)]
     assert duplicated(spark, rows, lines=3) == set()
