@@ -41,8 +41,11 @@ def parse_history(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
     closed = F.when(F.trim(v) == "", F.struct(F.lit("").alias("hash"), F.lit("").alias("author"), F.lit(0).cast("long").alias("epoch"), F.lit(False).alias("open")))
     part = F.split(v, "\t")
     stat = carried(lines.select("repo_id", "line_no", "value"), F.coalesce(head, closed), "c", part_lines).where("c.open")
-    files = stat.where((F.size(part) == 3) & F.get(part, 0).rlike(r"^\d+$") & F.get(part, 1).rlike(r"^\d+$"))
-    path = rename_target(F.get(part, 2))
-    changed = files.select("repo_id", "c.hash", "c.author", F.timestamp_seconds("c.epoch").alias("ts"), path.alias("path"), F.get(part, 0).cast("int").alias("added"), F.get(part, 1).cast("int").alias("deleted"))
-    empty = stat.where(v.rlike(HEADER)).select("repo_id", "c.hash", "c.author", F.timestamp_seconds("c.epoch").alias("ts")).join(changed.select("repo_id", "hash").distinct(), ["repo_id", "hash"], "left_anti")
-    return changed.unionByName(empty.withColumns({"path": F.lit(None).cast("string"), "added": F.lit(0), "deleted": F.lit(0)}))
+    listed = F.coalesce((F.size(part) == 3) & F.get(part, 0).rlike(r"^\d+$") & F.get(part, 1).rlike(r"^\d+$"), F.lit(False))
+    rows = stat.withColumn("listed", listed).where(F.col("listed") | v.rlike(HEADER))
+    count = lambda k: F.when(F.col("listed"), F.get(part, k).cast("int")).otherwise(0)
+    path = F.when(F.col("listed"), rename_target(F.get(part, 2)))
+    rows = rows.select("repo_id", "c.hash", "c.author", F.timestamp_seconds("c.epoch").alias("ts"), path.alias("path"), count(0).alias("added"), count(1).alias("deleted"), "listed")
+    # A header stands for its commit only where no file does; both are told in one pass, so the log is scanned once.
+    some = F.max("listed").over(Window.partitionBy("repo_id", "hash"))
+    return rows.withColumn("some", some).where("listed or not some").drop("listed", "some")

@@ -409,6 +409,16 @@ def test_history_parts_carry_their_headers(spark, part):
     assert sorted((r["hash"], r["path"], r["added"]) for r in got) == sorted(want)
 
 
+def test_commits_without_files_are_told_in_one_scan(spark):
+    """A commit without files has one row a header, none where another header of its hash has files; the log is scanned once."""
+    a, b, c = "a" * 40, "b" * 40, "c" * 40
+    text = [f"{a}|x|1", "", f"{b}|x|2", "1\t2\tf", "", f"{b}|x|3", "-\t-\tpic", "", f"{c}|x|4", "-\t-\tpic", "", f"{c}|x|5"]
+    got = parse_history(spark.createDataFrame([("r", i, v) for i, v in enumerate(text)], "repo_id string, line_no long, value string"))
+    assert sorted((r["hash"][0], r["path"] or "", r["added"], r["deleted"]) for r in got.collect()) == [("a", "", 0, 0), ("b", "f", 1, 2), ("c", "", 0, 0), ("c", "", 0, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("LogicalRDD") <= 2
+
+
 def test_coupling_prunes_before_it_pairs(spark):
     """Equal to counting every pair; bulk commits count neither for pairs nor for the files' own commits."""
     import itertools
