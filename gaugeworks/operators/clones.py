@@ -16,6 +16,10 @@ from gaugeworks.operators.steps import kept
 LEAST_STATEMENTS, LEAST_LINES = 3, 6
 #: A key is common if it has more than one in so many of the rows that are looked at; so there are fewer of them.
 OFTEN = 1024
+#: Long windows are those of which there is at most one for so many lines; they are looked at first.
+LINES_A_LONG_WINDOW = 16
+#: Parts into which a range of lengths is cut at a time, so that few passes find a length.
+PARTS_OF_RANGE = 8
 
 
 def _reach(statements: DataFrame, lines: int) -> DataFrame:
@@ -120,14 +124,50 @@ def deciding_windows(statements: DataFrame, least: int = LEAST_STATEMENTS, lines
     return kept(whole.select("repo_id", "file", name.alias("hash"), "start", "end", F.col("size").cast("int").alias("size")))
 
 
+def _lines(texts: DataFrame) -> DataFrame:
+    """The texts with ``lines``, the names of their lines in order, in place of the text."""
+    kept_columns = [c for c in texts.columns if c != "text"]
+    return texts.where("text is not null").select(*kept_columns, F.transform(F.split("text", "\n"), _name).alias("lines"))
+
+
+def _beside(size: Column | int) -> list[Column]:
+    """For each place of ``lines``, the name of the line before it and of the line after a window of ``size`` from it."""
+    before = F.concat(F.array(F.lit(None).cast("binary")), "lines")
+    return [before.alias("before"), F.slice("lines", size + 1, F.size("lines")).alias("after")]
+
+
 def line_windows(texts: DataFrame, size: int, around: bool = False) -> DataFrame:
     """All windows of ``size`` lines of texts (repo_id, file, text): repo_id, file, hash, start, end; ``around`` adds
     ``before`` and ``after``, the names of the lines beside a window, null where its file begins or ends."""
-    lines = texts.select("repo_id", "file", F.posexplode(F.split("text", "\n")).alias("pos", "value")).select("repo_id", "file", (F.col("pos") + 1).alias("start"), F.md5("value").alias("line"))
-    order = Window.partitionBy("repo_id", "file").orderBy("start")
-    name = F.md5(F.concat(*[F.lead("line", k).over(order) if k else F.col("line") for k in range(size)]))
-    beside = [F.lag("line").over(order).alias("before"), F.lead("line", size).over(order).alias("after")] if around else []
-    return lines.select("repo_id", "file", name.alias("hash"), "start", (F.col("start") + size - 1).alias("end"), *beside).where("hash is not null")
+    return _windows(_lines(texts), size, around)
+
+
+def _windows(lines: DataFrame, size: int, around: bool) -> DataFrame:
+    """``line_windows`` of files with their ``lines``. A row has all lines of its file, so nothing moves: the lines
+    are zipped with themselves, moved by one each, and a row for each place is made of that."""
+    moved = [F.slice("lines", k + 1, F.size("lines")).alias(f"line_{k}") for k in range(size)]
+    beside = ["before", "after"] if around else []
+    rows = lines.select("repo_id", "file", F.posexplode(F.arrays_zip(*moved, *(_beside(size) if around else []))).alias("pos", "at")).where(f"at.line_{size - 1} is not null")
+    name = _name(F.concat(*(F.col(f"at.line_{k}") for k in range(size))))
+    return rows.select("repo_id", "file", name.alias("hash"), (F.col("pos") + 1).alias("start"), (F.col("pos") + size).alias("end"), *(F.col(f"at.{x}") for x in beside))
+
+
+def _long_windows(lines: DataFrame, least: int, sizes: list[int]) -> DataFrame:
+    """``_windows`` with the lines beside them of all ``sizes``, each ``own`` lines long. A size is ``least`` doubled
+    some times, and names of twice the size are made of two names inside the row of the file."""
+    def named(names: str, count: int, step: int) -> Column:
+        """A name for each place that has ``count`` of the ``names``, ``step`` apart; null if there is none."""
+        last = F.size(names) - (count - 1) * step - 1
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _name(F.concat(*(F.get(names, i + k * step) for k in range(count))))))
+
+    rows, size = lines.where(F.size("lines") >= min(sizes)).withColumn(f"of_{least}", named("lines", least, 1)), least
+    while size < max(sizes):
+        rows, size = rows.withColumn(f"of_{2 * size}", named(f"of_{size}", 2, size)), 2 * size
+    each = F.array(*(F.struct(F.lit(n).alias("own"), F.col(f"of_{n}").alias("names")) for n in sizes))
+    rows = rows.select("repo_id", "file", "lines", F.explode(each).alias("of")).where("of.names is not null")
+    rows = rows.select("repo_id", "file", F.col("of.own").alias("own"), F.posexplode(F.arrays_zip(F.col("of.names").alias("hash"), *_beside(F.col("of.own")))).alias("pos", "at"))
+    rows = rows.where("at.hash is not null")
+    return rows.select("repo_id", "file", "at.hash", (F.col("pos") + 1).alias("start"), (F.col("pos") + F.col("own")).alias("end"), "at.before", "at.after", "own")
 
 
 def _duplicated(windows: DataFrame, *also: str) -> DataFrame:
@@ -221,11 +261,11 @@ def line_clones(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -
 
     A clone is a run of equal lines at one distance in two files, or apart in one
     file, that no line before or after prolongs; in one file it ends where its copy
-    begins. Windows of ``least`` lines are doubled as long as any is duplicated, and
-    pairs are formed only at the greatest length that gives ``top`` clones: shorter
-    ones cannot be among the longest. Pairs are never more than a fixed number a
-    window, however many copies a passage has (see ``_pairs``). Of files with the same
-    text, those after the first ``top`` + 2 always lose the tie of their equals and are left out.
+    begins. Of files with the same text, those after the first ``top`` + 2 always lose
+    the tie of their equals and are left out. A length is found for each repository, ``least``
+    doubled some times, of which there are ``top`` clones, but not of twice that (see ``_levels``);
+    ``_longest_clones`` finds the exact one. Pairs are never more than a fixed number a window,
+    however many copies a passage has (see ``_pairs``).
     """
     return _line_clones(texts, top, least).drop("n")
 
@@ -233,37 +273,71 @@ def line_clones(texts: DataFrame, top: int = 5, least: int = LEAST_STATEMENTS) -
 def _line_clones(texts: DataFrame, top: int, least: int) -> DataFrame:
     """``line_clones`` with ``n``, the lines for which each clone's two places agree, overlapping ones included."""
     copies = Window.partitionBy("repo_id", "key").orderBy("file")
-    few = texts.select("repo_id", "file", F.md5("text").alias("key")).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= top + 2)
-    windows = line_windows(texts.join(few, ["repo_id", "file"], "left_semi"), least, around=True)
-    levels = [(least, kept(_duplicated(windows, "before", "after")))]
-    while not levels[-1][1].isEmpty():
+    named = _lines(texts.where("repo_id is not null and file is not null").select("repo_id", "file", "text", _name(F.col("text")).alias("key")))
+    lines = kept(named.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= top + 2).select("repo_id", "file", "lines"))
+    return _longest_clones(_levels(lines, top, least), top)
+
+
+def _levels(lines: DataFrame, top: int, least: int) -> DataFrame:
+    """For each repository the duplicated windows of ``own`` lines, ``least`` doubled some times, the most of which
+    there are ``top`` clones, with ``low`` and ``high``, a length of which there are and one of which there are not;
+    if there never are, those of ``least`` lines, which is ``high``.
+
+    Long windows are few and are made and tried first, all sizes at once. Only repositories which these don't settle
+    go through all windows of ``least`` lines, which are doubled as long as any is duplicated, and down again.
+    """
+    n = F.size("lines")
+    all_sizes = [least << k for k in range(29) if least << k < 1 << 31]
+    total, *counts = lines.agg(F.sum(n), *(F.sum(F.greatest(n - size + 1, F.lit(0))) for size in all_sizes)).first()
+    sizes = [size for size, count in zip(all_sizes, counts) if count]
+    long = [size for size, count in zip(all_sizes, counts) if size > least and count and count * LINES_A_LONG_WINDOW <= total]
+    windows = ["repo_id", "file", "hash", "start", "end", "before", "after"]
+    bounds = [F.col("own").alias("low"), (2 * F.col("own")).alias("high")]
+    out = None
+    if long:
+        found = kept(_duplicated(_long_windows(lines, least, long), "before", "after"))
+        most = kept(_enough(found.withColumn("size", F.col("own")), top).groupBy("repo_id").agg(F.max("size").alias("own")))
+        out = found.join(most, ["repo_id", "own"]).select(*windows, "own", *bounds)
+        lines = lines.join(most, "repo_id", "left_anti")
+    if out is not None and lines.isEmpty():
+        return kept(out)
+    levels = [(least, kept(_duplicated(_windows(lines, least, around=True)).drop("leader")))]
+    while 2 * levels[-1][0] in sizes and 2 * levels[-1][0] not in long and not levels[-1][1].isEmpty():
         size, half = levels[-1]
         twice = _prolonged(half.withColumns({"own": F.lit(size), "size": F.lit(2 * size)})).drop("size")
-        levels.append((2 * size, kept(_duplicated(twice, "before", "after"))))
-    out, settled, crowded = None, None, None
+        levels.append((2 * size, kept(_duplicated(twice).drop("leader"))))
+    settled = None
     for size, level in reversed(levels):
         some = level if settled is None else level.join(settled, "repo_id", "left_anti")
-        if size > least and some.isEmpty():
-            continue
-        pairs = kept(_pairs(some.withColumn("size", F.lit(size)), top))
-        crowds = kept(pairs.where("crowd").select("repo_id").distinct())
-        best = kept(_ranked(_runs(pairs.join(crowds, "repo_id", "left_anti")), top))
-        full = best.where(F.col("rank") == top).select("repo_id")
-        part = best if size == least else best.join(full, "repo_id", "left_semi")
+        enough = kept(_enough(_led(some.withColumn("size", F.lit(size))), top).select("repo_id"))
+        part = level.join(enough, "repo_id", "left_semi").withColumn("own", F.lit(size)).select(*windows, "own", *bounds)
         out = part if out is None else out.unionByName(part)
-        apart = level.join(crowds, "repo_id", "left_semi").withColumn("own", F.lit(size))
-        crowded = apart if crowded is None else crowded.unionByName(apart)
-        settled = full.union(crowds) if settled is None else settled.union(full).union(crowds)
-    crowded = kept(crowded)
-    return out if crowded.isEmpty() else out.unionByName(_crowded_clones(crowded, top))
+        settled = enough if settled is None else settled.union(enough)
+    never = levels[0][1].join(settled, "repo_id", "left_anti").withColumns({"own": F.lit(least), "low": F.lit(least - 1), "high": F.lit(least)})
+    return kept(out.unionByName(never))
+
+
+def _led(windows: DataFrame) -> DataFrame:
+    """Windows of ``_duplicated`` with their ``leader``, where it was not kept."""
+    leaders = windows.groupBy("repo_id", "hash").agg(F.min(F.struct("file", "start", "before", "after")).alias("leader"))
+    return windows.join(leaders, ["repo_id", "hash"])
+
+
+def _enough(found: DataFrame, top: int) -> DataFrame:
+    """repo_id and size, where the duplicated windows ``found`` show ``top`` clones of that size or more: every pair of
+    a crowd (see ``_pairs``) is one, and where there is no crowd, they are as many as the pairs that begin differently."""
+    enough = F.max("crowd") | (F.count_if("begins") >= top)
+    return _pairs(found, top).groupBy("repo_id", "size").agg(enough.alias("enough")).where("enough").select("repo_id", "size")
 
 
 def _prolonged(windows: DataFrame) -> DataFrame:
     """The windows of ``size`` lines, from half of it to all of it covered by each of the ``windows`` of ``own`` lines."""
-    keys = ["repo_id", "file", "start"]
-    second = windows.select("repo_id", "file", (F.col("start") + F.col("own") - F.col("size")).alias("start"), F.col("hash").alias("next"), F.col("end").alias("to"), F.col("after").alias("beyond"))
+    keys = ["repo_id", "file", "start", "size"]
+    second = windows.select("repo_id", "file", (F.col("start") + F.col("own") - F.col("size")).alias("start"), "size", F.col("hash").alias("next"), F.col("end").alias("to"), F.col("after").alias("beyond"))
     joined = windows.join(second, keys)
-    return joined.select("repo_id", "file", F.md5(F.concat("hash", "next")).alias("hash"), "start", F.col("to").alias("end"), "before", F.col("beyond").alias("after"), "size")
+    # The same two windows name others of another size.
+    name = _name(F.concat(F.col("size").cast("string").cast("binary"), "hash", "next"))
+    return joined.select("repo_id", "file", name.alias("hash"), "start", F.col("to").alias("end"), "before", F.col("beyond").alias("after"), "size")
 
 
 def _pairs(found: DataFrame, top: int) -> DataFrame:
@@ -307,35 +381,36 @@ def _ranked(clones: DataFrame, top: int) -> DataFrame:
     return clones.select("repo_id", "file_a", "start_a", ends[0], "file_b", "start_b", ends[1], "line_count", F.row_number().over(best).alias("rank"), "n").where(F.col("rank") <= top)
 
 
-def _crowded_clones(windows: DataFrame, top: int) -> DataFrame:
-    """The longest clones of repositories with crowds (see ``_pairs``) among their ``windows``, which are ``own`` lines
-    long; less than twice as long are the longest of which there are ``top``.
+def _longest_clones(windows: DataFrame, top: int) -> DataFrame:
+    """The longest clones of repositories from the ``windows`` of ``_levels``.
 
-    Halving finds that length, say m: every pair of a crowd is a clone of its own of that length or more, and where
-    there is no crowd, the pairs that begin differently are as many as the clones. Fewer than ``top`` clones are
+    The greatest length of which there are ``top`` clones, say m, lies from ``low`` to below ``high``; the range is cut
+    in ``PARTS_OF_RANGE`` at a time. Fewer than ``top`` clones are
     longer than m, so they have no crowds and are known whole. Of those of m lines, clones whose second place
     begins on the last line of the first are found by their distance. Among the 2 ``top`` pairs of a crowd at most
     ``top`` - 1 belong to longer clones and one touches its first window, so ``top`` or more are clones of m
-    lines, and no other pair of that class comes before them.
+    lines, and no other pair of that class comes before them. A repository that never has ``top`` clones has
+    all its clones among the longer ones.
     """
-    windows = windows.drop("leader")
-    bounds = kept(windows.select("repo_id", F.col("own").alias("low"), (2 * F.col("own")).alias("high")).distinct())
+    bounds = kept(windows.select("repo_id", "low", "high").distinct())
+    windows = windows.drop("low", "high")
 
     def found(size: DataFrame) -> DataFrame:
-        return kept(_duplicated(_prolonged(windows.join(size, "repo_id")), "before", "after"))
+        return kept(_duplicated(_prolonged(windows.join(size, "repo_id").where("size >= own")), "before", "after"))
 
     while not (open_ := bounds.where("high - low > 1")).isEmpty():
-        middle = open_.select("repo_id", F.expr("cast((low + high) div 2 as int)").alias("size"))
-        got = _pairs(found(middle), top).groupBy("repo_id").agg((F.max("crowd") | (F.count_if("begins") >= top)).alias("enough"))
-        tried = middle.join(got, "repo_id", "left")
-        enough = F.coalesce("enough", F.lit(False))
-        low, high = F.when(enough, F.col("size")).otherwise(F.col("low")), F.when(~enough & F.col("size").isNotNull(), F.col("size")).otherwise(F.col("high"))
-        bounds = kept(bounds.join(tried, "repo_id", "left").select("repo_id", low.alias("low"), high.alias("high")), bounds)
-    longer = _runs(_pairs(found(bounds.select("repo_id", F.col("high").alias("size"))), top))
-    level = found(bounds.select("repo_id", F.col("low").alias("size")))
-    exact = _pairs(level, top).where("begins and ends and (file_a != file_b or start_b - start_a >= size)")
+        cuts = F.array_distinct(F.array(*(F.expr(f"cast(low + (high - low) * {k} div {PARTS_OF_RANGE} as int)") for k in range(1, PARTS_OF_RANGE))))
+        sizes = open_.select("repo_id", F.explode(cuts).alias("size"), "low").where("size > low").drop("low")
+        got = _enough(found(sizes), top).withColumn("enough", F.lit(True))
+        tried = sizes.join(got, ["repo_id", "size"], "left").groupBy("repo_id").agg(F.max(F.when(F.col("enough"), F.col("size"))).alias("yes"), F.min(F.when(F.col("enough").isNull(), F.col("size"))).alias("no"))
+        bounds = kept(bounds.join(tried, "repo_id", "left").select("repo_id", F.coalesce("yes", "low").alias("low"), F.coalesce("no", "high").alias("high")), bounds)
+    level = found(bounds.select("repo_id", F.explode(F.array("low", "high")).alias("size")))
+    pairs = _pairs(level, top).join(bounds, "repo_id")
+    longer = _runs(pairs.where("size = high").drop("low", "high", "crowd"))
+    exact = pairs.where("size = low and begins and ends and (file_a != file_b or start_b - start_a >= size)")
     exact = exact.select("repo_id", "file_a", "start_a", "file_b", "start_b", F.col("size").alias("line_count"), F.col("size").alias("n"))
     place = [F.col("file").alias("file_a"), F.col("start").alias("start_a"), F.col("file").alias("file_b"), F.col("end").alias("start_b")]
+    level = level.join(bounds, "repo_id").where("size = low")
     again = level.select("repo_id", "hash", F.col("file").alias("file_b"), F.col("start").alias("start_b"))
     touching = _runs(level.select("repo_id", "hash", *place, "size").join(again, ["repo_id", "hash", "file_b", "start_b"]))
     return _ranked(longer.unionByName(exact).unionByName(touching), top)

@@ -257,6 +257,42 @@ def test_pairs_grow_with_copies(spark):
     assert [(c["file_a"], c["file_b"]) for c in clones.line_clones(texts).orderBy("rank").collect()] == [(0, k) for k in range(1, 6)]
 
 
+@pytest.mark.parametrize("lines_a_window", [1, 16, 1 << 20])
+def test_long_windows_first_equal_a_plain_walk(spark, monkeypatch, lines_a_window):
+    """Long clones in crowds, in few files, of one file with itself, and none; with all, some and no sizes tried first."""
+    import random
+
+    monkeypatch.setattr(clones, "LINES_A_LONG_WINDOW", lines_a_window, raising=False)
+    rng = random.Random(lines_a_window)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [("c", f, [f"x{f}", *passage[rng.randint(0, 3) : rng.randint(50, 60)], f"y{f % 5}"]) for f in range(14)]
+    texts += [("b", f, [f"u{f}", f"v{f}", f"w{f % 9}"]) for f in range(40)] + [("b", f, [*passage[:50], f"z{f}", "a", "b", "c"]) for f in (50, 51)]
+    texts += [("a", f, [rng.choice("ab") for _ in range(rng.randint(1, 30))]) for f in range(10)]
+    texts += [("d", 1, ["same"] * 61), ("e", 1, ["once"]), ("e", 2, passage)]
+    frame = spark.createDataFrame([(r, f, "\n".join(t)) for r, f, t in texts], "repo_id string, file long, text string")
+    got = {}
+    for c in clones.line_clones(frame, 3).orderBy("repo_id", "rank").collect():
+        got.setdefault(c["repo_id"], []).append((-c["line_count"], c["file_a"], c["start_a"], c["file_b"], c["start_b"]))
+    assert got == plain_line_clones(texts, 3)
+
+
+def test_long_clones_take_few_steps(spark, monkeypatch):
+    """Where the longest clones are long, the windows of three lines of all texts are not made, and few steps find the length."""
+    made, keep = [], clones.kept
+    monkeypatch.setattr(clones, "kept", lambda *a: made.append(1) or keep(*a))
+    passage = [f"p{k}" for k in range(90)]
+    texts = [("r", f, [f"x{f}", *passage, f"y{f}"]) for f in range(12)] + [("r", f, [f"u{f}", "v", "w", "x"] * 2) for f in range(100, 160)] + [("r", f, [f"z{f}"] * 6) for f in range(200, 3000)]
+    frame = spark.createDataFrame([(r, f, "\n".join(t)) for r, f, t in texts], "repo_id string, file long, text string")
+    best = clones.line_clones(frame).orderBy("rank").collect()
+    assert [(c["file_a"], c["start_a"], c["file_b"], c["start_b"], c["line_count"]) for c in best] == [(0, 2, f, 2, 90) for f in range(1, 6)]
+    assert len(made) <= 20
+
+
+def test_copies_without_a_file_take_no_place(spark):
+    texts = spark.createDataFrame([("r", f, "one\ntwo\nthree") for f in [None] * 9 + [1, 2]], "repo_id string, file long, text string")
+    assert [(c["file_a"], c["file_b"], c["line_count"]) for c in clones.line_clones(texts).collect()] == [(1, 2, 3)]
+
+
 def test_copies_beyond_an_overlapping_neighbour_are_paired(spark):
     texts = spark.createDataFrame([("r", 1, "\n".join(["same"] * 6)), ("q", 1, "a\nb\nc"), ("q", 2, "a\nb\nc"), ("q", 3, "a\nb\nc")], "repo_id string, file long, text string")
     got = {(c["repo_id"], c["file_a"], c["start_a"], c["file_b"], c["start_b"], c["line_count"]) for c in clones.line_clones(texts).collect()}
